@@ -43,20 +43,20 @@ def slices(array: pa.Array, most: int = 2 << 20):
         at = min(end, len(array))
 
 
-def _parts(text: bytes, most: int = 2 << 20) -> list[bytes]:
+def parts(text: bytes, most: int = 2 << 20) -> list[bytes]:
     """A long text cut at spaces, so that the arrays below stay small; one endless word stays whole."""
-    parts, at = [], 0
+    out, at = [], 0
     while len(text) - at > most:
         end = next((i for i in range(at + most, len(text)) if text[i] in SPACES), len(text))
-        parts.append(text[at:end])
+        out.append(text[at:end])
         at = end
-    return [*parts, text[at:]]
+    return [*out, text[at:]]
 
 
 def word_hashes(texts: list[bytes], lower: bool) -> tuple[np.ndarray, np.ndarray]:
     """64-bit hash of every word of the texts in order, and the number of words of each text."""
     if len(texts) == 1 and len(texts[0]) > 3 << 20:
-        done = [_word_hashes([p], lower) for p in _parts(texts[0])]
+        done = [_word_hashes([p], lower) for p in parts(texts[0])]
         return np.concatenate([h for h, _ in done]), np.array([sum(int(n[0]) for _, n in done)])
     return _word_hashes(texts, lower)
 
