@@ -12,12 +12,12 @@ from .components import connected_components
 from .storage import materialise
 from .words import keyed, mix64, shingle_sets, slices
 
-#: Samples a document, samples a band, bits of an odd sketch.  A pair at similarity 0.8 misses all 32 bands with
-#: probability (1 - 0.8**4)**32 = 5e-8.
-SAMPLES, BAND, BITS = 128, 4, 512
-#: Two sketches may differ in so many bits.  At similarity 0.8 they differ in about 46; a pair beyond this number has
-#: an estimate below 0.6, more than six standard deviations away.
-MOST_BITS = 95
+#: Samples of a document, bands of BAND samples each, bits of an odd sketch.  A pair at similarity 0.8 misses all 32
+#: bands with probability (1 - 0.8**4)**32 = 5e-8.
+SAMPLES, BANDS, BAND, BITS = 1024, 32, 4, 4096
+#: Two sketches may differ in so many bits.  At similarity 0.8 they differ in 371 (standard deviation 23); a pair
+#: beyond this number has an estimate below 0.73, five standard deviations away.
+MOST_BITS = 485
 #: Candidate ids up to this number are broadcast (8 bytes each); more are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
 #: Buckets of at most so many documents are compared by a join, larger ones in blocks of BLOCK by BLOCK.
@@ -25,13 +25,19 @@ SMALL, BLOCK = 32, 512
 
 
 def minhash(sets: list[np.ndarray], seed: int) -> np.ndarray:
-    """MinHash samples, one row a set: the least of (a x + b) mod 2**64 for each of SAMPLES pairs (a, b)."""
-    a, b = keyed(SAMPLES, seed) | np.uint64(1), keyed(SAMPLES, seed + 1)
-    out = np.full((len(sets), SAMPLES), np.uint64(2**64 - 1))
+    """MinHash samples, one row a set: the least of (a x + b) mod 2**32 for each of SAMPLES pairs (a, b)."""
+    high = np.uint64(32)
+    a, b = (keyed(SAMPLES, seed) >> high).astype(np.uint32) | np.uint32(1), (keyed(SAMPLES, seed + 1) >> high).astype(np.uint32)
+    out = np.full((len(sets), SAMPLES), np.uint32(2**32 - 1))
+    room = np.empty((256, SAMPLES), np.uint32)
     for row, s in zip(out, sets, strict=True):
-        for at in range(0, len(s), 2048):
-            np.minimum(row, (s[at : at + 2048, None] * a + b).min(axis=0), out=row)
-    return out
+        x = (s >> high).astype(np.uint32)[:, None]
+        for at in range(0, len(s), 256):
+            part = x[at : at + 256]
+            y = np.multiply(part, a, out=room[: len(part)])
+            y += b
+            np.minimum(row, y.min(axis=0), out=row)
+    return out.astype(np.uint64)
 
 
 def odd_sketch(samples: np.ndarray) -> np.ndarray:
@@ -39,15 +45,15 @@ def odd_sketch(samples: np.ndarray) -> np.ndarray:
     n, k = samples.shape
     bit = mix64(samples ^ keyed(k, 5)) % np.uint64(BITS)
     flat = (np.arange(n, dtype=np.int64)[:, None] * BITS + bit.astype(np.int64)).ravel()
-    odd = (np.bincount(flat, minlength=n * BITS).astype(np.uint8) & 1).reshape(n, BITS)
+    odd = (np.bincount(flat, minlength=n * BITS) & 1).astype(np.uint8).reshape(n, BITS)
     return np.packbits(odd, axis=1).view(np.int64).reshape(n, BITS // 64)
 
 
 def band_keys(samples: np.ndarray) -> np.ndarray:
     """One key a band; the band's number is part of the key."""
-    n, k = samples.shape
     weights = keyed(BAND, 9) | np.uint64(1)
-    return mix64((samples.reshape(n, k // BAND, BAND) * weights).sum(axis=2, dtype=np.uint64) + keyed(k // BAND, 10)).view(np.int64)
+    first = samples[:, : BANDS * BAND].reshape(len(samples), BANDS, BAND)
+    return mix64((first * weights).sum(axis=2, dtype=np.uint64) + keyed(BANDS, 10)).view(np.int64)
 
 
 def similarity_of_bits(differing: float) -> float:
@@ -110,7 +116,7 @@ def _near(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
 
 def _confirm(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
     """Of the candidate pairs, those whose full sets reach the threshold."""
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    ids = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
     sets = materialise(full_sets(docs, ids, width), "sets")
     joined = pairs.join(sets.select(F.col("id").alias("a"), F.col("items").alias("xs")), "a").join(sets.select(F.col("id").alias("b"), F.col("items").alias("ys")), "b")
     both = joined.select("a", "b", F.size(F.array_intersect("xs", "ys")).cast("long").alias("both"), (F.size("xs") + F.size("ys")).cast("long").alias("all"))
