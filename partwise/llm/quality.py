@@ -102,12 +102,9 @@ def verdict(rules: list[Rule]) -> Column:
 
 def _best_condition(rows: DataFrame, edges: dict[str, list[float]]) -> tuple[Condition, int, int] | None:
     """The condition of the highest information gain on the covered rows, from one grouped count by bin."""
-    bins = [F.struct(F.lit(m).alias("measure"), sum((F.when(MEASURES[m]() >= t, 1).otherwise(0) for t in ts), F.lit(0)).alias("bin")) for m, ts in edges.items() if ts]
-    if not bins:
-        return None
-    counted = rows.select("bad", F.explode(F.array(*bins)).alias("x")).groupBy("x.measure", "x.bin").agg(F.sum("bad").alias("p"), F.sum(1 - F.col("bad")).alias("n")).collect()
+    counted = rows.select("bad", F.explode("bins").alias("x")).groupBy("x.measure", "x.bin").agg(F.sum("bad").alias("p"), F.sum(1 - F.col("bad")).alias("n")).collect()
     p0, n0 = (sum(r[k] for r in counted if r["measure"] == counted[0]["measure"]) for k in ("p", "n")) if counted else (0, 0)
-    if not p0:
+    if not p0 or not n0:
         return None
     best, info = None, math.log2(p0 / (p0 + n0))
     for measure, ts in sorted(edges.items()):
@@ -121,7 +118,7 @@ def _best_condition(rows: DataFrame, edges: dict[str, list[float]]) -> tuple[Con
     return best and best[1:]
 
 
-def learn_rules(rows: DataFrame, max_rules: int = 8, max_conditions: int = 4, bins: int = 24, min_precision: float = 0.9, min_covered: int = 3) -> list[Rule]:
+def learn_rules(rows: DataFrame, max_rules: int = 8, max_conditions: int = 4, bins: int = 64, min_precision: float = 0.9, min_covered: int = 3) -> list[Rule]:
     """Sequential covering over ``rows`` (COUNTS, ``bad`` 0/1, ``pruning`` boolean).
 
     A rule grows by the condition of the highest information gain on the growing rows, is cut back to the prefix
@@ -131,8 +128,12 @@ def learn_rules(rows: DataFrame, max_rules: int = 8, max_conditions: int = 4, bi
     names = list(MEASURES)
     cuts = rows.agg(*[F.percentile_approx(MEASURES[m](), [i / bins for i in range(1, bins)], 10_000).alias(m) for m in names]).first()
     edges = {m: sorted({float(t) for t in cuts[m] or [] if t is not None}) for m in names}
+    bin_of = lambda m: F.size(F.filter(F.array(*map(F.lit, edges[m])), lambda t: t <= MEASURES[m]()))
+    binned = [F.struct(F.lit(m).alias("measure"), bin_of(m).alias("bin")) for m in names if edges[m]]
+    if not binned:
+        return []
     rules: list[Rule] = []
-    left = rows
+    left = materialise(rows.withColumn("bins", F.array(*binned)), "binned")
     while len(rules) < max_rules:
         growing, rule = left.where(~F.col("pruning")), []
         while len(rule) < max_conditions and (found := _best_condition(growing.where(_all(rule)), edges)):
@@ -142,20 +143,22 @@ def learn_rules(rows: DataFrame, max_rules: int = 8, max_conditions: int = 4, bi
         if not rule:
             break
         prefixes = [rule[:k] for k in range(1, len(rule) + 1)]
-        kinds = [(k, x, side) for k in range(len(prefixes)) for x in ("p", "n") for side in (True, False)]
-        counts = left.agg(*[F.count(F.when(_all(prefixes[k]) & (F.col("bad") == int(x == "p")) & (F.col("pruning") == side), 1)).alias(f"{x}{k}{side}") for k, x, side in kinds]).first()
-        worth = lambda k: (counts[f"p{k}True"] - counts[f"n{k}True"]) / max(1, counts[f"p{k}True"] + counts[f"n{k}True"])  # noqa: B023, E731
-        k = max(range(len(prefixes)), key=lambda k: (worth(k), counts[f"p{k}True"], -k))
-        p, n = (sum(counts[f"{x}{k}{side}"] for side in (True, False)) for x in "pn")
-        if p < min_covered or p < min_precision * (p + n):
+        kinds = [(k, bad, side) for k in range(len(prefixes)) for bad in (1, 0) for side in (True, False)]
+        told = left.agg(*[F.count(F.when(_all(prefixes[k]) & (F.col("bad") == bad) & (F.col("pruning") == side), 1)) for k, bad, side in kinds]).first()
+        count = dict(zip(kinds, told, strict=True))
+        both = {k: [count[k, bad, True] + count[k, bad, False] for bad in (1, 0)] for k in range(len(prefixes))}
+        fit = [k for k, (p, n) in both.items() if p >= min_covered and p >= min_precision * (p + n)]
+        if not fit:
             break
+        worth = {k: (count[k, 1, True] - count[k, 0, True]) / max(1, count[k, 1, True] + count[k, 0, True]) for k in fit}
+        k = max(fit, key=lambda k: (worth[k], both[k][0], -k))
         rules.append(tuple(prefixes[k]))
         left = left.where(~_all(prefixes[k]))
     return rules
 
 
 def labelled_counts(docs: DataFrame, labels: DataFrame, max_labelled: int) -> DataFrame:
-    """COUNTS and ``bad`` of at most ``max_labelled`` labelled documents, the first by hash; a bounded table.
+    """COUNTS and ``bad`` of at most ``max_labelled`` labelled documents (the first by hash) that pass the base rules.
 
     The ids are broadcast (``max_labelled`` rows at most), so texts stay where they are read.
     """
@@ -163,7 +166,7 @@ def labelled_counts(docs: DataFrame, labels: DataFrame, max_labelled: int) -> Da
     sample = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_labelled)
     found = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id")
     found = found.select("doc_id", (1 - F.col("quality")).alias("bad"), text_stats("text").alias("s"))
-    return materialise(found.select("bad", (F.pmod(F.xxhash64(F.lit("prune"), "doc_id"), F.lit(3)) == 0).alias("pruning"), "s.*"), "labelled")
+    return materialise(found.select("bad", (F.pmod(F.xxhash64(F.lit("prune"), "doc_id"), F.lit(3)) == 0).alias("pruning"), "s.*").where(~base_failed()), "labelled")
 
 
 def base_failed() -> Column:
