@@ -69,29 +69,42 @@ def ngrams(host: Column, path: Column, low: int = 3, high: int = 4) -> Column:
 
 #: A small labelled table: words that hosts of unwanted and of ordinary sites are made of, and the forms they take.
 UNWANTED = "casino poker betting bets slots jackpot lottery gamble win adult xxx porn sex escort nude cams pills viagra pharmacy meds cheap spam linkfarm farm clickbait ads adserver track tracker popup banner warez torrent crack keygen payday loans replica free".split()
-ORDINARY = "news library school university garden science history museum weather music recipes travel health books city forum docs wiki sports art law research family nature market river mountain kitchen letters archive journal daily open public local north station tionther reanth erinsth ouandle ontihe anresh".split()
+ORDINARY = "news library school university garden science history museum weather music recipes travel health books city forum docs wiki sports art law research family nature market river mountain kitchen letters archive journal daily open public local north station".split()
 HOSTS = ("{0}.example.org", "www.{0}-{1}.com", "{0}-{1}.example.net", "blog.{0}.net", "m.{1}-{0}.org", "{0}{1}.example.com")
 PATHS = ("/en/{2}", "/de/{2}.html", "/fr/{2}/", "/es/{2}", "/{2}", "")
 
 
+#: Unwanted sites are the fewer rows of the table; each counts so many times.
+UNWANTED_WEIGHT = 2.5
+
+
+def made_words(n: int) -> list[str]:
+    """Words of three syllables by rule, for hosts whose names mean nothing."""
+    syllables = [c + v + e for c in "bdfghklmnprstvw" for v in "aeiou" for e in ("", "n", "r", "s", "th")]
+    return ["".join(syllables[(i * step + 11 * step) % len(syllables)] for step in (37, 101, 223)) for i in range(1, n + 1)]
+
+
 def labelled_urls(spark: SparkSession) -> DataFrame:
-    """``host, path, label``: each word in every form of a host, 1 for unwanted sites; a fixed, small table."""
+    """``host, path, label``: each word in every form of a host, 1 for unwanted sites; a fixed, small table.
+
+    Both kinds take the same forms and paths, so that only the words tell them apart; ordinary sites are the more.
+    """
     rows = []
-    for label, words in ((1.0, UNWANTED), (0.0, ORDINARY)):
+    for label, words in ((1.0, UNWANTED), (0.0, ORDINARY[:40]), (0.0, made_words(240))):
         for i, w in enumerate(words):
             for k, form in enumerate(HOSTS):
-                other, number = words[(i * 7 + k * 3 + 1) % len(words)], 37 * i + 101 * k
+                other, number = words[(i * 7 + k * 3 + 1) % len(words)], 1 + (i % 40 * 6 + k) * 41
                 rows.append((form.format(w, other), PATHS[(i + k) % len(PATHS)].format(0, 0, number), label))
     return spark.createDataFrame(rows, "host string, path string, label double")
 
 
-def train(labelled: DataFrame, features: int = 1 << 14) -> PipelineModel | float:
+def train(labelled: DataFrame, features: int = 1 << 16) -> PipelineModel | float:
     """Fit on ``labelled(host, path, label)`` (1: block); with labels of one kind, that label alone (0 without any)."""
-    rows = materialise(labelled.select(ngrams(F.col("host"), F.col("path")).alias("grams"), "label"), "urls")
+    rows = materialise(labelled.select(ngrams(F.col("host"), F.col("path")).alias("grams"), "label", (1 + (UNWANTED_WEIGHT - 1) * F.col("label")).alias("weight")), "urls")
     kinds = [r["label"] for r in rows.select("label").distinct().collect()]
     if len(kinds) < 2:
         return kinds[0] if kinds else 0.0
-    stages = [HashingTF(inputCol="grams", outputCol="features_", numFeatures=features), LogisticRegression(featuresCol="features_", labelCol="label", regParam=1e-3, maxIter=50, probabilityCol="probability_", rawPredictionCol="raw_", predictionCol="prediction_")]
+    stages = [HashingTF(inputCol="grams", outputCol="features_", numFeatures=features), LogisticRegression(featuresCol="features_", labelCol="label", weightCol="weight", regParam=0.0003, maxIter=60, probabilityCol="probability_", rawPredictionCol="raw_", predictionCol="prediction_")]
     return Pipeline(stages=stages).fit(rows)
 
 
