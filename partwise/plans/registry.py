@@ -1,15 +1,19 @@
-"""Registered queries of the compositional operators."""
+"""Registered queries of the compositional operators, and their SQL."""
 
 from __future__ import annotations
 
+from . import prepare
+
+MODULES = (prepare,)
+
 
 def flagship(spark, sf_dir):
-    raise NotImplementedError
+    return prepare.h6_ilr(spark, sf_dir)
 
 
 def queries():
-    return {}
+    return {k: f for m in MODULES for k, f in m.QUERIES.items()}
 
 
 def oracle_sql():
-    return {}
+    return {k: t for m in MODULES for k, t in m.SQL.items()}
