@@ -61,8 +61,12 @@ def ngrams(host: Column, path: Column, low: int = 3, high: int = 4) -> Column:
 
     def of(kind: str, x: Column) -> Column:
         whole = F.concat(F.lit("^"), x, F.lit("$"))
-        each = [F.transform(F.sequence(F.lit(1), F.greatest(F.length(whole) - n + 1, F.lit(1))), lambda i, n=n: F.concat(F.lit(kind), F.substring(whole, i, F.lit(n)))) for n in range(low, high + 1)]
-        return F.concat(*each)
+
+        def all_of(n: int) -> Column:
+            starts = F.sequence(F.lit(1), F.greatest(F.length(whole) - n + 1, F.lit(1)))
+            return F.transform(starts, lambda i: F.concat(F.lit(kind), F.substring(whole, i, F.lit(n))))
+
+        return F.concat(*[all_of(n) for n in range(low, high + 1)])
 
     return F.concat(of("h", host), of("p", path))
 
