@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from . import prepare
+from . import effects, prepare
 
-MODULES = (prepare,)
+MODULES = (prepare, effects)
 
 
 def flagship(spark, sf_dir):
-    return prepare.h6_ilr(spark, sf_dir)
+    return effects.j6_contrast(spark, sf_dir)
 
 
 def queries():
