@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import effects, prepare
+from . import effects, networks, prepare
 
-MODULES = (prepare, effects)
+MODULES = (prepare, effects, networks)
 
 
 def flagship(spark, sf_dir):
