@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import effects, networks, prepare
+from . import effects, models, networks, prepare
 
-MODULES = (prepare, effects, networks)
+MODULES = (prepare, effects, networks, models)
 
 
 def flagship(spark, sf_dir):
