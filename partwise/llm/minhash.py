@@ -136,6 +136,10 @@ def _compare_blocks(key, rows: pd.DataFrame) -> pd.DataFrame:
     for u, v in zip(np.stack(x.sketch.to_list()).T.astype(np.int64), np.stack(y.sketch.to_list()).T.astype(np.int64), strict=True):
         bits += np.bitwise_count((u[:, None] ^ v[None, :]).view(np.uint64))
     left, right = np.nonzero((bits <= MOST_BITS) & (x.comp.to_numpy()[:, None] != y.comp.to_numpy()[None, :]))
+    band = int(rows.band.iloc[0])
+    if band and len(left):  # a pair that shares an earlier band meets in that band's bucket
+        earlier = np.stack(x.bands.to_list())[left, :band] == np.stack(y.bands.to_list())[right, :band]
+        left, right = left[~earlier.any(axis=1)], right[~earlier.any(axis=1)]
     a, b = x.rep.to_numpy()[left], y.rep.to_numpy()[right]
     return pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)}).drop_duplicates()
 
@@ -148,10 +152,10 @@ def _across(buckets: DataFrame, labels: DataFrame, classes: DataFrame) -> DataFr
     ones in bounded blocks: those of the bucket's largest component against the rest, and the rest against itself.
     """
     rest = buckets.where("rep <> centre").join(labels.select(F.col("id").alias("rep"), "component"), "rep", "left")
-    rest = rest.select("key", "rep", F.coalesce("component", "rep").alias("comp"))
+    rest = rest.select("key", "band", "rep", F.coalesce("component", "rep").alias("comp"))
     parts = rest.groupBy("key", "comp").agg(F.count("*").alias("n"))
     stats = parts.groupBy("key").agg(F.sum("n").alias("total"), F.max("n").alias("most"), F.max_by("comp", F.struct("n", "comp")).alias("main"), F.count("*").alias("comps")).where("comps > 1")
-    sketches = classes.select("rep", "n_shingles", "sketch")
+    sketches = classes.select("rep", "n_shingles", "sketch", "bands")
     left = materialise(rest.join(stats, "key").join(sketches, "rep"), "unsettled")
     small = left.where(F.col("total") <= SMALL)
     joined = small.alias("x").join(small.alias("y"), (F.col("x.key") == F.col("y.key")) & (F.col("x.rep") < F.col("y.rep")) & (F.col("x.comp") != F.col("y.comp")))
@@ -165,7 +169,8 @@ def _across(buckets: DataFrame, labels: DataFrame, classes: DataFrame) -> DataFr
     cells = F.when(F.col("major"), F.transform(others, lambda j: cell("x", F.col("block"), j))).otherwise(
         F.concat(F.transform(F.sequence(F.lit(0), F.col("mains") - 1), lambda i: cell("x", i, F.col("block"))), F.transform(others, lambda j: cell("m", F.least(j, F.col("block")), F.greatest(j, F.col("block")))))
     )
-    tasks = large.select("key", "rep", "comp", "sketch", "major", "block", F.explode(cells).alias("cell")).select("key", "rep", "comp", "sketch", "major", "block", "cell.*")
+    kept = ["key", "band", "rep", "comp", "sketch", "bands", "major", "block"]
+    tasks = large.select(*kept, F.explode(cells).alias("cell")).select(*kept, "cell.*")
     return near.unionByName(tasks.groupBy("key", "kind", "i", "j").applyInPandas(_compare_blocks, "a long, b long")).distinct()
 
 
@@ -188,7 +193,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, seed: in
     signed = materialise(signatures(docs, width, seed), "signed")
     some = signed.where("n_shingles > 0 and doc_id is not null")
     classes = materialise(some.groupBy("f1", "f2", "n_shingles").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch")), "classes")
-    members = classes.select(F.explode("bands").alias("key"), "rep")
+    members = classes.select(F.posexplode("bands").alias("band", "key"), "rep")
     shared = members.groupBy("key").agg(F.min("rep").alias("centre"), F.count("*").alias("n")).where("n > 1").select("key", "centre")
     buckets = materialise(members.join(shared, "key"), "buckets")
     stars = _near(buckets.where("rep <> centre").select(F.col("centre").alias("a"), F.col("rep").alias("b")).distinct(), classes, percent)
