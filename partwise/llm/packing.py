@@ -70,6 +70,7 @@ def pieces(docs: DataFrame, tokenizer_path: str, capacity: int, end_id: int, wit
                         part = own[4 * start : 4 * (start + capacity)]
                         rows.append((doc_id, start, len(part) // 4, zlib.crc32(part), total, part)[: len(schema)])
                 yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
+        chunk_ids(tokenizer_path).forget()
 
     kinds = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long" + (", ids binary" if with_ids else "")
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(cut, kinds)

@@ -180,6 +180,7 @@ def write_token_files(docs: DataFrame, tokenizer_path: str, end_id: int = 2, fil
                     own = [encode(t) + end for t in texts.slice(i, j - i).to_pylist()]
                     counts += [len(x) // 4 for x in own]
                     spool.write(np.frombuffer(b"".join(own), "<u4").astype(f"<u{width}").tobytes())
+            chunk_ids(tokenizer_path).forget()
             if not keys:
                 return
             path = f"{folder}/{TaskContext.get().partitionId():06d}.tok"

@@ -34,7 +34,7 @@ _LATIN1 = [_LETTERS[b] for b in range(256)]
 class ChunkIds(dict):
     """chunk (bytes) -> its ids as little-endian unsigned 32-bit integers; bounded, emptied when full."""
 
-    def __init__(self, path: str, most: int = 400_000):
+    def __init__(self, path: str, most: int = 150_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -44,6 +44,11 @@ class ChunkIds(dict):
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.apart = PATTERN in repr(self.tokenizer.pre_tokenizer) and self.tokenizer.post_processor is None
 
+    def forget(self) -> None:
+        """Empty both stores: a worker that waits for its next task holds no memory for them."""
+        self.clear()
+        self.units.clear()
+
     def library(self, text: str) -> bytes:
         return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
