@@ -118,6 +118,11 @@ def _best_condition(rows: DataFrame, edges: dict[str, list[float]]) -> tuple[Con
     return best and best[1:]
 
 
+def _with_middles(cuts: list[float]) -> list[float]:
+    """Cuts and the middles between them, so that a threshold can lie in the gap between two kinds of rows."""
+    return sorted({*cuts, *((a + b) / 2 for a, b in zip(cuts, cuts[1:], strict=False))})
+
+
 def learn_rules(rows: DataFrame, max_rules: int = 8, max_conditions: int = 4, bins: int = 64, min_precision: float = 0.9, min_covered: int = 3) -> list[Rule]:
     """Sequential covering over ``rows`` (COUNTS, ``bad`` 0/1, ``pruning`` boolean).
 
@@ -127,7 +132,7 @@ def learn_rules(rows: DataFrame, max_rules: int = 8, max_conditions: int = 4, bi
     """
     names = list(MEASURES)
     cuts = rows.agg(*[F.percentile_approx(MEASURES[m](), [i / bins for i in range(1, bins)], 10_000).alias(m) for m in names]).first()
-    edges = {m: sorted({float(t) for t in cuts[m] or [] if t is not None}) for m in names}
+    edges = {m: _with_middles(sorted({float(t) for t in cuts[m] or [] if t is not None})) for m in names}
     bin_of = lambda m: F.size(F.filter(F.array(*map(F.lit, edges[m])), lambda t: t <= MEASURES[m]()))
     binned = [F.struct(F.lit(m).alias("measure"), bin_of(m).alias("bin")) for m in names if edges[m]]
     if not binned:
