@@ -156,7 +156,7 @@ def _separators(rows: DataFrame, label: str, classes: list[str]) -> list[Separat
     return out
 
 
-def train(docs: DataFrame, most_a_language: int = 1500, most: int = 12_000) -> LanguageModel | None:
+def train(docs: DataFrame, most_a_language: int = 800, most: int = 8_000) -> LanguageModel | None:
     """Fit on rows that are not held out and have a language; None if there are none.
 
     A bounded sample is used: about ``most_a_language`` documents of a language and ``most`` in all, chosen by a hash
