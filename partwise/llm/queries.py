@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import cover_tree, language, minhash, packing, quality, sentencepiece_dropout, sharding, token_files, urls, warc
+from .oracles import ORACLE_SQL
 
 #: Folder of the public tokenizers' files.
 TOKENIZERS = os.environ.get("TOKENIZER_DIR", "")
@@ -75,5 +76,5 @@ QUERIES = {
     for f in (op1_sentencepiece_dropout, op2_warc, op3_quality_rules, op4_language_id, op5_minhash, op6_packing, op7_url_filter, op8_sharding, op9_embedding_dedup, op10_token_files)
 }
 
-#: None of these can be written in SQL as a whole; tests compare them with brute force.
-ORACLE_SQL: dict[str, str] = {}
+#: The other queries cannot be written in SQL; tests compare them with brute force.
+__all__ = ["ORACLE_SQL", "QUERIES", "tokenizer_file"]
