@@ -31,6 +31,8 @@ FAMILY = {code: family for family, codes in FAMILIES.items() for code in codes}
 UND = "und"
 ORDERS = (2, 3, 4)
 DIMENSIONS = 4096
+#: Texts are read in runs of so many bytes; this bounds a worker's arrays.
+RUN = 1 << 20
 
 #: Bytes as the n-grams see them: whatever is ASCII and no letter is a space.
 _SEEN = np.arange(256, dtype=np.uint8)
@@ -63,7 +65,7 @@ def ngram_bins(texts: list[bytes]) -> tuple[list[np.ndarray], np.ndarray]:
 def ngram_shares(texts: pa.Array) -> pa.Array:
     """Per whole text, the share of each n-gram bin in per cent."""
     out = np.zeros((len(texts), DIMENSIONS), np.float32)
-    for i, j in slices(texts):
+    for i, j in slices(texts, RUN):
         bins, starts = ngram_bins([x or b"" for x in texts.slice(i, j - i).cast(pa.binary()).to_pylist()])
         ends = np.append(starts[1:], len(bins[0]))
         for k, (a, b) in enumerate(zip(starts, ends, strict=True)):
@@ -193,7 +195,7 @@ def identify(docs: DataFrame, model: LanguageModel | None) -> DataFrame:
     @F.arrow_udf("struct<lang:string,score:double>")
     def told(texts: pa.Array) -> pa.Array:
         langs, scores = [], []
-        for i, j in slices(texts):
+        for i, j in slices(texts, RUN):
             x, p = shared.value.predict([t or b"" for t in texts.slice(i, j - i).cast(pa.binary()).to_pylist()])
             langs += x
             scores.append(p)

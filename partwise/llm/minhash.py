@@ -22,6 +22,8 @@ MOST_BITS = 485
 BROADCAST_IDS = 1_000_000
 #: Buckets of at most so many documents are compared by a join, larger ones in blocks of BLOCK by BLOCK.
 SMALL, BLOCK = 32, 512
+#: Texts are signed in runs of so many bytes, and sketched so many rows at once: this bounds a worker's arrays.
+RUN, ROWS = 1 << 20, 64
 
 
 def minhash(sets: list[np.ndarray], seed: int) -> np.ndarray:
@@ -42,6 +44,10 @@ def minhash(sets: list[np.ndarray], seed: int) -> np.ndarray:
 
 def odd_sketch(samples: np.ndarray) -> np.ndarray:
     """Parity bitmaps of BITS bits, as signed 64-bit words: every (position, sample) flips one bit."""
+    return np.concatenate([_parities(samples[at : at + ROWS]) for at in range(0, max(len(samples), 1), ROWS)])
+
+
+def _parities(samples: np.ndarray) -> np.ndarray:
     n, k = samples.shape
     bit = mix64(samples ^ keyed(k, 5)) % np.uint64(BITS)
     flat = (np.arange(n, dtype=np.int64)[:, None] * BITS + bit.astype(np.int64)).ravel()
@@ -75,7 +81,7 @@ def signatures(docs: DataFrame, width: int, seed: int = 1) -> DataFrame:
     def sign(batches):
         for batch in batches:
             ids, texts = batch.column(0), batch.column(1)
-            for i, j in slices(texts):
+            for i, j in slices(texts, RUN):
                 with np.errstate(over="ignore"):
                     sets = shingle_sets(texts.slice(i, j - i).cast(pa.binary()).to_pylist(), width)
                     samples = minhash(sets, seed)
@@ -90,7 +96,7 @@ def full_sets(docs: DataFrame, ids: DataFrame, width: int) -> DataFrame:
 
     def items(batches):
         for batch in batches:
-            for i, j in slices(batch.column(1)):
+            for i, j in slices(batch.column(1), RUN):
                 sets = shingle_sets(batch.column(1).slice(i, j - i).cast(pa.binary()).to_pylist(), width)
                 offsets = np.concatenate([[0], np.cumsum([len(s) for s in sets])]).astype(np.int32)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.ListArray.from_arrays(offsets, np.concatenate(sets).view(np.int64))], names=["id", "items"])
