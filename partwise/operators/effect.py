@@ -9,6 +9,7 @@ from ..functions.expressions import combine, erfc_p, helmert, poisson_draws, tot
 from .audit import avg_rank, bh_fdr, unpivot
 from .keys import unit_weights
 from .logratio import ilr, prepare_by
+from .nearest import nearest_missing
 
 
 def coordinates(parts) -> list[str]:
@@ -226,8 +227,15 @@ def uncertainty_radius(point: DataFrame, boot: DataFrame, parts, key: str = "poi
     return zipped.select(key, array_quantile(F.array_sort(F.transform("z", gap)), 0.95).alias("radius"))
 
 
-def nearest_reference(df: DataFrame, refs: DataFrame, columns, by, key: str = "point_id", ref_key: str = "unit_id", max_refs: int = 10_000) -> DataFrame:
-    """The nearest of the references of the same ``by`` and its distance; references are bounded and broadcast."""
+def nearest_reference(df: DataFrame, refs: DataFrame, columns, by, key: str = "point_id", ref_key: str = "unit_id", max_refs: int | None = 10_000) -> DataFrame:
+    """The nearest of the references of the same ``by`` and its distance; references are bounded and broadcast.
+
+    With ``max_refs=None`` all references are searched, exactly and block by block (distances to nine digits).
+    """
+    if max_refs is None:
+        left = df.select(*by, key, *columns).withColumn("ref_", F.lit(None).cast("double"))
+        right = refs.select(*by, F.col(ref_key).alias("donor_id"), *columns, F.lit(0.0).alias("ref_")).withColumn("raw", F.array(*[F.lit(0.0)] * (len(columns) + 1)))
+        return nearest_missing(left, right, [*columns, "ref_"], 1, key, by, scaled=False, other=key == ref_key).select(*by, key, F.col("donor_id").alias("nearest"), F.col("d").alias("distance"))
     picked = refs.orderBy(uniform(F.lit("ref"), ref_key), ref_key).limit(max_refs)
     right = picked.select(*[F.col(b).alias(f"{b}_") for b in by], F.col(ref_key).alias("ref_"), *[F.col(c).alias(f"{c}_") for c in columns])
     on = [F.col(b) == F.col(f"{b}_") for b in by] + [F.col(key) != F.col("ref_")] * (key == ref_key)
@@ -236,9 +244,9 @@ def nearest_reference(df: DataFrame, refs: DataFrame, columns, by, key: str = "p
     return both.withColumn("d", d).groupBy(*by, key).agg(F.min(F.struct("d", "ref_")).alias("m")).select(*by, key, F.col("m.ref_").alias("nearest"), F.col("m.d").alias("distance"))
 
 
-def domain_threshold(refs: DataFrame, columns, by, ref_key: str = "unit_id", max_refs: int = 2_000) -> DataFrame:
+def domain_threshold(refs: DataFrame, columns, by, ref_key: str = "unit_id", max_refs: int | None = 2_000) -> DataFrame:
     """Per ``by``: the 95 per cent quantile of each reference's distance to its nearest other one."""
-    picked = refs.orderBy(uniform(F.lit("ref"), ref_key), ref_key).limit(max_refs)
+    picked = refs if max_refs is None else refs.orderBy(uniform(F.lit("ref"), ref_key), ref_key).limit(max_refs)
     near = nearest_reference(picked, picked, columns, by, ref_key, ref_key, max_refs)
     return near.groupBy(*by).agg(F.percentile("distance", 0.95).alias("threshold"), F.count("*").alias("n_refs"))
 

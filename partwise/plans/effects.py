@@ -274,3 +274,29 @@ def k9_checks(spark, d):
     each = F.array(*[F.struct(F.lit(p).alias("part"), F.col(p).alias("observed"), F.col(f"cf_{p}").alias("value")) for p in PARTS])
     cells = cf.select("label", F.explode(each).alias("c")).select("label", "c.*")
     return rounded(cells.groupBy("label", "part").agg(F.avg("observed").alias("mean_observed"), F.avg("value").alias("mean_estimate"), F.sum((F.col("value") <= 0).cast("int")).alias("not_positive")), "mean_observed", "mean_estimate")
+
+
+@register(None)
+def c6_nearest_all(spark, d):
+    """The whole job of ``c3_nearest_reference``, whose SQL is that of a sample of references."""
+    from .prepare import prepared
+
+    refs = centers(spark, d).where("unit_state = 'U'")
+    return rounded(E.nearest_reference(prepared(spark, d), refs, Z, ["label"], max_refs=None).select("label", "point_id", "distance"), "distance")
+
+
+@register(None)
+def c7_threshold_all(spark, d):
+    """The whole job of ``c4_domain_threshold``."""
+    return rounded(E.domain_threshold(centers(spark, d).where("unit_state = 'U'"), Z, ["label"], max_refs=None), "threshold")
+
+
+@register(None)
+def k10_applicability_all(spark, d):
+    """The whole job of ``k4_applicability``."""
+    from .prepare import prepared
+
+    refs = centers(spark, d).where("unit_state = 'U'")
+    near = E.nearest_reference(prepared(spark, d).where("state = 'W'"), refs, Z, ["label"], max_refs=None)
+    told = near.join(E.domain_threshold(refs, Z, ["label"], max_refs=None), "label")
+    return rounded(told.select("point_id", "distance", (F.col("distance") > F.col("threshold")).alias("outside")), "distance")

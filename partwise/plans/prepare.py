@@ -415,3 +415,10 @@ def h15_mask_summary(spark, d):
 @register(None)
 def h16_pca(spark, d):
     return rounded(lr.logratio_pca(prepared(spark, d), S.ILR), "loading", "explained")
+
+
+@register(None)
+def h17_knn_all(spark, d):
+    """The whole job of ``h13_knn``, whose SQL is that of a sample: every known point over every donor."""
+    known = orders.known_points(spark, d)
+    return rounded(lr.knn_impute_all(known, known, PARTS, 5), "value")
