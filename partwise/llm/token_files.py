@@ -201,8 +201,8 @@ _READ = "doc_id long, start long, n_tokens long, ids_crc32 long, found boolean"
 def read_documents(manifest: DataFrame) -> DataFrame:
     """Every document of the files of a manifest: ``doc_id, start, n_tokens, ids_crc32`` and ``found``.
 
-    A document with a key is fetched through the index (``found`` tells that it is the key's first document, as the
-    fingerprint confirms it); repeated and null keys are read at their place in the file.
+    The first document of a key is fetched at the row to which the index leads (``found``), and a key that is not
+    found there is an error; repeated and null keys are read at their place in the file.
     """
 
     def read(batches):
@@ -211,16 +211,22 @@ def read_documents(manifest: DataFrame) -> DataFrame:
                 file = TokenFile(path)
                 for a in range(0, len(file.keys), 4096):
                     b = min(a + 4096, len(file.keys))
-                    found = file.find(file.keys[a:b])
-                    found = (found == np.arange(a, b)) & file.known[a:b]
-                    crcs, at = [], a
-                    while at < b:  # a run of documents of about a million ids is one read
-                        end = max(at + 1, min(b, int(np.searchsorted(file.offsets, file.offsets[at] + (1 << 20), "right")) - 1))
-                        run = file.ids(at, end).astype("<u4")
-                        cuts = (file.offsets[at : end + 1] - file.offsets[at]).tolist()
-                        crcs += [zlib.crc32(run[x:y]) for x, y in zip(cuts, cuts[1:], strict=False)]
-                        at = end
-                    yield pa.RecordBatch.from_arrays([pa.array(file.keys[a:b], mask=~file.known[a:b]), pa.array(file.offsets[a:b] + base), pa.array(file.counts[a:b]), pa.array(crcs, pa.int64()), pa.array(found)], names=["doc_id", "start", "n_tokens", "ids_crc32", "found"])
+                    place, keys, known = np.arange(a, b), file.keys[a:b], file.known[a:b]
+                    first = known & ((place == 0) | (keys != file.keys[place - 1]) | ~file.known[place - 1])
+                    place[first] = file.find(keys[first])
+                    if (place < 0).any() or (file.keys[place] != keys).any():
+                        raise ValueError(f"the index of {path} does not lead to key {keys[(place < 0) | (file.keys[place] != keys)][0]}")
+                    crcs, i = [], 0
+                    breaks = np.append(np.flatnonzero(np.diff(place) != 1) + 1, len(place)).tolist()
+                    for stop in breaks:
+                        while i < stop:  # documents that the index puts side by side, of about a million ids, are one read
+                            at = int(place[i])
+                            end = max(at + 1, min(at + stop - i, int(np.searchsorted(file.offsets, file.offsets[at] + (1 << 20), "right")) - 1))
+                            run = file.ids(at, end).astype("<u4")
+                            cuts = (file.offsets[at : end + 1] - file.offsets[at]).tolist()
+                            crcs += [zlib.crc32(run[x:y]) for x, y in zip(cuts, cuts[1:], strict=False)]
+                            i += end - at
+                    yield pa.RecordBatch.from_arrays([pa.array(keys, mask=~known), pa.array(file.offsets[place] + base), pa.array(file.counts[place]), pa.array(crcs, pa.int64()), pa.array(first)], names=["doc_id", "start", "n_tokens", "ids_crc32", "found"])
 
     spread = manifest.select("path", "base")
     return spread.repartition(max(1, spread.sparkSession.sparkContext.defaultParallelism), "path").mapInArrow(read, _READ)

@@ -197,12 +197,13 @@ def read_chunks(stream, chunk: int = CHUNK):
         source.head()  # the empty lines after the block
 
 
-CHUNK_TABLE = "page_id long, record_id string, record_type string, target_uri string, refers_to long, chunk_no long, chunk_offset long, chunk binary, running_digest string, payload_bytes long, payload_digest string, is_last boolean, digest_ok boolean"
+CHUNK_TABLE = "page_id long, record_id string, record_type string, target_uri string, refers_to long, chunk_no long, chunk_offset long, chunk binary, running_digest string, payload_bytes long, payload_digest string, is_last boolean, digest_ok boolean, archive string, record_no long"
 
 
 def read_archives(manifest: DataFrame, with_chunks: bool = True, chunk: int = CHUNK) -> DataFrame:
     """The chunked record table (CHUNK_TABLE) of the archives of a manifest; an archive is streamed by one task.
 
+    ``archive, record_no`` tell records apart that repeat an id.
     With ``with_chunks=False`` only the last row of each record is kept, without its bytes: whole-payload lengths and
     digests at no cost in memory or transfer.
     """
@@ -211,12 +212,13 @@ def read_archives(manifest: DataFrame, with_chunks: bool = True, chunk: int = CH
         for batch in batches:
             for path in batch.column(0).to_pylist():
                 system, name = open_fs(path)
-                rows, size = [], 0
+                rows, size, number = [], 0, -1
                 with system.open_input_stream(name, compression=None) as stream:
                     for r in read_chunks(stream, chunk):
+                        number += r[4] == 0
                         if not with_chunks and not r[10]:
                             continue
-                        rows.append((page_of(r[0]), *r[:3], page_of(r[3]), *r[4:6], r[6] if with_chunks else None, *r[7:]))
+                        rows.append((page_of(r[0]), *r[:3], page_of(r[3]), *r[4:6], r[6] if with_chunks else None, *r[7:], path, number))
                         size += len(r[6]) if with_chunks else 256
                         if size >= 8 << 20:
                             yield _batch(rows)
@@ -228,7 +230,7 @@ def read_archives(manifest: DataFrame, with_chunks: bool = True, chunk: int = CH
     return spread.repartition(max(1, spread.sparkSession.sparkContext.defaultParallelism), "path").mapInArrow(read, CHUNK_TABLE)
 
 
-_KINDS = (pa.int64(), pa.string(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.string(), pa.int64(), pa.string(), pa.bool_(), pa.bool_())
+_KINDS = (pa.int64(), pa.string(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.string(), pa.int64(), pa.string(), pa.bool_(), pa.bool_(), pa.string(), pa.int64())
 _NAMES = [x.split()[0] for x in CHUNK_TABLE.split(", ")]
 
 
@@ -243,5 +245,19 @@ def archive_round_trip(pages: DataFrame, min_revisit_bytes: int = 0) -> DataFram
     that repeat a page id and payload are written each, all with the type of that id; a null ``page_id`` is always a
     response and comes back null; other columns are dropped; an empty table writes nothing and gives an empty result.
     """
-    read = read_archives(write_archives(pages, min_revisit_bytes), with_chunks=False).where("is_last")
-    return read.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "digest_ok")
+    return whole_records(read_archives(write_archives(pages, min_revisit_bytes)))
+
+
+def whole_records(chunks: DataFrame) -> DataFrame:
+    """Records put together from the rows of their chunks: ``page_id, payload_bytes, payload_digest, record_type, refers_to, digest_ok``.
+
+    A response's length is the sum over its chunks and its digest the running one of the last; a revisit's are those
+    it declares.  A missing chunk is an error.  Chunks' bytes stay where they are read: only lengths are shuffled.
+    """
+    sized = chunks.withColumn("size", F.octet_length("chunk")).drop("chunk")
+    last = lambda c: F.max_by(c, "chunk_no").alias(c)
+    by = sized.groupBy("archive", "record_no").agg(F.count("*").alias("n"), F.max("chunk_no").alias("top"), F.sum("size").alias("size"), *[last(c) for c in ("record_id", "page_id", "record_type", "refers_to", "payload_bytes", "payload_digest", "running_digest", "is_last", "digest_ok")])
+    answer = F.col("record_type") != "revisit"
+    size = F.when((F.col("n") != F.col("top") + 1) | ~F.col("is_last"), F.raise_error(F.concat(F.lit("missing chunk of record "), "record_id")).cast("long")).when(answer, F.col("size")).otherwise(F.col("payload_bytes"))
+    digest = F.when(answer, F.col("running_digest")).otherwise(F.col("payload_digest"))
+    return by.select("page_id", size.alias("payload_bytes"), digest.alias("payload_digest"), "record_type", "refers_to", "digest_ok")

@@ -97,6 +97,15 @@ def test_archives_round_trip(spark, tmp_path):
     assert gzip.open(path).read(8) == b"WARC/1.1" and os.path.getsize(path)
 
 
+def test_records_are_put_together_from_their_chunks(spark, monkeypatch):
+    df = spark.createDataFrame([(*r, "clash") for r in [*pages(), pages()[5]]], PAGES)
+    assert warc.archive_round_trip(df).where("page_id = -6 and payload_bytes = 3").count() == 2
+    read = warc.read_archives
+    monkeypatch.setattr(warc, "read_archives", lambda *a, **b: read(*a, **b).where("page_id is null or page_id <> 5 or chunk_no <> 1"))
+    with pytest.raises(Exception, match="missing chunk"):
+        warc.archive_round_trip(df).collect()
+
+
 @pytest.mark.parametrize("page", [0, 1, 255, 256, 2**40 + 3, 2**62 + 5, -1, -(2**63)])
 def test_record_ids_hold_page_ids(page):
     assert warc.page_of(warc.record_id(page, b"")) == page

@@ -158,6 +158,21 @@ def test_token_files_round_trip_and_lookup(spark):
     assert token_files.round_trip(frame(spark, []), BPE).count() == 0
 
 
+def test_documents_are_read_through_the_index(spark):
+    docs = frame(spark, [(i, f"text {i}") for i in range(40)])
+    _, manifest = token_files.write_token_files(docs, BPE, 2, file_bytes=1 << 20)
+    assert token_files.read_documents(manifest).where("found").count() == 40
+    path = manifest.first()["path"]
+    at, n, kind = token_files.TokenFile(path).head["arrays"]["rows"]
+    with open(path.removeprefix("file://"), "r+b") as f:
+        f.seek(at)
+        rows = np.frombuffer(f.read(n * np.dtype(kind).itemsize), kind)
+        f.seek(at)
+        f.write(np.roll(rows, 1).tobytes())
+    with pytest.raises(Exception, match="does not lead to key"):
+        token_files.read_documents(manifest).collect()
+
+
 def test_perfect_hash_is_minimal_and_tells_strangers():
     keys = np.random.default_rng(0).integers(-(2**63), 2**63 - 1, 20_000).view(np.uint64)
     table = token_files.PerfectHash.build(keys)
