@@ -12,7 +12,6 @@ from pyspark.sql import functions as F
 
 from .storage import materialise
 from .tokens import chunk_ids
-from .words import slices
 
 #: Pieces that are packed together; groups are drawn by hash, so each is a random sample of all lengths.
 GROUP = 8192
@@ -54,23 +53,22 @@ _PIECES = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("length", p
 
 def pieces(docs: DataFrame, tokenizer_path: str, capacity: int, end_id: int, with_ids: bool = False) -> DataFrame:
     """Every document's ids with ``end_id``, cut every ``capacity`` ids: one row a piece, optionally with its ids."""
-    end = np.asarray([end_id], "<u4").tobytes()
     schema = _PIECES.append(pa.field("ids", pa.binary())) if with_ids else _PIECES
 
     def cut(batches):
-        encode = chunk_ids(tokenizer_path).encode
+        store = chunk_ids(tokenizer_path)
         for batch in batches:
-            ids, texts = batch.column(0).to_pylist(), batch.column(1).cast(pa.binary())
-            for i, j in slices(texts):
-                rows = []
-                for doc_id, text in zip(ids[i:j], texts.slice(i, j - i).to_pylist(), strict=True):
-                    own = encode(text) + end
-                    total = len(own) // 4
-                    for start in range(0, total, capacity):
-                        part = own[4 * start : 4 * (start + capacity)]
-                        rows.append((doc_id, start, len(part) // 4, zlib.crc32(part), total, part)[: len(schema)])
-                yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
-        chunk_ids(tokenizer_path).forget()
+            for first, ids, totals in store.runs(batch.column(1), end_id):
+                many = -(-totals // capacity)
+                row = np.repeat(np.arange(len(totals)), many)
+                start = capacity * (np.arange(len(row)) - np.repeat(np.cumsum(many) - many, many))
+                length = np.minimum(totals[row] - start, capacity)
+                at = np.cumsum(length) - length
+                raw = memoryview(ids.astype("<u4")).cast("B")
+                own = [raw[4 * a : 4 * b] for a, b in zip(at.tolist(), (at + length).tolist(), strict=True)]
+                columns = [batch.column(0).take(pa.array(row + first)), start, length, [zlib.crc32(x) for x in own], totals[row], [bytes(x) for x in own] if with_ids else None]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(columns, schema, strict=False)], schema=schema)
+        store.forget()
 
     kinds = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long" + (", ids binary" if with_ids else "")
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(cut, kinds)
@@ -79,8 +77,8 @@ def pieces(docs: DataFrame, tokenizer_path: str, capacity: int, end_id: int, wit
 def pack(cut: DataFrame, capacity: int, seed: int = 1, group: int = GROUP) -> DataFrame:
     """``cut`` (doc_id, start, length, ...) with ``sequence_id`` and ``offset``.
 
-    Full pieces are sequences of their own; the others go to groups of about ``group`` pieces by a seeded hash and
-    each group is packed first-fit decreasing by itself, so no task's work grows with the input.
+    Pieces go to groups of about ``group`` by a seeded hash and each group is packed first-fit decreasing by itself, so
+    no task's work grows with the input; a full piece fills a sequence alone.
     """
     n = cut.count()
     groups = max(1, -(-n // group))

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from .storage import open_fs, shared_path, write_atomically
 from .tokens import chunk_ids
-from .words import keyed, mix64, slices
+from .words import keyed, mix64
 
 MAGIC = b"PWTOKEN1"
 #: Positions of a level for each key that is still without a place.
@@ -158,7 +158,6 @@ def write_token_files(docs: DataFrame, tokenizer_path: str, end_id: int = 2, fil
     """
     spark = docs.sparkSession
     folder = shared_path(spark, "tokens")
-    end = np.array([end_id], "<u4").tobytes()
     some = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     size = some.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     files = max(1, -(-size // file_bytes), min(size // (1 << 20), spark.sparkContext.defaultParallelism))
@@ -169,18 +168,16 @@ def write_token_files(docs: DataFrame, tokenizer_path: str, end_id: int = 2, fil
 
         from pyspark import TaskContext
 
-        encode = chunk_ids(tokenizer_path).encode
-        width = 2 if chunk_ids(tokenizer_path).tokenizer.get_vocab_size() <= 65_536 and end_id < 65_536 else 4
+        store = chunk_ids(tokenizer_path)
+        width = 2 if store.tokenizer.get_vocab_size() <= 65_536 and end_id < 65_536 else 4
         keys, counts = [], []
         with tempfile.SpooledTemporaryFile(max_size=32 << 20) as spool:
             for batch in batches:
-                texts = batch.column(1).cast(pa.binary())
                 keys += batch.column(0).to_pylist()
-                for i, j in slices(texts):
-                    own = [encode(t) + end for t in texts.slice(i, j - i).to_pylist()]
-                    counts += [len(x) // 4 for x in own]
-                    spool.write(np.frombuffer(b"".join(own), "<u4").astype(f"<u{width}").tobytes())
-            chunk_ids(tokenizer_path).forget()
+                for _, ids, sizes in store.runs(batch.column(1), end_id):
+                    counts += sizes.tolist()
+                    spool.write(ids.astype(f"<u{width}").tobytes())
+            store.forget()
             if not keys:
                 return
             path = f"{folder}/{TaskContext.get().partitionId():06d}.tok"
