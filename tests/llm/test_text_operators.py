@@ -1,18 +1,22 @@
+import random
 import zlib
 from itertools import combinations
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from tokenizers import Tokenizer
 
 from partwise.llm import language, minhash, packing, quality, sentencepiece_dropout, token_files
 from partwise.llm.components import connected_components
 from partwise.llm.queries import tokenizer_file
-from partwise.llm.tokens import chunk_ids
-from partwise.llm.words import parts, shingle_sets
+from partwise.llm.tokens import ChunkIds
+from partwise.llm.words import mix64, parts, shingle_sets
 
 DOCS = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("text", T.StringType()), T.StructField("lang", T.StringType()), T.StructField("bands", T.StringType())])
+DATA = "/root/testdata/sf0.001"
 WORDS = [f"w{i}" for i in range(3000)]
 BPE, SP = tokenizer_file("word_bpe_49k.json"), tokenizer_file("piece_bpe_32k.model")
 ODD = [None, "", "  \n\t ", "one", "one", "don't STOP 'll 3.14 $$$ <|endoftext|>", "Ünï É! İstanbul ẞ ΣΑΣ. क़! 日本語 😀!👍🏽 각 H̱", " a▁b  c\x00 \n", "x" * 30_000, "lorem ipsum " * 9_000]
@@ -105,27 +109,46 @@ def test_long_texts_are_cut_at_spaces_only():
     assert len(whole) == 1
 
 
-def test_chunk_ids_equal_the_library():
-    from tokenizers import Tokenizer
+LIBRARY = Tokenizer.from_file(BPE)
 
-    library, own = Tokenizer.from_file(BPE), chunk_ids(BPE)
-    for t in [*ODD, "'S ''s a's1 １２ ² ½", "ŉ! ĳ ß \xad! ª²º x\x7f", "a\u00a0b\x1fc\x85d", "≠ a≮ x\u0301!"]:
-        want = library.encode(t or "", add_special_tokens=False).ids
-        assert np.frombuffer(own.encode(t.encode() if t else None), "<u4").tolist() == want, t
+
+def library_ids(text, *end):
+    return np.array([*LIBRARY.encode(text or "", add_special_tokens=False).ids, *end], "<u4")
+
+
+@pytest.mark.parametrize("most", [40, 400_000])
+def test_token_ids_equal_the_library(most):
+    rng = random.Random(5)
+    signs = "abcZÉéßİıſK'sStTreVE0129²½ .,;:!|<># \u0301\u200bñŸǅǆɐΣσ中\x1c\x7f\t\n\x0b\x0c\xa0"
+    texts = [*ODD, "'S ''s a's1 １２ ² ½", "ŉ! ĳ ß \xad! ª²º x\x7f", "a\u00a0b\x1fc\x85d", "≠ a≮ x\u0301!", "long ſtring été " * 300_000]
+    texts += ["".join(rng.choices(signs, k=rng.randint(0, 12))) for _ in range(3_000)]
+    for own in (texts, [t for t in texts if t is None or "<|" not in t]):
+        store, at = ChunkIds(BPE, most), 0
+        for first, ids, counts in store.runs(pa.array(own), 7):
+            assert first == at and counts.sum() == len(ids)
+            for n, end in zip(counts, np.cumsum(counts), strict=True):
+                assert ids[end - n : end].tolist() == library_ids(own[at], 7).tolist(), own[at]
+                at += 1
+        assert at == len(own)
+
+
+def test_token_ids_of_whole_documents_equal_the_library(spark):
+    docs = spark.read.parquet(DATA + "/documents.parquet").select("doc_id", "text")
+    packed = {r["doc_id"]: (r["n_tokens"], r["ids_crc32"]) for r in token_files.round_trip(docs, BPE).collect()}
+    assert packed == {r["doc_id"]: (len(x), zlib.crc32(x.tobytes())) for r in docs.collect() for x in [library_ids(r["text"], 2)]}
 
 
 def test_packing_is_whole_and_tight(spark):
     rows = copies(groups=30, size=5, length=900) + odd_rows()
     out = packing.pack(packing.pieces(frame(spark, rows), BPE, 256, 1), 256, group=64).toPandas()
     total = out.length.sum()
-    plain = chunk_ids(BPE)
-    assert total == sum(len(plain.encode((r[1] or "").encode())) // 4 + 1 for r in rows)
+    assert total == sum(len(library_ids(r[1], 1)) for r in rows)
     for _, s in out.groupby("sequence_id"):
         s = s.sort_values("offset")
         assert s.offset.tolist() == [0, *np.cumsum(s.length)[:-1]] and s.length.sum() <= 256
     assert total / (256 * out.sequence_id.nunique()) > 0.97
     one = out[out.doc_id == 9].sort_values("start")
-    ids = plain.encode(ODD[9].encode()) + np.array([1], "<u4").tobytes()
+    ids = library_ids(ODD[9], 1).tobytes()
     assert one.ids_crc32.tolist() == [zlib.crc32(ids[4 * a : 4 * (a + n)]) for a, n in zip(one.start, one.length, strict=True)]
     assert packing.pack_documents(frame(spark, []), BPE).count() == 0
 
@@ -148,8 +171,7 @@ def test_token_files_round_trip_and_lookup(spark):
     docs = frame(spark, rows)
     _, manifest = token_files.write_token_files(docs, BPE, 2, file_bytes=1 << 16)
     got = token_files.read_documents(manifest).toPandas().sort_values("start")
-    plain = chunk_ids(BPE)
-    coded = lambda t: plain.encode((t or "").encode()) + np.array([2], "<u4").tobytes()
+    coded = lambda t: library_ids(t, 2).tobytes()
     assert len(got) == len(rows) and got.start.tolist() == [0, *np.cumsum(got.n_tokens)[:-1]]
     assert sorted(got.ids_crc32) == sorted(zlib.crc32(coded(r[1])) for r in rows)
     assert got.doc_id.isna().tolist()[0] and got.doc_id.dropna().is_monotonic_increasing
@@ -181,27 +203,60 @@ def test_perfect_hash_is_minimal_and_tells_strangers():
         token_files.PerfectHash.build(np.array([1, 1], np.uint64))
 
 
-def test_dropout_segments_like_an_agenda_and_decodes(spark):
+def plain_dropout(coder, text, doc_id):
+    """Ids of a text by a loop over its units, each with a heap as its agenda."""
+    mask = 2**64 - 1
+    mix = lambda x: int(mix64(np.array([x & mask], np.uint64))[0])
+    text, start, out = " " + text, 0, []
+    for end in range(1, len(text) + 1):
+        sign = lambda c: {" ": "▁", "▁": "\ud800"}.get(c, c)
+        if end < len(text) and (sign(text[end - 1]), sign(text[end])) in coder.pieces.joined:
+            continue
+        key = mix(mix(doc_id * sentencepiece_dropout._BASE + coder.seed) + start)
+        out += coder.piece_ids(coder.segment(text[start:end], key if coder.limit else None))
+        start = end
+    return out
+
+
+@pytest.mark.parametrize("dropout", [0.0, 0.1, 0.5])
+def test_dropout_equals_a_plain_agenda(dropout):
+    coder = sentencepiece_dropout.MergeDropout(SP, dropout, 7, most=50)
+    words = "thinking of internationalization don't été straße  ▁▁ 漢字かな 12.5% a-very-long-word-without-any-spaces-in-it-that-is-longer-than-sixty-four-signs 🙂".split(" ")
+    rng = random.Random(2)
+    texts = [t for t in ODD[:-2] if t] + [" ".join(rng.choices(words, k=60)) for _ in range(20)]
+    ids = np.arange(len(texts)) - 3
+    for _ in range(2):
+        flat, counts = coder.encode(pa.array(texts), ids)
+        assert [x.tolist() for x in np.split(flat, np.cumsum(counts)[:-1])] == [plain_dropout(coder, t, i) for t, i in zip(texts, ids.tolist(), strict=True)]
+        assert coder.lossless(pa.array(texts), flat, counts).all()
+
+
+def test_dropout_varies_by_occurrence_and_decodes(spark):
     import sentencepiece
 
     library = sentencepiece.SentencePieceProcessor(model_file=SP)
-    plain = sentencepiece_dropout.MergeDropout(SP, 0.0, 1, 4)
     texts = [t for t in ODD if t and "▁" not in t]
-    assert [x.tolist() for x in plain.encode(texts)] == [library.encode(t) for t in texts]
-    varied = sentencepiece_dropout.MergeDropout(SP, 0.3, 7, 3)
-    for unit in (" thinking", " internationalization", "ation", " don't"):
-        for v in range(3):
-            want = b"".join(map(varied._piece, varied.segment(unit, v)))
-            assert varied.segment_many([unit], varied.salts[v]) == [want]
-    out = sentencepiece_dropout.encode_documents(frame(spark, odd_rows()), SP, 0.3, variants=3)
+    flat, counts = sentencepiece_dropout.MergeDropout(SP, 0.0, 1).encode(pa.array(texts), np.zeros(len(texts), int))
+    assert [x.tolist() for x in np.split(flat, np.cumsum(counts)[:-1])] == [library.encode(t) for t in texts]
+    out = sentencepiece_dropout.encode_documents(frame(spark, odd_rows()), SP, 0.3)
     rows = out.collect()
     assert len(rows) == len(ODD) + 2 and all(r["lossless"] for r in rows)
     assert out.where("doc_id = 9").first()["n_pieces"] > len(library.encode(ODD[9]))
     back = {r["doc_id"]: r["text"] for r in sentencepiece_dropout.decode_documents(out, SP).collect()}
     assert all(back[i] == (t or "") for i, t in enumerate(ODD))
-    again = {r["doc_id"]: r["ids_crc32"] for r in sentencepiece_dropout.encode_documents(frame(spark, odd_rows()).repartition(1), SP, 0.3, variants=3).collect()}
+    again = {r["doc_id"]: r["ids_crc32"] for r in sentencepiece_dropout.encode_documents(frame(spark, odd_rows()).repartition(1), SP, 0.3).collect()}
     assert again == {r["doc_id"]: r["ids_crc32"] for r in rows}
     assert sentencepiece_dropout.encode_documents(frame(spark, []), SP).count() == 0
+    word, many = " internationalization", 4_000
+    pieces = sentencepiece_dropout.encode_documents(frame(spark, [(1, (word * many)[1:])]), SP, 0.1).first()["ids"]
+    decoded = sentencepiece_dropout.Pieces(SP)
+    forms, own = set(), []
+    for i in pieces:
+        if decoded.plain[i].startswith(b" ") and own:
+            forms.add(tuple(own))
+            own = []
+        own.append(i)
+    assert len(forms) > 30
 
 
 def test_text_counts_by_hand():
