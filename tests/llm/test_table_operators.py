@@ -158,6 +158,19 @@ def test_shards_are_even_whole_and_shuffled(spark):
     assert sharding.shuffle_into_shards(df.where("doc_id < 3").dropDuplicates(["doc_id"]), shards=7).select("shard").distinct().count() == 3
 
 
+def test_shards_depend_on_rows_and_seed_alone(spark):
+    names = ["order_", "row_", "bucket_", "pos_", "at_", "base_", "key_", "copy_", "n_", "record_", "shard_"]
+    rows = [(i if i % 3 else None, f"text {i}", "y") for i in range(600)] + [(None, None, "z")] * 300 + [(5, "the same " * 20, "z")] * 300 + [(7, f"one id {i}", "z") for i in range(300)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, kind string").withColumns({n: F.col("kind") for n in names})
+    run = lambda d, seed=1: sorted(map(str, sharding.shuffle_into_shards(d, 5, seed, 4000).select("doc_id", "text", "kind", *names, "shard", "slot").collect()))
+    first = run(df.repartition(3))
+    assert first == run(df.repartition(8)) == run(df.repartition(2, "text").sortWithinPartitions(F.desc("text")))
+    assert first != run(df, 2)
+    out = sharding.shuffle_into_shards(df, 5, 1, 4000).toPandas()
+    for same in (out.text.isna(), out.doc_id == 5, out.doc_id == 7):
+        assert out[same].groupby("shard").size().min() > 20
+
+
 def test_pipeline_stages(spark):
     import corpus_pipeline
     from partwise.llm.storage import materialise
