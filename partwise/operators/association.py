@@ -56,8 +56,10 @@ def loo_v(cells: DataFrame) -> DataFrame:
 
 
 def _table(cells: DataFrame, most: int = 10_000) -> np.ndarray:
-    """The table of a contingency frame as a matrix; levels must be few."""
-    rows = cells.orderBy("a", "b").select("a", "b", "observed").limit(most).collect()
+    """The table of a contingency frame as a matrix; an error if it has more than ``most`` cells."""
+    rows = cells.select("a", "b", "observed").limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"the table has more than {most} cells")
     a, b = sorted({r["a"] for r in rows}), sorted({r["b"] for r in rows})
     out = np.zeros((len(a), len(b)), np.int64)
     for r in rows:

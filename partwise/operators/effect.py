@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from dataclasses import dataclass
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.expressions import combine, erfc_p, helmert, poisson_draws, total, uniform
@@ -10,6 +14,7 @@ from .audit import avg_rank, bh_fdr, unpivot
 from .keys import unit_weights
 from .logratio import ilr, prepare_by
 from .nearest import nearest_missing
+from .resample import drawn, effect_sums, effects, last_of_first, replicate_sums, resample, word
 
 
 def coordinates(parts) -> list[str]:
@@ -38,20 +43,44 @@ def unit_means(df: DataFrame, parts) -> DataFrame:
     return df.groupBy("label", "unit_id").agg(*[F.avg(c).alias(c) for c in coordinates(parts)], F.when(F.avg((F.col("state") == "W").cast("int")) >= 0.5, "W").otherwise("U").alias("state"))
 
 
-def permuted(units: DataFrame, column: str, reps: int, by=(), key: str = "unit_id") -> DataFrame:
-    """``units`` once per replicate with ``column`` dealt anew within ``by``: the k-th unit by hash gives its value to the k-th by key."""
-    values = units.select(*by, F.col(key).alias("from_"), F.col(column).alias("dealt_")).withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(reps - 1))))
-    values = values.withColumn("k_", F.row_number().over(Window.partitionBy("rep", *by).orderBy(uniform(F.lit("perm"), "rep", "from_"), "from_"))).drop("from_")
-    takers = units.withColumn("k_", F.row_number().over(Window.partitionBy(*by).orderBy(key))) if by else units.withColumn("one_", F.lit(1)).withColumn("k_", F.row_number().over(Window.partitionBy("one_").orderBy(key))).drop("one_")
-    return takers.drop(column).join(values, [*by, "k_"]).drop("k_").withColumnRenamed("dealt_", column)
+class _DealtState:
+    """Weights of a permutation within labels: of each label, the units with the smallest numbers are in state W."""
+
+    def __init__(self, last: dict[int, np.ndarray]):
+        self.last, self.groups = last, len(last)
+
+    def __call__(self, g, a, b, reps):
+        for c, last in self.last.items():
+            rows = np.flatnonzero(g == c)
+            if len(rows):
+                yield c, rows, (drawn(a[rows], b[rows], reps) << 31 | (b[rows] >> 1)[:, None] <= last[reps][None, :]).astype(float)
 
 
 def perm_state(df: DataFrame, parts, reps: int) -> DataFrame:
-    """Per label: observed norm and the share of permuted unit states with one at least as large, (b + 1) / (B + 1)."""
-    observed = state_effect(df, parts, ["label"]).select("label", F.col("effect_norm").alias("observed"))
-    null = state_effect(permuted(unit_means(df, parts), "state", reps, ["label"]).withColumn("weight", F.lit(1.0)), parts, ["rep", "label"])
-    told = null.join(observed, "label").groupBy("label", "observed").agg(F.sum((F.col("effect_norm") >= F.col("observed") - 1e-12).cast("long")).alias("exceed"))
-    return told.withColumn("p", (F.col("exceed") + 1) / (reps + 1))
+    """Per label: observed norm and the share of permuted unit states with one at least as large, (b + 1) / (B + 1).
+
+    States are dealt anew to the units of a label, as often as they occur; units keep their mean coordinates.
+    """
+    observed = {r["label"]: r["effect_norm"] for r in state_effect(df, parts, ["label"]).select("label", "effect_norm").collect()}
+    labels = sorted(observed)
+    code = F.array_position(F.array(*map(F.lit, labels)), F.col("label")).cast("int") - 1
+    means = unit_means(df, parts).select(code.alias("g_"), word("perm", "unit_id", 0).alias("a_"), word("perm", "unit_id", 1).alias("b_"), "state", F.array(F.lit(1.0), *coordinates(parts)).alias("x"))
+    units = means.persist()
+    try:
+        whole = units.groupBy("g_").agg(F.count("*").alias("n"), F.sum((F.col("state") == "W").cast("int")).alias("w"), F.array(*[F.sum(F.get("x", F.lit(i))) for i in range(len(parts))]).alias("x")).collect()
+        last = last_of_first(units, reps, {r["g_"]: r["w"] for r in whole}, {r["g_"]: r["n"] for r in whole})
+        sums, _ = replicate_sums(units, _DealtState(last), reps, lows=False)
+    finally:
+        units.unpersist()
+    rows = []
+    for r in whole:
+        w, label = sums[r["g_"]], labels[r["g_"]]
+        u = np.array(r["x"]) - w
+        with np.errstate(divide="ignore", invalid="ignore"):
+            norm = np.linalg.norm(w[:, 1:] / w[:, :1] - u[:, 1:] / u[:, :1], axis=1)
+        b = int((norm >= observed[label] - 1e-12).sum()) if observed[label] is not None else reps
+        rows.append((label, observed[label], b, (b + 1) / (reps + 1)))
+    return df.sparkSession.createDataFrame(rows, "label string, observed double, exceed long, p double")
 
 
 def replicates(df: DataFrame, reps: int, key: str = "unit_id") -> DataFrame:
@@ -60,16 +89,20 @@ def replicates(df: DataFrame, reps: int, key: str = "unit_id") -> DataFrame:
     return many.withColumn("m", poisson_draws(uniform(F.lit("boot"), "rep", key))).where("m > 0")
 
 
-def boot_points(df: DataFrame, parts, reps: int) -> DataFrame:
-    """Replicates of points, prepared anew in each replicate and label, with ilr coordinates and weights."""
-    sized = unit_weights(df).withColumnRenamed("weight", "unit_weight")
-    drawn = ilr(prepare_by(replicates(sized, reps), ["rep", "label"], parts, weight="m"), parts)
-    return drawn.withColumn("weight", F.col("m") * F.col("unit_weight"))
+def boot_effect(df: DataFrame, parts, reps: int) -> DataFrame:
+    """``rep, label`` and the effect of every bootstrap replicate that has both states, prepared anew in each."""
+    found = resample(df, parts, reps, effect_sums(parts))
+    a, b = effects(found, parts)
+    g, r = np.nonzero(np.isfinite(b).all(axis=2))
+    columns = {"rep": r, "label": np.array(found.groups, object)[g]} | {f"{n}_{i + 1}": x[g, r, i] for n, x in (("a", a), ("b", b)) for i in range(len(parts) - 1)}
+    kinds = ", ".join(["rep int", "label string", *[f"{n}_{i} double" for n in "ab" for i in range(1, len(parts))]])
+    out = df.sparkSession.createDataFrame(pd.DataFrame(columns).astype({"rep": np.int32}), kinds)
+    return out.withColumn("effect_norm", F.sqrt(total([F.col(f"b_{i}") * F.col(f"b_{i}") for i in range(1, len(parts))])))
 
 
-def boot_effect(df: DataFrame, parts, reps: int) -> DataFrame:
-    """``rep, label`` and the effect of every replicate that has both states."""
-    return state_effect(boot_points(df, parts, reps), parts, ["rep", "label"]).where("effect_norm is not null")
+def boot_failures(boot: DataFrame, reps: int, least: float = 0.8) -> DataFrame:
+    """Per label: replicates that succeeded and failed, and whether enough succeeded."""
+    return boot.groupBy("label").agg(F.count("*").alias("successes")).select("label", "successes", (reps - F.col("successes")).alias("failures"), (F.col("successes") >= least * reps).alias("enough"))
 
 
 def long_effect(df: DataFrame, parts, keys) -> DataFrame:
@@ -176,78 +209,81 @@ def array_quantile(values: Column, q: float) -> Column:
     return low + (high - low) * (at - F.floor(at))
 
 
-def replicate_parameters(df: DataFrame, parts, reps: int, zero_c: float = 0.5) -> DataFrame:
-    """Per label one row with an array of all replicates' medians, zero replacements and shifts."""
-    drawn = replicates(df, reps)
-    medians = drawn.groupBy("rep", "label").agg(*[F.percentile(p, 0.5, F.col("m")).alias(f"m_{p}") for p in parts])
-    filled = drawn.join(medians, ["rep", "label"])
-    deltas = filled.groupBy("rep", "label").agg(*[(zero_c * F.min(F.when(F.coalesce(p, f"m_{p}") > 0, F.coalesce(p, f"m_{p}")))).alias(f"d_{p}") for p in parts])
-    shifts = shift_columns(boot_effect(df, parts, reps), parts, ("rep", "label"))
-    all_ = medians.join(deltas, ["rep", "label"]).join(shifts, ["rep", "label"])
-    return all_.groupBy("label").agg(F.sort_array(F.collect_list(F.struct("rep", *[f"{x}_{p}" for p in parts for x in ("m", "d", "s")]))).alias("params"))
+@dataclass(frozen=True)
+class ShiftReplicates:
+    """Per label, arrays (replicate, part) of medians, zero replacements and log shifts: a few numbers a replicate."""
 
+    parts: tuple[str, ...]
+    medians: dict[str, np.ndarray]
+    deltas: dict[str, np.ndarray]
+    shifts: dict[str, np.ndarray]
 
-def boot_counterfactual(df: DataFrame, params: DataFrame, parts, key: str = "point_id") -> DataFrame:
-    """Per raw point in state W: arrays ``est_*`` of every replicate's estimate, in the projection that reads the point.
+    def estimates(self, label: str, values: np.ndarray) -> np.ndarray:
+        """Closed compositions (point, replicate, part) of raw points as if in the other state."""
+        filled = np.where(np.isnan(values)[:, None, :], self.medians[label][None], values[:, None, :])
+        moved = np.where(filled == 0, self.deltas[label][None], filled) * np.exp(-self.shifts[label])[None]
+        return moved / moved.sum(axis=2, keepdims=True) * 100
 
-    Parameters are one row per label; a point meets them by a join on the label and is never shuffled or copied.
-    """
-    out = df.where("state = 'W'").join(F.broadcast(params), "label")
-    value = lambda p, q: F.coalesce(F.col(p), q[f"m_{p}"])
-    moved = lambda p, q: F.when(value(p, q) == 0, q[f"d_{p}"]).otherwise(value(p, q)) * F.exp(-q[f"s_{p}"])
-    out = out.withColumn("raw_", F.transform("params", lambda q: F.struct(*[moved(p, q).alias(p) for p in parts])))
-    return out.select(key, "label", *[_field("raw_", p, parts).alias(f"est_{p}") for p in parts])
 
+def replicate_parameters(df: DataFrame, parts, reps: int) -> ShiftReplicates:
+    """Parameters of every bootstrap replicate that has both states."""
+    found = resample(df, parts, reps, effect_sums(parts))
+    _, b = effects(found, parts)
+    shifts = b @ np.array(helmert(len(parts)))
+    fine = np.isfinite(b).all(axis=2)
+    pick = lambda x: {g: x[i][fine[i]] for i, g in enumerate(found.groups)}
+    return ShiftReplicates(tuple(parts), pick(found.medians), pick(found.deltas), pick(shifts))
+
+
+def _estimated(params: ShiftReplicates, told, size: int = 256):
+    """A function of batches that gives ``told(rows, estimates)`` for runs of points of one label."""
+
+    def run(batches):
+        for batch in batches:
+            for label, rows in batch.groupby("label"):
+                for k in range(0, len(rows) if label in params.medians else 0, size):
+                    own = rows.iloc[k : k + size]
+                    yield told(own, params.estimates(label, own[list(params.parts)].to_numpy(float)))
 
-def _field(array: str, part: str, parts) -> Column:
-    """The share of one part in every element of an array of parts, in per cent."""
-    return F.transform(array, lambda e: e[part] / total([e[x] for x in parts]) * 100)
+    return run
 
 
-def _log_gap(part: str) -> Column:
-    return F.transform(f"est_{part}", lambda x: F.log(x) - F.log(F.col(f"cf_{part}")))
+def counterfactual_intervals(df: DataFrame, params: ShiftReplicates, parts, key: str = "point_id") -> DataFrame:
+    """Per raw point in state W and part: the quantiles of the replicates' estimates as ``key, part, low, median, high``.
 
+    Points are read once and never shuffled or copied; replicates are an axis of a small array inside the task.
+    """
+
+    def told(rows: pd.DataFrame, estimates: np.ndarray) -> pd.DataFrame:
+        q = np.quantile(estimates, [0.025, 0.5, 0.975], axis=1)
+        n = len(parts)
+        return pd.DataFrame({key: np.repeat(rows[key].to_numpy(), n), "part": np.tile(np.array(parts, object), len(rows)), "low": q[0].ravel(), "median": q[1].ravel(), "high": q[2].ravel()})
 
-def counterfactual_intervals(boot: DataFrame, parts, key: str = "point_id") -> DataFrame:
-    """``key, part, low, median, high`` of the replicates' estimates."""
-    each = F.array(*[F.struct(F.lit(p).alias("part"), F.array_sort(f"est_{p}").alias("v")) for p in parts])
-    return boot.select(key, F.explode(each).alias("c")).select(key, "c.part", array_quantile(F.col("c.v"), 0.025).alias("low"), array_quantile(F.col("c.v"), 0.5).alias("median"), array_quantile(F.col("c.v"), 0.975).alias("high"))
+    return df.where("state = 'W'").select(key, "label", *parts).mapInPandas(_estimated(params, told), f"{key} {dict(df.dtypes)[key]}, part string, low double, median double, high double")
 
 
-def uncertainty_radius(point: DataFrame, boot: DataFrame, parts, key: str = "point_id") -> DataFrame:
+def uncertainty_radius(df: DataFrame, point: DataFrame, params: ShiftReplicates, parts, key: str = "point_id") -> DataFrame:
     """The 95 per cent quantile of the clr distance between the replicates' estimates and the point estimate."""
-    joined = boot.join(point.select(key, *[f"cf_{p}" for p in parts]), key)
+    joined = df.where("state = 'W'").select(key, "label", *parts).join(point.select(key, *[f"cf_{p}" for p in parts]), key)
 
-    def gap(e: Column) -> Column:
-        mean = total([e[p] for p in parts]) / len(parts)
-        return F.sqrt(total([(e[p] - mean) * (e[p] - mean) for p in parts]))
+    def told(rows: pd.DataFrame, estimates: np.ndarray) -> pd.DataFrame:
+        gap = np.log(estimates) - np.log(rows[[f"cf_{p}" for p in parts]].to_numpy(float))[:, None, :]
+        gap -= gap.mean(axis=2, keepdims=True)
+        return pd.DataFrame({key: rows[key].to_numpy(), "radius": np.quantile(np.sqrt((gap * gap).sum(axis=2)), 0.95, axis=1)})
 
-    zipped = joined.select(key, *[_log_gap(p).alias(p) for p in parts])
-    zipped = zipped.select(key, F.arrays_zip(*parts).alias("z"))
-    return zipped.select(key, array_quantile(F.array_sort(F.transform("z", gap)), 0.95).alias("radius"))
+    return joined.mapInPandas(_estimated(params, told), f"{key} {dict(df.dtypes)[key]}, radius double")
 
 
-def nearest_reference(df: DataFrame, refs: DataFrame, columns, by, key: str = "point_id", ref_key: str = "unit_id", max_refs: int | None = 10_000) -> DataFrame:
-    """The nearest of the references of the same ``by`` and its distance; references are bounded and broadcast.
+def nearest_reference(df: DataFrame, refs: DataFrame, columns, by, key: str = "point_id", ref_key: str = "unit_id") -> DataFrame:
+    """The nearest of all references of the same ``by`` and its distance, exactly and block by block (to twelve digits)."""
+    left = df.select(*by, key, *columns).withColumn("ref_", F.lit(None).cast("double"))
+    right = refs.select(*by, F.col(ref_key).alias("donor_id"), *columns, F.lit(0.0).alias("ref_")).withColumn("raw", F.array(*[F.lit(0.0)] * (len(columns) + 1)))
+    return nearest_missing(left, right, [*columns, "ref_"], 1, key, by, scaled=False, other=key == ref_key, digits=12).select(*by, key, F.col("donor_id").alias("nearest"), F.col("d").alias("distance"))
 
-    With ``max_refs=None`` all references are searched, exactly and block by block (distances to nine digits).
-    """
-    if max_refs is None:
-        left = df.select(*by, key, *columns).withColumn("ref_", F.lit(None).cast("double"))
-        right = refs.select(*by, F.col(ref_key).alias("donor_id"), *columns, F.lit(0.0).alias("ref_")).withColumn("raw", F.array(*[F.lit(0.0)] * (len(columns) + 1)))
-        return nearest_missing(left, right, [*columns, "ref_"], 1, key, by, scaled=False, other=key == ref_key).select(*by, key, F.col("donor_id").alias("nearest"), F.col("d").alias("distance"))
-    picked = refs.orderBy(uniform(F.lit("ref"), ref_key), ref_key).limit(max_refs)
-    right = picked.select(*[F.col(b).alias(f"{b}_") for b in by], F.col(ref_key).alias("ref_"), *[F.col(c).alias(f"{c}_") for c in columns])
-    on = [F.col(b) == F.col(f"{b}_") for b in by] + [F.col(key) != F.col("ref_")] * (key == ref_key)
-    both = df.select(*by, key, *columns).join(F.broadcast(right), on)
-    d = F.sqrt(total([(F.col(c) - F.col(f"{c}_")) * (F.col(c) - F.col(f"{c}_")) for c in columns]))
-    return both.withColumn("d", d).groupBy(*by, key).agg(F.min(F.struct("d", "ref_")).alias("m")).select(*by, key, F.col("m.ref_").alias("nearest"), F.col("m.d").alias("distance"))
-
-
-def domain_threshold(refs: DataFrame, columns, by, ref_key: str = "unit_id", max_refs: int | None = 2_000) -> DataFrame:
+
+def domain_threshold(refs: DataFrame, columns, by, ref_key: str = "unit_id") -> DataFrame:
     """Per ``by``: the 95 per cent quantile of each reference's distance to its nearest other one."""
-    picked = refs if max_refs is None else refs.orderBy(uniform(F.lit("ref"), ref_key), ref_key).limit(max_refs)
-    near = nearest_reference(picked, picked, columns, by, ref_key, ref_key, max_refs)
+    near = nearest_reference(refs, refs, columns, by, ref_key, ref_key)
     return near.groupBy(*by).agg(F.percentile("distance", 0.95).alias("threshold"), F.count("*").alias("n_refs"))
 
 

@@ -68,8 +68,10 @@ def encode_binary(df: DataFrame, column: str, levels: dict[str, int], target: st
 
 
 def dummy_code(df: DataFrame, column: str) -> DataFrame:
-    """0/1 columns for all levels but the first in sorted order (levels must be few: they become columns)."""
-    levels = sorted(r[0] for r in df.select(column).where(F.col(column).isNotNull()).distinct().limit(1000).collect())
+    """0/1 columns for all levels but the first in sorted order; an error beyond 1,000 levels, since they become columns."""
+    levels = sorted(r[0] for r in df.select(column).where(F.col(column).isNotNull()).distinct().limit(1001).collect())
+    if len(levels) > 1000:
+        raise ValueError(f"{column} has more than 1000 levels")
     return df.withColumns({f"{column}_{x.lower().replace(' ', '_')}": (F.col(column) == x).cast("int") for x in levels[1:]})
 
 

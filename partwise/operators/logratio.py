@@ -158,28 +158,12 @@ def prep_audit(df: DataFrame, parts) -> DataFrame:
     return df.agg(F.count("*").alias("n_rows"), F.sum((F.col("closure_error") > 1e-8).cast("long")).alias("not_closed"), F.sum(bad).alias("not_finite"))
 
 
-def knn_impute(df: DataFrame, donors: DataFrame, parts, k: int = 5, key: str = "point_id", max_donors: int = 500) -> DataFrame:
+def knn_impute(df: DataFrame, donors: DataFrame, parts, k: int = 5, key: str = "point_id") -> DataFrame:
     """``key, part, value`` for each null part: the mean of the ``k`` nearest donors that have it, at least 0.
 
     Distances are Euclidean over parts that both have, scaled up to all parts, after standardising by the donors
-    (population deviation, 0 counts as 1).  Donors are a bounded sample (by hash) and are broadcast.
+    (population deviation, 0 counts as 1).  All donors are searched, exactly and block by block.
     """
-    donors = donors.orderBy(uniform(F.lit("donor"), key), key).limit(max_donors)
-    s = donors.agg(*[x for p in parts for x in (F.avg(p).alias(f"a_{p}"), F.stddev_pop(p).alias(f"s_{p}"))]).first()
-    z = lambda p: (F.col(p) - (s[f"a_{p}"] or 0.0)) / (s[f"s_{p}"] or 1.0)
-    left = df.select(key, F.struct(*[z(p).alias(p) for p in parts]).alias("x"))
-    right = donors.select(F.col(key).alias("donor_id"), F.struct(*[z(p).alias(p) for p in parts]).alias("y"), F.struct(*[F.col(p) for p in parts]).alias("raw"))
-    both = left.join(F.broadcast(right), F.col(key) != F.col("donor_id"))
-    gap = [F.col(f"x.{p}") - F.col(f"y.{p}") for p in parts]
-    shared = total([g.isNotNull().cast("int") for g in gap])
-    both = both.withColumn("d", F.when(shared > 0, F.sqrt(total([F.coalesce(g * g, F.lit(0.0)) for g in gap]) * len(parts) / shared))).where("d is not null")
-    cells = both.select(key, "donor_id", "d", F.explode(F.array(*[F.struct(F.lit(p).alias("part"), F.col(f"x.{p}").alias("own"), F.col(f"raw.{p}").alias("value")) for p in parts])).alias("c")).where("c.own is null and c.value is not null")
-    ranked = cells.select(key, "c.part", "c.value", F.row_number().over(Window.partitionBy(key, "c.part").orderBy("d", "donor_id")).alias("rn"))
-    return ranked.where(F.col("rn") <= k).groupBy(key, "part").agg(F.greatest(F.avg("value"), F.lit(0.0)).alias("value"))
-
-
-def knn_impute_all(df: DataFrame, donors: DataFrame, parts, k: int = 5, key: str = "point_id") -> DataFrame:
-    """As ``knn_impute`` with every donor: an exact search by blocks, nothing is sampled or broadcast."""
     s = donors.agg(*[x for p in parts for x in (F.avg(p).alias(f"a_{p}"), F.stddev_pop(p).alias(f"s_{p}"))]).first()
     z = lambda p: (F.col(p) - (s[f"a_{p}"] or 0.0)) / (s[f"s_{p}"] or 1.0)
     left = df.where(" or ".join(f"{p} is null" for p in parts)).select(key, *[z(p).alias(p) for p in parts])

@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 
 from ..functions.expressions import total
 from .audit import bh_fdr, set_jaccard
-from .effect import permuted, replicates
 from .logratio import ilr, prepare_by, unit_centers
+from .resample import Replicates, edge_rhos, edge_sums, resample
 
 
 def log_centers(df: DataFrame, parts, keys=(), carry=("label",)) -> DataFrame:
@@ -45,11 +45,19 @@ def main_edges(df: DataFrame, parts, zero_c: float = 0.5) -> DataFrame:
     return edges(log_centers(fitted(df, parts, zero_c=zero_c), parts), parts, ["label"])
 
 
+def _edge_rows(spark, found: Replicates, parts) -> DataFrame:
+    rho = edge_rhos(found, parts)
+    pairs = list(combinations(range(len(parts)), 2))
+    n, (g, r) = len(pairs), np.nonzero(np.isfinite(rho).all(axis=(2, 3)))
+    names, label = np.array(parts, object), np.array(found.groups, object)
+    j, k = (np.array([p[i] for p in pairs]) for i in (0, 1))
+    rows = pd.DataFrame({"rep": np.repeat(r, n).astype(np.int32), "label": np.repeat(label[g], n), "part_j": np.tile(names[j], len(r)), "part_k": np.tile(names[k], len(r)), "rho": rho[g, r][:, j, k].ravel()})
+    return spark.createDataFrame(rows, "rep int, label string, part_j string, part_k string, rho double")
+
+
 def boot_edges(df: DataFrame, parts, reps: int) -> DataFrame:
-    """``rep, label, part_j, part_k, rho`` of every replicate, prepared anew in it."""
-    drawn = fitted(replicates(df, reps), parts, ("rep", "label"), weight="m")
-    centers = log_centers(drawn, parts, keys=("rep",), carry=("label", "m"))
-    return edges(centers, parts, ["rep", "label"], weight="m").drop("variation")
+    """``rep, label, part_j, part_k, rho`` of every bootstrap replicate, prepared anew in it."""
+    return _edge_rows(df.sparkSession, resample(df, parts, reps, edge_sums(parts), squares=True), parts)
 
 
 def edge_table(main: DataFrame, boot: DataFrame, least: float = 0.5) -> DataFrame:
@@ -105,10 +113,7 @@ def deltas(edge_rows: DataFrame, keys=()) -> DataFrame:
 
 def perm_edges(df: DataFrame, parts, reps: int) -> DataFrame:
     """``rep, label, part_j, part_k, rho`` with labels dealt anew to units: medians, closure and centres of the dealt label."""
-    units = df.groupBy("unit_id").agg(F.min("label").alias("label"))
-    dealt = permuted(units, "label", reps)
-    many = df.drop("label").join(dealt, "unit_id")
-    return edges(log_centers(fitted(many, parts, ("rep", "label")), parts, keys=("rep",)), parts, ["rep", "label"]).drop("variation")
+    return _edge_rows(df.sparkSession, resample(df, parts, reps, edge_sums(parts), squares=True, permute=True, salt="perm"), parts)
 
 
 def diff_edges(main: DataFrame, boot: DataFrame, perm: DataFrame, reps: int) -> DataFrame:

@@ -16,7 +16,8 @@ from .prepare import CENTERS as CENTERS_SQL
 from .prepare import PREP
 
 QUERIES, SQL = {}, {}
-REPS = 8
+#: Replicates of the bootstrap and of the permutation.
+REPS, PERMS = 1_000, 10_000
 Z = S.ILR
 IDX = range(1, len(PARTS))
 
@@ -41,8 +42,8 @@ def effect_ctes(src: str, keys: str, out: str) -> str:
 WEIGHTED = S.grouped_ctes("known", "label", "j") + ",\njw as materialized (select *, 1.0 / count(*) over (partition by unit_id) as weight from jz)"
 MAIN = effect_ctes("jw", "label", "main")
 BOOT = (
-    f"bsrc as materialized (select k.*, rep, {S.draws(chr(39) + 'boot' + chr(39), 'rep', 'unit_id')} as m from (select *, 1.0 / count(*) over (partition by unit_id) as uw from known) k, (select unnest(range({REPS})) as rep)),\n"
-    "bpos as materialized (select * from bsrc where m > 0),"
+    f"bdraw as materialized (select unit_id, rep, {S.poisson()} as m from {S.drawn('known', 'boot', REPS)}),\n"
+    "bpos as materialized (select k.*, rep, m from (select *, 1.0 / count(*) over (partition by unit_id) as uw from known) k join bdraw using (unit_id) where m > 0),"
     + S.grouped_ctes("bpos", "rep, label", "b", weight="m")
     + ",\nbw as (select *, m * uw as weight from bz),\n"
     + effect_ctes("bw", "rep, label", "boot")
@@ -68,14 +69,13 @@ def j2_effect_norm(spark, d):
 
 
 PERM = f"""um as materialized (select label, unit_id, {", ".join(f"avg({c}) as {c}" for c in Z)}, case when avg(cast(state = 'W' as int)) >= 0.5 then 'W' else 'U' end as state from jw group by 1, 2),
-dealt as (select rep, label, state, row_number() over (partition by rep, label order by {S.uniform("'perm'", "rep", "unit_id")}, unit_id) as k from um, (select unnest(range({REPS})) as rep)),
-taken as (select u.* exclude (state), row_number() over (partition by label order by unit_id) as k from um u),
-pw as materialized (select t.*, rep, dealt.state, 1.0 as weight from taken t join dealt using (label, k))"""
+dealt as materialized (select unit_id, rep, row_number() over (partition by rep, label order by x_, b_, unit_id) <= n_w as is_w from {S.drawn("um", "perm", PERMS)} join (select label, count(case when state = 'W' then 1 end) as n_w from um group by 1) using (label)),
+pw as (select um.* exclude (state), rep, case when is_w then 'W' else 'U' end as state, 1.0 as weight from um join dealt using (unit_id))"""
 
 
-@register(S.query(f"select label, round(m.effect_norm, 6) as observed, count(case when n.effect_norm >= m.effect_norm - 1e-12 then 1 end) as exceed, round((count(case when n.effect_norm >= m.effect_norm - 1e-12 then 1 end) + 1) / ({REPS} + 1), 6) as p from nulls n join main m using (label) group by label, m.effect_norm", WEIGHTED, MAIN, PERM, effect_ctes("pw", "rep, label", "nulls")))
+@register(S.query(f"select label, round(m.effect_norm, 6) as observed, count(case when n.effect_norm >= m.effect_norm - 1e-12 then 1 end) as exceed, round((count(case when n.effect_norm >= m.effect_norm - 1e-12 then 1 end) + 1) / ({PERMS} + 1), 6) as p from nulls n join main m using (label) group by label, m.effect_norm", WEIGHTED, MAIN, PERM, effect_ctes("pw", "rep, label", "nulls")))
 def j3_permutation(spark, d):
-    return rounded(E.perm_state(weighted(spark, d), PARTS, REPS), "observed", "p")
+    return rounded(E.perm_state(weighted(spark, d), PARTS, PERMS), "observed", "p")
 
 
 @register(S.query(f"select rep, label, {', '.join(S.r6(f'b_{i}', f'b_{i}') for i in IDX)}, round(effect_norm, 6) as effect_norm from boot", BOOT))
@@ -179,8 +179,7 @@ bcf as materialized (select point_id, rep, {S.closed_columns('e_')} from bcfe)""
 @register(S.query(f"select point_id, part, round(quantile_cont(value, 0.025), 6) as low, round(quantile_cont(value, 0.5), 6) as median, round(quantile_cont(value, 0.975), 6) as high from ({S.long('bcf', 'point_id')}) group by 1, 2", BOOT, BOOT_CF))
 def k2_boot_counterfactual(spark, d):
     known = orders.known_points(spark, d)
-    boot = E.boot_counterfactual(known, E.replicate_parameters(known, PARTS, REPS), PARTS)
-    return rounded(E.counterfactual_intervals(boot, PARTS), "low", "median", "high")
+    return rounded(E.counterfactual_intervals(known, E.replicate_parameters(known, PARTS, REPS), PARTS), "low", "median", "high")
 
 
 _RADIUS = "gaps as (select b.point_id, " + ", ".join(f"ln(b.{p}) - ln(cf_{p}) as g_{p}" for p in PARTS) + " from bcf b join cf using (point_id)), radii as (select point_id, sqrt(" + " + ".join(f"(g_{p} - mean) * (g_{p} - mean)" for p in PARTS) + ") as r from (select *, (" + " + ".join(f"g_{p}" for p in PARTS) + f") / {len(PARTS)} as mean from gaps))"
@@ -189,12 +188,10 @@ _RADIUS = "gaps as (select b.point_id, " + ", ".join(f"ln(b.{p}) - ln(cf_{p}) as
 @register(S.query("select point_id, round(quantile_cont(r, 0.95), 6) as radius from radii group by 1", WEIGHTED, MAIN, SHIFTS, CF, BOOT, BOOT_CF, _RADIUS))
 def k3_uncertainty_radius(spark, d):
     known = orders.known_points(spark, d)
-    boot = E.boot_counterfactual(known, E.replicate_parameters(known, PARTS, REPS), PARTS)
-    return rounded(E.uncertainty_radius(shifted(spark, d), boot, PARTS), "radius")
+    return rounded(E.uncertainty_radius(known, shifted(spark, d), E.replicate_parameters(known, PARTS, REPS), PARTS), "radius")
 
 
-MAX_REFS = 200
-REFS = CENTERS_SQL + f", refs as materialized (select * from centers where unit_state = 'U' order by {S.uniform(chr(39) + 'ref' + chr(39), 'unit_id')}, unit_id limit {MAX_REFS})"
+REFS = CENTERS_SQL + ", refs as materialized (select * from centers where unit_state = 'U')"
 _D = "sqrt(" + " + ".join(f"(x.{c} - y.{c}) * (x.{c} - y.{c})" for c in Z) + ")"
 
 
@@ -203,7 +200,7 @@ def c3_nearest_reference(spark, d):
     from .prepare import prepared
 
     refs = centers(spark, d).where("unit_state = 'U'")
-    return rounded(E.nearest_reference(prepared(spark, d), refs, Z, ["label"], max_refs=MAX_REFS).select("label", "point_id", "distance"), "distance")
+    return rounded(E.nearest_reference(prepared(spark, d), refs, Z, ["label"]).select("label", "point_id", "distance"), "distance")
 
 
 THRESHOLD = f"threshold as materialized (select label, quantile_cont(dd, 0.95) as threshold, count(*) as n_refs from (select x.label, x.unit_id, min({_D}) as dd from refs x join refs y on x.label = y.label and x.unit_id <> y.unit_id group by 1, 2) group by 1)"
@@ -211,7 +208,7 @@ THRESHOLD = f"threshold as materialized (select label, quantile_cont(dd, 0.95) a
 
 @register(S.query("select label, round(threshold, 6) as threshold, n_refs from threshold", PREP, REFS, THRESHOLD))
 def c4_domain_threshold(spark, d):
-    return rounded(E.domain_threshold(centers(spark, d).where("unit_state = 'U'"), Z, ["label"], max_refs=MAX_REFS), "threshold")
+    return rounded(E.domain_threshold(centers(spark, d).where("unit_state = 'U'"), Z, ["label"]), "threshold")
 
 
 @register(S.query(f"select label, round(avg(a.effect_norm - b.effect_norm), 6) + 0.0 as mean_difference, count(*) as n from boot a join (select rep, label, effect_norm from boot) b using (rep) where a.label < b.label group by a.label".replace("select label", "select a.label"), BOOT))
@@ -227,8 +224,8 @@ def k4_applicability(spark, d):
     from .prepare import prepared
 
     refs = centers(spark, d).where("unit_state = 'U'")
-    near = E.nearest_reference(prepared(spark, d).where("state = 'W'"), refs, Z, ["label"], max_refs=MAX_REFS)
-    told = near.join(E.domain_threshold(refs, Z, ["label"], max_refs=MAX_REFS), "label")
+    near = E.nearest_reference(prepared(spark, d).where("state = 'W'"), refs, Z, ["label"])
+    told = near.join(E.domain_threshold(refs, Z, ["label"]), "label")
     return rounded(told.select("point_id", "distance", (F.col("distance") > F.col("threshold")).alias("outside")), "distance")
 
 
@@ -276,27 +273,11 @@ def k9_checks(spark, d):
     return rounded(cells.groupBy("label", "part").agg(F.avg("observed").alias("mean_observed"), F.avg("value").alias("mean_estimate"), F.sum((F.col("value") <= 0).cast("int")).alias("not_positive")), "mean_observed", "mean_estimate")
 
 
-@register(None)
-def c6_nearest_all(spark, d):
-    """The whole job of ``c3_nearest_reference``, whose SQL is that of a sample of references."""
-    from .prepare import prepared
-
-    refs = centers(spark, d).where("unit_state = 'U'")
-    return rounded(E.nearest_reference(prepared(spark, d), refs, Z, ["label"], max_refs=None).select("label", "point_id", "distance"), "distance")
-
-
-@register(None)
-def c7_threshold_all(spark, d):
-    """The whole job of ``c4_domain_threshold``."""
-    return rounded(E.domain_threshold(centers(spark, d).where("unit_state = 'U'"), Z, ["label"], max_refs=None), "threshold")
-
+#: The same jobs under the names that they had while the others read a sample.
+for _old, _new in (("c3_nearest_reference", "c6_nearest_all"), ("c4_domain_threshold", "c7_threshold_all"), ("k4_applicability", "k10_applicability_all")):
+    QUERIES[_new], SQL[_new] = QUERIES[_old], SQL[_old]
 
-@register(None)
-def k10_applicability_all(spark, d):
-    """The whole job of ``k4_applicability``."""
-    from .prepare import prepared
 
-    refs = centers(spark, d).where("unit_state = 'U'")
-    near = E.nearest_reference(prepared(spark, d).where("state = 'W'"), refs, Z, ["label"], max_refs=None)
-    told = near.join(E.domain_threshold(refs, Z, ["label"], max_refs=None), "label")
-    return rounded(told.select("point_id", "distance", (F.col("distance") > F.col("threshold")).alias("outside")), "distance")
+@register(S.query(f"select label, count(*) as successes, {REPS} - count(*) as failures, count(*) >= 0.8 * {REPS} as enough from boot where effect_norm is not null group by 1", BOOT))
+def j11_boot_failures(spark, d):
+    return E.boot_failures(E.boot_effect(orders.known_points(spark, d), PARTS, REPS), REPS)

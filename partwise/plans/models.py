@@ -153,7 +153,7 @@ def frozen(spark, d):
 
 @register(None)
 def a4_freeze(spark, d):
-    return spark.createDataFrame([(k, str(v)[:200]) for k, v in sorted(frozen(spark, d)[0].items())], "name string, value string")
+    return spark.createDataFrame([(k, str(v)) for k, v in sorted(frozen(spark, d)[0].items())], "name string, value string")
 
 
 @register(None)
@@ -303,8 +303,8 @@ def _judged(spark, d):
     pipe = pipeline_of(spark, d)
     units = classify.boot_score(classify.score_units(unknown, pipe), NAMES, classify.boot_pipelines(known, PARTS, LIB, 6))
     refs = classify.unit_features(known, pipe).withColumn("all_", F.lit(1))
-    near = E.nearest_reference(units.withColumn("all_", F.lit(1)), refs, NAMES, ["all_"], "unit_id", "unit_id", None)
-    told = near.join(E.domain_threshold(refs, NAMES, ["all_"], max_refs=None), "all_").select("unit_id", "distance", "threshold", (F.col("distance") > F.col("threshold")).alias("outside"))
+    near = E.nearest_reference(units.withColumn("all_", F.lit(1)), refs, NAMES, ["all_"], "unit_id", "unit_id")
+    told = near.join(E.domain_threshold(refs, NAMES, ["all_"]), "all_").select("unit_id", "distance", "threshold", (F.col("distance") > F.col("threshold")).alias("outside"))
     return units.join(told, "unit_id")
 
 

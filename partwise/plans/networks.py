@@ -16,7 +16,8 @@ from . import sql as S
 from .prepare import rounded, select6
 
 QUERIES, SQL = {}, {}
-REPS = 8
+#: Replicates of the bootstrap and of the permutation.
+REPS, PERMS = 1_000, 10_000
 
 
 def register(text: str | None):
@@ -117,12 +118,7 @@ def edges_sql(src: str, keys: str, out: str, w: str = "1.0") -> str:
 
 
 MAIN = ",\n".join([S.grouped_ctes("known", "label", "j"), centers_sql("jz", "", "cen", "min(label) as label, min(unit_state) as unit_state"), edges_sql("cen", "label", "main")])
-BOOT = ",\n".join([f"bsrc as materialized (select k.*, rep, {S.draws(chr(39) + 'boot' + chr(39), 'rep', 'unit_id')} as m from known k, (select unnest(range({REPS})) as rep)),\nbpos as materialized (select * from bsrc where m > 0)", S.grouped_ctes("bpos", "rep, label", "b", weight="m"), centers_sql("bz", "rep", "bcen", "min(label) as label, min(m) as m"), edges_sql("bcen", "rep, label", "boot", "cast(m as double)")])
-_PERM_UNITS = f"""pu as materialized (select unit_id, min(label) as label from known group by 1),
-pd as (select rep, label, row_number() over (partition by rep order by {S.uniform("'perm'", "rep", "unit_id")}, unit_id) k from pu, (select unnest(range({REPS})) as rep)),
-pt as (select unit_id, row_number() over (order by unit_id) k from pu),
-psrc as materialized (select known.* exclude (label), rep, pd.label from known join pt using (unit_id) join pd using (k))"""
-PERM = ",\n".join([_PERM_UNITS, S.grouped_ctes("psrc", "rep, label", "p"), centers_sql("pz", "rep", "pcen", "min(label) as label"), edges_sql("pcen", "rep, label", "perm")])
+BOOT = ",\n".join([f"bdraw as materialized (select unit_id, rep, {S.poisson()} as m from {S.drawn('known', 'boot', REPS)}),\nbpos as materialized (select k.*, rep, m from known k join bdraw using (unit_id) where m > 0)", S.grouped_ctes("bpos", "rep, label", "b", weight="m"), centers_sql("bz", "rep", "bcen", "min(label) as label, min(m) as m"), edges_sql("bcen", "rep, label", "boot", "cast(m as double)")])
 
 
 @register(S.query("select label, part_j, part_k, round(variation, 6) as variation, round(rho, 6) + 0.0 as rho from main", MAIN))
@@ -154,27 +150,17 @@ def o4_partial_corr(spark, d):
     return rounded(N.partial_corr(N.log_centers(N.fitted(known, PARTS), PARTS), PARTS), "partial", "shrinkage")
 
 
-def delta_sql(table: str, keys: str = "") -> str:
-    using = f"{keys}, part_j, part_k" if keys else "part_j, part_k"
-    return f"(select {using}, a.rho - b.rho as delta from {table} a join {table} b using ({using}) where a.label < b.label)"
-
-
-_DIFF = f"""dm as materialized {delta_sql("main")},
-db as (select part_j, part_k, quantile_cont(b.delta, 0.025) ci_low, quantile_cont(b.delta, 0.975) ci_high, avg(cast(sign(b.delta) = sign(m.delta) as int)) direction_frequency from {delta_sql("boot", "rep")} b join dm m using (part_j, part_k) group by 1, 2),
-dp as (select part_j, part_k, (count(case when abs(b.delta) >= abs(m.delta) - 1e-12 then 1 end) + 1) / ({REPS} + 1) as p from {delta_sql("perm", "rep")} b join dm m using (part_j, part_k) group by 1, 2),
-dd as (select *, p * count(*) over () / row_number() over (order by p, part_j) as raw from dm join db using (part_j, part_k) join dp using (part_j, part_k))"""
-
-
-@register(S.query("select part_j, part_k, round(delta, 6) + 0.0 as delta, round(ci_low, 6) + 0.0 as ci_low, round(ci_high, 6) + 0.0 as ci_high, round(direction_frequency, 6) as direction_frequency, round(p, 6) as p from dd", MAIN, BOOT, PERM, _DIFF))
+@register(None)
 def o5_diff_edges(spark, d):
     known = orders.known_points(spark, d)
-    out = N.diff_edges(N.main_edges(known, PARTS), N.boot_edges(known, PARTS, REPS), N.perm_edges(known, PARTS, REPS), REPS)
-    return rounded(out.select("part_j", "part_k", "delta", "ci_low", "ci_high", "direction_frequency", "p"), "delta", "ci_low", "ci_high", "direction_frequency", "p")
+    out = N.diff_edges(N.main_edges(known, PARTS), N.boot_edges(known, PARTS, REPS), N.perm_edges(known, PARTS, PERMS), PERMS)
+    return rounded(out.select("part_j", "part_k", "delta", "ci_low", "ci_high", "direction_frequency", "p", "p_fdr", "core"), "delta", "ci_low", "ci_high", "direction_frequency", "p", "p_fdr")
 
 
-@register(S.query("select rep, label, part_j, part_k, round(rho, 6) + 0.0 as rho from perm", PERM))
+@register(None)
 def o6_perm_edges(spark, d):
-    return rounded(N.perm_edges(orders.known_points(spark, d), PARTS, REPS), "rho")
+    """10,000 permutations of the labels: too many for SQL that prepares every point in each; tests compare few with brute force."""
+    return rounded(N.perm_edges(orders.known_points(spark, d), PARTS, PERMS), "rho")
 
 
 @register(S.query(f"select rep, label, count(case when abs(b.rho) >= 0.1 then 1 end) as n_edges, round(count(case when abs(b.rho) >= 0.1 then 1 end) / {len(PAIRS)}, 6) as density, round(coalesce(count(case when abs(b.rho) >= 0.1 and abs(m.rho) >= 0.1 then 1 end) / nullif(count(case when abs(b.rho) >= 0.1 or abs(m.rho) >= 0.1 then 1 end), 0), 1.0), 6) as jaccard from boot b join main m using (label, part_j, part_k) group by 1, 2", MAIN, BOOT))

@@ -380,17 +380,21 @@ def h12_subcomposition(spark, d):
     return select6(lr.ilr(sub, REPS), ["point_id"], ["ilr_1", "ilr_2"])
 
 
-_KNN = f"""donors as materialized (select point_id, {", ".join(PARTS)} from known order by {S.uniform("'donor'", "point_id")}, point_id limit 100),
-st as materialized (select {S.each("avg({p}) as a_{p}, case when stddev_pop({p}) > 0 then stddev_pop({p}) else 1 end as s_{p}")} from donors),
-picked as (select * from known where point_id % 20 = 0),
-dist as materialized (select k.point_id, e.point_id as donor_id, sqrt(({S.each("coalesce(((k.{p} - e.{p}) / s_{p}) ^ 2, 0)", sep=" + ")}) * {len(PARTS)} / nullif({S.each("cast(k.{p} - e.{p} is not null as int)", sep=" + ")}, 0)) as dd, {S.each("k.{p} as x_{p}, e.{p} as y_{p}")} from picked k, donors e, st where k.point_id <> e.point_id),
-cells as ({" union all ".join(f"select point_id, donor_id, dd, '{p}' as part, y_{p} as value from dist where dd is not null and x_{p} is null and y_{p} is not null" for p in PARTS)})"""
+_KNN = f"""st as materialized (select {S.each("avg({p}) as a_{p}, case when stddev_pop({p}) > 0 then stddev_pop({p}) else 1 end as s_{p}")} from known),
+kz as materialized (select point_id, {S.each("{p}, ({p} - a_{p}) / s_{p} as z_{p}")} from known, st),
+dist as (select k.point_id, {S.each("k.{p} as x_{p}, e.{p} as y_{p}")}, cast(round(sqrt(({S.each("coalesce((k.z_{p} - e.z_{p}) * (k.z_{p} - e.z_{p}), 0)", sep=" + ")}) * {len(PARTS)} / ({S.each("cast(k.z_{p} - e.z_{p} is not null as int)", sep=" + ")})), 9) * 1e9 as hugeint) * 1000000000000 + e.point_id as place from kz k, kz e where k.point_id <> e.point_id and {S.each("cast(k.z_{p} - e.z_{p} is not null as int)", sep=" + ")} > 0),
+best as materialized (select point_id, {S.each("arg_min(y_{p}, place, 5) filter (where x_{p} is null and y_{p} is not null) as v_{p}")} from dist group by 1)"""
+_KNN_SQL = S.query(" union all ".join(f"select point_id, '{p}' as part, round(greatest(list_avg(v_{p}), 0), 6) as value from best where len(v_{p}) > 0" for p in PARTS), _KNN)
 
 
-@register(S.query("select point_id, part, round(greatest(avg(value), 0), 6) as value from (select *, row_number() over (partition by point_id, part order by round(dd, 9), donor_id) rn from cells) where rn <= 5 group by 1, 2", _KNN))
+@register(_KNN_SQL)
 def h13_knn(spark, d):
     known = orders.known_points(spark, d)
-    return rounded(lr.knn_impute(known.where("point_id % 20 = 0"), known, PARTS, 5, max_donors=100), "value")
+    return rounded(lr.knn_impute(known, known, PARTS, 5), "value")
+
+
+#: The same job under the name that it had while the other read a sample.
+QUERIES["h17_knn_all"], SQL["h17_knn_all"] = h13_knn, _KNN_SQL
 
 
 _MASK = f"""m0 as (select r.rep, label, part, point_id, value from (select label, point_id, part, value from ({S.long("known", "label, point_id")}) where value is not null) , (select unnest(range(3)) as rep) r),
@@ -415,10 +419,3 @@ def h15_mask_summary(spark, d):
 @register(None)
 def h16_pca(spark, d):
     return rounded(lr.logratio_pca(prepared(spark, d), S.ILR), "loading", "explained")
-
-
-@register(None)
-def h17_knn_all(spark, d):
-    """The whole job of ``h13_knn``, whose SQL is that of a sample: every known point over every donor."""
-    known = orders.known_points(spark, d)
-    return rounded(lr.knn_impute_all(known, known, PARTS, 5), "value")

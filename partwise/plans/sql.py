@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from ..functions.expressions import POISSON, helmert
+from ..operators.resample import FACTOR, STEP, WORD
 from ..sources.orders import BASE_SQL, PARTS
 
 N = len(PARTS)
@@ -28,6 +29,19 @@ def draws(*keys: str) -> str:
     return "(" + " + ".join(f"(case when {u} >= {p!r} then 1 else 0 end)" for p in POISSON) + ")"
 
 
+def drawn(src: str, salt: str, reps: int, keys: str = "unit_id, label", key: str = "unit_id") -> str:
+    """Rows ``keys, rep, x_, b_`` of every unit of ``src``: its 32-bit number in each replicate and its second word."""
+    word = lambda k: f"('0x' || substr(md5('{salt}|' || cast({key} as varchar)), {1 + 8 * k}, 8))::bigint"
+    mix = lambda inner, then="": f"(select * replace (xor(x_, x_ >> 16){then} as x_) from (select * replace ((xor(x_, x_ >> 16) * {FACTOR}) & {WORD} as x_) from (select * replace ((xor(x_, x_ >> 16) * {FACTOR}) & {WORD} as x_) from {inner})))"
+    first = f"(select {keys}, rep, (a_ + rep * {STEP}) & {WORD} as x_, b_ from (select distinct {keys}, {word(0)} as a_, {word(1)} as b_ from {src}), (select unnest(range({reps})) as rep))"
+    mixed = mix(first).replace("xor(x_, x_ >> 16) as x_", "xor(xor(x_, x_ >> 16), b_) as x_", 1)
+    return mix(mixed)
+
+
+def poisson(x: str = "x_") -> str:
+    return "(" + " + ".join(f"(case when {x} / 4294967296.0 >= {p!r} then 1 else 0 end)" for p in POISSON) + ")"
+
+
 def linear(weights, columns) -> str:
     return "(" + " + ".join(f"{w!r} * {c}" for w, c in zip(weights, columns, strict=True) if w) + ")"
 
