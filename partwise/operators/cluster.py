@@ -10,9 +10,10 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.expressions import total, uniform
+from ..functions.expressions import total
+from . import kmeans
 from .audit import avg_rank, unpivot
-from .effect import replicates
+from .resample import Poisson, word
 
 
 def clr_spearman(centers: DataFrame, parts, by: str = "label") -> DataFrame:
@@ -91,32 +92,74 @@ def align_labels(cells: dict[tuple[int, int], int], k: int) -> dict[int, int]:
     return dict(enumerate(best))
 
 
-def prediction_strength(df: DataFrame, columns, k: int, splits: int = 3) -> DataFrame:
-    """Per split: the weakest test cluster's share of pairs that a clustering of the other half keeps together."""
-    out = None
-    for s in range(splits):
-        half = uniform(F.lit("half"), F.lit(s), "unit_id") < 0.5
-        rows = VectorAssembler(inputCols=list(columns), outputCol="x_").transform(df)
-        fit = lambda r, c: KMeans(k=k, seed=7, featuresCol="x_", predictionCol=c).fit(r)
-        test = fit(rows.where(half), "far").transform(fit(rows.where(~half), "own").transform(rows.where(~half)))
-        cells = test.groupBy("own", "far").agg(F.count("*").alias("n"))
-        pairs = F.sum(F.col("n") * (F.col("n") - 1)) / (F.sum("n") * (F.sum("n") - 1))
-        one = cells.groupBy("own").agg(pairs.alias("kept"), F.sum("n").alias("size")).where("size > 1").agg(F.min("kept").alias("strength")).withColumn("split", F.lit(s))
-        out = one if out is None else out.unionByName(one)
-    return out.select("split", "strength")
-
-
-def cluster_stability(df: DataFrame, columns, k: int, reps: int, method: str = "kmeans") -> DataFrame:
-    """``rep, unit_id, main, cluster`` of clusterings fitted on replicates with multiplicities as weights."""
-    main = cluster_units(df, columns, k, method).withColumnRenamed("cluster", "main").select("unit_id", "main", *columns).cache()
+def cluster_grid(df: DataFrame, columns, ks, method: str, by: str = "label", seed: int = 7) -> DataFrame:
+    """``by, k, unit_id, cluster`` of every group and number of clusters."""
+    kind = {"bisecting": BisectingKMeans, "kmeans": KMeans, "gmm": GaussianMixture}[method]
+    rows = VectorAssembler(inputCols=list(columns), outputCol="x_").transform(df.select(by, "unit_id", *columns))
+    kept = rows.persist()
     out = None
-    for rep in range(reps):
-        drawn = replicates(main, reps).where(F.col("rep") == rep)
-        one = cluster_units(drawn, columns, k, method, "m").select("rep", "unit_id", "main", "cluster")
-        out = one if out is None else out.unionByName(one)
+    try:
+        for group in sorted(r[0] for r in kept.select(by).distinct().collect()):
+            own, told = kept.where(F.col(by) == group), rows.where(F.col(by) == group)
+            for k in ks:
+                names = {"predictionCol": f"c_{k}"} | ({"probabilityCol": f"p_{k}"} if method == "gmm" else {})
+                told = kind(k=k, seed=seed, featuresCol="x_", **names).fit(own).transform(told)
+            each = F.explode(F.array(*[F.struct(F.lit(k).alias("k"), F.col(f"c_{k}").alias("cluster")) for k in ks]))
+            one = told.select(by, "unit_id", each.alias("e")).select(by, "e.k", "unit_id", "e.cluster")
+            out = one if out is None else out.unionByName(one)
+    finally:
+        kept.unpersist()
     return out
 
 
+def _units(df: DataFrame, columns, salt: str, by: str = "label") -> tuple[list[str], DataFrame]:
+    groups = sorted(r[0] for r in df.select(by).distinct().collect())
+    code = F.array_position(F.array(*map(F.lit, groups)), F.col(by)).cast("int") - 1
+    return groups, df.select(code.alias("g_"), word(salt, "unit_id", 0).alias("a_"), word(salt, "unit_id", 1).alias("b_"), F.array(*columns).alias("x"))
+
+
+def _long(spark, groups, found: dict, name: str, rep: str) -> DataFrame:
+    rows = [(groups[c], k, r, float(v)) for (c, k), values in sorted(found.items()) for r, v in enumerate(values)]
+    return spark.createDataFrame(rows, f"label string, k int, {rep} int, {name} double")
+
+
+def prediction_strength(df: DataFrame, columns, ks, splits: int = 20) -> DataFrame:
+    """``label, k, split, strength``: the weakest test cluster's share of pairs that a clustering of the other half keeps."""
+    groups, units = _units(df, columns, "half")
+    units = units.persist()
+    try:
+        near, far = (kmeans.fit(units, kmeans.Half(len(groups), other), splits, ks) for other in (False, True))
+        told = kmeans.tables(units, kmeans.Half(len(groups), False), splits, ks, near, far)
+    finally:
+        units.unpersist()
+    return _long(df.sparkSession, groups, {key: kmeans.strength(t) for key, t in told.items()}, "strength", "split")
+
+
+def cluster_stability(df: DataFrame, columns, ks, reps: int) -> DataFrame:
+    """``label, k, rep, ari``: each bootstrap replicate's clustering against the main one, over the units it draws."""
+    groups, units = _units(df, columns, "boot")
+    units = units.persist()
+    try:
+        main = kmeans.fit(units, kmeans.Whole(len(groups)), 1, ks, passes=30)
+        boot = kmeans.fit(units, Poisson(len(groups)), reps, ks)
+        told = kmeans.tables(units, Poisson(len(groups)), reps, ks, main, boot)
+    finally:
+        units.unpersist()
+    return _long(df.sparkSession, groups, {key: kmeans.rand_index(t) for key, t in told.items()}, "ari", "rep")
+
+
+def main_sizes(df: DataFrame, columns, ks) -> DataFrame:
+    """``label, k, smallest``: the smallest cluster of each main clustering."""
+    groups, units = _units(df, columns, "boot")
+    units = units.persist()
+    try:
+        main = kmeans.fit(units, kmeans.Whole(len(groups)), 1, ks, passes=30)
+        told = kmeans.tables(units, kmeans.Whole(len(groups)), 1, ks, main, main)
+    finally:
+        units.unpersist()
+    return _long(df.sparkSession, groups, {key: t.sum(axis=2).min(axis=1) for key, t in told.items()}, "smallest", "one_").drop("one_")
+
+
 def consensus(assign: DataFrame, label: str = "main") -> DataFrame:
     """Mean share of replicates in which two units of a cluster (within) or of two (between) fall together.
 

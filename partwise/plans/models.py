@@ -139,15 +139,18 @@ def pipeline_of(spark, d, zero_c: float = 0.5):
     return classify.train_final(orders.known_points(spark, d), PARTS, LIB, zero_c)
 
 
-def frozen(spark, d):
-    """A pipeline that went through files, as scoring must take it."""
+def frozen(spark, d, zero_c: float = 0.5):
+    """A pipeline that went through files in the shared folder, as scoring must take it."""
     import tempfile
-
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or f"file://{tempfile.mkdtemp(prefix='spark-')}"
     import uuid
 
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir names no shared folder")
+        root = f"file://{tempfile.mkdtemp(prefix='spark-')}"
     path = f"{root.rstrip('/')}/partwise/frozen-{uuid.uuid4().hex}"
-    mark = classify.freeze(spark, pipeline_of(spark, d), path)
+    mark = classify.freeze(spark, pipeline_of(spark, d, zero_c), path)
     return classify.load_frozen(spark, path), mark
 
 
@@ -201,9 +204,12 @@ def m2_representatives(spark, d):
     return spark.createDataFrame(picked, "label string, part string")
 
 
+#: Numbers of clusters that are tried, bootstrap replicates, and splits of the prediction strength.
+KS, REPS, SPLITS = (2, 3, 4, 5, 6), 1_000, 20
+
+
 def _cluster(method: str, spark, d):
-    units = centers_of(spark, d).where("label = 'K'")
-    return cluster.cluster_units(units, S.ILR, 3, method).select("unit_id", "cluster")
+    return cluster.cluster_grid(centers_of(spark, d), S.ILR, KS, method)
 
 
 m3_bisecting, m3_kmeans, m3_gmm = (partial(_cluster, m) for m in ("bisecting", "kmeans", "gmm"))
@@ -227,22 +233,31 @@ def m5_ari(spark, d):
 
 @register(None)
 def m6_align(spark, d):
-    units = centers_of(spark, d).where("label = 'K'")
-    a = cluster.cluster_units(units, S.ILR, 3, "kmeans").select("unit_id", F.col("cluster").alias("a"))
-    b = cluster.cluster_units(units, S.ILR, 3, "bisecting").select("unit_id", F.col("cluster").alias("b"))
-    cells = {(r["b"], r["a"]): r["n"] for r in a.join(b, "unit_id").groupBy("a", "b").agg(F.count("*").alias("n")).collect()}
-    return spark.createDataFrame(sorted(cluster.align_labels(cells, 3).items()), "label_b int, label_a int")
+    units = centers_of(spark, d)
+    a, b = (cluster.cluster_grid(units, S.ILR, KS, m).withColumnRenamed("cluster", n) for m, n in (("kmeans", "a"), ("bisecting", "b")))
+    cells: dict = {}
+    for r in a.join(b, ["label", "k", "unit_id"]).groupBy("label", "k", "a", "b").agg(F.count("*").alias("n")).collect():
+        cells.setdefault((r["label"], r["k"]), {})[r["b"], r["a"]] = r["n"]
+    rows = [(label, k, *pair) for (label, k), own in sorted(cells.items()) for pair in sorted(cluster.align_labels(own, k).items())]
+    return spark.createDataFrame(rows, "label string, k int, label_b int, label_a int")
 
 
 @register(None)
 def m7_prediction_strength(spark, d):
-    return cluster.prediction_strength(centers_of(spark, d).where("label = 'K'"), S.ILR, 2, 2)
+    return rounded(cluster.prediction_strength(centers_of(spark, d), S.ILR, KS, SPLITS), "strength")
 
 
 @register(None)
 def m8_stability(spark, d):
-    runs = cluster.cluster_stability(centers_of(spark, d).where("label = 'K'"), S.ILR, 2, 2)
-    return rounded(cluster.ari(runs, "main", "cluster", ["rep"]), "ari")
+    return rounded(cluster.cluster_stability(centers_of(spark, d), S.ILR, KS, REPS), "ari")
+
+
+@register(None)
+def m13_chosen_k(spark, d):
+    """The stability gate on the real clusterings: median and tenth percentile over replicates, smallest cluster."""
+    units = centers_of(spark, d)
+    runs = cluster.cluster_stability(units, S.ILR, KS, REPS).groupBy("label", "k").agg(F.percentile("ari", 0.5).alias("ari_median"), F.percentile("ari", 0.1).alias("ari_p10"))
+    return cluster.stability_gate(runs.join(cluster.main_sizes(units, S.ILR, KS), ["label", "k"]))
 
 
 def assigned(spark, d):
@@ -295,12 +310,12 @@ def n1_frozen_check(spark, d):
 
 @register(None)
 def n2_score(spark, d):
-    return rounded(classify.score_units(orders.unknown_points(spark, d), pipeline_of(spark, d)).select("unit_id", "p_logistic", "p_lda"), "p_logistic", "p_lda")
+    return rounded(classify.score_units(orders.unknown_points(spark, d), frozen(spark, d)[0]).select("unit_id", "p_logistic", "p_lda"), "p_logistic", "p_lda")
 
 
 def _judged(spark, d):
     known, unknown = orders.known_points(spark, d), orders.unknown_points(spark, d)
-    pipe = pipeline_of(spark, d)
+    pipe = frozen(spark, d)[0]
     units = classify.boot_score(classify.score_units(unknown, pipe), NAMES, classify.boot_pipelines(known, PARTS, LIB, 6))
     refs = classify.unit_features(known, pipe).withColumn("all_", F.lit(1))
     near = E.nearest_reference(units.withColumn("all_", F.lit(1)), refs, NAMES, ["all_"], "unit_id", "unit_id")
@@ -311,7 +326,7 @@ def _judged(spark, d):
 @register(None)
 def n3_boot_score(spark, d):
     known = orders.known_points(spark, d)
-    units = classify.boot_score(classify.score_units(orders.unknown_points(spark, d), pipeline_of(spark, d)), NAMES, classify.boot_pipelines(known, PARTS, LIB, 6))
+    units = classify.boot_score(classify.score_units(orders.unknown_points(spark, d), frozen(spark, d)[0]), NAMES, classify.boot_pipelines(known, PARTS, LIB, 6))
     return rounded(units.select("unit_id", "p_low", "p_high", "majority"), "p_low", "p_high", "majority")
 
 
@@ -327,7 +342,7 @@ def n5_reject(spark, d):
 
 @register(None)
 def n6_sensitivity(spark, d):
-    unknown, pipe, low = orders.unknown_points(spark, d), pipeline_of(spark, d), pipeline_of(spark, d, 0.25)
+    unknown, pipe, low = orders.unknown_points(spark, d), frozen(spark, d)[0], frozen(spark, d, 0.25)[0]
     main = classify.score_units(unknown, pipe).select("unit_id", F.col("p_logistic").alias("main"))
     out = None
     for name, df, p in (("zero_c_0.25", unknown, low), ("perturbed_5", perturb(unknown, PARTS, 0.05, 0, "point_id"), pipe)):
