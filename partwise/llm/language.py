@@ -169,8 +169,8 @@ def train(docs: DataFrame, most_a_language: int = 800, most: int = 8_000) -> Lan
     if not sizes:
         return None
     each = max(1, min(most_a_language, most // len(sizes)))
-    draw = F.pmod(F.xxhash64(F.lit("language sample"), "doc_id"), F.lit(1_000_000))
-    share = F.create_map(*[x for k, n in sorted(sizes.items()) for x in (F.lit(k), F.lit(min(1_000_000, -(-each * 1_000_000 // n))))])
+    draw = F.xxhash64(F.lit("language sample"), "doc_id").bitwiseAND(2**63 - 1).cast("double") / 2.0**63
+    share = F.create_map(*[x for k, n in sorted(sizes.items()) for x in (F.lit(k), F.lit(each / n))])
     sample = usable.where(F.col("lang").isin(*sizes) & (draw < share[F.col("lang")]) & F.col("text").rlike(r"\p{L}"))
     family = F.create_map(*[F.lit(x) for k in sorted(sizes) for x in (k, FAMILY.get(k, k))])
     rows = materialise(sample.select("lang", family[F.col("lang")].alias("family"), array_to_vector(ngram_shares(F.lower("text")).cast("array<double>")).alias("features")), "languages")

@@ -195,6 +195,8 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, seed: in
     ``width`` form one shingle; a null ``doc_id`` links with nothing, has no component and is kept; rows that repeat
     an id and text get the same answer; an empty table gives an empty result; a text of any length is taken whole.
     """
+    if percent < 80:
+        raise ValueError("bands and the bound on differing bits are made for a similarity of 80 per cent or more")
     docs = docs.select("doc_id", "text")
     signed = materialise(signatures(docs, width, seed), "signed")
     some = signed.where("n_shingles > 0 and doc_id is not null")

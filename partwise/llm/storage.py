@@ -17,9 +17,11 @@ KEY = "spark.checkpoint.dir"
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The cluster's shared folder; a new temporary folder is set only where none is configured (tests, local mode)."""
+    """The cluster's shared folder; a temporary one is set in local mode alone, elsewhere a missing setting is an error."""
     root = spark.conf.get(KEY, None) or spark.sparkContext.getConf().get(KEY)
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError(f"{KEY} names no folder that driver and executors share")
         root = f"file://{tempfile.mkdtemp(prefix='spark-')}"
         spark.conf.set(KEY, root)
     return root.rstrip("/")

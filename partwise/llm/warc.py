@@ -19,6 +19,8 @@ IDENTICAL = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 #: Fixed date of records whose table has no time column.
 DATE = "2000-01-01T00:00:00Z"
 CHUNK = 1 << 20
+#: Bytes after which a task begins a new archive.
+ARCHIVE_BYTES = 256 << 20
 
 
 def base32_sha1(digest: bytes) -> str:
@@ -69,12 +71,13 @@ def record_bytes(page_id: int | None, url: str | None, payload: bytes, refers_to
     yield gz.compress(b"\r\n\r\n") + gz.flush()
 
 
-def write_archives(pages: DataFrame, min_revisit_bytes: int = 0) -> DataFrame:
+def write_archives(pages: DataFrame, min_revisit_bytes: int = 0, archive_bytes: int = ARCHIVE_BYTES) -> DataFrame:
     """Write a record for every row of ``pages(page_id, url, html)``; returns the manifest ``path, records``.
 
     Of records with equal payloads of at least ``min_revisit_bytes`` bytes, that of the largest ``page_id`` is the
     response.  Digests are grouped on narrow rows (with partial maxima, so a payload that a third of the pages share
-    is no hot group); payloads are shuffled once, by page, into the tasks that write the archives.
+    is no hot group); payloads are shuffled once, by page, into the tasks that write the archives.  A task begins a new
+    archive after ``archive_bytes``, so that none grows with the input.
     """
     spark = pages.sparkSession
     folder = shared_path(spark, "warc")
@@ -89,26 +92,32 @@ def write_archives(pages: DataFrame, min_revisit_bytes: int = 0) -> DataFrame:
     def write(batches):
         from pyspark import TaskContext
 
-        path, n = f"{folder}/{TaskContext.get().partitionId():06d}.warc.gz", 0
-        first = next(batches, None)
-        if first is None:
-            return
-
-        def records(out):
-            nonlocal n
-            batch = first
-            while batch is not None:
+        def records():
+            for batch in batches:
                 ids, urls, refers = (batch.column(k).to_pylist() for k in (0, 1, 3))
                 texts = batch.column(2).cast(pa.binary())
                 for i, j in slices(texts):
-                    for k, html in enumerate(texts.slice(i, j - i).to_pylist(), i):
-                        for part in record_bytes(ids[k], urls[k], html, refers[k]):
-                            out.write(part)
-                        n += 1
-                batch = next(batches, None)
-
-        write_atomically(path, records)
-        yield pa.RecordBatch.from_pydict({"path": [path], "records": [n]})
+                    yield from zip(ids[i:j], urls[i:j], texts.slice(i, j - i).to_pylist(), refers[i:j], strict=True)
+
+        source, number = records(), 0
+        waiting = next(source, None)
+        while waiting is not None:
+            n = 0
+
+            def fill(out):
+                nonlocal n, waiting
+                size = 0
+                while waiting is not None and size < archive_bytes:
+                    for part in record_bytes(*waiting):
+                        out.write(part)
+                        size += len(part)
+                    n += 1
+                    waiting = next(source, None)
+
+            path = f"{folder}/{TaskContext.get().partitionId():06d}-{number:05d}.warc.gz"
+            write_atomically(path, fill)
+            yield pa.RecordBatch.from_pydict({"path": [path], "records": [n]})
+            number += 1
 
     told.sortWithinPartitions("page_id").mapInArrow(write, "path string, records long").write.parquet(f"{folder}/manifest")
     return spark.read.parquet(f"{folder}/manifest")
@@ -227,7 +236,7 @@ def read_archives(manifest: DataFrame, with_chunks: bool = True, chunk: int = CH
                     yield _batch(rows)
 
     spread = manifest.select("path")
-    return spread.repartition(max(1, spread.sparkSession.sparkContext.defaultParallelism), "path").mapInArrow(read, CHUNK_TABLE)
+    return spread.repartition(max(1, spread.count())).mapInArrow(read, CHUNK_TABLE)
 
 
 _KINDS = (pa.int64(), pa.string(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.string(), pa.int64(), pa.string(), pa.bool_(), pa.bool_(), pa.string(), pa.int64())

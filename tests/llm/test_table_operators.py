@@ -2,14 +2,19 @@ import base64
 import gzip
 import hashlib
 import os
+import re
+from collections import Counter
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from partwise.llm import queries, cover_tree, sharding, urls, warc
+from tokenizers import Tokenizer
 
+from partwise.llm import cover_tree, quality, queries, sharding, urls, warc
+
+LIBRARY = Tokenizer.from_file(queries.tokenizer_file("word_bpe_49k.json"))
 VECTORS = T.StructType([T.StructField("vec_id", T.LongType()), T.StructField("embedding", T.ArrayType(T.FloatType())), T.StructField("label", T.IntegerType()), T.StructField("links", T.StringType())])
 PAGES = T.StructType([T.StructField("page_id", T.LongType()), T.StructField("url", T.StringType()), T.StructField("html", T.StringType()), T.StructField("path", T.StringType())])
 
@@ -97,6 +102,14 @@ def test_archives_round_trip(spark, tmp_path):
     assert gzip.open(path).read(8) == b"WARC/1.1" and os.path.getsize(path)
 
 
+def test_archives_have_a_target_size(spark):
+    df = spark.createDataFrame([(i, f"http://a/{i}", "x" * i, None) for i in range(50)], PAGES).coalesce(1)
+    manifest = warc.write_archives(df, archive_bytes=2000)
+    assert manifest.count() > 5 and manifest.agg(F.sum("records")).first()[0] == 50
+    got = {r["page_id"]: r["payload_bytes"] for r in warc.whole_records(warc.read_archives(manifest)).collect()}
+    assert got == {i: i for i in range(50)}
+
+
 def test_records_are_put_together_from_their_chunks(spark, monkeypatch):
     df = spark.createDataFrame([(*r, "clash") for r in [*pages(), pages()[5]]], PAGES)
     assert warc.archive_round_trip(df).where("page_id = -6 and payload_bytes = 3").count() == 2
@@ -191,7 +204,9 @@ def test_shards_depend_on_rows_and_seed_alone(spark):
 
 
 def test_pipeline_stages(spark):
+    """Every stage against a plain loop over its own input; columns named like results keep their values."""
     import corpus_pipeline
+    from partwise.llm import language, quality
     from partwise.llm.storage import materialise
 
     sf = "/root/testdata/sf0.001"
@@ -199,11 +214,76 @@ def test_pipeline_stages(spark):
         pytest.skip("test tables are missing")
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     assert [n for n, _ in corpus_pipeline.STAGES] == ["quality rules", "language ID", "MinHash near-dedup", "packing"]
-    at = docs
+    clash = ["rule", "kept", "n_words", "score", "lang_pred", "row_", "counts_", "told_", "component_id"]
+    at = docs.withColumns({c: F.concat(F.lit(c), "doc_id") for c in clash})
+    at = materialise(at.unionByName(at.limit(1).withColumns({"doc_id": F.lit(None).cast("long"), "text": F.lit(None).cast("string")})), "docs")
     for name, stage in corpus_pipeline.STAGES[:-1]:
         new = materialise(stage(spark, at, sf), "stage")
-        assert new.columns == docs.columns and 0 < new.count() <= at.count(), name
+        before, after = at.toPandas(), new.toPandas()
+        assert list(after.columns) == list(before.columns), name
+        assert all((after[c] == [f"{c}{i}" for i in after.doc_id.astype(int)]).all() for c in clash), name
+        if name == "quality rules":
+            rules = quality.learn_rules(quality.labelled_counts(at.select("doc_id", "text"), spark.read.parquet(f"{sf}/labels.parquet"), 20_000))
+            want = plain_quality(rules, before)
+        elif name == "language ID":
+            model = language.train(at)
+            langs, scores = model.predict([(t or "").lower().encode() for t in before.text])
+            want = [i for i, t, x, p in zip(before.doc_id, before.text, langs, scores, strict=True) if t and any(map(str.isalpha, t)) and x != "und" and p >= corpus_pipeline.LEAST_LANGUAGE_SCORE]
+        else:
+            want = plain_dedup(before)
+        assert 0 < len(after) <= len(before) and sorted(after.doc_id) == sorted(want), name
         at = new
     packed = corpus_pipeline.STAGES[-1][1](spark, at, sf)
     assert packed.select("doc_id").distinct().count() == at.count()
     assert packed.groupBy("sequence_id").agg(F.sum("length").alias("n")).where("n > 2048").isEmpty()
+    ids = {r["doc_id"]: len(LIBRARY.encode(r["text"] or "", add_special_tokens=False).ids) + 1 for r in at.collect()}
+    assert {r["doc_id"]: r["n"] for r in packed.groupBy("doc_id").agg(F.sum("length").alias("n")).collect()} == ids
+    for name, stage in corpus_pipeline.STAGES[:3]:
+        assert stage(spark, docs.limit(0), sf).count() == 0, name
+
+
+def plain_quality(rules, docs):
+    """Ids of the documents that pass the base rules and all learned rules, by a loop."""
+    kept, bad = [], rejected(rules, docs.text)
+    for at, (i, text) in enumerate(zip(docs.doc_id, docs.text, strict=True)):
+        words = re.findall(r"[^\x20\x09-\x0D]+", text or "")
+        windows = list(zip(words, words[1:], words[2:], strict=False))
+        many = {w for w, n in Counter(windows).items() if n > 1}
+        repeated = len({j + k for j, w in enumerate(windows) if w in many for k in range(3)})
+        if len(words) >= 50 and 100 * repeated <= 50 * len(words) and at not in bad:
+            kept.append(i)
+    return kept
+
+
+def rejected(rules, texts):
+    """Which texts a learned rule rejects, from counts made by hand."""
+    from pyspark.sql import SparkSession
+
+    rows = [(i, *quality.text_counts((t or "").encode())) for i, t in enumerate(texts)]
+    told = SparkSession.getActiveSession().createDataFrame(rows, ", ".join(["i long", *[f"{c} long" for c in quality.COUNTS]]))
+    return {r["i"] for r in told.where(quality.verdict(rules).isNotNull()).select("i").collect()}
+
+
+def plain_dedup(docs):
+    """The smallest id of each component of documents whose five-word shingle sets are alike, by all pairs."""
+    sets = []
+    for text in docs.text:
+        words = [w.translate(str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")) for w in re.findall(r"[^\x20\x09-\x0D]+", text or "")]
+        sets.append({tuple(words[j : j + 5]) for j in range(len(words) - 4)} or ({tuple(words)} if words else set()))
+    ids = [int(i) for i in docs.doc_id]
+    root = list(range(len(ids)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a in range(len(ids)):
+        for b in range(a):
+            both = len(sets[a] & sets[b])
+            if both and 100 * both >= 80 * (len(sets[a]) + len(sets[b]) - both):
+                root[find(a)] = find(b)
+    best = {}
+    for i in range(len(ids)):
+        best[find(i)] = min(best.get(find(i), ids[i]), ids[i])
+    return sorted(best.values())
