@@ -13,21 +13,27 @@ from partwise.llm.storage import materialise
 LEAST_LANGUAGE_SCORE = 0.3
 
 
+def _apart(docs: DataFrame) -> DataFrame:
+    """Id and text with the whole row beside them, so that no result of an operator meets a column of its name."""
+    return docs.select("doc_id", "text", F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("whole_row"))
+
+
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that pass the base rules and that no learned rule rejects."""
-    return quality.judge(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")).where("kept").select(*docs.columns)
+    """Documents that pass the base rules and that no learned rule rejects; a null or empty text fails the base rules."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    return quality.judge(_apart(docs), labels).where("kept").select("whole_row.*")
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language is identified."""
-    told = language.identify(docs, language.train(docs))
-    return told.where((F.col("lang_pred") != language.UND) & (F.col("score") >= LEAST_LANGUAGE_SCORE)).select(*docs.columns)
+    """Documents whose language is identified; texts without letters go."""
+    told = language.identify(_apart(docs), language.train(docs))
+    return told.where((F.col("lang_pred") != language.UND) & (F.col("score") >= LEAST_LANGUAGE_SCORE)).select("whole_row.*")
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates: that of the smallest id."""
-    dropped = minhash.near_duplicates(docs, width=5, percent=80).where("not kept").select("doc_id").distinct()
-    return docs.join(dropped, "doc_id", "left_anti").select(*docs.columns)
+    """One document of each group of near-duplicates: that of the smallest id.  A null id links with nothing and stays."""
+    dropped = minhash.near_duplicates(docs.select("doc_id", "text"), width=5, percent=80).where("not kept").select("doc_id").distinct()
+    return docs.join(dropped, "doc_id", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -37,7 +43,8 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("quality rules", quality_rules), ("language ID", language_id), ("MinHash near-dedup", near_dedup), ("packing", pack)]
 
-#: Learned rules, a classifier and MinHash have no SQL; tests compare the stages with brute force.
+#: Learned rules, a classifier and MinHash have no SQL; a test compares every stage with a plain loop over its input.
+#: Stages keep all columns of documents, of any name; repeated rows are judged alike; an empty table stays empty.
 ORACLE_SQL = None
 
 
