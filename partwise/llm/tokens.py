@@ -26,7 +26,7 @@ _ANY = regex.compile(PATTERN + r"|\n")
 #: Letters and signs that normalisation may change, and hidden ones, go through the whole tokenizer.
 _OTHER = re.compile("[^\n\x20-\x7e¡-¬®-įı-ɏ]")
 #: Bytes of text that are encoded together; a longer text is read in pieces.
-_RUN = 4 << 20
+_RUN = 1 << 20
 
 
 def _byte_letters() -> dict[int, str]:
@@ -90,7 +90,7 @@ class Store:
 class ChunkIds:
     """Ids of texts as unsigned 32-bit integers, by way of remembered chunks and parts."""
 
-    def __init__(self, path: str, most: int = 400_000):
+    def __init__(self, path: str, most: int = 250_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
