@@ -14,20 +14,26 @@ LEAST_LANGUAGE_SCORE = 0.3
 
 
 def _apart(docs: DataFrame) -> DataFrame:
-    """Id and text with the whole row beside them, so that no result of an operator meets a column of its name."""
-    return docs.select("doc_id", "text", F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("whole_row"))
+    """Id and text, and the other columns in one, so that no result of an operator meets a column of its name."""
+    others = [F.col(f"`{c}`") for c in docs.columns if c not in ("doc_id", "text")]
+    return docs.select("doc_id", "text", *[F.struct(*others).alias("others")] * bool(others))
+
+
+def _whole(told: DataFrame, docs: DataFrame) -> DataFrame:
+    """The columns of ``docs`` again."""
+    return told.select(*[F.col(c if c in ("doc_id", "text") else f"others.`{c}`") for c in docs.columns])
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the base rules and that no learned rule rejects; a null or empty text fails the base rules."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    return quality.judge(_apart(docs), labels).where("kept").select("whole_row.*")
+    return _whole(quality.judge(_apart(docs), labels).where("kept"), docs)
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is identified; texts without letters go."""
     told = language.identify(_apart(docs), language.train(docs))
-    return told.where((F.col("lang_pred") != language.UND) & (F.col("score") >= LEAST_LANGUAGE_SCORE)).select("whole_row.*")
+    return _whole(told.where((F.col("lang_pred") != language.UND) & (F.col("score") >= LEAST_LANGUAGE_SCORE)), docs)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
