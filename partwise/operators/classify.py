@@ -5,14 +5,13 @@ from __future__ import annotations
 import json
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.expressions import logit, odds_ratio, total
 from .audit import auc
 from .effect import replicates
 from .evidence import table_fingerprint
-from .keys import unit_folds
 from .logratio import balances, closure
 
 
@@ -25,8 +24,12 @@ def split_features(df: DataFrame, folds: DataFrame, parts, library, group: str =
     k = folds.agg(F.max("fold")).first()[0] + 1
     rows = df.join(folds.select("unit_id", "rep", "fold"), "unit_id").withColumn("target", F.explode(F.sequence(F.lit(0), F.lit(k - 1))))
     rows = rows.withColumn("role", F.when(F.col("fold") == F.col("target"), "validation").otherwise("train"))
+    return fold_features(rows, ["rep", "target"], parts, library, group, zero_c)
+
+
+def fold_features(rows: DataFrame, keys: list[str], parts, library, group: str = "state", zero_c: float = 0.5) -> DataFrame:
+    """Unit balances of points with ``keys`` and ``role``, prepared by the points in role ``train`` of the same keys."""
     train = F.col("role") == "train"
-    keys = ["rep", "target"]
     medians = rows.where(train).groupBy(*keys, group).agg(*[F.percentile(p, 0.5).alias(f"m_{p}") for p in parts])
     filled = rows.join(medians, [*keys, group]).withColumns({p: F.coalesce(F.col(p), F.col(f"m_{p}")) for p in parts}).drop(*[f"m_{p}" for p in parts])
     deltas = filled.where(train).groupBy(*keys).agg(*[(zero_c * F.min(F.when(F.col(p) > 0, F.col(p)))).alias(f"d_{p}") for p in parts])
@@ -34,7 +37,7 @@ def split_features(df: DataFrame, folds: DataFrame, parts, library, group: str =
     return balances(closed, library).groupBy(*keys, "role", "unit_id", "label").agg(F.count("*").alias("n_points"), *[F.avg(b).alias(b) for b in library])
 
 
-def _joined(df: DataFrame, table: list[tuple], keys: list[str], names: list[str]) -> DataFrame:
+def joined(df: DataFrame, table: list[tuple], keys: list[str], names: list[str]) -> DataFrame:
     """``df`` with a small table of numbers by key, which the driver made (one row a key)."""
     kinds = dict(df.dtypes)
     schema = ", ".join([f"{k} {kinds[k]}" for k in keys] + [f"{n} double" for n in names])
@@ -58,7 +61,7 @@ def batched_logistic(df: DataFrame, keys: list[str], features: list[str], y: str
     for _ in range(steps):
         if not beta:
             return {}
-        now = _joined(df, [(*k, *map(float, b)) for k, b in beta.items()], keys, names)
+        now = joined(df, [(*k, *map(float, b)) for k, b in beta.items()], keys, names)
         mu = 1 / (1 + F.exp(-F.greatest(F.least(total([F.col(n) * v for n, v in zip(names, x, strict=True)]), F.lit(30.0)), F.lit(-30.0))))
         now = now.withColumn("mu_", mu)
         grad = [F.sum(w * (F.col(y) - F.col("mu_")) * v).alias(f"g{i}") for i, v in enumerate(x)]
@@ -107,7 +110,7 @@ def lda(df: DataFrame, keys: list[str], features: list[str], y: str = "y", shrin
 def score(df: DataFrame, keys: list[str], features: list[str], beta: dict[tuple, np.ndarray]) -> DataFrame:
     """``df`` with ``score``, the probability by the coefficients of its key."""
     names = [f"beta_{i}" for i in range(len(features) + 1)]
-    out = _joined(df, [(*k, *map(float, b)) for k, b in beta.items()], keys, names)
+    out = joined(df, [(*k, *map(float, b)) for k, b in beta.items()], keys, names)
     z = total([F.col(n) * v for n, v in zip(names, [*[F.col(f) for f in features], F.lit(1.0)], strict=True)])
     return out.withColumn("score", 1 / (1 + F.exp(-z))).drop(*names)
 
@@ -120,37 +123,7 @@ def fit_tree(df: DataFrame, features: list[str], depth: int = 3, least: int = 5)
     return DecisionTreeClassifier(labelCol="y", featuresCol="x_", maxDepth=depth, minInstancesPerNode=least, minInfoGain=0.01).fit(rows)
 
 
-def tune(features_by_fold: DataFrame, folds: DataFrame, names: list[str], grid=(0.1, 1.0, 10.0)) -> DataFrame:
-    """``rep, target, c, balanced_accuracy``: each penalty on an inner fold (the one after the target), all at once."""
-    k = folds.agg(F.max("fold")).first()[0] + 1
-    rows = features_by_fold.where("role = 'train'").join(folds.select("unit_id", "rep", "fold"), ["unit_id", "rep"])
-    rows = rows.withColumn("role", F.when(F.col("fold") == (F.col("target") + 1) % k, "validation").otherwise("train"))
-    rows = standardised(rows, ["rep", "target"], names).withColumn("c", F.explode(F.array(*map(F.lit, grid))))
-    keys = ["rep", "target", "c"]
-    beta = batched_logistic(rows.where("role = 'train'"), keys, names, c="c")
-    return score(rows.where("role = 'validation'"), keys, names, beta).groupBy(*keys).agg(_balanced(0.5).alias("balanced_accuracy"))
-
-
-def _balanced(threshold: float):
-    hit = (F.col("score") >= threshold).cast("int")
-    return (F.avg(F.when(F.col("y") == 1, hit)) + F.avg(F.when(F.col("y") == 0, 1 - hit))) / 2
-
-
-def nested_cv(df: DataFrame, parts, library, folds_n: int = 4, repeats: int = 2, zero_c: float = 0.5) -> DataFrame:
-    """Out-of-fold table ``rep, fold, unit_id, y, model, score``: every unit once per repeat and model."""
-    names = list(library)
-    folds = unit_folds(df.groupBy("unit_id").agg(F.min("label").alias("label")), folds_n, repeats).cache()
-    feats = split_features(df, folds, parts, library, zero_c=zero_c).withColumn("y", (F.col("label") == "PB").cast("int"))
-    feats = standardised(feats, ["rep", "target"], names).cache()
-    keys, train, held = ["rep", "target"], feats.where("role = 'train'"), feats.where("role = 'validation'")
-    out = None
-    for model, beta in (("logistic", batched_logistic(train, keys, names)), ("lda", lda(train, keys, names))):
-        one = score(held, keys, names, beta).select("rep", F.col("target").alias("fold"), "unit_id", "y", F.lit(model).alias("model"), "score")
-        out = one if out is None else out.unionByName(one)
-    return out
-
-
-def class_metrics(oof: DataFrame, threshold: float = 0.5) -> DataFrame:
+def class_metrics(oof: DataFrame, threshold: float | Column = 0.5) -> DataFrame:
     """Per rep and model: balanced accuracy, macro F1, Brier score, area under the curve."""
     hit = F.col("score") >= threshold
     count = lambda y, h: F.sum(((F.col("y") == y) & (hit if h else ~hit)).cast("double"))
@@ -253,6 +226,10 @@ def unit_features(df: DataFrame, pipeline: dict) -> DataFrame:
     return units.withColumns({f: (F.col(f) - s[f"a_{f}"]) / (s[f"s_{f}"] or 1.0) for f in library})
 
 
+def probability(z: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+
+
 def linear_score(features, beta):
     z = total([float(b) * F.col(f) for b, f in zip(beta, features, strict=False)]) + float(beta[-1])
     return 1 / (1 + F.exp(-z))

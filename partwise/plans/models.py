@@ -7,7 +7,7 @@ from functools import partial
 from pyspark.sql import functions as F
 
 from ..functions.expressions import uniform
-from ..operators import audit, classify, cluster, evidence
+from ..operators import audit, classify, cluster, evidence, nested
 from ..operators import effect as E
 from ..operators import network as N
 from ..operators.keys import perturb, unit_folds
@@ -83,14 +83,12 @@ def l4_lda(spark, d):
 
 @register(None)
 def l5_tune(spark, d):
-    folds = folds_of(spark, d)
-    feats = classify.split_features(orders.known_points(spark, d), folds, PARTS, LIB).withColumn("y", (F.col("label") == "PB").cast("int"))
-    return rounded(classify.tune(feats, folds, NAMES), "balanced_accuracy")
+    return rounded(nested.tuning_table(orders.known_points(spark, d), PARTS, LIB), "balanced_accuracy", "threshold")
 
 
 @register(None)
 def l6_nested_cv(spark, d):
-    return rounded(classify.nested_cv(orders.known_points(spark, d), PARTS, LIB, 3, 2), "score")
+    return rounded(nested.nested_cv(orders.known_points(spark, d), PARTS, LIB), "score", "threshold")
 
 
 def oof(spark, d):
@@ -175,7 +173,7 @@ def l15_sensitivity(spark, d):
     known = orders.known_points(spark, d)
     out = None
     for name, df, c in (("main", known, 0.5), ("zero_c_0.25", known, 0.25), ("perturbed_5", perturb(known, PARTS, 0.05, 0, "point_id"), 0.5)):
-        m = classify.class_metrics(classify.nested_cv(df, PARTS, LIB, 2, 1, c)).withColumn("scenario", F.lit(name))
+        m = classify.class_metrics(nested.nested_cv(df, PARTS, LIB, 5, 2, c), F.col("threshold")).withColumn("scenario", F.lit(name))
         out = m if out is None else out.unionByName(m)
     return rounded(out.select("scenario", "model", "balanced_accuracy", "brier"), "balanced_accuracy", "brier")
 
