@@ -27,10 +27,14 @@ def split_features(df: DataFrame, folds: DataFrame, parts, library, group: str =
     return fold_features(rows, ["rep", "target"], parts, library, group, zero_c)
 
 
-def fold_features(rows: DataFrame, keys: list[str], parts, library, group: str = "state", zero_c: float = 0.5) -> DataFrame:
-    """Unit balances of points with ``keys`` and ``role``, prepared by the points in role ``train`` of the same keys."""
+def fold_features(rows: DataFrame, keys: list[str], parts, library, group: str = "state", zero_c: float = 0.5, medians: DataFrame | None = None) -> DataFrame:
+    """Unit balances of points with ``keys`` and ``role``, prepared by the points in role ``train`` of the same keys.
+
+    ``medians`` by keys and group (``m_`` and the part's name) may be given, if they are known.
+    """
     train = F.col("role") == "train"
-    medians = rows.where(train).groupBy(*keys, group).agg(*[F.percentile(p, 0.5).alias(f"m_{p}") for p in parts])
+    if medians is None:
+        medians = rows.where(train).groupBy(*keys, group).agg(*[F.percentile(p, 0.5).alias(f"m_{p}") for p in parts])
     filled = rows.join(medians, [*keys, group]).withColumns({p: F.coalesce(F.col(p), F.col(f"m_{p}")) for p in parts}).drop(*[f"m_{p}" for p in parts])
     deltas = filled.where(train).groupBy(*keys).agg(*[(zero_c * F.min(F.when(F.col(p) > 0, F.col(p)))).alias(f"d_{p}") for p in parts])
     closed = closure(filled.join(deltas, keys).withColumns({p: F.when(F.col(p) == 0, F.col(f"d_{p}")).otherwise(F.col(p)) for p in parts}), parts)

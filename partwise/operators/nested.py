@@ -8,7 +8,10 @@ Spark adds the blocks, and the driver solves systems of a few numbers per fold a
 
 from __future__ import annotations
 
+import math
+from functools import reduce
 from itertools import combinations
+from operator import or_
 
 import numpy as np
 import pandas as pd
@@ -201,6 +204,38 @@ def tune(feats: DataFrame, features: list[str]) -> Tuned:
     return Tuned(tried, accuracy, chosen)
 
 
+def near_medians(rows: DataFrame, points: DataFrame, keys: list[str], parts, group: str) -> DataFrame:
+    """Exact medians of the rows in role ``train`` by ``keys`` and ``group``, as ``m_`` and the part's name.
+
+    Fold after fold of the same points has its medians near theirs: values below a narrow band around the median of all
+    points are only counted, those in it (about the root of their number) are ranked; keys whose median lies outside
+    are done again from all values.  The driver holds one row per key and group.
+    """
+    train = rows.where("role = 'train'")
+    by = [*keys, group]
+    exact = lambda df: df.groupBy(*by).agg(*[F.percentile(p, 0.5).alias(f"m_{p}") for p in parts])
+    least = points.groupBy(group).agg(F.count_distinct("unit_id").alias("n")).agg(F.min("n")).first()[0]
+    half = 4 / math.sqrt(least) if least else 1.0
+    if half >= 0.4:
+        return exact(train)
+    bounds = points.where(F.col(group).isNotNull()).groupBy(group).agg(*[F.percentile_approx(p, F.array(F.lit(0.5 - half), F.lit(0.5 + half)), 2_000).alias(f"q_{p}") for p in parts])
+    inside = train.join(F.broadcast(bounds), group)
+    low, high = (lambda p: F.col(f"q_{p}")[0]), (lambda p: F.col(f"q_{p}")[1])
+    found = inside.groupBy(*by).agg(*[x for p in parts for x in (F.count(p).alias(f"n_{p}"), F.count_if(F.col(p) < low(p)).alias(f"b_{p}"), F.sort_array(F.collect_list(F.when(F.col(p).between(low(p), high(p)), F.col(p)))).alias(f"v_{p}"))])
+    at = lambda p, up: F.floor((F.col(f"n_{p}") - (0 if up else 1)) / 2) - F.col(f"b_{p}")
+    lost = [(F.col(f"n_{p}") > 0) & ((at(p, False) < 0) | (at(p, True) >= F.size(f"v_{p}"))) for p in parts]
+    pick = lambda p, up: F.get(f"v_{p}", at(p, up).cast("int"))
+    told = found.select(*by, *[((pick(p, False) + pick(p, True)) / 2).alias(f"m_{p}") for p in parts], reduce(or_, lost).alias("lost_"))
+    whole, spark = told.collect(), points.sparkSession
+    kinds = told.drop("lost_").schema
+    good = [tuple(r)[:-1] for r in whole if not r["lost_"]]
+    again = [tuple(r[k] for k in by) for r in whole if r["lost_"]]
+    if again:
+        wanted = spark.createDataFrame(again, told.select(*by).schema)
+        good += [tuple(r) for r in exact(train.join(F.broadcast(wanted), by)).select(*kinds.names).collect()]
+    return spark.createDataFrame(good, kinds)
+
+
 def paired_features(df: DataFrame, folds: DataFrame, parts, library, zero_c: float = 0.5, group: str = "state") -> DataFrame:
     """Standardised unit balances with one fold (``fold_a = fold_b``) or two folds out, prepared without the units left out."""
     k = folds.agg(F.max("fold")).first()[0] + 1
@@ -209,8 +244,9 @@ def paired_features(df: DataFrame, folds: DataFrame, parts, library, zero_c: flo
     pairs = F.array(*[F.struct(F.lit(a).alias("fold_a"), F.lit(b).alias("fold_b")) for a in range(k) for b in range(a, k)])
     rows = df.join(folds.select("unit_id", F.col("rep").cast("int").alias("rep"), "fold"), "unit_id").withColumn("pair_", F.explode(pairs)).select("*", "pair_.fold_a", "pair_.fold_b").drop("pair_")
     rows = rows.withColumn("role", F.when(F.col("fold") == F.col("fold_a"), "a").when(F.col("fold") == F.col("fold_b"), "b").otherwise("train"))
-    feats = fold_features(rows, ["rep", "fold_a", "fold_b"], parts, library, group, zero_c).withColumn("y", (F.col("label") == "PB").cast("int"))
-    return standardised(feats, ["rep", "fold_a", "fold_b"], list(library))
+    keys = ["rep", "fold_a", "fold_b"]
+    feats = fold_features(rows, keys, parts, library, group, zero_c, F.broadcast(near_medians(rows, df, keys, parts, group))).withColumn("y", (F.col("label") == "PB").cast("int"))
+    return standardised(feats, keys, list(library))
 
 
 def _prepared(df, parts, library, folds_n, repeats, zero_c):

@@ -126,6 +126,16 @@ def test_nested_equals_loops(spark, points):
             assert np.allclose(got.score, score(beta, features(plain, train, held)), atol=1e-6)
 
 
+def test_near_medians_are_exact(spark):
+    """A fold that is far from all the others has its median outside the band and is done again."""
+    u = lambda s: uniform(F.lit(s), "id")
+    df = spark.range(900).select(F.col("id").alias("unit_id"), F.when(F.col("id") % 3 == 0, 50 + u("a")).when(F.col("id") % 7 == 0, None).otherwise(u("b")).alias("a"), F.lit("W").alias("state"))
+    rows = df.withColumn("k", F.explode(F.array(*map(F.lit, range(4))))).withColumn("role", F.when((F.col("k") == 3) & (F.col("unit_id") % 3 != 0), "a").when((F.col("unit_id") % 11) == F.col("k"), "a").otherwise("train"))
+    want = {(r["k"], r["state"]): r["m"] for r in rows.where("role = 'train'").groupBy("k", "state").agg(F.percentile("a", 0.5).alias("m")).collect()}
+    got = {(r["k"], r["state"]): r["m_a"] for r in nested.near_medians(rows, df, ["k"], ["a"], "state").collect()}
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-12 for k in want)
+
+
 def test_nested_needs_three_folds(points):
     with pytest.raises(ValueError):
         nested.nested_cv(points, PARTS, LIBRARY, 2, 1)
