@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.expressions import total
+from . import ranks
 
 
 def unpivot(df: DataFrame, keys, parts) -> DataFrame:
@@ -87,22 +88,35 @@ def median_ratio(df: DataFrame, parts, by: str) -> DataFrame:
     return cells.groupBy(by, "part").agg(m("W").alias("median_w"), m("U").alias("median_u")).withColumn("ratio", F.when(F.col("median_u") != 0, F.col("median_w") / F.col("median_u")))
 
 
-def bh_fdr(df: DataFrame, p: str, by, out: str = "p_fdr", tie: str | None = None) -> DataFrame:
-    """Benjamini-Hochberg adjusted values within a family; null or non-finite ones stay null."""
+def bh_fdr(df: DataFrame, p: str, by, out: str = "p_fdr") -> DataFrame:
+    """Benjamini-Hochberg adjusted values within a family; null or non-finite ones stay null.
+
+    Equal values are one row with the rank of their last; the least value from a rank on is the least of the ranges after
+    it and of its own, so a family may span tasks.
+    """
+    fine = F.col(p).isNotNull() & ~F.isnan(p)
+    told = ranks.value_counts(df.where(fine), p, by)
+    size = ranks.joined_back(told, told.groupBy(*by).agg(F.sum("n").alias("size_")), by, ["size_"], "inner")
+    least = ranks.running_least(size.withColumn("raw_", F.col(p) * F.col("size_") / (F.col("below_n") + F.col("n"))), by, [F.desc(p)], "raw_")
+    told = least.select(*by, p, F.least(F.lit(1.0), "least_raw_").alias(out))
+    return ranks.joined_back(df, told, [*by, p], [out])
+
+
+def bh_fdr_few(df: DataFrame, p: str, by, tie: str, out: str = "p_fdr") -> DataFrame:
+    """The same in one window, for families that hold a row per part or pair of parts, whose number the parts bound."""
     fine = F.col(p).isNotNull() & ~F.isnan(p)
     family = Window.partitionBy(*by, fine)
-    order = family.orderBy(p, *([tie] if tie else []))
+    order = family.orderBy(p, tie)
     raw = F.col(p) * F.count("*").over(family) / F.row_number().over(order)
     df = df.withColumn("raw_", F.when(fine, raw))
-    # ties get the rank of the last of them, because the running minimum comes from the end
     back = order.rowsBetween(Window.currentRow, Window.unboundedFollowing)
     return df.withColumn(out, F.when(fine, F.least(F.lit(1.0), F.min("raw_").over(back)))).drop("raw_")
 
 
 def avg_rank(df: DataFrame, column: str, by, out: str = "rank") -> DataFrame:
     """Ranks from 1, equal values sharing their mean."""
-    same = F.count("*").over(Window.partitionBy(*by, column))
-    return df.withColumn(out, F.rank().over(Window.partitionBy(*by).orderBy(column)) + (same - 1) / 2)
+    told = ranks.value_counts(df, column, by)
+    return ranks.joined_back(df, told.withColumn(out, F.col("below_n") + (F.col("n") + 1) / 2), [*by, column], [out])
 
 
 def tune_threshold(scored: DataFrame, by=()) -> DataFrame:
@@ -121,15 +135,14 @@ def tune_threshold(scored: DataFrame, by=()) -> DataFrame:
 def roc(scored: DataFrame, by: str) -> DataFrame:
     """Cumulative true and false positives by falling score; equal scores are one point."""
     points = scored.groupBy(by, "score").agg(F.sum("y").alias("p"), F.sum(1 - F.col("y")).alias("n"))
-    run = Window.partitionBy(by).orderBy(F.desc("score"))
-    return points.select(by, "score", F.sum("p").over(run).alias("tp"), F.sum("n").over(run).alias("fp"))
+    told = ranks.running_totals(points, [by], [F.desc("score")], ["p", "n"])
+    return told.select(by, "score", (F.col("below_p") + F.col("p")).alias("tp"), (F.col("below_n") + F.col("n")).alias("fp"))
 
 
 def auc(scored: DataFrame, by) -> DataFrame:
     """Area under the curve by the rank sum of positives."""
-    points = scored.groupBy(*by, "score").agg(F.sum("y").alias("p"), F.count("*").alias("n"))
-    run = Window.partitionBy(*by).orderBy("score").rowsBetween(Window.unboundedPreceding, -1)
-    ranked = points.withColumn("rank", F.coalesce(F.sum("n").over(run), F.lit(0)) + (F.col("n") + 1) / 2)
+    told = ranks.value_counts(scored, "score", by, p=F.col("y"))
+    ranked = told.withColumn("rank", F.col("below_n") + (F.col("n") + 1) / 2)
     sums = ranked.groupBy(*by).agg(F.sum(F.col("p") * F.col("rank")).alias("r"), F.sum("p").alias("p"), F.sum(F.col("n") - F.col("p")).alias("q"))
     return sums.select(*by, ((F.col("r") - F.col("p") * (F.col("p") + 1) / 2) / (F.col("p") * F.col("q"))).alias("auc"))
 

@@ -10,7 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.expressions import combine, erfc_p, helmert, poisson_draws, total, uniform
-from .audit import avg_rank, bh_fdr, unpivot
+from . import ranks
+from .audit import bh_fdr_few, unpivot
 from .keys import unit_weights
 from .logratio import ilr, prepare_by
 from .nearest import nearest_missing
@@ -115,7 +116,7 @@ def effect_table(main: DataFrame, boot: DataFrame, parts) -> DataFrame:
     up, down = F.avg((F.col("beta") >= 0).cast("int")), F.avg((F.col("beta") <= 0).cast("int"))
     by = long_effect(boot, parts, ["label"]).groupBy("label", "coordinate").agg(F.stddev_samp("beta").alias("boot_se"), F.percentile("beta", 0.025).alias("ci_low"), F.percentile("beta", 0.975).alias("ci_high"), F.greatest(up, down).alias("sign_frequency"), F.least(F.lit(1.0), 2 * F.least(up, down)).alias("p_raw"))
     table = long_effect(main, parts, ["label"]).drop("intercept").join(by, ["label", "coordinate"])
-    return bh_fdr(table, "p_raw", ["label"], tie="coordinate")
+    return bh_fdr_few(table, "p_raw", ["label"], tie="coordinate")
 
 
 def percent(df: DataFrame, parts, columns, prefix: str) -> DataFrame:
@@ -140,15 +141,19 @@ def effect_contrast(main: DataFrame, boot: DataFrame, parts) -> DataFrame:
 
 def mann_whitney(df: DataFrame, parts, by: str = "label") -> DataFrame:
     """Per label and part over points: U of state W, z with tie correction, normal p, difference of medians, adjusted p."""
-    cells = avg_rank(unpivot(df, [by, "state"], parts).where("value is not null"), "value", [by, "part"])
-    w = F.col("state") == "W"
-    sums = cells.groupBy(by, "part").agg(F.sum(F.when(w, F.col("rank"))).alias("r"), F.sum(w.cast("long")).alias("n1"), F.sum((~w).cast("long")).alias("n0"), (F.percentile(F.when(w, F.col("value")), 0.5) - F.percentile(F.when(~w, F.col("value")), 0.5)).alias("median_difference"))
-    ties = cells.groupBy(by, "part", "value").agg(F.count("*").cast("double").alias("t")).groupBy(by, "part").agg(F.sum(F.col("t") * F.col("t") * F.col("t") - F.col("t")).alias("ties"))
+    cells = unpivot(df, [by, "state"], parts).where("value is not null")
+    w = F.coalesce(F.col("state") == "W", F.lit(False))
+    told = ranks.value_counts(cells, "value", [by, "part"], n_w=w.cast("long"))
+    n, t, rank = F.col("n"), F.col("n").cast("double"), F.col("below_n") + (F.col("n") + 1) / 2
+    out = told.groupBy(by, "part").agg(F.sum(F.col("n_w") * rank).alias("r"), F.sum("n_w").alias("n1"), F.sum(n - F.col("n_w")).alias("n0"), F.sum(t * t * t - t).alias("ties"))
+    middle = ranks.quantiles(cells.withColumn("w_", w), "value", [by, "part", "w_"], {"m_": 0.5})
+    pick = lambda of: F.max(F.when(F.col("w_") == of, F.col("m_")))
+    out = out.join(middle.groupBy(by, "part").agg((pick(True) - pick(False)).alias("median_difference")), [by, "part"])
+    out = out.withColumn("u", F.col("r") - F.col("n1") * (F.col("n1") + 1) / 2)
     n = (F.col("n1") + F.col("n0")).cast("double")
-    out = sums.join(ties, [by, "part"]).withColumn("u", F.col("r") - F.col("n1") * (F.col("n1") + 1) / 2)
     spread = F.sqrt(F.col("n1").cast("double") * F.col("n0") / 12 * ((n + 1) - F.col("ties") / (n * (n - 1))))
     out = out.withColumn("z", (F.col("u") - F.col("n1") * F.col("n0") / 2) / spread).withColumn("p", erfc_p(F.col("z")))
-    return bh_fdr(out.select(by, "part", "u", "z", "p", "median_difference"), "p", [by], tie="part")
+    return bh_fdr_few(out.select(by, "part", "u", "z", "p", "median_difference"), "p", [by], tie="part")
 
 
 def residual_diag(df: DataFrame, main: DataFrame, parts) -> DataFrame:

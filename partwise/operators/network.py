@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.expressions import total
-from .audit import bh_fdr, set_jaccard
+from .audit import bh_fdr_few, set_jaccard
 from .logratio import ilr, prepare_by, unit_centers
 from .resample import Replicates, edge_rhos, edge_sums, resample
 
@@ -122,7 +122,7 @@ def diff_edges(main: DataFrame, boot: DataFrame, perm: DataFrame, reps: int) ->
     own = d.select("part_j", "part_k", F.col("delta").alias("main_"))
     over = deltas(boot, ("rep",)).join(own, ["part_j", "part_k"]).groupBy("part_j", "part_k").agg(F.percentile("delta", 0.025).alias("ci_low"), F.percentile("delta", 0.975).alias("ci_high"), F.avg((F.signum("delta") == F.signum("main_")).cast("int")).alias("direction_frequency"))
     null = deltas(perm, ("rep",)).join(own, ["part_j", "part_k"]).groupBy("part_j", "part_k").agg(((F.sum((F.abs("delta") >= F.abs("main_") - 1e-12).cast("int")) + 1) / (reps + 1)).alias("p"))
-    out = bh_fdr(d.join(over, ["part_j", "part_k"]).join(null, ["part_j", "part_k"]).withColumn("all_", F.lit(1)), "p", ["all_"], tie="part_j").drop("all_")
+    out = bh_fdr_few(d.join(over, ["part_j", "part_k"]).join(null, ["part_j", "part_k"]).withColumn("all_", F.lit(1)), "p", ["all_"], tie="part_j").drop("all_")
     return out.withColumn("core", (F.col("p_fdr") < 0.05) & (F.abs("delta") >= 0.2) & (F.col("direction_frequency") >= 0.8))
 
 

@@ -13,6 +13,7 @@ from ..operators import network as N
 from ..operators.keys import perturb, unit_folds
 from ..operators.logratio import balances
 from ..sources import orders
+from ..sources.shared import shared_path
 from ..sources.orders import PARTS
 from . import sql as S
 from .networks import MAIN as CENTERS_SQL
@@ -139,15 +140,7 @@ def pipeline_of(spark, d, zero_c: float = 0.5):
 
 def frozen(spark, d, zero_c: float = 0.5):
     """A pipeline that went through files in the shared folder, as scoring must take it."""
-    import tempfile
-    import uuid
-
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not root:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir names no shared folder")
-        root = f"file://{tempfile.mkdtemp(prefix='spark-')}"
-    path = f"{root.rstrip('/')}/partwise/frozen-{uuid.uuid4().hex}"
+    path = shared_path(spark, "frozen")
     mark = classify.freeze(spark, pipeline_of(spark, d, zero_c), path)
     return classify.load_frozen(spark, path), mark
 

@@ -207,7 +207,7 @@ def e3_bh_fdr(spark, d):
     from ..functions.expressions import uniform
 
     u = orders.raw_units(spark, d).select("unit_id", "label", F.when(F.col("unit_id") % 7 != 0, F.round(uniform(F.lit("p"), "unit_id"), 3)).alias("p"))
-    return rounded(audit.bh_fdr(u, "p", ["label"], tie="unit_id"), "p_fdr")
+    return rounded(audit.bh_fdr(u, "p", ["label"]), "p_fdr")
 
 
 @register(S.query("select point_id, label, state, economy, rank() over (partition by label order by economy) + (count(*) over (partition by label, economy) - 1) / 2 as rank from known where economy is not null"))
