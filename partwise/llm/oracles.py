@@ -47,4 +47,36 @@ select vec_id, coalesce(n, 0) as n_links, least(vec_id, coalesce(low, vec_id)) a
 from v left join lowest on lowest.id = vec_id left join degree on degree.id = vec_id
 """
 
-ORACLE_SQL = {"op2_warc": OP2_WARC, "op5_minhash": OP5_MINHASH, "op9_embedding_dedup": OP9_EMBEDDING_DEDUP}
+#: ``crc`` holds one list, ``t``: what a byte does to an unsigned crc32 (fixed value: its polynomial, reversed).
+_CRC = """
+crc as materialized (select list(v order by i) as t from (select i, list_reduce(list_prepend(i, range(8)),
+  lambda c, k: case when c & 1 = 1 then xor(3988292384, c >> 1) else c >> 1 end) as v from (select unnest(range(256)) as i)))
+"""
+
+
+def _crc32(text: str) -> str:
+    """Unsigned crc32 of the UTF-8 bytes of a text column beside ``crc``."""
+    bytes_ = f"[cast('0x' || substr(hex({text}), cast(2 * i + 1 as bigint), 2) as bigint) for i in range(strlen({text}))]"
+    return f"xor(list_reduce(list_prepend(4294967295, {bytes_}), lambda c, b: xor(c >> 8, t[cast((xor(c, b) & 255) + 1 as bigint)])), 4294967295)"
+
+
+_LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+OP11_RESAMPLING = rf"""
+with {_CRC},
+d as (select doc_id, regexp_extract_all({_LOWER.format("coalesce(text, '')")}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as words from documents),
+x as materialized (select doc_id, unnest(words) as word from d),
+y as materialized (select unnest(regexp_extract_all({_LOWER.format("coalesce(text, '')")}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) as word from benchmark),
+buckets as materialized (select word, {_crc32('word')} % 10000 as bucket from (select word from x union select word from y), crc),
+s as (select bucket, count(*) as n from x join buckets using (word) group by 1),
+t as (select bucket, count(*) as n from y join buckets using (word) group by 1),
+gains as materialized (select bucket, cast(floor(1000 * ln(cast((coalesce(t.n, 0) + 1) * ((select count(*) from x) + 10000) as double) / cast((coalesce(s.n, 0) + 1) * ((select count(*) from y) + 10000) as double))) as bigint) as gain
+  from (select unnest(range(10000)) as bucket) left join s using (bucket) left join t using (bucket)),
+sums as (select doc_id, sum(gain) as total from x join buckets using (word) join gains using (bucket) group by 1),
+weights as (select doc_id, len(words) as n_features, cast(case when len(words) = 0 then 0 else (total - ((total % len(words)) + len(words)) % len(words)) // len(words) end as bigint) as weight from d left join sums using (doc_id)),
+scores as (select *, weight + cast(floor(-1000 * ln(-ln((cast('0x' || substr(sha256('2024:' || doc_id), 1, 8) as bigint) + 0.5) / 4294967296.0::double))) as bigint) as score from weights),
+ranks as (select doc_id, row_number() over (order by score desc, doc_id) as place, count(*) over () as n from scores where n_features >= 20)
+select doc_id, n_features, weight, score, case when place <= 10 * n // 100 then place end as rank from scores left join ranks using (doc_id)
+"""
+
+ORACLE_SQL = {"op2_warc": OP2_WARC, "op5_minhash": OP5_MINHASH, "op9_embedding_dedup": OP9_EMBEDDING_DEDUP, "op11_resampling": OP11_RESAMPLING}

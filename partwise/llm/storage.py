@@ -7,37 +7,13 @@ names, so that any executor can read what another one wrote.
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyarrow import fs
-from pyspark.sql import DataFrame, SparkSession
 
-KEY = "spark.checkpoint.dir"
+from ..sources.shared import KEY, materialise, shared_path, shared_root
 
-
-def shared_root(spark: SparkSession) -> str:
-    """The cluster's shared folder; a temporary one is set in local mode alone, elsewhere a missing setting is an error."""
-    root = spark.conf.get(KEY, None) or spark.sparkContext.getConf().get(KEY)
-    if not root:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError(f"{KEY} names no folder that driver and executors share")
-        root = f"file://{tempfile.mkdtemp(prefix='spark-')}"
-        spark.conf.set(KEY, root)
-    return root.rstrip("/")
-
-
-def shared_path(spark: SparkSession, name: str) -> str:
-    """A new path below the shared folder, never used before."""
-    return f"{shared_root(spark)}/partwise/{name}-{uuid.uuid4().hex}"
-
-
-def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` once as a table in the shared folder and return the written table: survives lost executors."""
-    spark = df.sparkSession
-    path = shared_path(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+__all__ = ["KEY", "materialise", "open_fs", "shared_path", "shared_root", "write_atomically"]
 
 
 def open_fs(path: str) -> tuple[fs.FileSystem, str]:
