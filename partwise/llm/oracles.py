@@ -79,4 +79,13 @@ ranks as (select doc_id, row_number() over (order by score desc, doc_id) as plac
 select doc_id, n_features, weight, score, case when place <= 10 * n // 100 then place end as rank from scores left join ranks using (doc_id)
 """
 
-ORACLE_SQL = {"op2_warc": OP2_WARC, "op5_minhash": OP5_MINHASH, "op9_embedding_dedup": OP9_EMBEDDING_DEDUP, "op11_resampling": OP11_RESAMPLING}
+OP12_SUBSTRINGS = r"""
+with w as materialized (select doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as words from documents),
+x as materialized (select doc_id, i, array_to_string(words[i : i + 19], ' ') as passage from (select doc_id, words, unnest(range(1, len(words) - 18)) as i from w)),
+later as (select doc_id, i from (select doc_id, i, row_number() over (partition by passage order by doc_id, i) as place from x) where place > 1),
+gone as (select distinct doc_id, unnest(range(i, i + 20)) as i from later),
+kept as (select doc_id, string_agg(word, ' ' order by i) as kept, count(*) as n from (select doc_id, unnest(words) as word, unnest(range(1, len(words) + 1)) as i from w) anti join gone using (doc_id, i) group by 1)
+select doc_id, len(words) as n_words, len(words) - coalesce(n, 0) as n_removed, sha256(coalesce(kept, '')) as kept_sha256 from w left join kept using (doc_id)
+"""
+
+ORACLE_SQL = {"op2_warc": OP2_WARC, "op5_minhash": OP5_MINHASH, "op9_embedding_dedup": OP9_EMBEDDING_DEDUP, "op11_resampling": OP11_RESAMPLING, "op12_substrings": OP12_SUBSTRINGS}
