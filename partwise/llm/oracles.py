@@ -88,4 +88,20 @@ kept as (select doc_id, string_agg(word, ' ' order by i) as kept, count(*) as n
 select doc_id, len(words) as n_words, len(words) - coalesce(n, 0) as n_removed, sha256(coalesce(kept, '')) as kept_sha256 from w left join kept using (doc_id)
 """
 
-ORACLE_SQL = {"op2_warc": OP2_WARC, "op5_minhash": OP5_MINHASH, "op9_embedding_dedup": OP9_EMBEDDING_DEDUP, "op11_resampling": OP11_RESAMPLING, "op12_substrings": OP12_SUBSTRINGS}
+OP13_SPELLING = rf"""
+with recursive {_CRC},
+x as (select doc_id, unnest(regexp_extract_all({_LOWER.format("coalesce(text, '')")}, '[a-z\x{{C0}}-\x{{FF}}]+')) as run from documents),
+y as materialized (select doc_id, run, count(*) as n, doc_id || ':' || run as t_ from x group by 1, 2),
+h as (select *, {_crc32('t_')} as h from y, crc),
+words as (select case when h % 199 = 0 then substr(run, 1, cast(h % length(run) as bigint)) || substr(run, cast(h % length(run) + 2 as bigint)) else run end as word, n from h),
+v as materialized (select word, cast(sum(n) as bigint) as n from words group by 1 having length(word) >= 6 and sum(n) >= 5),
+d as materialized (select word, i, substr(word, 1, i - 1) || substr(word, i + 1) as less from (select word, unnest(range(1, length(word) + 1)) as i from v)),
+near as materialized (select a.word, b.word as other from d a join d b on a.i = b.i and a.less = b.less and a.word <> b.word
+  union select d.word, v.word from d join v on d.less = v.word union select v.word, d.word from d join v on d.less = v.word),
+best as (select near.word, count(*) as n_near, arg_min(other, (-v.n, other)) as best, max(v.n) as best_n from near join v on v.word = other group by 1),
+f as materialized (select v.word, v.n, coalesce(n_near, 0) as n_near, case when best_n >= 5 * v.n then best end as form, case when best_n >= 5 * v.n then best_n end as form_n from v left join best using (word)),
+walk(word, root, k) as (select word, word, 0 from f union all select walk.word, f.form, k + 1 from walk join f on f.word = walk.root where f.form is not null)
+select f.word, form, root, n, n_near, form_n from f join (select word, arg_max(root, k) as root from walk group by 1) using (word)
+"""
+
+ORACLE_SQL = {"op2_warc": OP2_WARC, "op5_minhash": OP5_MINHASH, "op9_embedding_dedup": OP9_EMBEDDING_DEDUP, "op11_resampling": OP11_RESAMPLING, "op12_substrings": OP12_SUBSTRINGS, "op13_spelling": OP13_SPELLING}

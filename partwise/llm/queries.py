@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import cover_tree, language, minhash, packing, quality, resampling, sentencepiece_dropout, sharding, substrings, token_files, urls, warc
+from . import cover_tree, language, minhash, packing, quality, resampling, sentencepiece_dropout, sharding, spelling, substrings, token_files, urls, warc
 from .oracles import ORACLE_SQL
 
 #: Folder of the public tokenizers' files.
@@ -79,9 +79,13 @@ def op12_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.remove_repeats(_table(spark, sf_dir, "documents"), width=20)
 
 
+def op13_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(_table(spark, sf_dir, "documents"), every=199, least_letters=6, least_n=5, factor=5)
+
+
 QUERIES = {
     f.__name__: f
-    for f in (op1_sentencepiece_dropout, op2_warc, op3_quality_rules, op4_language_id, op5_minhash, op6_packing, op7_url_filter, op8_sharding, op9_embedding_dedup, op10_token_files, op11_resampling, op12_substrings)
+    for f in (op1_sentencepiece_dropout, op2_warc, op3_quality_rules, op4_language_id, op5_minhash, op6_packing, op7_url_filter, op8_sharding, op9_embedding_dedup, op10_token_files, op11_resampling, op12_substrings, op13_spelling)
 }
 
 #: The other queries cannot be written in SQL; tests compare them with brute force.
