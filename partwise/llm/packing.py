@@ -5,8 +5,8 @@ from __future__ import annotations
 import zlib
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -48,15 +48,15 @@ def first_fit_decreasing(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray
     return bins, offsets
 
 
-_PIECES = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("doc_tokens", pa.int64())])
+_PIECES = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("doc_tokens", pa.int64()), ("piece", pa.int64())])
 
 
 def pieces(docs: DataFrame, tokenizer_path: str, capacity: int, end_id: int, with_ids: bool = False) -> DataFrame:
-    """Every document's ids with ``end_id``, cut every ``capacity`` ids: one row a piece, optionally with its ids."""
+    """Every document's ids with ``end_id``, cut every ``capacity`` ids: one row a piece, numbered, optionally with its ids."""
     schema = _PIECES.append(pa.field("ids", pa.binary())) if with_ids else _PIECES
 
     def cut(batches):
-        store = chunk_ids(tokenizer_path)
+        store, number = chunk_ids(tokenizer_path), TaskContext.get().partitionId() << 33
         for batch in batches:
             for first, ids, totals in store.runs(batch.column(1), end_id):
                 many = -(-totals // capacity)
@@ -66,32 +66,34 @@ def pieces(docs: DataFrame, tokenizer_path: str, capacity: int, end_id: int, wit
                 at = np.cumsum(length) - length
                 raw = memoryview(ids.astype("<u4")).cast("B")
                 own = [raw[4 * a : 4 * b] for a, b in zip(at.tolist(), (at + length).tolist(), strict=True)]
-                columns = [batch.column(0).take(pa.array(row + first)), start, length, [zlib.crc32(x) for x in own], totals[row], [bytes(x) for x in own] if with_ids else None]
+                columns = [batch.column(0).take(pa.array(row + first)), start, length, [zlib.crc32(x) for x in own], totals[row], number + np.arange(len(row)), [bytes(x) for x in own] if with_ids else None]
+                number += len(row)
                 yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(columns, schema, strict=False)], schema=schema)
         store.forget()
 
-    kinds = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long" + (", ids binary" if with_ids else "")
+    kinds = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, piece long" + (", ids binary" if with_ids else "")
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(cut, kinds)
 
 
 def pack(cut: DataFrame, capacity: int, seed: int = 1, group: int = GROUP) -> DataFrame:
-    """``cut`` (doc_id, start, length, ...) with ``sequence_id`` and ``offset``.
+    """``cut`` (doc_id, start, length, piece, ...; a written table) with ``sequence_id`` and ``offset`` in place of ``piece``.
 
-    Pieces go to groups of about ``group`` by a seeded hash and each group is packed first-fit decreasing by itself, so
-    no task's work grows with the input; a full piece fills a sequence alone.
+    Pieces go to groups of about ``group`` by a seeded hash of their numbers, which differ between rows that repeat an id,
+    and each group is packed first-fit decreasing by itself, so no task's work grows with the input; a full piece fills a
+    sequence alone.
     """
     n = cut.count()
     groups = max(1, -(-n // group))
-    columns = cut.columns
-    dealt = cut.withColumn("group_", F.pmod(F.xxhash64(F.lit(seed), "doc_id", "start"), F.lit(groups)))
-    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in cut.schema) + ", sequence_id long, offset long"
+    dealt = cut.withColumn("group_", F.pmod(F.xxhash64(F.lit(seed), "piece"), F.lit(groups)))
+    columns = [c for c in cut.columns if c != "piece"]
+    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in cut.schema if f.name != "piece") + ", sequence_id long, offset long"
 
-    def fill(key, rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["doc_id", "start", "length"], kind="stable")
-        bins, offsets = first_fit_decreasing(rows.length.to_numpy(), capacity)
-        return rows[columns].assign(sequence_id=int(key[0]) * SPAN + bins, offset=offsets)
+    def fill(key, rows):
+        rows = rows.sort_by([("doc_id", "ascending"), ("start", "ascending"), ("length", "ascending"), ("piece", "ascending")])
+        bins, offsets = first_fit_decreasing(rows.column("length").to_numpy(), capacity)
+        return rows.select(columns).append_column("sequence_id", pa.array(key[0].as_py() * SPAN + bins)).append_column("offset", pa.array(offsets))
 
-    return dealt.groupBy("group_").applyInPandas(fill, kinds)
+    return dealt.groupBy("group_").applyInArrow(fill, kinds)
 
 
 def pack_documents(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, end_id: int = 1, seed: int = 1) -> DataFrame:
@@ -101,7 +103,8 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, e
     its end id included, lies in exactly one piece; pieces of a sequence stand one after another from offset 0.
 
     Cases: a null or empty text is one piece of the end id alone; a long document fills whole sequences and leaves
-    one shorter piece; rows that repeat are packed each by itself; a null ``doc_id`` stays null; other columns are
+    one shorter piece; rows that repeat, or have no id, are packed each by itself and spread over all groups; a null
+    ``doc_id`` stays null and every id keeps its bits; which pieces meet in a group depends on how the input is split; other columns are
     dropped; an empty table gives an empty result.
     """
     return pack(materialise(pieces(docs, tokenizer_path, capacity, end_id), "pieces"), capacity, seed)

@@ -153,6 +153,18 @@ def test_packing_is_whole_and_tight(spark):
     assert packing.pack_documents(frame(spark, []), BPE).count() == 0
 
 
+def test_packing_keeps_large_ids_beside_null_and_spreads_repeated_rows(spark):
+    """Ids beyond the exact range of doubles stay as they are, and rows of one id do not share a group."""
+    big = 9007199254740993
+    rows = [(big, "one two"), (None, "one two"), (None, None), (big + 2, "")] + [(5, "one two three")] * 3000
+    out = packing.pack_documents(frame(spark, rows), BPE, capacity=64).collect()
+    ids = [r["doc_id"] for r in out]
+    assert sorted(map(str, ids)) == sorted(str(i) for i, _ in rows)
+    small = packing.pack(packing.materialise(packing.pieces(frame(spark, rows), BPE, 64, 1), "pieces"), 64, group=256)
+    sizes = [r["count"] for r in small.groupBy(F.floor(F.col("sequence_id") / packing.SPAN)).count().collect()]
+    assert sum(sizes) == len(rows) and max(sizes) < 400
+
+
 def test_first_fit_decreasing_equals_a_plain_search():
     lengths = np.random.default_rng(3).integers(1, 100, 400)
     bins, offsets = packing.first_fit_decreasing(lengths, 100)
