@@ -23,6 +23,8 @@ STEP, FACTOR, WORD = 2654435769, 73244475, 2**32 - 1
 CHUNK, ROWS = 250, 4096
 #: Standard deviations (at least) of a replicate's median that are ranked on both sides of the median of all rows.
 REACH = 7.0
+#: Tasks whose blocks one task may add up; with more, blocks are added up in two levels.
+FAN = 32
 
 
 def word(salt: str, key: str, k: int) -> Column:
@@ -86,6 +88,39 @@ def _sliced(batches):
             yield batch.slice(i, ROWS)
 
 
+def folded(blocks: DataFrame, keys: list[str]) -> DataFrame:
+    """Tasks' arrays of doubles added up by ``keys``: ``x`` summed and, if there, ``low`` by its least values.
+
+    Blocks are added up as they stream in, so a task holds one array for each of its keys, whatever the number of blocks;
+    first by key and residue of the task that made them, then by key, so that no task reads more than about the root of all.
+    """
+    spark = blocks.sparkSession
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    names = [c for c in ("x", "low") if c in blocks.columns]
+    schema = blocks.select(*keys, *names).schema
+
+    def merge(batches):
+        held: dict = {}
+        for batch in batches:
+            columns = [batch.column(batch.schema.get_field_index(c)) for c in (*keys, *names)]
+            for row in zip(*columns, strict=True):
+                key = tuple(v.as_py() for v in row[: len(keys)])
+                own = [np.frombuffer(v.as_buffer()) for v in row[len(keys) :]]
+                if key in held:
+                    held[key] = [np.minimum(a, b) if n == "low" else a + b for n, a, b in zip(names, held[key], own, strict=True)]
+                else:
+                    held[key] = own
+        for key, own in held.items():
+            yield pa.RecordBatch.from_arrays([*[pa.array([v], f) for v, f in zip(key, kinds, strict=True)], *[pa.array([v.tobytes()], pa.binary()) for v in own]], names=[*keys, *names])
+
+    kinds = [pa.int32() if schema[k].dataType.simpleString() == "int" else pa.string() for k in keys]
+    if tasks > FAN:
+        root = int(np.ceil(np.sqrt(tasks)))
+        dealt = blocks.withColumn("task_", F.pmod(F.spark_partition_id(), F.lit(root)))
+        blocks = dealt.repartition(*keys, "task_").select(*keys, *names).mapInArrow(merge, schema)
+    return blocks.select(*keys, *names).repartition(*keys).mapInArrow(merge, schema)
+
+
 def replicate_sums(units: DataFrame, draw, reps: int, lows: bool = True) -> tuple[np.ndarray, np.ndarray]:
     """Weighted sums of ``units.x`` and least ``units.low`` of drawn units: arrays (group, replicate, column).
 
@@ -109,16 +144,11 @@ def replicate_sums(units: DataFrame, draw, reps: int, lows: bool = True) -> tupl
                         least[k, c] = np.minimum(least[k, c], own) if (k, c) in least else own
         if total:
             keys = list(total)
-            yield pa.RecordBatch.from_pydict({"k": pa.array([k for k, _ in keys], pa.int32()), "c": pa.array([c for _, c in keys], pa.int32()), "x": pa.array([total[i].tobytes() for i in keys], pa.binary()), "low": pa.array([least[i].tobytes() if lows else b"" for i in keys], pa.binary())})
-
-    def merge(table: pa.Table) -> pa.Table:
-        x = sum(np.frombuffer(v.as_py()) for v in table["x"])
-        low = np.minimum.reduce([np.frombuffer(v.as_py()) for v in table["low"]])
-        return pa.table({"k": table["k"][:1], "c": table["c"][:1], "x": pa.array([x.tobytes()], pa.binary()), "low": pa.array([low.tobytes()], pa.binary())})
+            yield pa.RecordBatch.from_pydict({"k": pa.array([k for k, _ in keys], pa.int32()), "c": pa.array([c for _, c in keys], pa.int32()), "x": pa.array([total[i].tobytes() for i in keys], pa.binary())} | ({"low": pa.array([least[i].tobytes() for i in keys], pa.binary())} if lows else {}))
 
-    schema = "k int, c int, x binary, low binary"
+    schema = "k int, c int, x binary" + ", low binary" * lows
     columns = units.select("g_", "a_", "b_", "x", *["low"] * lows)
-    rows = columns.mapInArrow(add, schema).groupBy("k", "c").applyInArrow(merge, schema).collect()
+    rows = folded(columns.mapInArrow(add, schema), ["k", "c"]).collect()
     out = [None, None]
     for r in rows:
         n = len(parts[r["k"] // CHUNK][1])
@@ -255,7 +285,7 @@ def resample(df: DataFrame, parts, reps: int, stats, squares: bool = False, perm
                 raise ValueError("two groups are dealt")
             ids = tagged.select("unit_id", "g_").distinct().select("g_", word(salt, "unit_id", 0).alias("a_"), word(salt, "unit_id", 1).alias("b_"))
             draw = Dealt(last_of_first(ids, reps, {0: sizes[groups[0]]}, strata)[0])
-        for reach in (REACH, None):
+        for reach in (REACH, 4 * REACH, 16 * REACH, None):
             brackets = _brackets(tagged, parts, strata, smallest, reach)
             low, high = ({p: F.create_map(*[v for s, b in brackets.items() for v in (F.lit(s), F.lit(b[p][k]))])[F.col("s_")] for p in parts} for k in (0, 1))
             lows = [F.coalesce(F.min(F.when(F.col(p) > 0, F.col(p))), F.lit(np.finfo(float).max)) for p in parts]
