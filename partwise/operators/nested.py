@@ -1,293 +1,286 @@
-"""Nested cross-validation: every fold of every repeat tunes its models on inner folds, all folds and settings at once.
+"""Nested cross-validation: every fold of every repeat tunes three models on inner folds, all folds and settings at once.
 
 The inner folds of a target fold are the other folds of its repeat, so ``fold_a`` and ``fold_b`` taken out together
-serve both targets: each judges the settings of the other one; ``fold_a = fold_b`` is the outer fit.
-Units stay distributed and are never copied by setting: a task adds up the sums of all settings for its block of units,
-Spark adds the blocks, and the driver solves systems of a few numbers per fold and setting.
+serve both targets: each judges the settings of the other one; ``fold_a = fold_b`` is the outer fit.  Units stay
+distributed and are copied neither by fold nor by setting (see ``refit``): a task adds up the sums of all settings for its
+block of units, Spark adds the blocks, and the driver solves systems of a few numbers per fold and setting.
 """
 
 from __future__ import annotations
 
-import math
-from functools import reduce
 from itertools import combinations
-from operator import or_
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .classify import fold_features, joined, probability, standardised
+from . import trees as T
 from .keys import unit_folds
+from .refit import FoldsOut, Weightings, fold_words, weightings
+from .resample import _matrix, _sliced, _vector
 
 #: Inverse penalties, shrinkages and thresholds that are tried.
 PENALTIES = (0.001, 0.01, 0.1, 1.0, 10.0, 100.0, 1000.0)
 SHRINKAGES = ("auto", 0.1, 0.3, 0.5, 0.7, 0.9)
 THRESHOLDS = np.linspace(0.2, 0.8, 61)
-_KEYS = ["rep", "fold_a", "fold_b", "role"]
+MODELS = ("logistic", "tree", "lda")
+
+
+def probability(z: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
 def settings(features: list[str]) -> list[dict]:
-    """All settings, in the order in which ties are broken: few features and moderate penalties first."""
+    """All settings, in the order in which ties are broken: few features and moderate penalties, small trees first."""
+    none = {"features": tuple(features), "c": None, "balanced": False, "shrinkage": None, "depth": None, "leaf": None, "alpha": None}
     sets = [s for n in (1, 2, 3) for s in combinations(features, n)]
     by_ease = sorted(((s, c) for s in sets for c in PENALTIES), key=lambda x: (len(x[0]), abs(np.log10(x[1]))))
-    logistic = [{"model": "logistic", "features": s, "c": c, "balanced": w, "shrinkage": None} for s, c in by_ease for w in (False, True)]
-    return logistic + [{"model": "lda", "features": tuple(features), "c": None, "balanced": False, "shrinkage": str(s)} for s in SHRINKAGES]
-
-
-def group_sums(rows: DataFrame, features: list[str], each) -> dict[tuple, np.ndarray]:
-    """Per ``rep, fold_a, fold_b, role`` the sum over blocks of units of ``each(key, x, y)``, a vector of fixed length."""
-
-    def add(blocks):
-        sums: dict[tuple, np.ndarray] = {}
-        for block in blocks:
-            for key, own in block.groupby(_KEYS, sort=False):
-                sums[key] = sums.get(key, 0) + each(key, own[features].to_numpy(float), own["y"].to_numpy(float))
-        for key, v in sums.items():
-            yield pd.DataFrame([(*key, v.tolist())], columns=[*_KEYS, "v"])
-
-    parts = rows.select(*_KEYS, *features, "y").mapInPandas(add, "rep int, fold_a int, fold_b int, role string, v array<double>")
-    whole = parts.select(*_KEYS, F.posexplode("v").alias("at", "x")).groupBy(*_KEYS, "at").agg(F.sum("x").alias("x")).toArrow().to_pandas()
-    return {key: own.sort_values("at")["x"].to_numpy() for key, own in whole.groupby(_KEYS, sort=False)}
+    logistic = [none | {"model": "logistic", "features": s, "c": c, "balanced": w} for s, c in by_ease for w in (False, True)]
+    tree = [none | {"model": "tree", "depth": d, "leaf": n, "alpha": a, "balanced": w} for d in T.DEPTHS for n in sorted(T.LEAVES, reverse=True) for a in T.ALPHAS for w in (False, True)]
+    return logistic + tree + [none | {"model": "lda", "shrinkage": str(s)} for s in SHRINKAGES]
 
 
 def _with_one(x: np.ndarray) -> np.ndarray:
     return np.hstack([x, np.ones((len(x), 1))])
 
 
-def _moments(key, x, y):
-    """Of each class: n, sums and sums of products."""
-    return np.concatenate([np.concatenate([[m.sum()], x[m].sum(0), (x[m].T @ x[m]).ravel()]) for m in (y == 0, y == 1)])
-
-
-def _discriminants(train: DataFrame, features: list[str], classes: dict[tuple, list]) -> dict[tuple, np.ndarray]:
+def fit_discriminants(w: Weightings, shrinkages=SHRINKAGES) -> dict[int, np.ndarray]:
     """Coefficients by shrinkage; "auto" is the Ledoit-Wolf shrinkage of each class's standardised features."""
-    n_f = len(features)
-    scale = {k: [(m, np.sqrt(np.where(np.diag(c) > 0, np.diag(c), 1.0))) for _, m, c in v] for k, v in classes.items()}
+    ids, n_f = w.fitted(), len(w.features)
+    scale = np.sqrt(np.where(np.diagonal(w.covs, axis1=2, axis2=3) > 0, np.diagonal(w.covs, axis1=2, axis2=3), 1.0))
+    means = w.means
 
-    def fourth(key, x, y):
-        if key not in scale:
-            return np.zeros(2)
-        z = [((x[y == c] - m) / s) ** 2 for c, (m, s) in enumerate(scale[key])]
-        return np.array([(q.T @ q).sum() for q in z])
+    def fourth(k, x, y, weight, role):
+        return np.array([(weight[y == c] * ((((x[y == c] - means[k, c]) / scale[k, c]) ** 2).sum(axis=1) ** 2)).sum() for c in (0, 1)])
 
-    fours = group_sums(train, features, fourth)
+    fours = w.summed(fourth, ids) if "auto" in shrinkages else {}
     out = {}
-    for key, both in classes.items():
+    for k in ids.tolist():
+        (n0, n1), (m0, m1), (c0, c1) = w.counts[k], w.means[k], w.covs[k]
         auto = []
-        for (n, _, cov), (_, s), four in zip(both, scale[key], fours[key], strict=True):
+        for n, cov, s, four in zip((n0, n1), (c0, c1), scale[k], fours.get(k, (0.0, 0.0)), strict=True):
             z = cov / np.outer(s, s)
             spread, mu = (z**2).sum(), np.trace(z) / n_f
             off = (spread - 2 * mu * np.trace(z) + n_f * mu**2) / n_f
             err = min((four / n - spread) / (n_f * n), off)
             a = err / off if off > 0 and err > 0 else 0.0
             auto.append(((1 - a) * z + a * mu * np.eye(n_f)) * np.outer(s, s))
-        (n0, m0, c0), (n1, m1, c1) = both
         pooled = (n0 * c0 + n1 * c1) / (n0 + n1)
         betas = []
-        for shrink in SHRINKAGES:
-            cov = (n0 * auto[0] + n1 * auto[1]) / (n0 + n1) if shrink == "auto" else (1 - shrink) * pooled + shrink * np.trace(pooled) / n_f * np.eye(n_f)
-            w = np.linalg.lstsq(cov, m1 - m0, rcond=None)[0]
-            betas.append(np.append(w, -w @ (m0 + m1) / 2 + np.log(n1 / n0)))
-        out[key] = np.array(betas)
+        for shrink in shrinkages:
+            cov = (n0 * auto[0] + n1 * auto[1]) / (n0 + n1) if shrink == "auto" else (1 - float(shrink)) * pooled + float(shrink) * np.trace(pooled) / n_f * np.eye(n_f)
+            v = np.linalg.lstsq(cov, m1 - m0, rcond=None)[0]
+            betas.append(np.append(v, -v @ (m0 + m1) / 2 + np.log(n1 / n0)))
+        out[k] = np.array(betas)
     return out
 
 
-def _logistics(train: DataFrame, features: list[str], classes: dict[tuple, list], tried: list[dict], steps: int = 30) -> dict[tuple, np.ndarray]:
-    """Coefficients by setting: Newton steps of all folds and settings together until none moves."""
-    p = len(features) + 1
-    mask = np.array([[f in s["features"] for f in features] + [True] for s in tried], float)
+def fit_logistics(w: Weightings, tried: list[dict], steps: int = 60) -> tuple[dict[int, np.ndarray], set[int]]:
+    """Coefficients by setting and the weightings that did not settle: Newton steps of all that still move, together."""
+    p = len(w.features) + 1
+    mask = np.array([[f in s["features"] for f in w.features] + [True] for s in tried], float)
     ridge = np.array([[1 / s["c"]] * (p - 1) + [0.0] for s in tried])
     balanced = np.array([s["balanced"] for s in tried])
     upper = np.triu_indices(p)
-    beta = {k: np.zeros((len(tried), p)) for k in classes}
-    counts = {k: np.array([v[0][0], v[1][0]], float) for k, v in classes.items()}
+    beta = {k: np.zeros((len(tried), p)) for k in w.fitted().tolist()}
+    counts, moving = w.counts, set(beta)
     for _ in range(steps):
-        now = {k: b.copy() for k, b in beta.items()}
-
-        def sums(key, x, y, now=now):
-            if key not in now:
-                return np.zeros(len(tried) * (p + len(upper[0])))
-            x, n = _with_one(x), counts[key]
-            w = np.where(balanced[None, :], (n.sum() / (2 * n))[y.astype(int)][:, None], 1.0)
-            mu = probability(x @ now[key].T)
-            grad = (w * (y[:, None] - mu)).T @ x
-            hess = (w * mu * (1 - mu)).T @ (x[:, upper[0]] * x[:, upper[1]])
+        if not moving:
+            break
+        now = {k: beta[k].copy() for k in moving}
+
+        def sums(k, x, y, weight, role, now=now):
+            own = np.flatnonzero(weight)
+            x, y = _with_one(x[own]), y[own]
+            v = weight[own][:, None] * np.where(balanced[None, :], (counts[k].sum() / (2 * counts[k]))[y][:, None], 1.0)
+            mu = probability(x @ now[k].T)
+            grad = (v * (y[:, None] - mu)).T @ x
+            hess = (v * mu * (1 - mu)).T @ (x[:, upper[0]] * x[:, upper[1]])
             return np.hstack([grad, hess]).ravel()
 
-        moved = 0.0
-        for key, v in group_sums(train, features, sums).items():
-            if key not in beta:
-                continue
+        for k, v in w.summed(sums, np.array(sorted(moving), np.int64)).items():
             v = v.reshape(len(tried), -1)
             h = np.zeros((len(tried), p, p))
             h[:, upper[0], upper[1]] = h[:, upper[1], upper[0]] = v[:, p:]
             h = h * mask[:, :, None] * mask[:, None, :] + np.eye(p) * (ridge + 1e-9)[:, :, None]
-            step = np.linalg.solve(h, (mask * v[:, :p] - ridge * beta[key])[:, :, None])[:, :, 0]
+            step = np.linalg.solve(h, (mask * v[:, :p] - ridge * beta[k])[:, :, None])[:, :, 0]
             step *= np.minimum(1, 5 / np.maximum(np.linalg.norm(step, axis=1), 1e-12))[:, None]
-            beta[key] = beta[key] + step
-            moved = max(moved, np.abs(step).max())
-        if moved < 1e-7:
-            break
-    return beta
+            beta[k] = beta[k] + step
+            if np.abs(step).max() < 1e-7:
+                moving.discard(k)
+    return beta, moving
 
 
 def _recall(right, n):
     return right / n if n else np.full_like(right, np.nan, float)
 
 
-class Tuned:
-    """What all folds learned: ``accuracy`` by (rep, target) and setting, and the chosen models with their thresholds."""
+def _accuracy(ones, n1, zeros, n0):
+    return np.nanmean([_recall(ones, n1), _recall(zeros, n0)], axis=0)
 
-    def __init__(self, tried, accuracy, chosen):
-        self.tried, self.accuracy, self.chosen = tried, accuracy, chosen
 
+class Tuned:
+    """What all folds learned: ``accuracy`` by (rep, target) and setting, and the chosen models with their thresholds.
 
-def tune(feats: DataFrame, features: list[str]) -> Tuned:
-    """Settings judged by mean balanced accuracy over inner folds; thresholds by that of the pooled inner scores.
-
-    ``feats`` are standardised features with ``rep, fold_a, fold_b, role`` (see ``paired_features``).  A target fold whose
-    training units, or those of one of its inner folds, are all of one class is left out.
+    ``chosen`` has (rep, target, model, setting, threshold, coefficients or tree); ``left_out`` names targets without a
+    result and why.
     """
-    tried = settings(features)
-    train, held = feats.where("role = 'train'"), feats.where("role <> 'train'")
-    classes = {}
-    n_f = len(features)
-    for key, v in group_sums(train, features, _moments).items():
-        both = []
-        for c in v.reshape(2, -1):
-            n, mean = c[0], c[1 : 1 + n_f] / max(c[0], 1)
-            both.append((n, mean, c[1 + n_f :].reshape(n_f, n_f) / max(n, 1) - np.outer(mean, mean)))
-        if both[0][0] and both[1][0]:
-            classes[key] = both
-    logistic = _logistics(train, features, classes, [s for s in tried if s["model"] == "logistic"])
-    lda = _discriminants(train, features, classes)
-    beta = {k[:3]: np.vstack([logistic[k], lda[k]]) for k in classes}
-
-    def hits(key, x, y):
-        if key[:3] not in beta:
-            return np.zeros(2 * len(tried) + 2)
-        hit = probability(_with_one(x) @ beta[key[:3]].T) >= 0.5
-        return np.concatenate([hit[y == 1].sum(0), (~hit[y == 0]).sum(0), [(y == 1).sum(), (y == 0).sum()]])
-
-    target = lambda k: k[2] if k[3] == "a" else k[1]
-    inner = held.where("fold_a <> fold_b")
+
+    def __init__(self, tried, accuracy, chosen, edges, left_out):
+        self.tried, self.accuracy, self.chosen, self.edges, self.left_out = tried, accuracy, chosen, edges, left_out
+
+
+def tune(w: Weightings) -> Tuned:
+    """Settings judged by mean balanced accuracy over inner folds; thresholds by that of the pooled inner scores."""
+    tried = settings(w.features)
+    linear = [i for i, s in enumerate(tried) if s["model"] != "tree"]
+    logistic, _ = fit_logistics(w, [s for s in tried if s["model"] == "logistic"])
+    lda = fit_discriminants(w)
+    beta = {k: np.vstack([logistic[k], lda[k]]) for k in lda}
+    edges = T.bin_edges(w)
+    grown = T.grow(w, edges, [(n, b) for n in T.LEAVES for b in (False, True)])
+    kinds = {i: s for i, s in enumerate(tried) if s["model"] == "tree"}
+    pruned = {k: T.pruned_trees(own, kinds) for k, own in grown.items()}
+    keys, n = w.draw.keys, len(tried)
+    # what a pair of folds tells: with role 1 (fold_a held) about target fold_b, and the other way round
+    sides = {k: [(1, keys[k][2]), (2, keys[k][1])] for k in beta if keys[k][1] != keys[k][2]}
+
+    def hits(k, x, y, weight, role):
+        hit = probability(_with_one(x) @ beta[k].T) >= 0.5
+        return np.concatenate([v for r in (1, 2) for m in [role == r] for v in (hit[m & (y == 1)].sum(0), (~hit[m & (y == 0)]).sum(0), [(m & (y == 1)).sum(), (m & (y == 0)).sum()])]).astype(float)
+
+    inner = np.array(sorted(sides), np.int64)
+    counted, leaf = w.summed(hits, inner), T.leaf_counts(w, edges, {k: grown[k] for k in sides})
+    at = {}  # of every setting's tree: where the leaves of its whole tree stand, and what it says there
+    for k in sides:
+        place = {p: i for i, p in enumerate(leaf[k][0])}
+        own = {kind: t.leaves() for kind, t in grown[k].items()}
+        once: dict = {}
+        at[k] = {}
+        for i, t in pruned[k].items():
+            kind = tried[i]["leaf"], tried[i]["balanced"]
+            if (id(t), *own[kind]) not in once:
+                once[(id(t), *own[kind])] = np.array([place[p] for p in own[kind]]), np.array([t.probability(t.stop(p)) for p in own[kind]])
+            at[k][i] = once[(id(t), *own[kind])]
     folds: dict[tuple, list] = {}
-    for key, v in group_sums(inner, features, hits).items():
-        ones, zeros, (n1, n0) = v[: len(tried)], v[len(tried) : -2], v[-2:]
-        ba = np.nanmean([_recall(ones, n1), _recall(zeros, n0)], axis=0) if key[:3] in beta else np.full(len(tried), -np.inf)
-        folds.setdefault((key[0], target(key)), []).append(ba)
-    accuracy = {k: np.mean(v, axis=0) for k, v in folds.items() if np.isfinite(v).all() and (k[0], k[1], k[1]) in beta}
-    best = {k: {m: max((i for i, s in enumerate(tried) if s["model"] == m), key=lambda i: (round(v[i], 12), -i)) for m in ("logistic", "lda")} for k, v in accuracy.items()}
-
-    def above(key, x, y):
-        own = best.get((key[0], target(key)))
-        if own is None:
-            return np.zeros(2 * 2 * len(THRESHOLDS) + 2)
-        score = probability(_with_one(x) @ beta[key[:3]][list(own.values())].T)
-        over = score[:, :, None] >= THRESHOLDS
-        return np.concatenate([over[y == 1].sum(0).ravel(), (~over[y == 0]).sum(0).ravel(), [(y == 1).sum(), (y == 0).sum()]])
-
-    pooled: dict[tuple, np.ndarray] = {}
-    for key, v in group_sums(inner, features, above).items():
-        pooled[key[0], target(key)] = pooled.get((key[0], target(key)), 0) + v
+    for k, v in counted.items():
+        for (r, target), own in zip(sides[k], v.reshape(2, -1), strict=True):
+            m = len(linear)
+            n1, n0 = own[2 * m :]
+            ba = np.empty(n)
+            ba[linear] = _accuracy(own[:m], n1, own[m : 2 * m], n0)
+            held = leaf[k][1][:, r - 1]
+            for i, (where, p) in at[k].items():
+                ba[i] = _accuracy(held[where, 1] @ (p >= 0.5), n1, held[where, 0] @ (p < 0.5), n0)
+            folds.setdefault((keys[k][0], target), []).append(ba)
+    outer = {(keys[k][0], keys[k][1]): k for k in range(w.count) if keys[k][1] == keys[k][2]}
+    wanted = {t: sum(1 for k in range(w.count) if keys[k][0] == t[0] and keys[k][1] != keys[k][2] and t[1] in keys[k][1:]) for t in outer}
+    left_out = {t: w.failed.get(k) or "inner fold without a fit" for t, k in outer.items() if k not in beta or len(folds.get(t, ())) < wanted[t]}
+    accuracy = {t: np.mean(v, axis=0) for t, v in folds.items() if t in outer and t not in left_out}
+    best = {t: {m: max((i for i, s in enumerate(tried) if s["model"] == m), key=lambda i: (round(v[i], 12), -i)) for m in MODELS} for t, v in accuracy.items()}
+    place = {i: j for j, i in enumerate(linear)}
+
+    def above(k, x, y, weight, role):
+        out = []
+        for r, target in sides[k]:
+            own, m = best.get((keys[k][0], target)), role == r
+            score = probability(_with_one(x[m]) @ beta[k][[place[own[name]] for name in ("logistic", "lda")]].T) if own else np.zeros((m.sum(), 2))
+            over = score[:, :, None] >= THRESHOLDS
+            out += [over[y[m] == 1].sum(0).ravel(), (~over[y[m] == 0]).sum(0).ravel(), [(y[m] == 1).sum(), (y[m] == 0).sum()]]
+        return np.concatenate(out).astype(float)
+
+    size = 4 * len(THRESHOLDS)
+    pooled: dict[tuple, np.ndarray] = {t: np.zeros((3, 2, len(THRESHOLDS))) for t in best}
+    ns: dict[tuple, np.ndarray] = {t: np.zeros(2) for t in best}
+    for k, v in w.summed(above, inner).items():
+        for (r, target), own in zip(sides[k], v.reshape(2, -1), strict=True):
+            t = (keys[k][0], target)
+            if t in best:
+                pooled[t][[0, 2]] += own[:size].reshape(2, 2, -1).swapaxes(0, 1)
+                where, p = at[k][best[t]["tree"]]
+                held, over = leaf[k][1][where, r - 1], p[:, None] >= THRESHOLDS
+                pooled[t][1] += [(held[:, 1, None] * over).sum(0), (held[:, 0, None] * ~over).sum(0)]
+                ns[t] += own[size:]
     chosen = []
-    for (rep, t), own in sorted(best.items()):
-        v = pooled[rep, t]
-        ones, zeros = v[:-2].reshape(2, 2, -1)
-        for m, (model, i) in enumerate(own.items()):
-            ba = np.nanmean([_recall(ones[m], v[-2]), _recall(zeros[m], v[-1])], axis=0)
+    for t, own in sorted(best.items()):
+        for model, (ones, zeros) in zip(MODELS, pooled[t], strict=True):
+            ba = _accuracy(ones, ns[t][0], zeros, ns[t][1])
             ties = np.flatnonzero(np.abs(ba - ba.max()) < 1e-12)
-            threshold = min(THRESHOLDS[ties], key=lambda x: abs(x - 0.5))
-            chosen.append((int(rep), int(t), model, tried[i], float(threshold), beta[rep, t, t][i]))
-    return Tuned(tried, accuracy, chosen)
+            threshold = min(THRESHOLDS[ties], key=lambda v: abs(v - 0.5))
+            i, k = own[model], outer[t]
+            chosen.append((int(t[0]), int(t[1]), model, tried[i], float(threshold), pruned[k][i] if model == "tree" else beta[k][place[i]]))
+    return Tuned(tried, accuracy, chosen, edges, left_out)
 
 
-def near_medians(rows: DataFrame, points: DataFrame, keys: list[str], parts, group: str) -> DataFrame:
-    """Exact medians of the rows in role ``train`` by ``keys`` and ``group``, as ``m_`` and the part's name.
-
-    Fold after fold of the same points has its medians near theirs: values below a narrow band around the median of all
-    points are only counted, those in it (about the root of their number) are ranked; keys whose median lies outside
-    are done again from all values.  The driver holds one row per key and group.
-    """
-    train = rows.where("role = 'train'")
-    by = [*keys, group]
-    exact = lambda df: df.groupBy(*by).agg(*[F.percentile(p, 0.5).alias(f"m_{p}") for p in parts])
-    least = points.groupBy(group).agg(F.count_distinct("unit_id").alias("n")).agg(F.min("n")).first()[0]
-    half = 4 / math.sqrt(least) if least else 1.0
-    if half >= 0.4:
-        return exact(train)
-    bounds = points.where(F.col(group).isNotNull()).groupBy(group).agg(*[F.percentile_approx(p, F.array(F.lit(0.5 - half), F.lit(0.5 + half)), 2_000).alias(f"q_{p}") for p in parts])
-    inside = train.join(F.broadcast(bounds), group)
-    low, high = (lambda p: F.col(f"q_{p}")[0]), (lambda p: F.col(f"q_{p}")[1])
-    found = inside.groupBy(*by).agg(*[x for p in parts for x in (F.count(p).alias(f"n_{p}"), F.count_if(F.col(p) < low(p)).alias(f"b_{p}"), F.sort_array(F.collect_list(F.when(F.col(p).between(low(p), high(p)), F.col(p)))).alias(f"v_{p}"))])
-    at = lambda p, up: F.floor((F.col(f"n_{p}") - (0 if up else 1)) / 2) - F.col(f"b_{p}")
-    lost = [(F.col(f"n_{p}") > 0) & ((at(p, False) < 0) | (at(p, True) >= F.size(f"v_{p}"))) for p in parts]
-    pick = lambda p, up: F.get(f"v_{p}", at(p, up).cast("int"))
-    told = found.select(*by, *[((pick(p, False) + pick(p, True)) / 2).alias(f"m_{p}") for p in parts], reduce(or_, lost).alias("lost_"))
-    whole, spark = told.collect(), points.sparkSession
-    kinds = told.drop("lost_").schema
-    good = [tuple(r)[:-1] for r in whole if not r["lost_"]]
-    again = [tuple(r[k] for k in by) for r in whole if r["lost_"]]
-    if again:
-        wanted = spark.createDataFrame(again, told.select(*by).schema)
-        good += [tuple(r) for r in exact(train.join(F.broadcast(wanted), by)).select(*kinds.names).collect()]
-    return spark.createDataFrame(good, kinds)
-
-
-def paired_features(df: DataFrame, folds: DataFrame, parts, library, zero_c: float = 0.5, group: str = "state") -> DataFrame:
-    """Standardised unit balances with one fold (``fold_a = fold_b``) or two folds out, prepared without the units left out."""
-    k = folds.agg(F.max("fold")).first()[0] + 1
-    if k < 3:
+def prepared(df: DataFrame, parts, library, folds_n: int = 5, repeats: int = 20, zero_c: float = 0.5, group: str = "state") -> Weightings:
+    """Units with every pair of folds out, prepared without the units left out."""
+    if folds_n < 3:
         raise ValueError("inner folds need three folds or more")
-    pairs = F.array(*[F.struct(F.lit(a).alias("fold_a"), F.lit(b).alias("fold_b")) for a in range(k) for b in range(a, k)])
-    rows = df.join(folds.select("unit_id", F.col("rep").cast("int").alias("rep"), "fold"), "unit_id").withColumn("pair_", F.explode(pairs)).select("*", "pair_.fold_a", "pair_.fold_b").drop("pair_")
-    rows = rows.withColumn("role", F.when(F.col("fold") == F.col("fold_a"), "a").when(F.col("fold") == F.col("fold_b"), "b").otherwise("train"))
-    keys = ["rep", "fold_a", "fold_b"]
-    feats = fold_features(rows, keys, parts, library, group, zero_c, F.broadcast(near_medians(rows, df, keys, parts, group))).withColumn("y", (F.col("label") == "PB").cast("int"))
-    return standardised(feats, keys, list(library))
-
-
-def _prepared(df, parts, library, folds_n, repeats, zero_c):
     folds = unit_folds(df.groupBy("unit_id").agg(F.min("label").alias("label")), folds_n, repeats)
-    return paired_features(df, folds, parts, library, zero_c).select(*_KEYS, "unit_id", "y", *library)
+    draw = FoldsOut(folds_n, repeats)
+    return weightings(df, parts, library, draw, len(draw.keys), fold_words(folds), group, zero_c)
 
 
 def tuning_table(df: DataFrame, parts, library, folds_n: int = 5, repeats: int = 20, zero_c: float = 0.5) -> DataFrame:
     """``rep, target`` and every setting with its mean inner balanced accuracy, whether it is chosen, and the threshold then."""
-    feats = _prepared(df, parts, library, folds_n, repeats, zero_c).persist()
+    w = prepared(df, parts, library, folds_n, repeats, zero_c)
     try:
-        tuned = tune(feats, list(library))
+        tuned = tune(w)
     finally:
-        feats.unpersist()
+        w.close()
     chosen = {(rep, t, id(s)): threshold for rep, t, _, s, threshold, _ in tuned.chosen}
     rows = [
-        (int(rep), int(t), s["model"], "+".join(s["features"]), s["c"], s["balanced"], s["shrinkage"], float(v), (rep, t, id(s)) in chosen, chosen.get((rep, t, id(s))))
+        (int(rep), int(t), s["model"], "+".join(s["features"]), s["c"], s["balanced"], s["shrinkage"], s["depth"], s["leaf"], s["alpha"], float(v), (rep, t, id(s)) in chosen, chosen.get((rep, t, id(s))))
         for (rep, t), accuracy in sorted(tuned.accuracy.items())
         for s, v in zip(tuned.tried, accuracy, strict=True)
     ]
-    return df.sparkSession.createDataFrame(rows, "rep int, target int, model string, features string, c double, balanced boolean, shrinkage string, balanced_accuracy double, chosen boolean, threshold double")
-
-
-def nested_cv(df: DataFrame, parts, library, folds_n: int = 5, repeats: int = 20, zero_c: float = 0.5) -> DataFrame:
+    return df.sparkSession.createDataFrame(rows, "rep int, target int, model string, features string, c double, balanced boolean, shrinkage string, depth int, leaf int, alpha double, balanced_accuracy double, chosen boolean, threshold double")
+
+
+def out_of_fold(w: Weightings, tuned: Tuned) -> DataFrame:
+    """``rep, fold, unit_id, y, model, score, threshold``: every unit once per repeat and model, scored by its own fold's models."""
+    outer = {(r, a): k for k, (r, a, b) in enumerate(w.draw.keys) if a == b}
+    models: dict[int, list] = {}
+    for rep, t, model, _, threshold, fit in tuned.chosen:
+        models.setdefault(rep, []).append((t, outer[rep, t], model, threshold, fit))
+    turn, draw, edges = w.turn, w.draw, tuned.edges
+    schema = "rep int, fold int, unit_id long, y int, model string, score double, threshold double"
+
+    def judge(batches):
+        for batch in _sliced(batches):
+            x, y, a = _matrix(batch, "x"), *(_vector(batch, c) for c in ("y", "a_"))
+            ids = batch.column(batch.schema.get_field_index("unit_id"))
+            for rep, own in models.items():
+                fold = draw.folds(a, np.array([outer[rep, 0]]))[:, 0]
+                for t, k, model, threshold, fit in own:
+                    at = np.flatnonzero(fold == t)
+                    z = x[at] @ turn[k]
+                    score = fit.score(z, edges) if model == "tree" else probability(_with_one(z) @ fit)
+                    n = len(at)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(n, v, np.int32)) for v in (rep, t)] + [ids.take(pa.array(at)), pa.array(y[at].astype(np.int32)), pa.array([model] * n, pa.string()), pa.array(score), pa.array(np.full(n, threshold))], names=["rep", "fold", "unit_id", "y", "model", "score", "threshold"])
+
+    return w.units.select(F.col("unit_id").cast("long"), "y", "a_", "x").mapInArrow(judge, schema)
+
+
+def nested_cv(df: DataFrame, parts, library, folds_n: int = 5, repeats: int = 20, zero_c: float = 0.5, name: str = "oof") -> DataFrame:
     """Out-of-fold table ``rep, fold, unit_id, y, model, score, threshold``: every unit once per repeat and model.
 
-    Preparation, setting and threshold of a fold come from the other folds alone.
+    Preparation, setting and threshold of a fold come from the other folds alone.  The table is written to the shared
+    folder.  An error if a fold has no model, or a unit does not occur exactly once.
     """
-    names = list(library)
-    feats = _prepared(df, parts, library, folds_n, repeats, zero_c).persist()
+    from ..sources.shared import materialise
+
+    w = prepared(df, parts, library, folds_n, repeats, zero_c)
     try:
-        chosen = tune(feats, names).chosen
+        tuned = tune(w)
+        if tuned.left_out:
+            raise ValueError(f"folds without a model: {tuned.left_out}")
+        out = materialise(out_of_fold(w, tuned), name)
+        n = w.units.count()
     finally:
-        feats.unpersist()
-    held = feats.where("fold_a = fold_b and role = 'a'").drop("fold_b", "role")
-    coefs = [f"beta_{i}" for i in range(len(names) + 1)]
-    out = None
-    for model in ("logistic", "lda"):
-        table = [(rep, t, threshold, *map(float, b)) for rep, t, m, _, threshold, b in chosen if m == model]
-        one = joined(held, table, ["rep", "fold_a"], ["threshold", *coefs])
-        z = sum((F.col(c) * F.col(f) for c, f in zip(coefs, names, strict=False)), F.col(coefs[-1]))
-        one = one.select("rep", F.col("fold_a").alias("fold"), "unit_id", "y", F.lit(model).alias("model"), (1 / (1 + F.exp(-z))).alias("score"), "threshold")
-        out = one if out is None else out.unionByName(one)
+        w.close()
+    once = out.groupBy("rep", "model").agg(F.count("*").alias("n"), F.count_distinct("unit_id").alias("units")).collect()
+    if len(once) != repeats * len(MODELS) or any(r["n"] != n or r["units"] != n for r in once):
+        raise ValueError("a unit does not occur exactly once in every repeat")
     return out

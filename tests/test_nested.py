@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from partwise.functions.expressions import uniform
-from partwise.operators import nested
+from partwise.operators import nested, trees
 from partwise.operators.keys import unit_folds
 
 PARTS = ("a", "b", "c")
@@ -84,6 +84,48 @@ def discriminant(x, y, s):
     return np.append(w, -w @ (means[0] + means[1]) / 2 + np.log(y.sum() / (1 - y).sum()))
 
 
+def plain_tree(x, y, edges, depth, leaf, alpha, balanced):
+    """A tree grown by trying every cut of every feature, then pruned; nested dictionaries."""
+    w = np.array([len(y) / (2 * (y == 0).sum()), len(y) / (2 * (y == 1).sum())]) if balanced else np.ones(2)
+    mass = lambda rows: np.array([(y[rows] == c).sum() for c in (0, 1)]) * w
+    total = mass(np.arange(len(y))).sum()
+    risk = lambda rows: (mass(rows).sum() - (mass(rows) ** 2).sum() / mass(rows).sum()) / total
+
+    def build(rows, left_depth):
+        node = {"p": mass(rows)[1] / mass(rows).sum(), "risk": risk(rows)}
+        best = None
+        if left_depth and len(set(y[rows])) == 2 and len(rows) >= 2 * leaf:
+            for f in range(x.shape[1]):
+                for e in edges[f]:
+                    a, b = rows[x[rows, f] <= e], rows[x[rows, f] > e]
+                    if min(len(a), len(b)) >= leaf:
+                        worth = round((mass(a) ** 2).sum() / mass(a).sum() + (mass(b) ** 2).sum() / mass(b).sum(), 9)
+                        if best is None or worth > best[0]:
+                            best = worth, f, e, a, b
+        if best:
+            node |= {"f": best[1], "e": best[2], "kids": [build(r, left_depth - 1) for r in best[3:]]}
+        return node
+
+    def leaves(n):
+        return [n] if "kids" not in n else [v for k in n["kids"] for v in leaves(k)]
+
+    def inner(n):
+        return [] if "kids" not in n else [n, *[v for k in n["kids"] for v in inner(k)]]
+
+    tree = build(np.arange(len(y)), depth)
+    while alpha and inner(tree):
+        gain = lambda n: (n["risk"] - sum(v["risk"] for v in leaves(n))) / (len(leaves(n)) - 1)
+        weakest = min(inner(tree), key=gain)
+        if gain(weakest) > alpha:
+            break
+        del weakest["kids"]
+
+    def score(row, n):
+        return n["p"] if "kids" not in n else score(row, n["kids"][int(row[n["f"]] > n["e"])])
+
+    return lambda z: np.array([score(r, tree) for r in z])
+
+
 def accuracy(y, hit):
     return (hit[y == 1].mean() + (~hit[y == 0]).mean()) / 2
 
@@ -94,24 +136,34 @@ def test_nested_equals_loops(spark, points):
     y_of = (folds.drop_duplicates("unit_id").set_index("unit_id").label == "PB").astype(float)
     told = nested.tuning_table(points, PARTS, LIBRARY, 4, 2).toPandas()
     oof = nested.nested_cv(points, PARTS, LIBRARY, 4, 2).toPandas()
-    assert len(oof) == 2 * 2 * 45 and not oof.duplicated(["rep", "unit_id", "model"]).any()
+    assert len(oof) == 3 * 2 * 45 and not oof.duplicated(["rep", "unit_id", "model"]).any()
     tried = nested.settings(list(LIBRARY))
-    assert len(tried) == 3 * 7 * 2 + 6
+    assert len(tried) == 3 * 7 * 2 + 120 + 6
+    w = nested.prepared(points, PARTS, LIBRARY, 4, 2)
+    edges = trees.bin_edges(w)
+    w.close()
     score = lambda b, x: 1 / (1 + np.exp(-(x @ b[:-1] + b[-1])))
+
+    def fit(s, x, y):
+        if s["model"] == "tree":
+            return plain_tree(x, y, edges, s["depth"], s["leaf"], s["alpha"], s["balanced"])
+        beta = (logistic if s["model"] == "logistic" else discriminant)(x, y, s)
+        return lambda z: score(beta, z)
+
     for rep, target in ((0, 0), (1, 2)):
         fold = folds[folds.rep == rep].set_index("unit_id").fold
         results, pooled = [], []
         for j in [f for f in range(4) if f != target]:
             train, held = [sorted(fold.index[m]) for m in (~fold.isin([target, j]), fold == j)]
             x, v = features(plain, train, train), features(plain, train, held)
-            betas = [(logistic if s["model"] == "logistic" else discriminant)(x, y_of[train].to_numpy(), s) for s in tried]
-            results.append([accuracy(y_of[held].to_numpy(), score(b, v) >= 0.5) for b in betas])
-            pooled.append((y_of[held].to_numpy(), [score(b, v) for b in betas]))
+            scores = [fit(s, x, y_of[train].to_numpy())(v) for s in tried]
+            results.append([accuracy(y_of[held].to_numpy(), p >= 0.5) for p in scores])
+            pooled.append((y_of[held].to_numpy(), scores))
         means = np.mean(results, axis=0)
         own = told[(told.rep == rep) & (told.target == target)]
         assert np.allclose(own.balanced_accuracy, means)
         train, held = [sorted(fold.index[m]) for m in (fold != target, fold == target)]
-        for model in ("logistic", "lda"):
+        for model in nested.MODELS:
             mine = [i for i, s in enumerate(tried) if s["model"] == model]
             best = max(mine, key=lambda i: (round(means[i], 12), -i))
             assert own.chosen.to_numpy()[best]
@@ -119,21 +171,10 @@ def test_nested_equals_loops(spark, points):
             p = np.concatenate([q[1][best] for q in pooled])
             gains = np.array([accuracy(y, p >= t) for t in nested.THRESHOLDS])
             want = min(nested.THRESHOLDS[gains >= gains.max() - 1e-12], key=lambda t: abs(t - 0.5))
-            fit = logistic if model == "logistic" else discriminant
-            beta = fit(features(plain, train, train), y_of[train].to_numpy(), tried[best])
+            last = fit(tried[best], features(plain, train, train), y_of[train].to_numpy())
             got = oof[(oof.rep == rep) & (oof.fold == target) & (oof.model == model)].sort_values("unit_id")
             assert np.allclose(got.threshold, want)
-            assert np.allclose(got.score, score(beta, features(plain, train, held)), atol=1e-6)
-
-
-def test_near_medians_are_exact(spark):
-    """A fold that is far from all the others has its median outside the band and is done again."""
-    u = lambda s: uniform(F.lit(s), "id")
-    df = spark.range(900).select(F.col("id").alias("unit_id"), F.when(F.col("id") % 3 == 0, 50 + u("a")).when(F.col("id") % 7 == 0, None).otherwise(u("b")).alias("a"), F.lit("W").alias("state"))
-    rows = df.withColumn("k", F.explode(F.array(*map(F.lit, range(4))))).withColumn("role", F.when((F.col("k") == 3) & (F.col("unit_id") % 3 != 0), "a").when((F.col("unit_id") % 11) == F.col("k"), "a").otherwise("train"))
-    want = {(r["k"], r["state"]): r["m"] for r in rows.where("role = 'train'").groupBy("k", "state").agg(F.percentile("a", 0.5).alias("m")).collect()}
-    got = {(r["k"], r["state"]): r["m_a"] for r in nested.near_medians(rows, df, ["k"], ["a"], "state").collect()}
-    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-12 for k in want)
+            assert np.allclose(got.score, last(features(plain, train, held)), atol=1e-6)
 
 
 def test_nested_needs_three_folds(points):
