@@ -14,7 +14,9 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.parquet as pq
+from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -27,11 +29,11 @@ from .words import mix64, parts, slices, word_hashes
 MAX_CELLS = 1 << 30
 ROWS = 2
 #: Windows that a task gathers before it sends them.
-FLUSH = 2_000_000
+FLUSH = 1_000_000
 #: Cells of a part of the sketch that is merged by itself.
 SEGMENT = 1 << 23
 _STEP = 1 << 19
-_RUN = 2 << 20
+_RUN = 1 << 20
 _BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 
 
@@ -140,8 +142,6 @@ def read_sketch(path: str, bits: int) -> np.ndarray:
     system, name = open_fs(path)
     out = np.zeros((ROWS, (1 << bits) // 8), np.uint8)
     step = min(SEGMENT, 1 << bits) // 8
-    from pyarrow import fs
-
     for file in system.get_file_info(fs.FileSelector(name)):
         if file.base_name.endswith(".parquet"):
             with system.open_input_file(file.path) as source:
@@ -185,6 +185,16 @@ class Occurrences:
         out[order] = place[order] > first
         return out
 
+    def one_per_document(self) -> Occurrences:
+        """The same windows beside a table that holds each document once."""
+        order = np.lexsort((self.keys, self.ids, self.known))
+        same = [x[order][1:] == x[order][:-1] for x in (self.keys, self.ids, self.known)]
+        new = np.concatenate([[True], ~(same[0] & same[1] & same[2])])[: len(order)]
+        place = np.empty(len(order), np.int64)
+        place[order] = np.cumsum(new) - 1
+        kept = order[new]
+        return Occurrences(self.h1, self.h2, place[self.doc], self.start, self.ids[kept], self.known[kept], self.keys[kept])
+
     def starts_by_document(self) -> tuple[np.ndarray, pa.Array]:
         """Documents that hold windows, and their windows' first words as 32-bit integers."""
         order = np.argsort(self.doc, kind="stable")
@@ -218,13 +228,20 @@ class Occurrences:
         return cls(*[np.concatenate(x) for x in told])
 
 
-_FOUND = pa.schema([("bucket", pa.int32()), ("windows", pa.binary()), ("doc_id", pa.int64()), ("key", pa.int64()), ("starts", pa.binary())])
-_DECIDED = pa.schema([("doc_id", pa.int64()), ("key", pa.int64()), ("starts", pa.binary())])
+_FOUND = pa.schema([("bucket", pa.int32()), ("windows", pa.binary()), ("part", pa.int32()), ("decided", pa.binary())])
 
 
-def _decided(found: Occurrences) -> list[pa.Array]:
-    docs, starts = found.starts_by_document()
-    return [pa.array(found.ids[docs], pa.int64(), mask=~found.known[docs]), pa.array(found.keys[docs], pa.int64()), starts]
+def _decided(found: Occurrences, parts_: int) -> tuple[list[int], list[bytes]]:
+    """Windows that go, packed by part of the documents: a hash of id and text says which."""
+    with np.errstate(over="ignore"):
+        own = mix64(mix64(found.ids.astype(np.uint64)) + found.keys.astype(np.uint64)) >> np.uint64(32)
+    part = (own * np.uint64(parts_) >> np.uint64(32)).astype(np.int64)[found.doc]
+    order = np.lexsort((found.start, found.doc, part))
+    edges = np.searchsorted(part[order], np.arange(parts_ + 1))
+    there = np.flatnonzero(np.diff(edges)).tolist()
+    none = np.zeros(len(found.h1), np.uint64)
+    bare = Occurrences(none, none, found.doc, found.start, found.ids, found.known, found.keys)
+    return there, [bare.take(order[edges[p] : edges[p + 1]]).blob() for p in there]
 
 
 def _sent(held: list[tuple], docs: dict, buckets: int):
@@ -235,20 +252,19 @@ def _sent(held: list[tuple], docs: dict, buckets: int):
     all_ = Occurrences(h1, h2, doc, start, ids, known, keys)
     later = all_.later()
     bucket = ((h1 >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int32)
-    own = _decided(all_.take(later))
-    if len(own[0]):
-        through = pa.array(np.arange(len(own[0])) % buckets, pa.int32())
-        yield pa.RecordBatch.from_arrays([through, pa.nulls(len(own[0]), pa.binary()), *own], schema=_FOUND)
+    through, decided = _decided(all_.take(later), buckets)
+    if through:
+        yield pa.RecordBatch.from_arrays([pa.array(through, pa.int32()), pa.nulls(len(through), pa.binary()), pa.array(through, pa.int32()), pa.array(decided, pa.binary())], schema=_FOUND)
     rest = np.flatnonzero(~later)
     rest = rest[np.lexsort((start[rest], doc[rest], bucket[rest]))]
     edges = np.searchsorted(bucket[rest], np.arange(buckets + 1))
     for b in np.flatnonzero(np.diff(edges)).tolist():
         blob = all_.take(rest[edges[b] : edges[b + 1]]).blob()
-        yield pa.RecordBatch.from_arrays([pa.array([b], pa.int32()), pa.array([blob], pa.binary()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.binary())], schema=_FOUND)
+        yield pa.RecordBatch.from_arrays([pa.array([b], pa.int32()), pa.array([blob], pa.binary()), pa.nulls(1, pa.int32()), pa.nulls(1, pa.binary())], schema=_FOUND)
 
 
 def removed_windows(docs: DataFrame, width: int, sketch: str, bits: int, buckets: int) -> DataFrame:
-    """``doc_id, key, starts``: windows that start earlier elsewhere, in one row or more of each document that has any."""
+    """``doc_id, key, starts``: the windows of each document that start earlier elsewhere, as 32-bit integers."""
 
     def look_up(batches):
         cells_ = read_sketch(sketch, bits)
@@ -270,15 +286,22 @@ def removed_windows(docs: DataFrame, width: int, sketch: str, bits: int, buckets
             yield from _sent(held, known, buckets)
 
     def decide(rows: pa.Table) -> pa.Table:
+        done = rows.filter(pc.is_valid(rows.column("decided"))).select(["part", "decided"])
         blobs = [x for x in rows.column("windows").to_pylist() if x is not None]
-        done = rows.filter(pa.compute.is_valid(rows.column("starts"))).select(["doc_id", "key", "starts"])
         if not blobs:
             return done
         found = Occurrences.from_blobs(blobs)
-        return pa.concat_tables([done, pa.Table.from_arrays(_decided(found.take(found.later())), schema=_DECIDED)])
+        part, decided = _decided(found.take(found.later()), buckets)
+        return pa.concat_tables([done, pa.table({"part": pa.array(part, pa.int32()), "decided": pa.array(decided, pa.binary())})])
+
+    def gather(rows: pa.Table) -> pa.Table:
+        found = Occurrences.from_blobs(rows.column("decided").to_pylist()).one_per_document()
+        docs_, starts = found.starts_by_document()
+        return pa.table({"doc_id": pa.array(found.ids[docs_], pa.int64(), mask=~found.known[docs_]), "key": pa.array(found.keys[docs_], pa.int64()), "starts": starts})
 
-    sent = docs.mapInArrow(look_up, "bucket int, windows binary, doc_id long, key long, starts binary")
-    return sent.groupBy("bucket").applyInArrow(decide, "doc_id long, key long, starts binary")
+    sent = docs.mapInArrow(look_up, "bucket int, windows binary, part int, decided binary")
+    decided = sent.groupBy("bucket").applyInArrow(decide, "part int, decided binary")
+    return decided.groupBy("part").applyInArrow(gather, "doc_id long, key long, starts binary")
 
 
 def keep_words(text: bytes, starts: np.ndarray, width: int) -> tuple[int, int, str]:
@@ -321,16 +344,15 @@ def remove_repeats(docs: DataFrame, width: int = 20, cells_a_word: int = 4) -> D
     bits = max(12, (min(MAX_CELLS, cells_a_word * words) // ROWS - 1).bit_length()) if words else 12
     buckets = max(16, words // 1_000_000)
     decided = removed_windows(docs, width, build_sketch(docs, width, bits), bits, buckets)
-    lists = decided.groupBy("doc_id", "key").agg(F.collect_list("starts").alias("starts"))
     schema = "doc_id long, n_words long, n_removed long, kept_sha256 string"
 
     def clean(batches):
         for batch in batches:
             told = []
             for text, starts in zip(batch.column(1), batch.column(2), strict=True):
-                own = np.frombuffer(b"".join(starts.as_py() or []), "<u4").astype(np.int64)
+                own = np.frombuffer(starts.as_py() or b"", "<u4").astype(np.int64)
                 told.append(keep_words(text.as_buffer().to_pybytes() if text.is_valid else b"", own, width))
             n, gone, digest = zip(*told, strict=True) if told else ([], [], [])
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(digest, pa.string())], names=["doc_id", "n_words", "n_removed", "kept_sha256"])
 
-    return joined_back(docs, lists, ["doc_id", "key"], ["starts"]).select("doc_id", "text", "starts").mapInArrow(clean, schema)
+    return joined_back(docs, decided, ["doc_id", "key"], ["starts"]).select("doc_id", "text", "starts").mapInArrow(clean, schema)
