@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 
 from ..functions.expressions import logit, odds_ratio, total
 from .audit import auc
-from .effect import replicates
 from .evidence import table_fingerprint
 from .logratio import balances, closure
 
@@ -119,14 +118,6 @@ def score(df: DataFrame, keys: list[str], features: list[str], beta: dict[tuple,
     return out.withColumn("score", 1 / (1 + F.exp(-z))).drop(*names)
 
 
-def fit_tree(df: DataFrame, features: list[str], depth: int = 3, least: int = 5):
-    from pyspark.ml.classification import DecisionTreeClassifier
-    from pyspark.ml.feature import VectorAssembler
-
-    rows = VectorAssembler(inputCols=features, outputCol="x_").transform(df)
-    return DecisionTreeClassifier(labelCol="y", featuresCol="x_", maxDepth=depth, minInstancesPerNode=least, minInfoGain=0.01).fit(rows)
-
-
 def class_metrics(oof: DataFrame, threshold: float | Column = 0.5) -> DataFrame:
     """Per rep and model: balanced accuracy, macro F1, Brier score, area under the curve."""
     hit = F.col("score") >= threshold
@@ -163,19 +154,6 @@ def model_comparison(metrics: DataFrame, names=("balanced_accuracy", "brier")) -
     return pairs.groupBy(F.col("a.metric").alias("metric"), F.col("a.model").alias("model_a"), F.col("b.model").alias("model_b")).agg(F.avg(d).alias("mean"), F.percentile(d, 0.025).alias("ci_low"), F.percentile(d, 0.975).alias("ci_high"))
 
 
-def calibration_gate(oof: DataFrame, model: str) -> DataFrame:
-    """Whether sigmoid calibration (fitted on repeat 0, judged on the others) gains .01 of Brier score and costs at most .01 of accuracy."""
-    own = oof.where(F.col("model") == model)
-    fit = calibration_fit(own.where("rep = 0"), ["model"]).first()
-    rest = own.where("rep <> 0")
-    z = logit(F.col("score")) * fit["slope"] + fit["intercept"]
-    both = rest.select("rep", "y", "score", (1 / (1 + F.exp(-z))).alias("calibrated"))
-    brier = lambda c: F.avg((F.col(c) - F.col("y")) * (F.col(c) - F.col("y")))
-    ba = lambda c: (F.avg(F.when(F.col("y") == 1, (F.col(c) >= 0.5).cast("int"))) + F.avg(F.when(F.col("y") == 0, (F.col(c) < 0.5).cast("int")))) / 2
-    out = both.agg((brier("score") - brier("calibrated")).alias("brier_gain"), (ba("score") - ba("calibrated")).alias("accuracy_loss"))
-    return out.withColumn("enabled", (F.col("brier_gain") >= 0.01) & (F.col("accuracy_loss") <= 0.01))
-
-
 def select_model(metrics: DataFrame, simplicity: dict[str, int]) -> DataFrame:
     """Models within one standard error of the best accuracy and .02 of the best Brier score; the simplest is chosen."""
     by = metrics.groupBy("model").agg(F.avg("balanced_accuracy").alias("accuracy"), (F.stddev_samp("balanced_accuracy") / F.sqrt(F.count("*"))).alias("se"), F.avg("brier").alias("brier"))
@@ -186,20 +164,6 @@ def select_model(metrics: DataFrame, simplicity: dict[str, int]) -> DataFrame:
     return told.join(first, "one_").select("model", "accuracy", "brier", "eligible", (F.col("eligible") & (F.col("rank_") == F.col("first_"))).alias("selected"))
 
 
-def train_final(df: DataFrame, parts, library, zero_c: float = 0.5) -> dict:
-    """A pipeline's parameters: medians by state, zero replacements, scaling, logistic and discriminant coefficients."""
-    from .logratio import fit_prep, transform
-
-    prep = fit_prep(df, parts, "state", zero_c=zero_c)
-    units = balances(transform(df, prep), library).groupBy("unit_id", "label").agg(*[F.avg(b).alias(b) for b in library]).withColumn("y", (F.col("label") == "PB").cast("int")).withColumn("one", F.lit(1)).withColumn("role", F.lit("train"))
-    names = list(library)
-    scale = units.agg(*[v for f in names for v in (F.avg(f).alias(f"a_{f}"), F.stddev_pop(f).alias(f"s_{f}"))]).first().asDict()
-    ready = standardised(units, ["one"], names).cache()
-    models = {"logistic": batched_logistic(ready, ["one"], names), "lda": lda(ready, ["one"], names)}
-    ready.unpersist()
-    return {"parts": list(prep.parts), "medians": prep.medians, "counts": prep.counts, "global": prep.global_medians, "delta": prep.delta, "library": {k: [list(s) for s in v] for k, v in library.items()}, "scale": scale, "models": {m: next(iter(b.values())).tolist() for m, b in models.items()}, "threshold": 0.5}
-
-
 def freeze(spark: SparkSession, pipeline: dict, path: str) -> str:
     """Write a pipeline as a parameter table with its fingerprint (no time is part of it); returns the fingerprint."""
     rows = spark.createDataFrame([(k, json.dumps(v, sort_keys=True)) for k, v in sorted(pipeline.items())], "name string, value string")
@@ -222,9 +186,11 @@ def unit_features(df: DataFrame, pipeline: dict) -> DataFrame:
     """Standardised balances of the units of ``df`` by a frozen pipeline: literals only, one aggregation by unit."""
     from .logratio import Prep, transform
 
-    prep = Prep("state", tuple(pipeline["parts"]), pipeline["medians"], pipeline["counts"], pipeline["global"], 5, pipeline["delta"])
+    group = pipeline["group"] or "all_"
+    df = df if pipeline["group"] else df.withColumn("all_", F.lit("all"))
+    prep = Prep(group, tuple(pipeline["parts"]), pipeline["medians"], pipeline["counts"], pipeline["global"], 5, pipeline["delta"])
     library = {k: tuple(map(tuple, v)) for k, v in pipeline["library"].items()}
-    seen = F.col("state").isin(*pipeline["medians"])
+    seen = F.coalesce(F.col(group).isin(*pipeline["medians"]), F.lit(False))
     units = balances(transform(df, prep), library).groupBy("unit_id").agg(F.max((~seen).cast("int")).alias("unseen_group"), F.max((~F.col("valid")).cast("int")).alias("invalid"), *[F.avg(b).alias(b) for b in library])
     s = pipeline["scale"]
     return units.withColumns({f: (F.col(f) - s[f"a_{f}"]) / (s[f"s_{f}"] or 1.0) for f in library})
@@ -239,42 +205,18 @@ def linear_score(features, beta):
     return 1 / (1 + F.exp(-z))
 
 
-def score_units(df: DataFrame, pipeline: dict) -> DataFrame:
-    """Units with the probability of every frozen model: ``p_logistic, p_lda``."""
-    names = list(pipeline["library"])
-    return unit_features(df, pipeline).withColumns({f"p_{m}": linear_score(names, b) for m, b in pipeline["models"].items()})
-
-
-def boot_pipelines(df: DataFrame, parts, library, reps: int) -> dict[int, np.ndarray]:
-    """Logistic coefficients of every bootstrap replicate of units; replicates of one label are left out."""
-    from .logratio import fit_prep, transform
-
-    units = balances(transform(df, fit_prep(df, parts, "state")), library).groupBy("unit_id", "label").agg(*[F.avg(b).alias(b) for b in library])
-    names = list(library)
-    ready = standardised(units.withColumns({"y": (F.col("label") == "PB").cast("int"), "one": F.lit(1), "role": F.lit("train")}), ["one"], names)
-    return {k[0]: b for k, b in batched_logistic(replicates(ready, reps).cache(), ["rep"], names, weight="m", steps=6).items()}
-
-
-def boot_score(units: DataFrame, features, boot: dict[int, np.ndarray], threshold: float = 0.5) -> DataFrame:
-    """Interval of a unit's probability over replicates and the share of votes, as arrays in the row: no shuffle."""
-    from .effect import array_quantile
-
-    scores = F.array_sort(F.array(*[linear_score(features, boot[k]) for k in sorted(boot)]))
-    out = units.withColumn("scores_", scores)
-    votes = F.size(F.filter("scores_", lambda s: s >= threshold)) / F.size("scores_")
-    return out.withColumns({"p_low": array_quantile(F.col("scores_"), 0.025), "p_high": array_quantile(F.col("scores_"), 0.975), "majority": F.greatest(votes, 1 - votes)}).drop("scores_")
-
-
-def reject_reasons(df: DataFrame, threshold: float = 0.5, fuzzy: float = 0.1, least_majority: float = 0.8) -> DataFrame:
-    """``reasons`` joined by ``;`` and ``rejected``, from scores, interval, domain and flags of a unit."""
-    p = F.col("p_logistic")
+def reject_reasons(df: DataFrame, pipeline: dict, fuzzy: float = 0.1, least_majority: float = 0.8) -> DataFrame:
+    """``reasons`` joined by ``;`` and ``rejected``, from scores, interval, votes, domain and flags of a unit."""
+    selected = pipeline["selected"]
+    p, threshold = F.col(f"p_{selected}"), pipeline["thresholds"][selected]
+    labels = [F.col(f"label_{m}") for m in sorted(pipeline["models"])]
     tests = {
-        "low_majority": F.col("majority") < least_majority,
-        "interval_crosses_threshold": (F.col("p_low") < threshold) & (F.col("p_high") > threshold),
-        "models_disagree": (p >= threshold) != (F.col("p_lda") >= threshold),
+        "low_majority": F.col("majority").isNull() | (F.col("majority") < least_majority),
+        "interval_crosses_threshold": (F.col("p_low") <= threshold) & (F.col("p_high") >= threshold),
+        "models_disagree": F.least(*labels) != F.greatest(*labels),
         "out_of_domain": F.col("outside"),
         "unseen_group": F.col("unseen_group") == 1,
-        "fuzzy_zone": F.abs(p - threshold) <= fuzzy,
+        "fuzzy_zone": p.between(max(0.0, threshold - fuzzy), min(1.0, threshold + fuzzy)),
         "invalid_sum": F.col("invalid") == 1,
     }
     found = F.array_compact(F.array(*[F.when(t, F.lit(n)) for n, t in tests.items()]))
@@ -283,7 +225,7 @@ def reject_reasons(df: DataFrame, threshold: float = 0.5, fuzzy: float = 0.1, le
 
 def coef_table(spark: SparkSession, pipeline: dict) -> DataFrame:
     """Coefficients with the balance they belong to and the odds ratio per standard deviation."""
-    rows = [(m, name, "+".join(num) + " / " + "+".join(den), float(b)) for m, beta in pipeline["models"].items() for (name, (num, den)), b in zip(pipeline["library"].items(), beta, strict=False)]
+    rows = [(m, name, "+".join(num) + " / " + "+".join(den), float(b)) for m, beta in pipeline["models"].items() if isinstance(beta, list) for (name, (num, den)), b in zip(pipeline["library"].items(), beta, strict=False)]
     return spark.createDataFrame(rows, "model string, feature string, definition string, coef double").withColumn("odds_ratio", odds_ratio(F.col("coef")))
 
 

@@ -84,12 +84,6 @@ def perm_state(df: DataFrame, parts, reps: int) -> DataFrame:
     return df.sparkSession.createDataFrame(rows, "label string, observed double, exceed long, p double")
 
 
-def replicates(df: DataFrame, reps: int, key: str = "unit_id") -> DataFrame:
-    """Rows once per bootstrap replicate that draws their unit, with ``m``, how often (Poisson); rows are not copied m times."""
-    many = df.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(reps - 1))))
-    return many.withColumn("m", poisson_draws(uniform(F.lit("boot"), "rep", key))).where("m > 0")
-
-
 def boot_effect(df: DataFrame, parts, reps: int) -> DataFrame:
     """``rep, label`` and the effect of every bootstrap replicate that has both states, prepared anew in each."""
     found = resample(df, parts, reps, effect_sums(parts))
@@ -292,42 +286,6 @@ def domain_threshold(refs: DataFrame, columns, by, ref_key: str = "unit_id") ->
     return near.groupBy(*by).agg(F.percentile("distance", 0.95).alias("threshold"), F.count("*").alias("n_refs"))
 
 
-def robust_distance(df: DataFrame, refs: DataFrame, columns, steps: int = 3, keep: float = 0.75) -> DataFrame:
-    """``df`` with ``robust_distance``: Mahalanobis from the mean and covariance of the nearest ``keep`` of the references.
-
-    A few concentration steps: one aggregation of moments each, a small inverse on the driver, the distance as an
-    expression and its quantile; the covariance is divided by the median squared distance over its expectation.
-    """
-    import numpy as np
-
-    n = len(columns)
-
-    def moments(rows: DataFrame):
-        pairs = [(i, j) for i in range(n) for j in range(i, n)]
-        r = rows.agg(F.count("*").alias("n"), *[F.avg(c).alias(f"a{i}") for i, c in enumerate(columns)], *[F.covar_samp(columns[i], columns[j]).alias(f"c{i}_{j}") for i, j in pairs]).first()
-        cov = np.zeros((n, n))
-        for i, j in pairs:
-            cov[i, j] = cov[j, i] = r[f"c{i}_{j}"]
-        return r["n"], np.array([r[f"a{i}"] for i in range(n)]), cov
-
-    def squared(mean, cov) -> Column:
-        inverse = np.linalg.inv(cov)
-        gap = [F.col(c) - float(m) for c, m in zip(columns, mean, strict=True)]
-        return total([float(inverse[i, j]) * gap[i] * gap[j] for i in range(n) for j in range(n)])
-
-    rows = refs
-    count, mean, cov = moments(rows)
-    if count <= n + 1:
-        return df.withColumn("robust_distance", F.lit(None).cast("double"))
-    for _ in range(steps):
-        d = squared(mean, cov)
-        cut = refs.agg(F.percentile(d, keep)).first()[0]
-        _, mean, cov = moments(refs.where(d <= cut))
-    middle = refs.agg(F.percentile(squared(mean, cov), 0.5)).first()[0]
-    expected = n * (1 - 2 / (9 * n)) ** 3
-    return df.withColumn("robust_distance", F.sqrt(squared(mean, cov * middle / expected)))
-
-
 def ratio_baseline(df: DataFrame, ratios: DataFrame, parts) -> DataFrame:
     """Closed parts of points in state W divided by their label's median ratios, closed again: ``rb_*``."""
     wide = ratios.groupBy("label").agg(*[F.max(F.when(F.col("part") == p, F.col("ratio"))).alias(f"q_{p}") for p in parts])

@@ -118,7 +118,10 @@ def rows_of(path: Path, x: np.ndarray, edges: np.ndarray, memo: dict | None = No
 
 
 def bin_edges(w: Weightings, bins: int = BINS) -> np.ndarray:
-    """Quantiles of each standardised feature under the first weighting that has a fit: (feature, cut), rising."""
+    """Quantiles of each standardised feature under the first weighting that has a fit: (feature, cut), rising.
+
+    A quantile is a unit's value; a cut lies a trifle above it, so that rounding does not send that unit the other way.
+    """
     turn, names = w.turn[w.fitted()[0]], [f"f_{i}" for i in range(len(w.features))]
 
     def features(batches):
@@ -128,7 +131,7 @@ def bin_edges(w: Weightings, bins: int = BINS) -> np.ndarray:
 
     rows = w.units.select("x").mapInArrow(features, ", ".join(f"{c} double" for c in names))
     found = rows.agg(*[F.percentile_approx(c, F.array(*[F.lit(i / bins) for i in range(1, bins)]), 10_000).alias(c) for c in names]).first()
-    return np.array([found[c] for c in names], float)
+    return np.array([found[c] for c in names], float) + 1e-9
 
 
 def best_split(counts: np.ndarray, weights: np.ndarray, least: int) -> tuple[int, int] | None:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.expressions import helmert
-from ..operators import audit
+from ..operators import audit, robust
 from ..operators import effect as E
 from ..operators import logratio as lr
 from ..sources import orders
@@ -231,10 +231,19 @@ def k4_applicability(spark, d):
 
 @register(None)
 def k5_robust_distance(spark, d):
+    """Points in state W against the unweathered units of their label: robust distance, its threshold, and whether it is beyond."""
     from .prepare import prepared
 
     refs = centers(spark, d).where("unit_state = 'U'")
-    return rounded(E.robust_distance(prepared(spark, d).where("state = 'W'"), refs, Z).select("point_id", "robust_distance"), "robust_distance", digits=4)
+    told = robust.robust_flags(prepared(spark, d).where("state = 'W'"), refs, Z, "label")
+    return rounded(told.select("point_id", "robust_distance", "robust_threshold", "outside"), "robust_distance", "robust_threshold", digits=4)
+
+
+@register(None)
+def k11_domain(spark, d):
+    """The whole rule of applicability: beyond the nearest-reference threshold of the label, or beyond the robust one."""
+    near, far = k4_applicability(spark, d).select("point_id", "distance", F.col("outside").alias("near_")), k5_robust_distance(spark, d)
+    return near.join(far, "point_id").select("point_id", "distance", "robust_distance", (F.col("near_") | F.coalesce("outside", F.lit(False))).alias("outside"))
 
 
 @register(S.query(f"select point_id, part, round(value, 6) as estimate, true as modeled from ({S.long('cf', 'point_id', column='cf_{p}')}) union all select point_id, 'other', null, false from cf", WEIGHTED, MAIN, SHIFTS, CF))

@@ -7,11 +7,12 @@ from functools import partial
 from pyspark.sql import functions as F
 
 from ..functions.expressions import uniform
-from ..operators import audit, classify, cluster, evidence, nested
+from ..operators import audit, classify, cluster, evidence, nested, pipelines, robust, trees
 from ..operators import effect as E
 from ..operators import network as N
 from ..operators.keys import perturb, unit_folds
 from ..operators.logratio import balances
+from ..operators.refit import weightings
 from ..sources import orders
 from ..sources.shared import shared_path
 from ..sources.orders import PARTS
@@ -70,11 +71,17 @@ def l2_logistic(spark, d):
 
 @register(None)
 def l3_tree(spark, d):
-    units = labelled_units(spark, d)
-    model = classify.fit_tree(units, NAMES)
-    from pyspark.ml.feature import VectorAssembler
-
-    return model.transform(VectorAssembler(inputCols=NAMES, outputCol="x_").transform(units)).select("unit_id", F.col("prediction").cast("int").alias("predicted"))
+    """Nodes of a tree of depth 3 over all known units."""
+    known = orders.known_points(spark, d)
+    w = weightings(known, PARTS, LIB, pipelines.Every(), 1, known.select("unit_id").distinct().withColumns({"a_": F.lit(0).cast("long"), "b_": F.lit(0).cast("long")}))
+    try:
+        edges = trees.bin_edges(w)
+        tree = trees.grow(w, edges, [(5, True)], 3)[0][5, True].pruned(3, 0.005)
+    finally:
+        w.close()
+    way = lambda p: " and ".join(f"{NAMES[f]} {'>' if right else '<='} {edges[f][cut]:.4f}" for f, cut, right in p)
+    rows = [(way(p), len(p), float(n[0]), float(n[1]), p not in tree.splits, tree.probability(p)) for p, n in sorted(tree.nodes.items())]
+    return rounded(spark.createDataFrame(rows, "node string, depth int, n0 double, n1 double, leaf boolean, probability double"), "probability")
 
 
 @register(None)
@@ -109,11 +116,6 @@ def l7_metrics(spark, d):
     return rounded(classify.class_metrics(oof(spark, d)), "balanced_accuracy", "macro_f1", "brier", "auc")
 
 
-@register(None)
-def l8_calibration(spark, d):
-    return rounded(classify.calibration_fit(oof(spark, d), ["rep", "model"]), "intercept", "slope", digits=4)
-
-
 @register(S.query("select model, y, predicted, count(s.unit_id) as n from (select distinct model from oof) cross join (select unnest([0, 1]) as y) cross join (select unnest([0, 1]) as predicted) left join (select unit_id, model, y, cast(score >= 0.5 as int) as predicted from oof) s using (model, y, predicted) group by 1, 2, 3", SCORED, _OOF))
 def l9_confusion(spark, d):
     return classify.confusion(oof(spark, d))
@@ -124,32 +126,62 @@ def l10_comparison(spark, d):
     return rounded(classify.model_comparison(classify.class_metrics(oof(spark, d))), "mean", "ci_low", "ci_high")
 
 
-@register(None)
-def l11_gate(spark, d):
-    return rounded(classify.calibration_gate(oof(spark, d), "tree"), "brier_gain", "accuracy_loss")
-
-
 @register(S.query("select model, round(accuracy, 6) as accuracy, round(brier, 6) as brier, eligible, eligible and rank = min(case when eligible then rank end) over () as selected from (select *, accuracy >= max(accuracy) over () - first_value(coalesce(se, 0)) over (order by accuracy desc) and brier <= min(brier) over () + 0.02 as eligible, case model when 'tree' then 1 else 0 end as rank from (select model, avg(balanced_accuracy) accuracy, stddev_samp(balanced_accuracy) / sqrt(count(*)) se, avg(brier) brier from met group by 1))", SCORED, _OOF, _CONF))
 def l12_select(spark, d):
     return rounded(classify.select_model(classify.class_metrics(oof(spark, d)), {"logistic": 0, "tree": 1}), "accuracy", "brier")
 
 
-def pipeline_of(spark, d, zero_c: float = 0.5):
-    return classify.train_final(orders.known_points(spark, d), PARTS, LIB, zero_c)
+#: What a session has already decided and frozen for a folder of tables: the chain takes many passes and is the same each time.
+_KEPT: dict = {}
+
 
+def _kept(spark, d, name, make):
+    key = spark.sparkContext.applicationId, d, name
+    if key not in _KEPT:
+        _KEPT[key] = make()
+    return _KEPT[key]
 
-def frozen(spark, d, zero_c: float = 0.5):
+
+def chain_of(spark, d) -> pipelines.Chain:
+    return _kept(spark, d, "chain", lambda: pipelines.choose(orders.known_points(spark, d), PARTS, LIB))
+
+
+def pipeline_of(spark, d, zero_c: float = 0.5, group: str | None = "state"):
+    chain = chain_of(spark, d)
+    return pipelines.train_final(orders.known_points(spark, d), PARTS, LIB, chain.configs, chain.decisions, chain.selected, zero_c, group)
+
+
+def frozen(spark, d, zero_c: float = 0.5, group: str | None = "state"):
     """A pipeline that went through files in the shared folder, as scoring must take it."""
-    path = shared_path(spark, "frozen")
-    mark = classify.freeze(spark, pipeline_of(spark, d, zero_c), path)
+
+    def write():
+        path = shared_path(spark, "frozen")
+        return path, classify.freeze(spark, pipeline_of(spark, d, zero_c, group), path)
+
+    path, mark = _kept(spark, d, f"frozen {zero_c} {group}", write)
     return classify.load_frozen(spark, path), mark
 
 
+def boot_of(spark, d) -> pipelines.Replicated:
+    chain = chain_of(spark, d)
+    return _kept(spark, d, "boot", lambda: pipelines.boot_pipelines(orders.known_points(spark, d), PARTS, LIB, chain.configs, chain.selected))
+
+
 @register(None)
 def a4_freeze(spark, d):
     return spark.createDataFrame([(k, str(v)) for k, v in sorted(frozen(spark, d)[0].items())], "name string, value string")
 
 
+@register(None)
+def l8_calibration(spark, d):
+    return rounded(classify.calibration_fit(chain_of(spark, d).oof, ["rep", "model"]), "intercept", "slope", digits=4)
+
+
+@register(None)
+def l11_gate(spark, d):
+    return rounded(chain_of(spark, d).decisions, "raw_threshold", "brier_gain", "accuracy_change", "slope", "intercept", "threshold")
+
+
 @register(None)
 def l13_final_fit(spark, d):
     return rounded(classify.coef_table(spark, pipeline_of(spark, d)), "coef", "odds_ratio")
@@ -157,18 +189,27 @@ def l13_final_fit(spark, d):
 
 @register(None)
 def l14_boot_pipelines(spark, d):
-    boot = classify.boot_pipelines(orders.known_points(spark, d), PARTS, LIB, 6)
-    return _coefs(spark, {(int(k),): b for k, b in boot.items()}, "rep int")
+    """A row a replicate: the selected model's coefficients (none for a tree), or why it has no fit."""
+    boot = boot_of(spark, d)
+    rows = [(k, boot.model, boot.failed.get(k), [round(float(v), 6) for v in boot.fits[k]] if k in boot.fits and boot.model != "tree" else None) for k in range(boot.tried)]
+    return spark.createDataFrame(rows, "rep int, model string, failed string, coefs array<double>").withColumn("coefs", F.array_join(F.col("coefs").cast("array<string>"), " "))
 
 
 @register(None)
 def l15_sensitivity(spark, d):
-    known = orders.known_points(spark, d)
+    """The chosen setting over five folds of one repeat under each scenario, and its distance from the main one."""
+    chain, known = chain_of(spark, d), orders.known_points(spark, d)
+    every = orders.points(spark, d).where("unit_id % 50 <> 0")
+    scenarios = [("main", known, 0.5, "state"), ("zero_c_0.25", known, 0.25, "state"), ("zero_c_0.75", known, 0.75, "state"), ("global_median", known, 0.5, None), ("include_invalid", every, 0.5, "state")]
+    scenarios += [(f"perturbed_{round(100 * r)}", perturb(known, PARTS, r, 0, "point_id"), 0.5, "state") for r in (0.05, 0.1)]
+    model = chain.selected
+    threshold = {r["model"]: r["raw_threshold"] for r in chain.decisions.collect()}[model]
     out = None
-    for name, df, c in (("main", known, 0.5), ("zero_c_0.25", known, 0.25), ("perturbed_5", perturb(known, PARTS, 0.05, 0, "point_id"), 0.5)):
-        m = classify.class_metrics(nested.nested_cv(df, PARTS, LIB, 5, 2, c), F.col("threshold")).withColumn("scenario", F.lit(name))
-        out = m if out is None else out.unionByName(m)
-    return rounded(out.select("scenario", "model", "balanced_accuracy", "brier"), "balanced_accuracy", "brier")
+    for name, df, c, group in scenarios:
+        one = pipelines.fixed_cv(df, PARTS, LIB, model, chain.configs[model], threshold, zero_c=c, group=group).withColumn("scenario", F.lit(name))
+        out = one if out is None else out.unionByName(one)
+    main = out.where("scenario = 'main'").first()["balanced_accuracy"]
+    return rounded(out.withColumn("delta", F.col("balanced_accuracy") - F.lit(main)), "balanced_accuracy", "brier", "delta")
 
 
 @register(None)
@@ -176,6 +217,17 @@ def l16_coefs(spark, d):
     return rounded(classify.coef_table(spark, frozen(spark, d)[0]), "coef", "odds_ratio")
 
 
+@register(None)
+def l17_choice(spark, d):
+    """The models' accuracy and Brier score over real out-of-fold scores, which of them may be chosen and which is."""
+    return rounded(chain_of(spark, d).choice, "accuracy", "brier")
+
+
+@register(None)
+def l18_fold_metrics(spark, d):
+    return rounded(chain_of(spark, d).metrics, "balanced_accuracy", "macro_f1", "brier", "auc")
+
+
 def centers_of(spark, d):
     return N.log_centers(N.fitted(orders.known_points(spark, d), PARTS), PARTS, carry=("label", "unit_state", "pattern"))
 
@@ -301,46 +353,59 @@ def n1_frozen_check(spark, d):
 
 @register(None)
 def n2_score(spark, d):
-    return rounded(classify.score_units(orders.unknown_points(spark, d), frozen(spark, d)[0]).select("unit_id", "p_logistic", "p_lda"), "p_logistic", "p_lda")
+    told = pipelines.score_units(orders.unknown_points(spark, d), frozen(spark, d)[0])
+    return rounded(told.select("unit_id", *[f"{x}_{m}" for m in ("logistic", "tree", "lda") for x in ("p", "label")]), "p_logistic", "p_tree", "p_lda")
+
+
+def _voted(spark, d):
+    """Unknown units with scores, intervals and votes of 1,000 refitted pipelines."""
+    pipe, unknown = frozen(spark, d)[0], orders.unknown_points(spark, d)
+    m = pipe["selected"]
+    return pipelines.boot_score(pipelines.score_units(unknown, pipe), unknown, boot_of(spark, d), pipe["thresholds"][m], pipe["calibration"][m])
 
 
 def _judged(spark, d):
-    known, unknown = orders.known_points(spark, d), orders.unknown_points(spark, d)
-    pipe = frozen(spark, d)[0]
-    units = classify.boot_score(classify.score_units(unknown, pipe), NAMES, classify.boot_pipelines(known, PARTS, LIB, 6))
-    refs = classify.unit_features(known, pipe).withColumn("all_", F.lit(1))
+    pipe, units = frozen(spark, d)[0], _voted(spark, d)
+    refs = classify.unit_features(orders.known_points(spark, d), pipe).withColumn("all_", F.lit(1))
     near = E.nearest_reference(units.withColumn("all_", F.lit(1)), refs, NAMES, ["all_"], "unit_id", "unit_id")
-    told = near.join(E.domain_threshold(refs, NAMES, ["all_"]), "all_").select("unit_id", "distance", "threshold", (F.col("distance") > F.col("threshold")).alias("outside"))
-    return units.join(told, "unit_id")
+    told = near.join(E.domain_threshold(refs, NAMES, ["all_"]), "all_").select("unit_id", "distance", "threshold")
+    far = robust.robust_flags(units, refs, NAMES).select("unit_id", "robust_distance", "robust_threshold", F.col("outside").alias("far_"))
+    both = told.join(far, "unit_id").withColumn("outside", (F.col("distance") > F.col("threshold")) | F.coalesce(F.col("far_"), F.lit(False))).drop("far_")
+    return units.join(both, "unit_id")
 
 
 @register(None)
 def n3_boot_score(spark, d):
-    known = orders.known_points(spark, d)
-    units = classify.boot_score(classify.score_units(orders.unknown_points(spark, d), frozen(spark, d)[0]), NAMES, classify.boot_pipelines(known, PARTS, LIB, 6))
-    return rounded(units.select("unit_id", "p_low", "p_high", "majority"), "p_low", "p_high", "majority")
+    return rounded(_voted(spark, d).select("unit_id", "p_low", "p_high", "majority"), "p_low", "p_high", "majority")
 
 
 @register(None)
 def n4_applicability(spark, d):
-    return rounded(_judged(spark, d).select("unit_id", "distance", "threshold", "outside"), "distance", "threshold")
+    return rounded(_judged(spark, d).select("unit_id", "distance", "threshold", "robust_distance", "robust_threshold", "outside"), "distance", "threshold", "robust_distance", "robust_threshold")
 
 
 @register(None)
 def n5_reject(spark, d):
-    return rounded(classify.reject_reasons(_judged(spark, d)).select("unit_id", "p_logistic", "reasons", "rejected"), "p_logistic")
+    pipe = frozen(spark, d)[0]
+    p = f"p_{pipe['selected']}"
+    return rounded(classify.reject_reasons(_judged(spark, d), pipe).select("unit_id", F.col(p).alias("probability"), "reasons", "rejected"), "probability")
 
 
 @register(None)
 def n6_sensitivity(spark, d):
-    unknown, pipe, low = orders.unknown_points(spark, d), frozen(spark, d)[0], frozen(spark, d, 0.25)[0]
-    main = classify.score_units(unknown, pipe).select("unit_id", F.col("p_logistic").alias("main"))
+    """Unknown units under alternate frozen pipelines and perturbed parts: change of the probability and of the label."""
+    unknown, pipe = orders.unknown_points(spark, d), frozen(spark, d)[0]
+    m = pipe["selected"]
+    told = lambda df, p: pipelines.score_units(df, p).select("unit_id", F.col(f"p_{m}").alias("p"), F.col(f"label_{m}").alias("label"))
+    main = told(unknown, pipe).select("unit_id", F.col("p").alias("main"), F.col("label").alias("main_label"))
+    scenarios = [("zero_c_0.25", unknown, frozen(spark, d, 0.25)[0]), ("zero_c_0.75", unknown, frozen(spark, d, 0.75)[0]), ("global_median", unknown, frozen(spark, d, 0.5, None)[0])]
+    scenarios += [(f"perturbed_{round(100 * r)}_{k}", perturb(unknown, PARTS, r, k, "point_id"), pipe) for r in (0.05, 0.1) for k in (0, 1)]
     out = None
-    for name, df, p in (("zero_c_0.25", unknown, low), ("perturbed_5", perturb(unknown, PARTS, 0.05, 0, "point_id"), pipe)):
-        one = classify.score_units(df, p).select("unit_id", "p_logistic").withColumn("scenario", F.lit(name))
+    for name, df, p in scenarios:
+        one = told(df, p).withColumn("scenario", F.lit(name))
         out = one if out is None else out.unionByName(one)
     both = out.join(main, "unit_id")
-    return rounded(both.select("scenario", "unit_id", (F.col("p_logistic") - F.col("main")).alias("delta"), ((F.col("p_logistic") >= 0.5) != (F.col("main") >= 0.5)).alias("label_changed")), "delta")
+    return rounded(both.select("scenario", "unit_id", "p", (F.col("p") - F.col("main")).alias("delta"), (F.col("label") != F.col("main_label")).alias("label_changed")), "p", "delta")
 
 
 @register("select count(*) as n_rows, cast(sum(cast(('0x' || substr(md5(concat_ws('|', coalesce(color, ''), label, name, pattern, state, cast(unit_id as varchar))), 1, 15))::bigint as hugeint)) as varchar) as fingerprint from (" + S.query("select * from units") + ")")
