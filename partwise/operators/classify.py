@@ -12,6 +12,7 @@ from ..functions.expressions import logit, odds_ratio, total
 from .audit import auc
 from .evidence import table_fingerprint
 from .logratio import balances, closure
+from .ranks import joined_back
 
 
 def split_features(df: DataFrame, folds: DataFrame, parts, library, group: str = "state", zero_c: float = 0.5) -> DataFrame:
@@ -26,17 +27,22 @@ def split_features(df: DataFrame, folds: DataFrame, parts, library, group: str =
     return fold_features(rows, ["rep", "target"], parts, library, group, zero_c)
 
 
-def fold_features(rows: DataFrame, keys: list[str], parts, library, group: str = "state", zero_c: float = 0.5, medians: DataFrame | None = None) -> DataFrame:
+def fold_features(rows: DataFrame, keys: list[str], parts, library, group: str = "state", zero_c: float = 0.5, min_obs: int = 5) -> DataFrame:
     """Unit balances of points with ``keys`` and ``role``, prepared by the points in role ``train`` of the same keys.
 
-    ``medians`` by keys and group (``m_`` and the part's name) may be given, if they are known.
+    A level of ``group`` with fewer than ``min_obs`` values of a part, one that the training points lack, and a null one
+    take the median of all training points; no point is lost.
     """
     train = F.col("role") == "train"
-    if medians is None:
-        medians = rows.where(train).groupBy(*keys, group).agg(*[F.percentile(p, 0.5).alias(f"m_{p}") for p in parts])
-    filled = rows.join(medians, [*keys, group]).withColumns({p: F.coalesce(F.col(p), F.col(f"m_{p}")) for p in parts}).drop(*[f"m_{p}" for p in parts])
+    median = lambda p, name: F.percentile(p, 0.5).alias(f"{name}_{p}")
+    own = rows.where(train).groupBy(*keys, group).agg(*[x for p in parts for x in (median(p, "m"), F.count(p).alias(f"n_{p}"))])
+    over = rows.where(train).groupBy(*keys).agg(*[median(p, "g") for p in parts])
+    filled = joined_back(rows, own, [*keys, group], [f"{x}_{p}" for p in parts for x in ("m", "n")])
+    filled = joined_back(filled, over, keys, [f"g_{p}" for p in parts])
+    level = lambda p: F.when(F.col(group).isNotNull() & (F.col(f"n_{p}") >= min_obs), F.col(f"m_{p}"))
+    filled = filled.withColumns({p: F.coalesce(F.col(p), level(p), F.col(f"g_{p}")) for p in parts}).drop(*[f"{x}_{p}" for p in parts for x in ("m", "n", "g")])
     deltas = filled.where(train).groupBy(*keys).agg(*[(zero_c * F.min(F.when(F.col(p) > 0, F.col(p)))).alias(f"d_{p}") for p in parts])
-    closed = closure(filled.join(deltas, keys).withColumns({p: F.when(F.col(p) == 0, F.col(f"d_{p}")).otherwise(F.col(p)) for p in parts}), parts)
+    closed = closure(joined_back(filled, deltas, keys, [f"d_{p}" for p in parts]).withColumns({p: F.when(F.col(p) == 0, F.col(f"d_{p}")).otherwise(F.col(p)) for p in parts}), parts)
     return balances(closed, library).groupBy(*keys, "role", "unit_id", "label").agg(F.count("*").alias("n_points"), *[F.avg(b).alias(b) for b in library])
 
 

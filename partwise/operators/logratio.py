@@ -10,6 +10,10 @@ from pyspark.sql import functions as F
 
 from ..functions.expressions import combine, helmert, total, uniform
 from .nearest import nearest_missing
+from .ranks import joined_back
+
+#: Sets of parameters (keys of a fit) that are broadcast at most; each is a few numbers a part.
+MOST_KEYS = 20_000
 
 
 @dataclass(frozen=True)
@@ -121,17 +125,26 @@ def prepare_by(df: DataFrame, keys, parts, zero_c: float = 0.5, weight: str | No
     """Filled, replaced and closed parts with each set of keys fitted by itself (a label, or replicate and label).
 
     ``weight`` is a whole number of copies of each row: medians take it as a frequency, so that a bootstrap
-    replicate is fitted without copying rows.  Parameter tables have a row a key and join back by it.
+    replicate is fitted without copying rows.  Parameters are a row a key, of a checked number, and join back as a
+    broadcast: the points are not shuffled.  A null key is a key of its own.
     """
     keys = list(keys)
     median = lambda p: F.percentile(p, 0.5) if weight is None else F.percentile(p, 0.5, F.col(weight))
-    medians = df.groupBy(*keys).agg(*[median(p).alias(f"m_{p}") for p in parts])
-    filled = df.join(medians, keys).withColumns({p: F.coalesce(F.col(p), F.col(f"m_{p}")) for p in parts}).drop(*[f"m_{p}" for p in parts])
-    deltas = filled.groupBy(*keys).agg(*[(zero_c * F.min(F.when(F.col(p) > 0, F.col(p)))).alias(f"d_{p}") for p in parts])
-    replaced = filled.join(deltas, keys).withColumns({p: F.when(F.col(p) == 0, F.col(f"d_{p}")).otherwise(F.col(p)) for p in parts}).drop(*[f"d_{p}" for p in parts])
+    medians = few_rows(df.groupBy(*keys).agg(*[median(p).alias(f"m_{p}") for p in parts]))
+    filled = joined_back(df, medians, keys, [f"m_{p}" for p in parts]).withColumns({p: F.coalesce(F.col(p), F.col(f"m_{p}")) for p in parts}).drop(*[f"m_{p}" for p in parts])
+    deltas = few_rows(filled.groupBy(*keys).agg(*[(zero_c * F.min(F.when(F.col(p) > 0, F.col(p)))).alias(f"d_{p}") for p in parts]))
+    replaced = joined_back(filled, deltas, keys, [f"d_{p}" for p in parts]).withColumns({p: F.when(F.col(p) == 0, F.col(f"d_{p}")).otherwise(F.col(p)) for p in parts}).drop(*[f"d_{p}" for p in parts])
     return closure(replaced, parts)
 
 
+def few_rows(df: DataFrame, most: int = MOST_KEYS) -> DataFrame:
+    """A table of parameters for broadcast joins: read at once, and an error if it has more than ``most`` rows."""
+    rows = df.limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"more than {most} sets of parameters")
+    return F.broadcast(df.sparkSession.createDataFrame(rows, df.schema))
+
+
 def aitchison_center(df: DataFrame, parts, by) -> DataFrame:
     """Geometric means of a set's parts, closed again."""
     out = df.groupBy(*by).agg(*[F.exp(F.avg(F.log(p))).alias(p) for p in parts])

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from partwise.functions.expressions import uniform
-from partwise.operators import nested, trees
+from partwise.operators import classify, nested, trees
 from partwise.operators.keys import unit_folds
 
 PARTS = ("a", "b", "c")
@@ -180,3 +180,29 @@ def test_nested_equals_loops(spark, points):
 def test_nested_needs_three_folds(points):
     with pytest.raises(ValueError):
         nested.nested_cv(points, PARTS, LIBRARY, 2, 1)
+
+
+def test_no_unit_is_lost_by_unseen_rare_or_null_states(spark):
+    """States that a fold's training units lack, have fewer than five values of, or that are null take the global median."""
+    rows = [(i, i, "K" if i % 2 else "PB", "W" if i < 30 else "U", 10.0 + i, None if i % 3 == 0 else 20.0 + i % 7, 30.0) for i in range(40)]
+    rows += [(100, 100, "K", "X", 11.0, None, 30.0), (101, 101, "PB", None, 12.0, None, 30.0), (102, 102, "K", "R", 13.0, 99.0, 30.0), (103, 103, "K", "R", 13.0, None, 30.0)]
+    df = spark.createDataFrame(rows, "point_id long, unit_id long, label string, state string, a double, b double, c double")
+    tagged = df.withColumns({"k": F.lit(1), "role": F.when(F.col("unit_id").isin(100, 101), "held").otherwise("train")})
+    told = {r["unit_id"]: r for r in classify.fold_features(tagged, ["k"], PARTS, LIBRARY).collect()}
+    assert set(told) == {r[0] for r in rows}
+    middle = float(np.median([r[5] for r in rows if r[5] is not None and r[0] < 100 or r[0] == 102]))
+    for u, a in ((100, 11.0), (101, 12.0), (103, 13.0)):
+        assert told[u]["one"] == pytest.approx(math.sqrt(0.5) * math.log(a / middle))
+
+
+def test_weightings_fill_like_the_features(spark, points):
+    """The engine's features under one weighting equal those of the plain preparation, for every unit."""
+    from partwise.operators import pipelines, refit
+
+    words = points.select("unit_id").distinct().withColumns({"a_": F.lit(0).cast("long"), "b_": F.lit(0).cast("long")})
+    w = refit.weightings(points, PARTS, LIBRARY, pipelines.Every(), 1, words)
+    units = w.units.select("unit_id", "x").toPandas().sort_values("unit_id")
+    got = np.array(units.x.tolist()) @ w.turn[0]
+    w.close()
+    ids = sorted(units.unit_id)
+    assert np.allclose(got, features(points.toPandas().astype({p: float for p in PARTS}), ids, ids), atol=1e-9)
