@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.expressions import total
 from . import ranks
+from .selection import select
 
 
 def unpivot(df: DataFrame, keys, parts) -> DataFrame:
@@ -16,21 +17,29 @@ def unpivot(df: DataFrame, keys, parts) -> DataFrame:
 
 def part_audit(df: DataFrame, parts) -> DataFrame:
     """Per part: rows, observed, missing, rate, explicit zeros, least positive, quartiles, largest."""
-    q = lambda x: F.percentile("value", x)
-    return unpivot(df, [], parts).groupBy("part").agg(
+    told = select(df, parts, [], [0.25, 0.5, 0.75]).get((), {p: (0, [None] * 3) for p in parts})
+    quartiles = df.sparkSession.createDataFrame([(p, *own[1]) for p, own in told.items()], "part string, q25 double, median double, q75 double")
+    by = unpivot(df, [], parts).groupBy("part").agg(
         F.count("*").alias("n"), F.count("value").alias("observed"), (F.count("*") - F.count("value")).alias("missing"), (1 - F.count("value") / F.count("*")).alias("missing_rate"),
-        F.count(F.when(F.col("value") == 0, 1)).alias("explicit_zero"), F.min(F.when(F.col("value") > 0, F.col("value"))).alias("min_positive"),
-        q(0.25).alias("q25"), q(0.5).alias("median"), q(0.75).alias("q75"), F.max("value").alias("max"),
+        F.count(F.when(F.col("value") == 0, 1)).alias("explicit_zero"), F.min(F.when(F.col("value") > 0, F.col("value"))).alias("min_positive"), F.max("value").alias("max"),
     )
+    return by.join(F.broadcast(quartiles), "part").select("part", "n", "observed", "missing", "missing_rate", "explicit_zero", "min_positive", "q25", "median", "q75", "max")
 
 
 def imputation_rationale(df: DataFrame, parts, group: str) -> DataFrame:
     """Per group and part: rows, missing, median, median absolute deviation, range of medians between groups."""
-    cells = unpivot(df, [group], parts)
-    by = cells.groupBy(group, "part").agg(F.count("*").alias("n"), F.count(F.when(F.col("value").isNull(), 1)).alias("missing"), F.percentile("value", 0.5).alias("median"))
-    mad = cells.join(by.select(group, "part", "median"), [group, "part"]).groupBy(group, "part").agg(F.percentile(F.abs(F.col("value") - F.col("median")), 0.5).alias("mad"))
-    spread = by.groupBy("part").agg((F.max("median") - F.min("median")).alias("median_range"))
-    return by.join(mad, [group, "part"]).join(spread, "part")
+    told = select(df, parts, [group], [0.5])
+    kind = dict(df.dtypes)[group]
+    rows = [(level, p, own[p][1][0]) for (level,), own in told.items() for p in parts]
+    medians = df.sparkSession.createDataFrame(rows, f"{group} {kind}, part string, median double")
+    wide = df.sparkSession.createDataFrame([(level, *[own[p][1][0] for p in parts]) for (level,), own in told.items()], ", ".join([f"{group} {kind}", *[f"m_{p} double" for p in parts]]))
+    gaps = ranks.joined_back(df.select(group, *parts), F.broadcast(wide), [group], [f"m_{p}" for p in parts]).select(group, *[F.abs(F.col(p) - F.col(f"m_{p}")).alias(p) for p in parts])
+    mads = [(level, p, own[p][1][0]) for (level,), own in select(gaps, parts, [group], [0.5]).items() for p in parts]
+    mad = df.sparkSession.createDataFrame(mads, f"{group} {kind}, part string, mad double")
+    by = unpivot(df, [group], parts).groupBy(group, "part").agg(F.count("*").alias("n"), F.count(F.when(F.col("value").isNull(), 1)).alias("missing"))
+    spread = medians.groupBy("part").agg((F.max("median") - F.min("median")).alias("median_range"))
+    out = ranks.joined_back(ranks.joined_back(by, F.broadcast(medians), [group, "part"], ["median"]), F.broadcast(mad), [group, "part"], ["mad"])
+    return out.join(spread, "part")
 
 
 def repeat_audit(df: DataFrame, key: str = "unit_id") -> DataFrame:
@@ -83,9 +92,11 @@ def feature_stability(coefs: DataFrame, by=("feature",)) -> DataFrame:
 
 def median_ratio(df: DataFrame, parts, by: str) -> DataFrame:
     """Median of state W over median of state U per part; null if the latter is 0."""
-    cells = unpivot(df, [by, "state"], parts)
-    m = lambda s: F.percentile(F.when(F.col("state") == s, F.col("value")), 0.5)
-    return cells.groupBy(by, "part").agg(m("W").alias("median_w"), m("U").alias("median_u")).withColumn("ratio", F.when(F.col("median_u") != 0, F.col("median_w") / F.col("median_u")))
+    told = select(df, parts, [by, "state"], [0.5])
+    of = lambda level, s, p: told[level, s][p][1][0] if (level, s) in told else None
+    rows = [(level, p, of(level, "W", p), of(level, "U", p)) for level in sorted({k[0] for k in told}, key=str) for p in parts]
+    table = df.sparkSession.createDataFrame(rows, f"{by} {dict(df.dtypes)[by]}, part string, median_w double, median_u double")
+    return table.withColumn("ratio", F.when(F.col("median_u") != 0, F.col("median_w") / F.col("median_u")))
 
 
 def bh_fdr(df: DataFrame, p: str, by, out: str = "p_fdr") -> DataFrame:

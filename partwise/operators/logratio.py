@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ..functions.expressions import combine, helmert, total, uniform
 from .nearest import nearest_missing
 from .ranks import joined_back
+from .selection import select
 
 #: Sets of parameters (keys of a fit) that are broadcast at most; each is a few numbers a part.
 MOST_KEYS = 20_000
@@ -35,25 +36,29 @@ class Prep:
         return self.medians[group][part] if self.level(group, part) == "group" else self.global_medians[part]
 
 
-def median_of(column: Column, accuracy: int | None) -> Column:
-    """The exact median, or one of bounded memory with rank error 1 / accuracy for very many distinct values."""
-    return F.percentile(column, 0.5) if accuracy is None else F.percentile_approx(column, 0.5, accuracy)
-
-
 def fit_prep(df: DataFrame, parts, group: str, min_obs: int = 5, zero_c: float = 0.5, fixed_active=None, accuracy: int | None = None) -> Prep:
     """Medians by group with the global one where a group has too few values, and the zero replacement of each part.
 
     Active parts have ``min_obs`` values.  The zero replacement is ``zero_c`` times the least positive value after
-    filling, over all groups.  Two aggregations; only parameters reach the driver.
+    filling, over all groups.  Medians are exact (see ``selection``), or with ``accuracy`` those of one sketch.
     """
-    stats = [x for p in parts for x in (median_of(F.col(p), accuracy).alias(f"m_{p}"), F.count(p).alias(f"n_{p}"))]
-    over = df.agg(*stats).first()
-    active = tuple(fixed_active or [p for p in parts if over[f"n_{p}"] >= min_obs])
-    if len(active) < 2:
-        raise ValueError("fewer than two active parts")
-    by = {str(r[group]): r for r in df.groupBy(group).agg(*stats).orderBy(group).collect()}
-    prep = Prep(group, active, {g: {p: r[f"m_{p}"] for p in active} for g, r in by.items()}, {g: {p: r[f"n_{p}"] for p in active} for g, r in by.items()}, {p: over[f"m_{p}"] for p in active}, min_obs)
-    low = fill(df, prep).agg(*[F.min(F.when(F.col(p) > 0, F.col(p))).alias(p) for p in active]).first()
+    df = df.persist()
+    try:
+        if accuracy is None:
+            over = select(df, parts, [], [0.5], cached=True).get((), {p: (0, [None]) for p in parts})
+            by = select(df, parts, [group], [0.5], cached=True)
+        else:
+            stats = [x for p in parts for x in (F.percentile_approx(p, 0.5, accuracy).alias(f"m_{p}"), F.count(p).alias(f"n_{p}"))]
+            read = lambda r: {p: (r[f"n_{p}"], [r[f"m_{p}"]]) for p in parts}
+            over, by = read(df.agg(*stats).first()), {(r[group],): read(r) for r in df.groupBy(group).agg(*stats).collect()}
+        active = tuple(fixed_active or [p for p in parts if over[p][0] >= min_obs])
+        if len(active) < 2:
+            raise ValueError("fewer than two active parts")
+        named = {str(g): told for (g,), told in sorted(by.items(), key=lambda x: str(x[0]))}
+        prep = Prep(group, active, {g: {p: t[p][1][0] for p in active} for g, t in named.items()}, {g: {p: t[p][0] for p in active} for g, t in named.items()}, {p: over[p][1][0] for p in active}, min_obs)
+        low = fill(df, prep).agg(*[F.min(F.when(F.col(p) > 0, F.col(p))).alias(p) for p in active]).first()
+    finally:
+        df.unpersist()
     if any(low[p] is None for p in active):
         raise ValueError("a part has no positive value")
     prep.delta.update({p: zero_c * low[p] for p in active})
@@ -129,8 +134,12 @@ def prepare_by(df: DataFrame, keys, parts, zero_c: float = 0.5, weight: str | No
     broadcast: the points are not shuffled.  A null key is a key of its own.
     """
     keys = list(keys)
-    median = lambda p: F.percentile(p, 0.5) if weight is None else F.percentile(p, 0.5, F.col(weight))
-    medians = few_rows(df.groupBy(*keys).agg(*[median(p).alias(f"m_{p}") for p in parts]))
+    if weight is None:
+        told = select(df, parts, keys, [0.5])
+        kinds = ", ".join([*[f"{k} {dict(df.dtypes)[k]}" for k in keys], *[f"m_{p} double" for p in parts]])
+        medians = F.broadcast(df.sparkSession.createDataFrame([(*level, *[own[p][1][0] for p in parts]) for level, own in told.items()], kinds))
+    else:
+        medians = few_rows(df.groupBy(*keys).agg(*[F.percentile(p, 0.5, F.col(weight)).alias(f"m_{p}") for p in parts]))
     filled = joined_back(df, medians, keys, [f"m_{p}" for p in parts]).withColumns({p: F.coalesce(F.col(p), F.col(f"m_{p}")) for p in parts}).drop(*[f"m_{p}" for p in parts])
     deltas = few_rows(filled.groupBy(*keys).agg(*[(zero_c * F.min(F.when(F.col(p) > 0, F.col(p)))).alias(f"d_{p}") for p in parts]))
     replaced = joined_back(filled, deltas, keys, [f"d_{p}" for p in parts]).withColumns({p: F.when(F.col(p) == 0, F.col(f"d_{p}")).otherwise(F.col(p)) for p in parts}).drop(*[f"d_{p}" for p in parts])

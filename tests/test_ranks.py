@@ -3,10 +3,11 @@
 import random
 from statistics import quantiles as plain_quantiles
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from partwise.operators import audit, ranks
+from partwise.operators import audit, ranks, selection
 
 R = random.Random(5)
 #: A value fills a third of group a, so its rows come from many tasks; b has one row, null is a group too.
@@ -63,3 +64,21 @@ def test_empty_table(spark):
     none = spark.createDataFrame([], "id long, g string, v double")
     assert audit.avg_rank(none, "v", ["g"]).count() == 0
     assert ranks.quantiles(none, "v", ["g"], {"m": 0.5}).count() == 0
+
+
+@pytest.mark.parametrize("few", [50_000, 40])
+def test_selection_narrows_to_exact_quantiles(spark, monkeypatch, few):
+    """Ties fill half of a column, a group is small, one is null, one column has no value in a group."""
+    monkeypatch.setattr(selection, "FEW", few)
+    rows = [(R.choice("ab"), R.choice([1.0, R.random(), R.gauss(0, 1e6)]), None if R.random() < 0.3 else R.random()) for _ in range(4000)]
+    rows += [(None, 5.0, 2.0), (None, 6.0, None), ("c", 1.0, None)]
+    df = spark.createDataFrame(rows, "g string, u double, v double").repartition(5)
+    told = selection.select(df, ["u", "v"], ["g"], [0.0, 0.25, 0.5, 1.0])
+    assert set(told) == {("a",), ("b",), ("c",), (None,)}
+    for (g,), own in told.items():
+        for c, k in (("u", 1), ("v", 2)):
+            x = [r[k] for r in rows if r[0] == g and r[k] is not None]
+            assert own[c][0] == len(x)
+            assert own[c][1] == pytest.approx(np.quantile(x, [0.0, 0.25, 0.5, 1.0]).tolist()) if x else own[c][1] == [None] * 4
+    assert selection.select(df.limit(0), ["u"], ["g"], [0.5]) == {}
+    assert selection.select(df, ["u"], [], [0.5])[()]["u"][1] == [pytest.approx(np.median([r[1] for r in rows]))]
