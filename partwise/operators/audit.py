@@ -99,10 +99,10 @@ def median_ratio(df: DataFrame, parts, by: str) -> DataFrame:
     return table.withColumn("ratio", F.when(F.col("median_u") != 0, F.col("median_w") / F.col("median_u")))
 
 
-def bh_fdr(df: DataFrame, p: str, by, out: str = "p_fdr") -> DataFrame:
+def bh_fdr(df: DataFrame, p: str, by, out: str = "p_fdr", tie: str | None = None) -> DataFrame:
     """Benjamini-Hochberg adjusted values within a family; null or non-finite ones stay null.
 
-    Equal values are one row with the rank of their last; the least value from a rank on is the least of the ranges after
+    Equal values are one row with the rank of their last, so ``tie`` changes nothing; the least value from a rank on is the least of the ranges after
     it and of its own, so a family may span tasks.
     """
     fine = F.col(p).isNotNull() & ~F.isnan(p)
