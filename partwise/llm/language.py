@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .storage import materialise
-from .words import parts, slices
+from .words import give_back, parts, slices
 
 #: Families of language codes.  A code that is not listed is a family of its own.
 FAMILIES = {
@@ -158,7 +158,7 @@ def _separators(rows: DataFrame, label: str, classes: list[str]) -> list[Separat
     return out
 
 
-def train(docs: DataFrame, most_a_language: int = 800, most: int = 8_000) -> LanguageModel | None:
+def train(docs: DataFrame, most_a_language: int = 1_500, most: int = 8_000) -> LanguageModel | None:
     """Fit on rows that are not held out and have a language; None if there are none.
 
     A bounded sample is used: about ``most_a_language`` documents of a language and ``most`` in all, chosen by a hash
@@ -199,6 +199,7 @@ def identify(docs: DataFrame, model: LanguageModel | None) -> DataFrame:
             x, p = shared.value.predict([t or b"" for t in texts.slice(i, j - i).cast(pa.binary()).to_pylist()])
             langs += x
             scores.append(p)
+        give_back()
         return pa.StructArray.from_arrays([pa.array(langs, pa.string()), pa.array(np.concatenate([*scores, []]))], names=["lang", "score"])
 
     letters = F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False))

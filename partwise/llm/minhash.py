@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from .components import connected_components
 from .storage import materialise
-from .words import keyed, mix64, shingle_sets, slices
+from .words import give_back, keyed, mix64, shingle_sets, slices
 
 #: Samples of a document, bands of BAND samples each, bits of an odd sketch.  A pair at similarity 0.8 misses all 32
 #: bands with probability (1 - 0.8**4)**32 = 5e-8.
@@ -87,6 +87,7 @@ def signatures(docs: DataFrame, width: int, seed: int = 1) -> DataFrame:
                     samples = minhash(sets, seed)
                     prints = np.array([[mix64(s).sum(dtype=np.uint64), mix64(s ^ np.uint64(0x5DEECE66D)).sum(dtype=np.uint64)] for s in sets], np.uint64).view(np.int64)
                     yield pa.RecordBatch.from_arrays([ids.slice(i, j - i), pa.array([len(s) for s in sets], pa.int64()), pa.array(prints[:, 0].copy()), pa.array(prints[:, 1].copy()), _lists(band_keys(samples)), _lists(odd_sketch(samples))], schema=_SIGNED)
+        give_back()
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(sign, "doc_id long, n_shingles long, f1 long, f2 long, bands array<long>, sketch array<long>")
 
@@ -100,6 +101,7 @@ def full_sets(docs: DataFrame, ids: DataFrame, width: int) -> DataFrame:
                 sets = shingle_sets(batch.column(1).slice(i, j - i).cast(pa.binary()).to_pylist(), width)
                 offsets = np.concatenate([[0], np.cumsum([len(s) for s in sets])]).astype(np.int32)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.ListArray.from_arrays(offsets, np.concatenate(sets).view(np.int64))], names=["id", "items"])
+        give_back()
 
     wanted = ids.select(F.col("id").alias("doc_id"))
     wanted = F.broadcast(wanted) if wanted.count() <= BROADCAST_IDS else wanted

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from .storage import materialise
 from .tokens import chunk_ids
+from .words import give_back
 
 #: Pieces that are packed together; groups are drawn by hash, so each is a random sample of all lengths.
 GROUP = 8192
@@ -70,6 +71,7 @@ def pieces(docs: DataFrame, tokenizer_path: str, capacity: int, end_id: int, wit
                 number += len(row)
                 yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(columns, schema, strict=False)], schema=schema)
         store.forget()
+        give_back()
 
     kinds = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, piece long" + (", ids binary" if with_ids else "")
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(cut, kinds)

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .storage import materialise
-from .words import SPACES
+from .words import SPACES, give_back
 
 #: The symbols that are counted.
 SYMBOLS = b"#*$%&|<>"
@@ -51,6 +51,7 @@ def text_counts(text: bytes | None) -> tuple[int, ...]:
 def text_stats(texts: pa.Array) -> pa.Array:
     rows = [text_counts(x.as_buffer().to_pybytes() if x.is_valid else None) for x in texts.cast(pa.binary())]
     columns = zip(*rows, strict=True) if rows else [[] for _ in COUNTS]
+    give_back()
     return pa.StructArray.from_arrays([pa.array(c, pa.int64()) for c in columns], names=list(COUNTS))
 
 

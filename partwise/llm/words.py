@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -32,6 +34,15 @@ _LOWER = _BYTE.copy()
 _LOWER[65:91] = _BYTE[97:123]
 
 
+def give_back() -> None:
+    """Return freed memory to the system: workers are reused, and what one stage held would be missing in the next."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library: its allocator is left to itself
+        pass
+
+
 def slices(array: pa.Array, most: int = 2 << 20):
     """Cut a string column into runs of at most ``most`` bytes (a longer text stands alone): (first, after)."""
     lengths = pc.fill_null(pc.binary_length(array), 0).to_numpy(zero_copy_only=False).astype(np.int64)
