@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.expressions import odds_ratio
 from .audit import contingency
 
 
@@ -93,47 +94,97 @@ def v_of(t: np.ndarray) -> float:
     return math.sqrt(phi / least) if least > 0 else 0.0
 
 
-def perm_chi2(cells: DataFrame, reps: int, seed: int = 1) -> DataFrame:
+#: Cells of a table of counts that a task holds at most.
+MOST_CELLS = 10_000
+
+
+def chi2_of_many(t: np.ndarray) -> np.ndarray:
+    """Chi-square of tables (table, row, column) of equal total, empty rows and columns left out."""
+    with np.errstate(divide="ignore", invalid="ignore"):
+        e = t.sum(axis=2, keepdims=True) * t.sum(axis=1, keepdims=True) / t.sum(axis=(1, 2), keepdims=True)
+        return np.where(e > 0, (t - e) ** 2 / e, 0.0).sum(axis=(1, 2))
+
+
+def v_of_many(t: np.ndarray) -> np.ndarray:
+    """Corrected V of every table; NaN where fewer than two rows or columns are left."""
+    n, r, k = t.sum(axis=(1, 2)), (t.sum(axis=2) > 0).sum(axis=1), (t.sum(axis=1) > 0).sum(axis=1)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        phi = np.maximum(0.0, chi2_of_many(t) / n - (k - 1) * (r - 1) / (n - 1))
+        least = np.minimum(k - (k - 1) ** 2 / (n - 1), r - (r - 1) ** 2 / (n - 1)) - 1
+        return np.where((np.minimum(r, k) < 2) | (n < 2), np.nan, np.where(least > 0, np.sqrt(phi / np.where(least > 0, least, 1.0)), 0.0))
+
+
+def _by_replicate(spark, reps: int, each, schema: str) -> DataFrame:
+    """``each(replicates)`` in tasks, for runs of 256 replicates: the rows that were counted are never drawn again."""
+
+    def run(batches):
+        for batch in batches:
+            for at in range(0, len(batch), 256):
+                own = batch.id.to_numpy()[at : at + 256]
+                yield pd.DataFrame({"rep": own} | each(own))
+
+    return spark.range(reps).mapInPandas(run, schema)
+
+
+def perm_chi2(cells: DataFrame, reps: int = 10_000, seed: int = 1) -> DataFrame:
     """``rep, chi2`` of random tables with the observed margins; tasks draw replicates, never rows."""
     table = _table(cells)
     rows, columns = table.sum(axis=1), table.sum(axis=0)
 
-    def draw(batches):
-        for batch in batches:
-            out = []
-            for rep in batch.id:
-                rng, left, t = np.random.default_rng([seed, int(rep)]), columns.copy(), []
-                for n in rows[:-1]:
-                    t.append(rng.multivariate_hypergeometric(left, n))
-                    left = left - t[-1]
-                out.append(chi2_of(np.array([*t, left])))
-            yield pd.DataFrame({"rep": batch.id, "chi2": out})
+    def each(ids):
+        out = []
+        for rep in ids.tolist():
+            rng, left, t = np.random.default_rng([seed, rep]), columns.copy(), []
+            for n in rows[:-1]:
+                t.append(rng.multivariate_hypergeometric(left, n))
+                left = left - t[-1]
+            out.append([*t, left])
+        return {"chi2": chi2_of_many(np.array(out, float))}
 
-    return cells.sparkSession.range(reps).mapInPandas(draw, "rep long, chi2 double")
+    return _by_replicate(cells.sparkSession, reps, each, "rep long, chi2 double")
 
 
-def perm_p(cells: DataFrame, reps: int, seed: int = 1) -> DataFrame:
+def perm_p(cells: DataFrame, reps: int = 10_000, seed: int = 1) -> DataFrame:
     """Monte-Carlo p = (b + 1) / (B + 1) and its standard error."""
     observed = chi2_of(_table(cells))
     p = (F.sum((F.col("chi2") >= observed - 1e-12).cast("int")) + 1) / (reps + 1)
-    return perm_chi2(cells, reps, seed).agg(p.alias("p")).withColumn("se", F.sqrt(F.col("p") * (1 - F.col("p")) / (reps + 1)))
+    return perm_chi2(cells, reps, seed).agg(p.alias("p")).withColumn("se", F.sqrt(F.col("p") * (1 - F.col("p")) / reps))
 
 
-def boot_v(cells: DataFrame, reps: int, seed: int = 1) -> DataFrame:
-    """Interval of V over bootstrap tables: resampled rows are a multinomial draw over the cells."""
-    table = _table(cells)
-    n, share = int(table.sum()), (table / table.sum()).ravel()
+def _multinomial(counts: np.ndarray, ids, seed: int) -> np.ndarray:
+    """Bootstrap tables: resampled rows are a multinomial draw over the cells, one seed a replicate."""
+    n, share = int(counts.sum()), counts / counts.sum()
+    return np.array([np.random.default_rng([seed, int(rep)]).multinomial(n, share) for rep in ids], float)
 
-    def draw(batches):
-        for batch in batches:
-            v = [v_of(np.random.default_rng([seed, int(rep)]).multinomial(n, share).reshape(table.shape)) for rep in batch.id]
-            yield pd.DataFrame({"rep": batch.id, "v": v})
 
-    drawn = cells.sparkSession.range(reps).mapInPandas(draw, "rep long, v double")
+def boot_v(cells: DataFrame, reps: int = 1_000, seed: int = 1) -> DataFrame:
+    """Interval of V over bootstrap tables, and the share of tables that have one."""
+    table = _table(cells)
+    drawn = _by_replicate(cells.sparkSession, reps, lambda ids: {"v": v_of_many(_multinomial(table.ravel(), ids, seed).reshape(-1, *table.shape))}, "rep long, v double")
     good = F.when(~F.isnan("v"), F.col("v"))
     return drawn.agg(F.percentile(good, 0.025).alias("ci_low"), F.percentile(good, 0.975).alias("ci_high"), F.avg((~F.isnan("v")).cast("int")).alias("success"))
 
 
+def ridge_newton(x: np.ndarray, y: np.ndarray, weights: np.ndarray, c: float, steps: int = 60) -> tuple[np.ndarray, np.ndarray]:
+    """Coefficients (table, feature and intercept) of L2-penalised logistic models, all tables together; and which settled.
+
+    ``x`` and ``y`` belong to the cells, ``weights`` (table, cell) are their counts; the intercept is not penalised.
+    """
+    z = np.hstack([x, np.ones((len(x), 1))])
+    ridge = np.append(np.full(x.shape[1], 1 / c), 1e-9)
+    beta, step = np.zeros((len(weights), z.shape[1])), np.full((len(weights), 1), np.inf)
+    for _ in range(steps):
+        mu = 1 / (1 + np.exp(-np.clip(beta @ z.T, -30, 30)))
+        grad = (weights * (y - mu)) @ z - ridge * beta
+        hess = np.einsum("bc,ci,cj->bij", weights * mu * (1 - mu), z, z) + np.diag(ridge)
+        step = np.linalg.solve(hess, grad[:, :, None])[:, :, 0]
+        step *= np.minimum(1, 5 / np.maximum(np.linalg.norm(step, axis=1), 1e-12))[:, None]
+        beta = beta + step
+        if np.abs(step).max() < 1e-9:
+            break
+    return beta, np.abs(step).max(axis=1) < 1e-6
+
+
 def logistic_glm(df: DataFrame, label: str, features) -> DataFrame:
     """Coefficients, errors, odds ratios with intervals, p; ``separated`` marks huge errors or coefficients."""
     from pyspark.ml.feature import VectorAssembler
@@ -149,17 +200,30 @@ def logistic_glm(df: DataFrame, label: str, features) -> DataFrame:
     return df.sparkSession.createDataFrame(told, "term string, beta double, se double, odds_ratio double, ci_low double, ci_high double, p double, separated boolean")
 
 
-def logistic_ridge(df: DataFrame, label: str, features, c: float = 100.0) -> DataFrame:
-    """Coefficients with an L2 penalty 1 / (C n), fitted on distinct rows with their counts."""
-    from pyspark.ml.classification import LogisticRegression
-    from pyspark.ml.feature import VectorAssembler
-
-    counted = df.groupBy(label, *features).agg(F.count("*").cast("double").alias("weight_"))
-    n = counted.agg(F.sum("weight_")).first()[0]
-    rows = VectorAssembler(inputCols=list(features), outputCol="x_").transform(counted)
-    model = LogisticRegression(labelCol=label, featuresCol="x_", weightCol="weight_", elasticNetParam=0.0, regParam=1 / (c * n), standardization=False, maxIter=100).fit(rows)
-    told = [*zip(features, map(float, model.coefficients.toArray()), strict=True), ("intercept", float(model.intercept))]
-    return df.sparkSession.createDataFrame(told, "term string, beta double")
+def logistic_ridge(df: DataFrame, label: str, features, c: float = 100.0, reps: int = 1_000, seed: int = 1) -> DataFrame:
+    """``term, beta, se, odds_ratio, ci_low, ci_high, success``: L2-penalised coefficients with bootstrap intervals.
+
+    Rows are counted by label and features once; every replicate is a multinomial table of these counts and is fitted by
+    Newton steps on the counts.  Tables of one class, and those that do not settle, have no part in the interval.
+    """
+    features = list(features)
+    counted = df.groupBy(label, *features).agg(F.count("*").alias("n_")).limit(MOST_CELLS + 1).collect()
+    if len(counted) > MOST_CELLS:
+        raise ValueError(f"more than {MOST_CELLS} cells")
+    counted = sorted(counted, key=lambda r: [r[f] for f in (label, *features)])
+    x, y, n = np.array([[r[f] for f in features] for r in counted], float), np.array([r[label] for r in counted], float), np.array([r["n_"] for r in counted])
+    main, _ = ridge_newton(x, y, n[None, :].astype(float), c)
+
+    def each(ids):
+        tables = _multinomial(n, ids, seed)
+        beta, fine = ridge_newton(x, y, tables, c)
+        fine &= (tables @ y > 0) & (tables @ (1 - y) > 0)
+        return {"beta": [b.tolist() if f else None for b, f in zip(beta, fine, strict=True)]}
+
+    drawn = _by_replicate(df.sparkSession, reps, each, "rep long, beta array<double>").where("beta is not null")
+    by = drawn.select(F.posexplode("beta").alias("at", "b")).groupBy("at").agg(F.stddev_samp("b").alias("se"), F.percentile("b", 0.025).alias("low"), F.percentile("b", 0.975).alias("high"), (F.count("*") / F.lit(reps)).alias("success"))
+    terms = df.sparkSession.createDataFrame([(i, t, float(b)) for i, (t, b) in enumerate(zip([*features, "intercept"], main[0], strict=True))], "at int, term string, beta double")
+    return terms.join(by, "at", "left").select("term", "beta", "se", odds_ratio(F.col("beta")).alias("odds_ratio"), odds_ratio(F.col("low")).alias("ci_low"), odds_ratio(F.col("high")).alias("ci_high"), F.coalesce("success", F.lit(0.0)).alias("success"))
 
 
 def assoc_scenarios(scenarios: dict[str, DataFrame], a: str, b: str) -> DataFrame:

@@ -54,7 +54,7 @@ def i2_fisher(spark, d):
 
 @register(None)
 def i3_perm_chi2(spark, d):
-    return A.perm_p(pattern_state(spark, d), 500)
+    return A.perm_p(pattern_state(spark, d), 10_000)
 
 
 @register(S.query(f"select round({V}, 6) as v from (select {AGG} from cells)", cells_sql("units", "pattern", "state")))
@@ -64,7 +64,7 @@ def i4_cramers_v(spark, d):
 
 @register(None)
 def i5_boot_v(spark, d):
-    return A.boot_v(pattern_state(spark, d), 500)
+    return A.boot_v(pattern_state(spark, d), 1_000)
 
 
 @register(S.query(f"select da as a, db as b, units, round({V}, 6) as v from (select da, db, units, {AGG} from (select da, db, units, a, b, o as observed, sum(o) over (partition by da, db, a) * sum(o) over (partition by da, db, b) / sum(o) over (partition by da, db) as expected from (select x.a da, x.b db, x.observed units, y.a, y.b, y.observed - cast(x.a = y.a and x.b = y.b as int) o from cells x cross join cells y where x.observed > 0)) group by 1, 2, 3)", cells_sql("units", "pattern", "state")))
@@ -85,7 +85,7 @@ def i7_logistic(spark, d):
 @register(None)
 def i8_ridge(spark, d):
     df = coded(spark, d)
-    return A.logistic_ridge(df, "y", [c for c in df.columns if c.startswith("pattern_")])
+    return rounded(A.logistic_ridge(df, "y", [c for c in df.columns if c.startswith("pattern_")]), "beta", "se", "odds_ratio", "ci_low", "ci_high")
 
 
 _SC = [cells_sql("u0", "color", "state", "c0"), cells_sql("units", "color", "state", "c1"), cells_sql("u2", "color", "state", "c2")]
