@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from ..functions.expressions import total
 from .audit import bh_fdr_few, set_jaccard
 from .logratio import ilr, prepare_by, unit_centers
+from .refit import Drawn, drawn_words, weightings
 from .resample import Replicates, edge_rhos, edge_sums, resample
 
 
@@ -76,6 +77,18 @@ def adjusted_edges(df: DataFrame, parts, state: str = "unit_state") -> DataFrame
     return edges(rest, parts, ["label"])
 
 
+def shrunk_partial(s: np.ndarray, fourth: float, n: float) -> tuple[np.ndarray, float]:
+    """Partial correlations of a covariance with Ledoit-Wolf shrinkage, and the shrinkage; ``fourth`` is the mean of the
+    fourth power of the norm of ``n`` centred rows."""
+    p = len(s)
+    mu = np.trace(s) / p
+    delta = ((s - mu * np.eye(p)) ** 2).sum() / p
+    shrink = 0.0 if delta == 0 else max(0.0, min((fourth - (s**2).sum()) / (p * n), delta) / delta)
+    inverse = np.linalg.pinv((1 - shrink) * s + shrink * mu * np.eye(p), hermitian=True)
+    d = np.sqrt(np.diag(inverse))
+    return -inverse / np.outer(d, d), shrink
+
+
 def partial_corr(centers: DataFrame, parts) -> DataFrame:
     """Partial correlations of centred log parts with Ledoit-Wolf shrinkage: moments by Spark, a small inverse after."""
     n = len(parts)
@@ -92,18 +105,49 @@ def partial_corr(centers: DataFrame, parts) -> DataFrame:
                 s = np.zeros((n, n))
                 for i, j in pairs:
                     s[i, j] = s[j, i] = r[f"c{i}_{j}"]
-                mu = np.trace(s) / n
-                delta = ((s - mu * np.eye(n)) ** 2).sum() / n
-                beta = min((r["fourth"] - (s**2).sum()) / (n * r["n"]), delta)
-                shrink = 0.0 if delta == 0 else beta / delta
-                inverse = np.linalg.inv((1 - shrink) * s + shrink * mu * np.eye(n))
-                d = np.sqrt(np.diag(inverse))
-                rows += [(r["label"], parts[i], parts[j], float(-inverse[i, j] / (d[i] * d[j])), float(shrink)) for i, j in combinations(range(n), 2)]
+                partial, shrink = shrunk_partial(s, r["fourth"], r["n"])
+                rows += [(r["label"], parts[i], parts[j], float(partial[i, j]), float(shrink)) for i, j in combinations(range(n), 2)]
             yield pd.DataFrame(rows, columns=["label", "part_j", "part_k", "partial", "shrinkage"])
 
     return moments.mapInPandas(invert, "label string, part_j string, part_k string, partial double, shrinkage double")
 
 
+def boot_partials(df: DataFrame, parts, reps: int = 1_000, zero_c: float = 0.5, salt: str = "boot") -> DataFrame:
+    """``rep, label, part_j, part_k, partial, shrinkage``: preparation, covariance and shrinkage fitted anew in each replicate.
+
+    A unit's centred logs are linear in its sums (see ``refit``), so a replicate costs one small matrix; its second
+    moments and the mean fourth power of the norm are summed over units, and small inverses follow.
+    """
+    parts, rows = list(parts), []
+    for label in sorted(r["label"] for r in df.select("label").distinct().collect()):
+        own = df.where(F.col("label") == label)
+        w = weightings(own, parts, None, Drawn(), reps, drawn_words(own, salt), "label", zero_c, None)
+        try:
+            ids, means, scale = w.fitted(), w.means[:, 1], w.scale
+
+            def fourth(k, x, y, weight, role, means=means, scale=scale):
+                z = (x - means[k]) * scale[k]
+                return np.array([weight @ (z * z).sum(axis=1) ** 2])
+
+            fours = w.summed(fourth, ids)
+            for k in ids.tolist():
+                n, s = w.counts[k, 1], w.covs[k, 1] * np.outer(scale[k], scale[k])
+                if n < 2:
+                    continue
+                partial, shrink = shrunk_partial(s, fours[k][0] / n, n)
+                rows += [(k, label, parts[i], parts[j], float(partial[i, j]), shrink) for i, j in combinations(range(len(parts)), 2)]
+        finally:
+            w.close()
+    return df.sparkSession.createDataFrame(pd.DataFrame(rows, columns=["rep", "label", "part_j", "part_k", "partial", "shrinkage"]), "rep int, label string, part_j string, part_k string, partial double, shrinkage double")
+
+
+def partial_table(main: DataFrame, boot: DataFrame) -> DataFrame:
+    """Partial correlations with their bootstrap interval, the share of replicates of the same sign, and their number."""
+    both = boot.select("rep", "label", "part_j", "part_k", F.col("partial").alias("p_")).join(main, ["label", "part_j", "part_k"])
+    by = both.groupBy("label", "part_j", "part_k").agg(F.percentile("p_", 0.025).alias("ci_low"), F.percentile("p_", 0.975).alias("ci_high"), F.avg((F.signum("p_") == F.signum("partial")).cast("int")).alias("direction_frequency"), F.count("*").alias("successes"))
+    return main.join(by, ["label", "part_j", "part_k"])
+
+
 def deltas(edge_rows: DataFrame, keys=()) -> DataFrame:
     """Difference of rho between the two labels (the first less the second in sorted order), paired by ``keys``."""
     a, b = edge_rows.alias("a"), edge_rows.alias("b")

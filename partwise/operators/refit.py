@@ -95,7 +95,7 @@ class Weightings:
 
     def __init__(self, units, draw, count, features):
         self.units, self.draw, self.count, self.features = units, draw, count, features
-        self.turn = self.counts = self.means = self.covs = None
+        self.turn = self.counts = self.means = self.covs = self.scale = None
         self.fill = self.delta = None
         self.failed: dict[int, str] = {}
 
@@ -126,9 +126,12 @@ class Weightings:
         return {r["k"]: np.frombuffer(bytes(r["x"])) for r in folded(blocks, ["k"]).collect()}
 
 
-def weightings(df: DataFrame, parts, library, draw, count: int, words: DataFrame, group: str = "state", zero_c: float = 0.5, positive: str = "PB") -> Weightings:
+def weightings(df: DataFrame, parts, library, draw, count: int, words: DataFrame, group: str = "state", zero_c: float = 0.5, positive: str | None = "PB") -> Weightings:
     """Fit ``count`` preparations of the points ``df(unit_id, label, group, *parts)``, one for each weighting of ``draw``.
 
+    Features are the balances of ``library``, or, for ``None``, the centred log parts.  Without a ``positive`` label all
+    units are one class.
+
     ``words`` are the numbers that ``draw`` works with, one row a unit.  A weighting with units of one class, or with a
     part that has no value, is named in ``failed``.  Points whose group is null are filled with global medians.
     """
@@ -163,15 +166,15 @@ def weightings(df: DataFrame, parts, library, draw, count: int, words: DataFrame
         for g in range(fill.shape[1]):
             least_ = np.where((missing[:, g] > 0) & (fill[:, g] > 0), np.fmin(least_, fill[:, g]), least_)
         delta = np.where(least_ < np.finfo(float).max, zero_c * least_, np.nan)
-        units = points.groupBy("unit_id", "a_", "b_").agg((F.min("label") == positive).cast("int").alias("y"), F.array(*[c / F.count("*") for s in [*known, None] for k in range(3) for p in parts for c in [_sums(_mask(group, s), p)[k]]], F.lit(1.0)).alias("x")).persist()
+        units = points.groupBy("unit_id", "a_", "b_").agg((F.lit(True) if positive is None else F.min("label") == positive).cast("int").alias("y"), F.array(*[c / F.count("*") for s in [*known, None] for k in range(3) for p in parts for c in [_sums(_mask(group, s), p)[k]]], F.lit(1.0)).alias("x")).persist()
         units.count()
     finally:
         points.unpersist()
-    out = Weightings(units, draw, count, list(library))
+    out = Weightings(units, draw, count, list(library) if library is not None else parts)
     out.fill, out.delta = fill, delta
     out.failed = {k: "part_without_values" for k in np.flatnonzero(np.isnan(fill).any(axis=(1, 2)) | np.isnan(delta).any(axis=1)).tolist()}
-    _turn(out, _balance_weights(library, parts))
-    _moments(out)
+    _turn(out, _balance_weights(library, parts) if library is not None else np.eye(n) - 1 / n)
+    _moments(out, (0, 1) if positive is not None else (1,))
     return out
 
 
@@ -206,8 +209,8 @@ def _turn(out: Weightings, weights: np.ndarray) -> None:
     out.turn = np.concatenate([*blocks, np.zeros((out.count, 1, weights.shape[1]))], axis=1)
 
 
-def _moments(out: Weightings) -> None:
-    """Moments of the classes; the features are standardised by the deviation of all training units."""
+def _moments(out: Weightings, needed=(0, 1)) -> None:
+    """Moments of the classes; the features are standardised by the deviation (``scale``) of all training units."""
     n = len(out.features)
 
     def each(k, x, y, w, role):
@@ -217,7 +220,7 @@ def _moments(out: Weightings) -> None:
     for k, v in out.summed(each, out.fitted()).items():
         own[k] = v.reshape(2, -1)
     counts, first, second = own[..., 0], own[..., 1 : 1 + n], own[..., 1 + n :].reshape(out.count, 2, n, n)
-    out.failed |= {k: "single_class" for k in out.fitted().tolist() if not counts[k].all()}
+    out.failed |= {k: "single_class" for k in out.fitted().tolist() if not counts[k][list(needed)].all()}
     with np.errstate(divide="ignore", invalid="ignore"):
         size = counts.sum(axis=1)[:, None]
         mean = first.sum(axis=1) / size
@@ -226,6 +229,7 @@ def _moments(out: Weightings) -> None:
         means = first / counts[..., None]
         covs = second / counts[..., None, None] - means[..., :, None] * means[..., None, :]
     out.counts, out.means = counts, (means - mean[:, None]) / sd[:, None]
+    out.scale = sd
     out.covs = covs / (sd[:, None, :, None] * sd[:, None, None, :])
     out.turn = out.turn / sd[:, None, :]
     out.turn[:, -1] = -np.nan_to_num(mean / sd)

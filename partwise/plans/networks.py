@@ -147,7 +147,8 @@ def o3_adjusted_edges(spark, d):
 @register(None)
 def o4_partial_corr(spark, d):
     known = orders.known_points(spark, d)
-    return rounded(N.partial_corr(N.log_centers(N.fitted(known, PARTS), PARTS), PARTS), "partial", "shrinkage")
+    main = N.partial_corr(N.log_centers(N.fitted(known, PARTS), PARTS), PARTS)
+    return rounded(N.partial_table(main, N.boot_partials(known, PARTS, REPS)), "partial", "shrinkage", "ci_low", "ci_high", "direction_frequency")
 
 
 @register(None)
