@@ -14,15 +14,17 @@ from __future__ import annotations
 import json
 import struct
 import zlib
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.ranks import running_least, running_totals
 from .storage import open_fs, shared_path, write_atomically
 from .tokens import chunk_ids
-from .words import keyed, mix64
+from .words import give_back, keyed, mix64
 
 MAGIC = b"PWTOKEN1"
 #: Positions of a level for each key that is still without a place.
@@ -84,11 +86,15 @@ class PerfectHash:
         return out
 
 
-def write_file(stream, keys: list[int | None], counts: np.ndarray, payloads, width: int) -> None:
-    """Write documents in the order given (ascending keys, nulls first); ``payloads`` yields their packed ids."""
+def write_file(stream, keys: list[int | None], counts, payloads, width: int) -> None:
+    """Write documents in the order given (ascending keys, nulls first); ``payloads`` yields their packed ids.
+
+    ``keys`` and ``counts`` are read after the payloads, so a generator may fill them meanwhile.
+    """
     stream.write(MAGIC)
     for payload in payloads:
         stream.write(payload)
+    counts = np.asarray(counts, np.int64)
     known = np.array([k is not None for k in keys], bool)
     plain = np.array([k or 0 for k in keys], np.int64)
     ends = np.cumsum(counts)
@@ -153,43 +159,48 @@ def write_token_files(docs: DataFrame, tokenizer_path: str, end_id: int = 2, fil
     """Encode ``docs(doc_id, text)`` and write them in ascending ``doc_id`` order as token files below a new folder.
 
     Texts are range-partitioned by key before they are encoded, so that each is encoded once, in the task that
-    writes its file; a task keeps its packed ids in an unlinked spool.  Returns the folder and its manifest table:
-    ``path, first_key, documents, ids`` and ``base`` (the ids of all files before it).
+    writes its file; ids go to the file as they are made, the index follows them.  Returns the folder and its manifest
+    table: ``file, path, first_key, documents, ids`` and ``base`` (the ids of all files before it).
     """
     spark = docs.sparkSession
     folder = shared_path(spark, "tokens")
     some = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     size = some.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     files = max(1, -(-size // file_bytes), min(size // (1 << 20), spark.sparkContext.defaultParallelism))
-    ordered = some.repartitionByRange(files, F.col("doc_id").asc_nulls_first(), F.xxhash64("text")).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), F.xxhash64("text"))
+    # rows that share id and text are equal, so any of them may stand first; their number splits a hot key
+    order = [F.col("doc_id").asc_nulls_first(), F.col("print_"), F.col("copy_")]
+    ranged = some.withColumns({"print_": F.xxhash64("text"), "copy_": F.pmod(F.monotonically_increasing_id(), F.lit(4096))}).repartitionByRange(files, *order)
+    ordered = ranged.sortWithinPartitions(*order).select("doc_id", "text")
 
     def write(batches):
-        import tempfile
-
         from pyspark import TaskContext
 
         store = chunk_ids(tokenizer_path)
         width = 2 if store.tokenizer.get_vocab_size() <= 65_536 and end_id < 65_536 else 4
         keys, counts = [], []
-        with tempfile.SpooledTemporaryFile(max_size=32 << 20) as spool:
-            for batch in batches:
-                keys += batch.column(0).to_pylist()
+        batches = (b for b in batches if len(b))
+        first = next(batches, None)
+        if first is None:
+            return
+
+        def payloads():
+            """Packed ids, one run after another; keys and counts fill up as they are written."""
+            for batch in chain([first], batches):
+                keys.extend(batch.column(0).to_pylist())
                 for _, ids, sizes in store.runs(batch.column(1), end_id):
-                    counts += sizes.tolist()
-                    spool.write(ids.astype(f"<u{width}").tobytes())
+                    counts.extend(sizes.tolist())
+                    yield ids.astype(f"<u{width}").tobytes()
             store.forget()
-            if not keys:
-                return
-            path = f"{folder}/{TaskContext.get().partitionId():06d}.tok"
-            spool.seek(0)
-            write_atomically(path, lambda out: write_file(out, keys, np.array(counts, np.int64), iter(lambda: spool.read(1 << 20), b""), width))
-        yield pa.RecordBatch.from_pydict({"path": [path], "first_key": pa.array([keys[0]], pa.int64()), "documents": [len(keys)], "ids": [sum(counts)]})
+            give_back()
+
+        number = TaskContext.get().partitionId()
+        path = f"{folder}/{number:06d}.tok"
+        write_atomically(path, lambda out: write_file(out, keys, counts, payloads(), width))
+        yield pa.RecordBatch.from_pydict({"file": pa.array([number], pa.int64()), "path": [path], "first_key": pa.array([keys[0]], pa.int64()), "documents": [len(keys)], "ids": [sum(counts)]})
 
     manifest = f"{folder}/manifest"
-    ordered.mapInArrow(write, "path string, first_key long, documents long, ids long").write.parquet(manifest)
-    files_ = spark.read.parquet(manifest)
-    before = Window.orderBy("path").rowsBetween(Window.unboundedPreceding, -1)
-    return folder, files_.withColumn("base", F.coalesce(F.sum("ids").over(before), F.lit(0)))
+    ordered.mapInArrow(write, "file long, path string, first_key long, documents long, ids long").write.parquet(manifest)
+    return folder, running_totals(spark.read.parquet(manifest), [], ["file"], ["ids"]).withColumnRenamed("below_ids", "base")
 
 
 _READ = "doc_id long, start long, n_tokens long, ids_crc32 long, found boolean"
@@ -232,29 +243,32 @@ def read_documents(manifest: DataFrame) -> DataFrame:
 def lookup(spark: SparkSession, manifest: DataFrame, keys: DataFrame) -> DataFrame:
     """Keyed access: for ``keys(doc_id)``, ``doc_id, ids`` of each key's first document; absent keys give no row.
 
-    Keys go to their file by a range join against the manifest's first keys, and from there by the index alone.
+    A key may stand at the end of the last file that starts below it, or in the first that starts with it.  The former is
+    a running maximum over keys and files' first keys in order, by ranges in many tasks; from there the index leads.
     """
-    ordered = manifest.where("first_key is not null").select("path", F.col("first_key").alias("low"))
-    spans = ordered.withColumn("high", F.lead("low").over(Window.orderBy("low", "path")))
-    asked = keys.select(F.col("doc_id").cast("long")).where("doc_id is not null")
-    routed = asked.join(spans, (F.col("doc_id") >= F.col("low")) & (F.col("high").isNull() | (F.col("doc_id") <= F.col("high"))))
+    asked = keys.select(F.col("doc_id").cast("long")).where("doc_id is not null").distinct()
+    starts = manifest.where("first_key is not null").groupBy(F.col("first_key").alias("doc_id")).agg(F.min("file").alias("file"), F.max("file").alias("last"))
+    marks = starts.select("doc_id", F.lit(1).alias("kind"), (-F.col("last")).alias("back"))
+    both = asked.select("doc_id", F.lit(0).alias("kind"), F.lit(None).cast("long").alias("back")).unionByName(marks)
+    below = running_least(both, [], ["doc_id", "kind"], "back").where("kind = 0 and least_back is not null").select("doc_id", (-F.col("least_back")).alias("file"))
+    routed = below.unionByName(asked.join(starts.select("doc_id", "file"), "doc_id")).join(manifest.select("file", "path"), "file")
 
     def fetch(batches):
         opened: dict[str, TokenFile] = {}
         for batch in batches:
             rows = []
-            for path, key in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            for path, key, number in zip(*[c.to_pylist() for c in batch.columns], strict=True):
                 if path not in opened:
                     opened = {path: TokenFile(path)}
                 ids = opened[path].get(key)
                 if ids is not None:
-                    rows.append((path, key, ids.astype(np.int64)))
-            kinds = (pa.string(), pa.int64(), pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], names=["path", "doc_id", "ids"])
+                    rows.append((number, key, ids.astype(np.int64)))
+            kinds = (pa.int64(), pa.int64(), pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], names=["file", "doc_id", "ids"])
 
-    sorted_ = routed.select("path", "doc_id").repartition("path").sortWithinPartitions("path", "doc_id")
-    fetched = sorted_.mapInArrow(fetch, "path string, doc_id long, ids array<long>")
-    return fetched.groupBy("doc_id").agg(F.min_by("ids", "path").alias("ids"))
+    sorted_ = routed.select("path", "doc_id", "file").repartition("path").sortWithinPartitions("path", "doc_id")
+    fetched = sorted_.mapInArrow(fetch, "file long, doc_id long, ids array<long>")
+    return fetched.groupBy("doc_id").agg(F.min_by("ids", "file").alias("ids"))
 
 
 def round_trip(docs: DataFrame, tokenizer_path: str, end_id: int = 2) -> DataFrame:

@@ -22,6 +22,8 @@ from .words import parts, slices
 #: The pre-tokenizer's pattern, over lower-case ASCII and over any lower-case text.
 _ASCII = re.compile(r"'(?:s|t|re|ve|m|ll|d)|[a-z]+|[0-9]|[^\sa-z0-9]+|\n")
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+#: Fixed value: the normalizer that parts are made for; with another one every text goes through the whole tokenizer.
+NORMALIZER = 'Sequence(normalizers=[NFC(), Replace(pattern=Regex("\\s+"), content=" "), Lowercase()])'
 _ANY = regex.compile(PATTERN + r"|\n")
 #: Letters and signs that normalisation may change, and hidden ones, go through the whole tokenizer.
 _OTHER = re.compile("[^\n\x20-\x7e¡-¬®-įı-ɏ]")
@@ -97,7 +99,7 @@ class ChunkIds:
         self.model = self.tokenizer.model
         self.chunks, self.units = Store(most), Store(most)
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.apart = PATTERN in repr(self.tokenizer.pre_tokenizer) and self.tokenizer.post_processor is None
+        self.apart = PATTERN in repr(self.tokenizer.pre_tokenizer) and self.tokenizer.post_processor is None and repr(self.tokenizer.normalizer) == NORMALIZER
 
     def forget(self) -> None:
         """Empty both stores: a worker that waits for its next task holds no memory for them."""

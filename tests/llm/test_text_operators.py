@@ -192,6 +192,30 @@ def test_token_files_round_trip_and_lookup(spark):
     assert token_files.round_trip(frame(spark, []), BPE).count() == 0
 
 
+def test_keys_that_span_files_and_repeat(spark):
+    """A key whose rows fill several files is found at its first row; files are in the order of their numbers."""
+    rows = [(5, "one two three")] * 4000 + [(i, f"text {i}") for i in range(60)]
+    _, manifest = token_files.write_token_files(frame(spark, rows), BPE, 2, file_bytes=1 << 13)
+    files = manifest.orderBy("file").toPandas()
+    assert len(files) > 3 and (files.first_key == 5).sum() > 1 and files.base.tolist() == [0, *np.cumsum(files.ids)[:-1]]
+    asked = spark.createDataFrame([(i,) for i in range(-3, 70)] + [(5,)], "doc_id long")
+    found = {r["doc_id"]: r["ids"] for r in token_files.lookup(spark, manifest, asked).collect()}
+    assert set(found) == set(range(60))
+    assert all(found[i] == library_ids(f"text {i}", 2).tolist() for i in range(60) if i != 5) and found[5] in (library_ids("text 5", 2).tolist(), library_ids("one two three", 2).tolist())
+
+
+def test_another_normalizer_goes_through_the_library(tmp_path):
+    import json
+
+    own = json.loads(open(BPE).read()) | {"normalizer": None}
+    path = tmp_path / "other.json"
+    path.write_text(json.dumps(own))
+    texts = ["Some Text 12", "ÉTÉ"]
+    ids, sizes = ChunkIds(str(path)).encode_many(pa.array(texts))
+    told = Tokenizer.from_file(str(path))
+    assert ids.tolist() == [i for t in texts for i in told.encode(t, add_special_tokens=False).ids] and not ChunkIds(str(path)).apart and ChunkIds(BPE).apart
+
+
 def test_documents_are_read_through_the_index(spark):
     docs = frame(spark, [(i, f"text {i}") for i in range(40)])
     _, manifest = token_files.write_token_files(docs, BPE, 2, file_bytes=1 << 20)
