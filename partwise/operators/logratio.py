@@ -5,12 +5,16 @@ from __future__ import annotations
 import math
 from dataclasses import dataclass, field
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.expressions import combine, helmert, total, uniform
+from ..sources.shared import materialise
 from .nearest import nearest_missing
-from .ranks import joined_back
+from .ranks import joined_back, quantiles, running_totals
+from .resample import folded, replicate_medians
 from .selection import select
 
 #: Sets of parameters (keys of a fit) that are broadcast at most; each is a few numbers a part.
@@ -193,27 +197,112 @@ def knn_impute(df: DataFrame, donors: DataFrame, parts, k: int = 5, key: str = "
     return nearest_missing(left, right, parts, k, key).groupBy(key, "part").agg(F.greatest(F.avg("value"), F.lit(0.0)).alias("value"))
 
 
-def mask_validation(df: DataFrame, parts, group: str, reps: int, share: float = 0.1, key: str = "point_id") -> DataFrame:
+def hidden_cells(cells: DataFrame, reps: int, share: float, key: str) -> DataFrame:
+    """``key, part, mask``: bit r says that the cell is hidden in repeat r.
+
+    Of each part with ten observed positive cells or more, ``max(1, round(share n))`` of them are hidden, those of the
+    smallest hashes.  Hashes are uniform, so only those near the expected place are ranked, by ranges in many tasks.
+    """
+    sizes = {r["part"]: r["n"] for r in cells.where("value > 0").groupBy("part").agg(F.count("*").alias("n")).collect() if r["n"] >= 10}
+    if not sizes:
+        return cells.select(key, "part", F.lit(0).cast("long").alias("mask")).limit(0)
+    wanted = {p: max(1, math.floor(n * share + 0.5)) for p, n in sizes.items()}
+    of = lambda values: F.create_map(*[x for p, v in values.items() for x in (F.lit(p), F.lit(v))])[F.col("part")]
+    limit = of({p: (wanted[p] + 10 * math.sqrt(wanted[p]) + 10) / n for p, n in sizes.items()})
+    some = cells.where((F.col("value") > 0) & F.col("part").isin(*sizes)).select(key, "part", F.explode(F.sequence(F.lit(0), F.lit(reps - 1))).alias("rep"))
+    near = some.withColumn("u", uniform(F.lit("mask"), "rep", "part", key)).where(F.col("u") <= limit)
+    ranked = running_totals(near.withColumn("one", F.lit(1)), ["rep", "part"], ["u", key], ["one"]).where(F.col("below_one") < of(wanted))
+    return ranked.groupBy(key, "part").agg(F.sum(F.expr("shiftleft(1L, rep)")).alias("mask"))
+
+
+class _Seen:
+    """Weights of the cells that a repeat does not hide: the first word is the cell's mask."""
+
+    groups = 1
+
+    def __call__(self, g, a, b, reps):
+        yield 0, np.arange(len(a)), ((a[:, None] >> reps[None, :]) & 1 == 0).astype(float)
+
+
+def _seen_sums(cells: DataFrame, names, codes, lows, reps: int) -> dict[int, np.ndarray]:
+    """Of every (group, part) and repeat, over the cells that it does not hide: number, number below ``lows``, and sum."""
+
+    def add(batches):
+        out = np.zeros((len(codes), reps, 3))
+        for batch in batches:
+            for at in range(0, len(batch), 1 << 14):
+                part, group, value, mask = (c.to_numpy(zero_copy_only=False) for c in batch.slice(at, 1 << 14).columns)
+                seen = ((mask.astype(np.int64)[:, None] >> np.arange(reps)) & 1 == 0).astype(float)
+                for i, (g, p) in enumerate(codes):
+                    rows = np.flatnonzero((part == p) & ((group == g) if g is not None else True))
+                    out[i] += seen[rows].T @ np.column_stack([np.ones(len(rows)), value[rows] < lows[i], value[rows]])
+        yield pa.RecordBatch.from_pydict({"k": pa.array(range(len(codes)), pa.int32()), "x": pa.array([v.tobytes() for v in out], pa.binary())})
+
+    return {r["k"]: np.frombuffer(bytes(r["x"])).reshape(reps, 3) for r in folded(cells.mapInArrow(add, "k int, x binary"), ["k"]).collect()}
+
+
+def mask_validation(df: DataFrame, parts, group: str, reps: int = 20, share: float = 0.1, key: str = "point_id", min_obs: int = 5) -> DataFrame:
     """Errors of imputation methods on hidden cells: ``rep, part, method, n, mae, rmse, median_ae``.
 
-    In each repeat ``max(1, round(share n))`` observed positive cells of a part (of ten at least) are hidden, the
-    first by hash, and predicted from the others: global mean, global median, zero and group median.
+    In each repeat (62 at most) a share of a part's observed positive cells is hidden (see ``hidden_cells``) and predicted
+    from the others: global mean, global median, zero and group median, which is the global one in groups with fewer than
+    ``min_obs`` cells left.  Cells are not copied by repeat: a word tells in which they are hidden, medians come from a
+    narrow band of values under all repeats' weights, the rest is counted.
     """
-    cells = df.select(key, group, F.explode(F.array(*[F.struct(F.lit(p).alias("part"), F.col(p).alias("value")) for p in parts])).alias("c")).select(key, group, "c.part", "c.value").where("value is not null")
-    cells = cells.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(reps - 1))))
-    positive = F.col("value") > 0
-    u = uniform(F.lit("mask"), "rep", "part", key)
-    order = Window.partitionBy("rep", "part").orderBy(F.when(positive, 0).otherwise(1), u, key)
-    n = F.sum(positive.cast("int")).over(Window.partitionBy("rep", "part"))
-    cells = cells.withColumns({"rn": F.row_number().over(order), "n": n}).where("n >= 10")
-    cells = cells.withColumn("hidden", F.col("rn") <= F.greatest(F.lit(1), F.round(F.col("n") * share).cast("int")))
-    seen, hidden = cells.where("not hidden"), cells.where("hidden")
-    over = seen.groupBy("rep", "part").agg(F.avg("value").alias("mean"), F.percentile("value", 0.5).alias("median"))
-    by = seen.groupBy("rep", "part", group).agg(F.percentile("value", 0.5).alias("own"))
-    told = hidden.join(over, ["rep", "part"]).join(by, ["rep", "part", group], "left")
-    methods = {"global_mean": F.col("mean"), "global_median": F.col("median"), "zero": F.lit(0.0), "group_median": F.coalesce("own", "median")}
-    long = told.select("rep", "part", "value", F.explode(F.array(*[F.struct(F.lit(m).alias("method"), e.alias("estimate")) for m, e in methods.items()])).alias("m")).select("rep", "part", "m.method", (F.col("m.estimate") - F.col("value")).alias("error"))
-    return long.groupBy("rep", "part", "method").agg(F.count("*").alias("n"), F.avg(F.abs("error")).alias("mae"), F.sqrt(F.avg(F.col("error") * F.col("error"))).alias("rmse"), F.percentile(F.abs("error"), 0.5).alias("median_ae"))
+    parts = list(parts)
+    if reps > 62:
+        raise ValueError("a word holds 62 repeats")
+    cells = df.select(key, group, F.explode(F.array(*[F.struct(F.lit(p).alias("part"), F.col(p).cast("double").alias("value")) for p in parts])).alias("c")).select(key, group, "c.part", "c.value").where("value is not null")
+    hidden = hidden_cells(cells, reps, share, key)
+    cells = joined_back(cells, hidden, [key, "part"], ["mask"]).withColumn("mask", F.coalesce("mask", F.lit(0).cast("long"))).persist()
+    try:
+        groups = sorted(r[0] for r in cells.select(group).distinct().limit(MOST_KEYS + 1).collect() if r[0] is not None)
+        if len(groups) > 256:
+            raise ValueError("more than 256 groups")
+        names = [(g, p) for g in [None, *groups] for p in parts]
+        mine = {(g, p): (F.col("part") == p) & (F.lit(True) if g is None else F.col(group).eqNullSafe(g)) for g, p in names}
+        number = lambda c, values: F.coalesce(*[F.when(F.col(c) == v, F.lit(i)) for i, v in enumerate(values)], F.lit(-1)).alias(f"{c}_")
+        base = cells.agg(*[x for i, k in enumerate(names) for x in (F.count_if(mine[k]).alias(f"n_{i}"), F.count_if(mine[k] & (F.col("value") > 0)).alias(f"p_{i}"))]).first()
+        for reach in (8.0, 32.0, 128.0, None):
+            spots = []
+            for i, _ in enumerate(names):
+                n, positive = base[f"n_{i}"], max(1, base[f"p_{i}"])
+                h, zeros = share * positive, n - base[f"p_{i}"]
+                left = (n - h) / 2
+                place = left if left <= zeros else zeros + (left - zeros) / (1 - share)
+                half = n if reach is None else reach * math.sqrt(h + 1) + 10
+                spots.append([min(max(v / max(n, 1), 0.0), 1.0) for v in (place - half, place + half)])
+            found = cells.agg(*[F.percentile_approx(F.when(mine[k], F.col("value")), F.array(*map(F.lit, spots[i])), 10_000).alias(f"q_{i}") for i, k in enumerate(names)]).first()
+            ends = [(found[f"q_{i}"] or (0.0, 0.0)) for i in range(len(names))]
+            ends = [(-1.7e308 if spots[i][0] <= 0 else e[0], 1.7e308 if spots[i][1] >= 1 else e[1]) for i, e in enumerate(ends)]
+            told = _seen_sums(cells.select(number("part", parts), number(group, groups), "value", "mask"), names, [(groups.index(g) if g is not None else None, parts.index(p)) for g, p in names], [e[0] for e in ends], reps)
+            total, below, sums = (np.stack([told[i][:, j] for i in range(len(names))], axis=1)[None] for j in range(3))
+            near = F.array_compact(F.array(*[F.when(mine[k] & F.col("value").between(*ends[i]), F.lit(i)) for i, k in enumerate(names)]))
+            rows = cells.select("mask", "value", F.explode(near).alias("part_")).select(F.lit(0).alias("s_"), F.lit(0).alias("g_"), F.col("mask").alias("a_"), F.lit(0).cast("long").alias("b_"), "part_", "value")
+            medians = replicate_medians(rows, _Seen(), reps, below, total)
+            if not (np.isnan(medians) & (total > 0)).any():
+                break
+        middle, total, sums = medians[0], total[0], sums[0]
+        whole = {p: names.index((None, p)) for p in parts}
+        table = []
+        for r in range(reps):
+            for p in parts:
+                i = whole[p]
+                if total[r, i]:
+                    table += [(r, g, p, float(sums[r, i] / total[r, i]), float(middle[r, i]), float(middle[r, j] if total[r, j] >= min_obs else middle[r, i])) for g in groups for j in [names.index((g, p))]]
+                    table.append((r, None, p, float(sums[r, i] / total[r, i]), float(middle[r, i]), float(middle[r, i])))
+        kind = dict(df.dtypes)[group]
+        known = df.sparkSession.createDataFrame(table, f"rep int, {group} {kind}, part string, mean double, median double, own double")
+        each = cells.where("mask <> 0").select(group, "part", "value", "mask", F.explode(F.sequence(F.lit(0), F.lit(reps - 1))).alias("rep")).where(F.expr("shiftright(mask, rep) & 1 = 1"))
+        errors = joined_back(each, F.broadcast(known), ["rep", group, "part"], ["mean", "median", "own"], "inner")
+        methods = {"global_mean": F.col("mean"), "global_median": F.col("median"), "zero": F.lit(0.0), "group_median": F.col("own")}
+        long = errors.select("rep", "part", "value", F.explode(F.array(*[F.struct(F.lit(m).alias("method"), e.alias("estimate")) for m, e in methods.items()])).alias("m")).select("rep", "part", "m.method", (F.col("m.estimate") - F.col("value")).alias("error"))
+        by = ["rep", "part", "method"]
+        means = long.groupBy(*by).agg(F.count("*").alias("n"), F.avg(F.abs("error")).alias("mae"), F.sqrt(F.avg(F.col("error") * F.col("error"))).alias("rmse"))
+        middle_ = quantiles(long.select(*by, F.abs("error").alias("e")), "e", by, {"median_ae": 0.5})
+        return materialise(means.join(middle_, by).select(*by, "n", "mae", "rmse", "median_ae"), "masked")
+    finally:
+        cells.unpersist()
 
 
 def mask_summary(detail: DataFrame, base: str = "group_median") -> DataFrame:

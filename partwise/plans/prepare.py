@@ -397,23 +397,23 @@ def h13_knn(spark, d):
 QUERIES["h17_knn_all"], SQL["h17_knn_all"] = h13_knn, _KNN_SQL
 
 
-_MASK = f"""m0 as (select r.rep, label, part, point_id, value from (select label, point_id, part, value from ({S.long("known", "label, point_id")}) where value is not null) , (select unnest(range(3)) as rep) r),
+_MASK = f"""m0 as (select r.rep, label, part, point_id, value from (select label, point_id, part, value from ({S.long("known", "label, point_id")}) where value is not null) , (select unnest(range(20)) as rep) r),
 m1 as (select *, row_number() over (partition by rep, part order by case when value > 0 then 0 else 1 end, {S.uniform("'mask'", "rep", "part", "point_id")}, point_id) rn, sum(cast(value > 0 as int)) over (partition by rep, part) n from m0),
 m2 as materialized (select *, rn <= greatest(1, cast(round(n * 0.1) as int)) as hidden from m1 where n >= 10),
 mo as (select rep, part, avg(value) mean, quantile_cont(value, 0.5) median from m2 where not hidden group by 1, 2),
-mg as (select rep, part, label, quantile_cont(value, 0.5) own from m2 where not hidden group by 1, 2, 3),
+mg as (select rep, part, label, case when count(*) >= 5 then quantile_cont(value, 0.5) end own from m2 where not hidden group by 1, 2, 3),
 mt as materialized (select rep, part, value, mean, median, coalesce(own, median) own from (select * from m2 where hidden) join mo using (rep, part) left join mg using (rep, part, label)),
 detail as materialized (select rep, part, method, count(*) n, avg(abs(e)) mae, sqrt(avg(e * e)) rmse, quantile_cont(abs(e), 0.5) median_ae from (select rep, part, 'global_mean' as method, mean - value e from mt union all select rep, part, 'global_median', median - value from mt union all select rep, part, 'zero', -value from mt union all select rep, part, 'group_median', own - value from mt) group by 1, 2, 3)"""
 
 
 @register(S.query("select rep, part, method, n, round(mae, 6) as mae, round(rmse, 6) as rmse, round(median_ae, 6) as median_ae from detail", _MASK))
 def h14_mask_validation(spark, d):
-    return rounded(lr.mask_validation(orders.known_points(spark, d), PARTS, "label", 3), "mae", "rmse", "median_ae")
+    return rounded(lr.mask_validation(orders.known_points(spark, d), PARTS, "label", 20), "mae", "rmse", "median_ae")
 
 
 @register(S.query("select method, round(m, 6) as mean_mae, round(lo, 6) as mae_low, round(hi, 6) as mae_high, round(m - (select avg(mae) from detail where method = 'group_median'), 6) + 0.0 as delta from (select method, avg(mae) m, quantile_cont(mae, 0.025) lo, quantile_cont(mae, 0.975) hi from detail group by 1)", _MASK))
 def h15_mask_summary(spark, d):
-    return rounded(lr.mask_summary(lr.mask_validation(orders.known_points(spark, d), PARTS, "label", 3)), "mean_mae", "mae_low", "mae_high", "delta")
+    return rounded(lr.mask_summary(lr.mask_validation(orders.known_points(spark, d), PARTS, "label", 20)), "mean_mae", "mae_low", "mae_high", "delta")
 
 
 @register(None)
