@@ -14,6 +14,7 @@ from ..functions.expressions import total
 from . import kmeans
 from .audit import avg_rank, unpivot
 from .resample import Poisson, word
+from .selection import select
 
 
 def clr_spearman(centers: DataFrame, parts, by: str = "label") -> DataFrame:
@@ -24,22 +25,53 @@ def clr_spearman(centers: DataFrame, parts, by: str = "label") -> DataFrame:
     return pairs.groupBy(F.col(f"a.{by}").alias(by), F.col("a.part").alias("part_j"), F.col("b.part").alias("part_k")).agg(F.corr("a.rank", "b.rank").alias("rho"))
 
 
-def representative_parts(corr: dict[tuple[str, str], float], order: dict[str, tuple], cut: float = 0.5) -> list[str]:
-    """One part of each group of average linkage on 1 - abs(rho), the first by ``order``; all if fewer than two are left.
+def part_groups(corr: dict[tuple[str, str], float], order: list[str], cut: float = 0.5) -> list[list[str]]:
+    """Groups of average linkage on 1 - abs(rho) up to a distance of ``cut``, in the order of their first part.
 
     The matrix is one number per pair of parts (at most 14 parts), so it is grouped on the driver.
     """
     groups = [[p] for p in order]
-    gap = lambda a, b: 1 - abs(corr.get((a, b), corr.get((b, a), 0.0)))
+    gap = lambda a, b: 1 - abs(corr.get((a, b), corr.get((b, a))) or 0.0)
     while len(groups) > 1:
         d, i, j = min((float(np.mean([gap(a, b) for a in groups[i] for b in groups[j]])), i, j) for i in range(len(groups)) for j in range(i + 1, len(groups)))
         if d > cut:
             break
         groups[i] += groups.pop(j)
-    picked = sorted(min(g, key=lambda p: order[p]) for g in groups)
+    return groups
+
+
+def representative_parts(corr: dict[tuple[str, str], float], order: dict[str, tuple], cut: float = 0.5) -> list[str]:
+    """One part of each group of ``part_groups``, the first by ``order``; all if fewer than two are left."""
+    picked = sorted(min(g, key=lambda p: order[p]) for g in part_groups(corr, list(order), cut))
     return picked if len(picked) >= 2 else sorted(order)
 
 
+def variable_selection(points: DataFrame, centers: DataFrame, parts, by: str = "label", cut: float = 0.5) -> DataFrame:
+    """``by, part_group, part, representative, detection_rate, mad``: one part stands for each group of correlated parts.
+
+    Parts of a group rank by the share of points that have them, then by the median absolute deviation of their centred
+    logs over units, then by the order given; with fewer than two representatives all parts are ones.
+    """
+    parts = list(parts)
+    rho: dict = {}
+    for r in clr_spearman(centers, parts, by).collect():
+        rho.setdefault(r[by], {})[r["part_j"], r["part_k"]] = r["rho"]
+    seen = {r[by]: r for r in points.groupBy(by).agg(*[(F.count(p) / F.count("*")).alias(p) for p in parts]).collect()}
+    logs = [f"l_{p}" for p in parts]
+    middle = {g: own for (g,), own in select(centers, logs, [by], [0.5]).items()}
+    fall = lambda p: F.coalesce(*[F.when(F.col(by) == g, F.abs(F.col(f"l_{p}") - own[f"l_{p}"][1][0])) for g, own in middle.items() if g is not None], F.lit(None).cast("double"))
+    mads = {g: own for (g,), own in select(centers.select(by, *[fall(p).alias(p) for p in parts]), parts, [by], [0.5]).items()}
+    rows = []
+    for g in sorted(rho):
+        rate, mad = {p: float(seen[g][p]) for p in parts}, {p: float(mads[g][p][1][0]) for p in parts}
+        order = {p: (-rate[p], -mad[p], i) for i, p in enumerate(parts)}
+        picked = representative_parts(rho[g], order, cut)
+        for k, group in enumerate(part_groups(rho[g], parts, cut), 1):
+            rows += [(g, k, p, p in picked, rate[p], mad[p]) for p in group]
+    kind = dict(centers.dtypes)[by]
+    return centers.sparkSession.createDataFrame(rows, f"{by} {kind}, part_group int, part string, representative boolean, detection_rate double, mad double")
+
+
 def cluster_units(df: DataFrame, columns, k: int, method: str = "bisecting", weight: str | None = None, seed: int = 7) -> DataFrame:
     """``df`` with ``cluster``: bisecting k-means, k-means or a Gaussian mixture."""
     kind = {"bisecting": BisectingKMeans, "kmeans": KMeans, "gmm": GaussianMixture}[method]

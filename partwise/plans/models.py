@@ -242,9 +242,7 @@ def m1_spearman(spark, d):
 
 @register(None)
 def m2_representatives(spark, d):
-    rows = cluster.clr_spearman(centers_of(spark, d), PARTS).collect()
-    picked = [(g, p) for g in sorted({r["label"] for r in rows}) for p in cluster.representative_parts({(r["part_j"], r["part_k"]): r["rho"] for r in rows if r["label"] == g}, {p: (i,) for i, p in enumerate(PARTS)})]
-    return spark.createDataFrame(picked, "label string, part string")
+    return rounded(cluster.variable_selection(orders.known_points(spark, d), centers_of(spark, d), PARTS), "detection_rate", "mad")
 
 
 #: Numbers of clusters that are tried, bootstrap replicates, and splits of the prediction strength.

@@ -48,3 +48,19 @@ def test_true_number_of_clusters_is_stable(units):
 
 def test_rand_index_of_known_tables():
     assert kmeans.rand_index(np.array([[5.0, 0], [0, 7]])) == 1 and abs(kmeans.rand_index(np.array([[2.0, 2], [2, 2]])) + 1 / 6) < 1e-12
+
+
+def test_parts_stand_for_their_groups(spark):
+    """a and b move together and are one group; of them the one that is measured more often stands for both."""
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(80, 1))
+    logs = np.hstack([x + 0.05 * rng.normal(size=(80, 1)), x + 0.05 * rng.normal(size=(80, 1)), 3 * rng.normal(size=(80, 4))])
+    logs -= logs.mean(axis=1, keepdims=True)
+    parts = ["a", "b", "c", "d", "e", "f"]
+    centers = spark.createDataFrame([("K", i, *map(float, r)) for i, r in enumerate(logs)], "label string, unit_id int, " + ", ".join(f"l_{p} double" for p in parts))
+    points = spark.createDataFrame([("K", None if i % 2 else 1.0, 1.0, 1.0, None if i % 5 == 0 else 1.0, 1.0, 1.0) for i in range(80)], "label string, a double, b double, c double, d double, e double, f double")
+    told = {r["part"]: r for r in cluster.variable_selection(points, centers, parts).collect()}
+    assert told["a"]["part_group"] == told["b"]["part_group"] and not told["a"]["representative"] and told["b"]["representative"]
+    assert told["a"]["detection_rate"] == 0.5 and told["d"]["detection_rate"] == 0.8
+    for k, p in enumerate(parts):
+        assert np.isclose(told[p]["mad"], np.median(np.abs(logs[:, k] - np.median(logs[:, k]))))
