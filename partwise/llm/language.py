@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .storage import materialise
+from .storage import bound_batches, materialise
 from .words import give_back, parts, slices
 
 #: Families of language codes.  A code that is not listed is a family of its own.
@@ -164,7 +164,7 @@ def train(docs: DataFrame, most_a_language: int = 1_500, most: int = 8_000) -> L
     A bounded sample is used: about ``most_a_language`` documents of a language and ``most`` in all, chosen by a hash
     of the id; their whole texts give the n-gram shares.
     """
-    usable = docs.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
+    usable = bound_batches(docs).where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
     sizes = {r["lang"]: r["n"] for r in usable.groupBy("lang").agg(F.count("*").alias("n")).collect() if r["lang"] != UND}
     if not sizes:
         return None
@@ -190,7 +190,7 @@ def identify(docs: DataFrame, model: LanguageModel | None) -> DataFrame:
     """
     if model is None:
         return docs.drop("lang_pred", "score").withColumns({"lang_pred": F.lit(UND), "score": F.lit(0.0)})
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = bound_batches(docs).sparkSession.sparkContext.broadcast(model)
 
     @F.arrow_udf("struct<lang:string,score:double>")
     def told(texts: pa.Array) -> pa.Array:

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .components import connected_components
-from .storage import materialise
+from .storage import bound_batches, materialise
 from .words import give_back, keyed, mix64, shingle_sets, slices
 
 #: Samples of a document, bands of BAND samples each, bits of an odd sketch.  A pair at similarity 0.8 misses all 32
@@ -199,7 +199,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, seed: in
     """
     if percent < 80:
         raise ValueError("bands and the bound on differing bits are made for a similarity of 80 per cent or more")
-    docs = docs.select("doc_id", "text")
+    docs = bound_batches(docs).select("doc_id", "text")
     signed = materialise(signatures(docs, width, seed), "signed")
     some = signed.where("n_shingles > 0 and doc_id is not null")
     classes = materialise(some.groupBy("f1", "f2", "n_shingles").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch")), "classes")

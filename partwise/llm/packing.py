@@ -10,7 +10,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .storage import materialise
+from .storage import bound_batches, materialise
 from .tokens import chunk_ids
 from .words import give_back
 
@@ -74,7 +74,7 @@ def pieces(docs: DataFrame, tokenizer_path: str, capacity: int, end_id: int, wit
         give_back()
 
     kinds = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, piece long" + (", ids binary" if with_ids else "")
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(cut, kinds)
+    return bound_batches(docs).select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(cut, kinds)
 
 
 def pack(cut: DataFrame, capacity: int, seed: int = 1, group: int = GROUP) -> DataFrame:

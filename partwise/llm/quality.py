@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .storage import materialise
+from .storage import bound_batches, materialise
 from .words import SPACES, give_back
 
 #: The symbols that are counted.
@@ -189,6 +189,7 @@ def judge(docs: DataFrame, labels: DataFrame, max_labelled: int = 20_000, **opti
     rows that repeat are judged alike; without labels, or with labels of one kind, no rule is learned and the base
     rules decide; columns of ``docs`` named like a result are replaced; an empty table gives an empty result.
     """
+    bound_batches(docs)
     rules = learn_rules(labelled_counts(docs, labels, max_labelled), **options)
     clash = [c for c in docs.columns if c in (*COUNTS, "base_failed", "rule", "kept")]
     told = docs.drop(*clash).withColumn("counts_", text_stats("text")).select("*", "counts_.*").drop("counts_")

@@ -10,10 +10,23 @@ from __future__ import annotations
 import uuid
 
 from pyarrow import fs
+from pyspark.sql import DataFrame
 
 from ..sources.shared import KEY, materialise, shared_path, shared_root
 
-__all__ = ["KEY", "materialise", "open_fs", "shared_path", "shared_root", "write_atomically"]
+#: Bytes of a batch of rows that go to a Python worker at once; a longer text goes alone.
+BATCH = 4 << 20
+_BATCHES = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+__all__ = ["BATCH", "KEY", "bound_batches", "materialise", "open_fs", "shared_path", "shared_root", "write_atomically"]
+
+
+def bound_batches(df: DataFrame) -> DataFrame:
+    """``df``, in a session that hands texts to Python in batches of bounded bytes (10,000 long texts are no batch)."""
+    now = df.sparkSession.conf.get(_BATCHES, None)
+    if now and now.rstrip("b").isdigit() and int(now.rstrip("b")) > BATCH:
+        df.sparkSession.conf.set(_BATCHES, f"{BATCH}b")
+    return df
 
 
 def open_fs(path: str) -> tuple[fs.FileSystem, str]:

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.ranks import running_least, running_totals
-from .storage import open_fs, shared_path, write_atomically
+from .storage import bound_batches, open_fs, shared_path, write_atomically
 from .tokens import chunk_ids
 from .words import give_back, keyed, mix64
 
@@ -164,7 +164,7 @@ def write_token_files(docs: DataFrame, tokenizer_path: str, end_id: int = 2, fil
     """
     spark = docs.sparkSession
     folder = shared_path(spark, "tokens")
-    some = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    some = bound_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     size = some.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     files = max(1, -(-size // file_bytes), min(size // (1 << 20), spark.sparkContext.defaultParallelism))
     # rows that share id and text are equal, so any of them may stand first; their number splits a hot key
