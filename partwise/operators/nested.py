@@ -15,6 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.shared import materialise
 from . import trees as T
 from .keys import unit_folds
 from .refit import FoldsOut, Weightings, fold_words, weightings
@@ -263,24 +264,29 @@ def out_of_fold(w: Weightings, tuned: Tuned) -> DataFrame:
     return w.units.select(F.col("unit_id").cast("long"), "y", "a_", "x").mapInArrow(judge, schema)
 
 
-def nested_cv(df: DataFrame, parts, library, folds_n: int = 5, repeats: int = 20, zero_c: float = 0.5, name: str = "oof") -> DataFrame:
-    """Out-of-fold table ``rep, fold, unit_id, y, model, score, threshold``: every unit once per repeat and model.
+def cross_validate(df: DataFrame, parts, library, folds_n: int = 5, repeats: int = 20, zero_c: float = 0.5) -> tuple[DataFrame, Tuned]:
+    """The out-of-fold table, written to the shared folder, and what the folds learned.
 
-    Preparation, setting and threshold of a fold come from the other folds alone.  The table is written to the shared
-    folder.  An error if a fold has no model, or a unit does not occur exactly once.
+    An error if a fold has no model, or a unit does not occur exactly once in every repeat and model.
     """
-    from ..sources.shared import materialise
-
     w = prepared(df, parts, library, folds_n, repeats, zero_c)
     try:
         tuned = tune(w)
         if tuned.left_out:
             raise ValueError(f"folds without a model: {tuned.left_out}")
-        out = materialise(out_of_fold(w, tuned), name)
+        out = materialise(out_of_fold(w, tuned), "oof")
         n = w.units.count()
     finally:
         w.close()
     once = out.groupBy("rep", "model").agg(F.count("*").alias("n"), F.count_distinct("unit_id").alias("units")).collect()
     if len(once) != repeats * len(MODELS) or any(r["n"] != n or r["units"] != n for r in once):
         raise ValueError("a unit does not occur exactly once in every repeat")
-    return out
+    return out, tuned
+
+
+def nested_cv(df: DataFrame, parts, library, folds_n: int = 5, repeats: int = 20, zero_c: float = 0.5) -> DataFrame:
+    """Out-of-fold table ``rep, fold, unit_id, y, model, score, threshold``: every unit once per repeat and model.
+
+    Preparation, setting and threshold of a fold come from the other folds alone.
+    """
+    return cross_validate(df, parts, library, folds_n, repeats, zero_c)[0]

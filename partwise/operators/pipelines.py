@@ -74,14 +74,7 @@ class Chain:
 
 def choose(df: DataFrame, parts, library, folds_n: int = 5, repeats: int = 20, zero_c: float = 0.5) -> Chain:
     """Nested cross-validation, metrics, calibration gate, the model within one standard error, each model's usual setting."""
-    w = nested.prepared(df, parts, library, folds_n, repeats, zero_c)
-    try:
-        tuned = nested.tune(w)
-        if tuned.left_out:
-            raise ValueError(f"folds without a model: {tuned.left_out}")
-        oof = materialise(nested.out_of_fold(w, tuned), "oof")
-    finally:
-        w.close()
+    oof, tuned = nested.cross_validate(df, parts, library, folds_n, repeats, zero_c)
     spark = df.sparkSession
     metrics = materialise(fold_metrics(oof), "metrics")
     decisions = materialise(calibration_decisions(oof), "decisions")

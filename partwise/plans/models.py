@@ -96,7 +96,8 @@ def l5_tune(spark, d):
 
 @register(None)
 def l6_nested_cv(spark, d):
-    return rounded(nested.nested_cv(orders.known_points(spark, d), PARTS, LIB), "score", "threshold")
+    """The out-of-fold table of the chain: every unit once per repeat and model."""
+    return rounded(chain_of(spark, d).oof, "score", "threshold")
 
 
 def oof(spark, d):

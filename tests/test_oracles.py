@@ -10,7 +10,7 @@ import pytest
 from partwise.plans import registry
 
 DATA = "/root/testdata/sf0.001"
-NAMES = ["a1_read_points", "b2_point_state", "d1_part_audit", "d4_contingency", "e5_folds", "e6_threshold", "h6_ilr", "h10_unit_centers", "i4_cramers_v", "j1_state_effect", "j4_bootstrap", "k1_counterfactual", "l1_split_features", "l7_metrics", "m5_ari", "o1_edges", "p4_claims"]
+NAMES = ["a1_read_points", "b2_point_state", "d1_part_audit", "d4_contingency", "d10_median_ratio", "e3_bh_fdr", "e4_avg_rank", "e5_folds", "e6_threshold", "e7_auc", "h14_mask_validation", "h6_ilr", "h10_unit_centers", "i4_cramers_v", "j1_state_effect", "j4_bootstrap", "k1_counterfactual", "l1_split_features", "l7_metrics", "m5_ari", "o1_edges", "p4_claims"]
 
 pytestmark = pytest.mark.skipif(not os.path.isdir(DATA), reason="test tables are missing")
 
