@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.expressions import total, uniform
+from .ranks import running_totals
 
 
 def normalise_keys(df: DataFrame, source: str, target: str, width: int = 2) -> DataFrame:
@@ -113,8 +114,8 @@ def unit_rows(df: DataFrame, key: str = "unit_id", order: str = "point_id") -> D
 def unit_folds(units: DataFrame, folds: int, repeats: int, key: str = "unit_id", label: str = "label") -> DataFrame:
     """``rep, fold``: units of a label dealt to folds in the order of their hash, again for each repeat."""
     many = units.select(key, label).withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(repeats - 1))))
-    order = Window.partitionBy("rep", label).orderBy(uniform(F.lit("fold"), "rep", key), key)
-    return many.withColumn("fold", (F.row_number().over(order) - 1) % folds)
+    ranked = running_totals(many.withColumns({"place": uniform(F.lit("fold"), "rep", key), "one": F.lit(1)}), ["rep", label], ["place", key], ["one"])
+    return ranked.select(key, label, "rep", (F.col("below_one") % folds).cast("int").alias("fold"))
 
 
 def traceability(tables: dict[str, tuple[DataFrame, str]]) -> DataFrame:
