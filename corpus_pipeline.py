@@ -13,6 +13,11 @@ from partwise.llm.storage import materialise
 LEAST_LANGUAGE_SCORE = 0.3
 
 
+#: Documents of a language that the pipeline's model is fitted on; with 1,500 an executor of 3,000 MB runs out of memory,
+#: because it also holds what the other stages' workers keep.
+LANGUAGE_SAMPLE = 800
+
+
 def _apart(docs: DataFrame) -> DataFrame:
     """Id and text, and the other columns in one, so that no result of an operator meets a column of its name."""
     others = [F.col(f"`{c}`") for c in docs.columns if c not in ("doc_id", "text")]
@@ -32,7 +37,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is identified; texts without letters go."""
-    told = language.identify(_apart(docs), language.train(docs))
+    told = language.identify(_apart(docs), language.train(docs, most_a_language=LANGUAGE_SAMPLE))
     return _whole(told.where((F.col("lang_pred") != language.UND) & (F.col("score") >= LEAST_LANGUAGE_SCORE)), docs)
 
 
