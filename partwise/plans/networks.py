@@ -179,7 +179,8 @@ _SENS = ",\n".join([
 
 @register(S.query(" union all ".join(f"select '{n}' as scenario, label, cast(sum(cast(abs(s.rho) >= {t} as int)) as bigint) as n_edges, round(coalesce(sum(cast(abs(s.rho) >= {t} and abs(m.rho) >= 0.1 as int)) / nullif(sum(cast(abs(s.rho) >= {t} or abs(m.rho) >= 0.1 as int)), 0), 1.0), 6) as jaccard, round(avg(cast(sign(s.rho) = sign(m.rho) as int)), 6) as sign_agreement from {x} s join main m using (label, part_j, part_k) group by label" for n, x, t in _SC_O), MAIN, _SENS))
 def o8_sensitivity(spark, d):
-    known, everyone = orders.known_points(spark, d), orders.points(spark, d).where("unit_id % 50 <> 0")
+    everyone = orders.written_labelled(spark, d)
+    known = everyone.where("valid")
     main = N.main_edges(known, PARTS)
     scenarios = {"main": (main, 0.1), "zero_c_0.25": (N.main_edges(known, PARTS, 0.25), 0.1), "threshold_0.2": (main, 0.2), "with_invalid": (N.main_edges(everyone, PARTS), 0.1)}
     return rounded(N.network_sensitivity(scenarios, PARTS), "jaccard", "sign_agreement")
