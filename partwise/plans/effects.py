@@ -50,8 +50,9 @@ BOOT = (
 )
 
 
-def weighted(spark, d, zero_c: float = 0.5):
-    return E.prepared_points(orders.known_points(spark, d), PARTS, zero_c)
+def weighted(spark, d, zero_c: float = 0.5, known=None):
+    """Prepared points with weights, from points that are written once (``known``, if the caller has written them)."""
+    return E.prepared_points(orders.written_known(spark, d) if known is None else known, PARTS, zero_c)
 
 
 def long_sql(table: str, keys: str, fields) -> str:
@@ -161,9 +162,9 @@ SHIFTS = "shifts as (select label, " + ", ".join(f"{S.linear([r[k] for r in _BAS
 CF = f"cfe as (select jw.*, {S.each('{p} * exp(-s_{p}) as e_{p}')} from jw join shifts using (label) where state = 'W'), cf as materialized (select point_id, unit_id, label, {', '.join(PARTS)}, {S.closed_columns('e_', out='cf_')} from cfe)"
 
 
-def shifted(spark, d):
-    points = weighted(spark, d)
-    return E.counterfactual(points, E.state_effect(points, PARTS, ["label"]), PARTS)
+def shifted(spark, d, known=None):
+    points = weighted(spark, d, known=known)
+    return E.counterfactual(points, E.main_effect(points, PARTS), PARTS)
 
 
 @register(S.query(f"select point_id, {S.each('round(cf_{p}, 6) + 0.0 as cf_{p}')} from cf", WEIGHTED, MAIN, SHIFTS, CF))
@@ -187,8 +188,8 @@ _RADIUS = "gaps as (select b.point_id, " + ", ".join(f"ln(b.{p}) - ln(cf_{p}) as
 
 @register(S.query("select point_id, round(quantile_cont(r, 0.95), 6) as radius from radii group by 1", WEIGHTED, MAIN, SHIFTS, CF, BOOT, BOOT_CF, _RADIUS))
 def k3_uncertainty_radius(spark, d):
-    known = orders.known_points(spark, d)
-    return rounded(E.uncertainty_radius(known, shifted(spark, d), E.replicate_parameters(known, PARTS, REPS), PARTS), "radius")
+    known = orders.written_known(spark, d)
+    return rounded(E.uncertainty_radius(known, shifted(spark, d, known), E.replicate_parameters(known, PARTS, REPS), PARTS), "radius")
 
 
 REFS = CENTERS_SQL + ", refs as materialized (select * from centers where unit_state = 'U')"

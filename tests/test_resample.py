@@ -132,3 +132,18 @@ def test_differences_of_edges_use_all_replicates(points):
     for r in out.itertuples():
         null = d[(d.part_j == r.part_j) & (d.part_k == r.part_k)].delta
         assert len(null) == 99 and abs(r.p - ((null.abs() >= abs(r.delta) - 1e-12).sum() + 1) / 100) < 1e-12
+
+
+def test_radius_is_computed_once_a_pattern(spark, points, monkeypatch):
+    ready = effect.prepared_points(points, PARTS)
+    point = effect.counterfactual(ready, effect.state_effect(ready, PARTS, ["label"]), PARTS)
+    params = effect.replicate_parameters(points, PARTS, 80)
+    rows = points.where("state = 'W'").toPandas().merge(point.select("point_id", *[f"cf_{p}" for p in PARTS]).toPandas(), on="point_id")
+    few, sizes = effect.few_rows, []
+    monkeypatch.setattr(effect, "few_rows", lambda df: few(df) if sizes.append(df.count()) is None else None)
+    told = effect.uncertainty_radius(points, point, params, PARTS).toPandas().set_index("point_id").radius
+    assert len(told) == len(rows) and max(sizes) <= 2 * 3 ** len(PARTS)
+    for label, own in rows.groupby("label"):
+        gap = np.log(params.estimates(label, own[list(PARTS)].to_numpy(float))) - np.log(own[[f"cf_{p}" for p in PARTS]].to_numpy(float))[:, None, :]
+        gap -= gap.mean(axis=2, keepdims=True)
+        assert np.allclose(told[own.point_id], np.quantile(np.sqrt((gap * gap).sum(axis=2)), 0.95, axis=1), atol=1e-9)

@@ -15,6 +15,7 @@ class Seen(Exception):
 #: Query, the operator that gets its points, and what was written.
 JOBS = [
     ("o8_sensitivity", network, "main_edges", "labelled"),
+    ("k3_uncertainty_radius", effect, "replicate_parameters", "known"),
 ]
 
 
