@@ -206,3 +206,12 @@ def test_weightings_fill_like_the_features(spark, points):
     w.close()
     ids = sorted(units.unit_id)
     assert np.allclose(got, features(points.toPandas().astype({p: float for p in PARTS}), ids, ids), atol=1e-9)
+
+
+def test_training_medians_of_few_folds_gather_no_group(spark, monkeypatch):
+    rows = spark.range(40).selectExpr("cast(id % 2 as int) as k", "cast(null as string) as state", "'train' as role", "id as unit_id", "'K' as label", "if(id % 5 = 0, null, cast(id + 1 as double)) as a", "cast(id % 7 as double) as b")
+    monkeypatch.setattr(classify.F, "percentile", lambda *args: pytest.fail("a task would hold a group"))
+    told = {r["k"]: r for r in classify.train_medians(rows, ["k"], ["a", "b"], "g", True).collect()}
+    for k in (0, 1):
+        a = [i + 1 for i in range(40) if i % 2 == k and i % 5]
+        assert told[k]["g_a"] == np.median(a) and told[k]["n_a"] == len(a)

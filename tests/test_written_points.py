@@ -16,6 +16,7 @@ class Seen(Exception):
 JOBS = [
     ("o8_sensitivity", network, "main_edges", "labelled"),
     ("k3_uncertainty_radius", effect, "replicate_parameters", "known"),
+    ("l1_split_features", classify, "split_features", "known"),
 ]
 
 
