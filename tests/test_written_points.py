@@ -18,6 +18,7 @@ JOBS = [
     ("k3_uncertainty_radius", effect, "replicate_parameters", "known"),
     ("l1_split_features", classify, "split_features", "known"),
     ("j3_permutation", effect, "state_effect", "prepared"),
+    ("l2_logistic", classify, "standardised", "units"),
 ]
 
 
