@@ -19,6 +19,7 @@ JOBS = [
     ("l1_split_features", classify, "split_features", "known"),
     ("j3_permutation", effect, "state_effect", "prepared"),
     ("l2_logistic", classify, "standardised", "units"),
+    ("m2_representatives", cluster, "variable_selection", "known"),
 ]
 
 
