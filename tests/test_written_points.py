@@ -21,6 +21,7 @@ JOBS = [
     ("l2_logistic", classify, "standardised", "units"),
     ("m2_representatives", cluster, "variable_selection", "known"),
     ("k2_boot_counterfactual", effect, "replicate_parameters", "known"),
+    ("m11_profiles", network, "fitted", "known"),
 ]
 
 
