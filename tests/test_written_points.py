@@ -22,6 +22,7 @@ JOBS = [
     ("m2_representatives", cluster, "variable_selection", "known"),
     ("k2_boot_counterfactual", effect, "replicate_parameters", "known"),
     ("m11_profiles", network, "fitted", "known"),
+    ("o2_boot_edges", network, "boot_edges", "known"),
 ]
 
 
