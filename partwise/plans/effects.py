@@ -261,8 +261,8 @@ rbe as (select jw.point_id, {S.each("{p} / coalesce(q_{p}, 1.0) as e_{p}")} from
 
 @register(S.query(f"select point_id, {S.each('round({p}, 6) + 0.0 as rb_{p}')} from (select point_id, {S.closed_columns('e_')} from rbe)", WEIGHTED, _RATIO))
 def k7_ratio_baseline(spark, d):
-    known = orders.known_points(spark, d)
-    return select6(E.ratio_baseline(weighted(spark, d), audit.median_ratio(known, PARTS, "label"), PARTS), ["point_id"], [f"rb_{p}" for p in PARTS])
+    known = orders.written_known(spark, d)
+    return select6(E.ratio_baseline(weighted(spark, d, known=known), audit.median_ratio(known, PARTS, "label"), PARTS), ["point_id"], [f"rb_{p}" for p in PARTS])
 
 
 _CF2 = "main2 as (select label, " + ", ".join(f"b_{i}" for i in IDX) + " from q1e), shifts2 as (select label, " + ", ".join(f"{S.linear([r[k] for r in _BASIS], [f'b_{i}' for i in IDX])} as s_{p}" for k, p in enumerate(PARTS)) + f" from main2), cfe2 as (select q1w.*, {S.each('{p} * exp(-s_{p}) as e_{p}')} from q1w join shifts2 using (label) where state = 'W'), cf2 as materialized (select point_id, {S.closed_columns('e_', out='cf_')} from cfe2)"

@@ -23,6 +23,7 @@ JOBS = [
     ("k2_boot_counterfactual", effect, "replicate_parameters", "known"),
     ("m11_profiles", network, "fitted", "known"),
     ("o2_boot_edges", network, "boot_edges", "known"),
+    ("k7_ratio_baseline", audit, "median_ratio", "known"),
 ]
 
 
