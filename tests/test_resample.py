@@ -159,3 +159,12 @@ def test_estimates_by_part_and_their_quantiles():
     assert np.allclose(own.transpose(0, 2, 1), plain, rtol=1e-13)
     shares = (0.025, 0.5, 0.975)
     assert np.allclose(effect.sorted_quantiles(own, shares), np.quantile(plain, shares, axis=1), rtol=1e-12)
+
+
+def test_ranked_weights_are_bounded(spark, points, monkeypatch):
+    whole = network.boot_edges(points, PARTS, 60).toPandas()
+    monkeypatch.setattr(R, "WEIGHTS", 200)
+    again = network.boot_edges(points, PARTS, 60).toPandas()
+    keys = ["rep", "label", "part_j", "part_k"]
+    both = whole.merge(again, on=keys)
+    assert len(both) == len(whole) and np.allclose(both.rho_x, both.rho_y, rtol=0, atol=1e-12)

@@ -24,6 +24,7 @@ JOBS = [
     ("m11_profiles", network, "fitted", "known"),
     ("o2_boot_edges", network, "boot_edges", "known"),
     ("k7_ratio_baseline", audit, "median_ratio", "known"),
+    ("o7_stability", network, "boot_edges", "known"),
 ]
 
 
