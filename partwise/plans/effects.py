@@ -114,7 +114,7 @@ mw as (select label, part, sum(rk) filter (where state = 'W') r, cast(count(*) f
 
 @register(S.query("select label, part, round(r - n1 * (n1 + 1) / 2, 6) as u, round((r - n1 * (n1 + 1) / 2 - n1 * n0 / 2) / sqrt(n1 * n0 / 12 * ((n1 + n0 + 1) - ties / ((n1 + n0) * (n1 + n0 - 1)))), 6) + 0.0 as z, round(md, 7) + 0.0 as median_difference from mw join tie using (label, part)", _MW))
 def j7_mann_whitney(spark, d):
-    out = E.mann_whitney(orders.known_points(spark, d), PARTS)
+    out = E.mann_whitney(orders.written_known(spark, d), PARTS)
     return rounded(rounded(out.select("label", "part", "u", "z", "median_difference"), "u", "z"), "median_difference", digits=7)
 
 

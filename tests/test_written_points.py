@@ -26,6 +26,7 @@ JOBS = [
     ("k7_ratio_baseline", audit, "median_ratio", "known"),
     ("o7_stability", network, "boot_edges", "known"),
     ("j9_leave_one_out", effect, "prepared_points", "known"),
+    ("j7_mann_whitney", effect, "mann_whitney", "known"),
 ]
 
 
