@@ -27,6 +27,7 @@ JOBS = [
     ("o7_stability", network, "boot_edges", "known"),
     ("j9_leave_one_out", effect, "prepared_points", "known"),
     ("j7_mann_whitney", effect, "mann_whitney", "known"),
+    ("m4_metrics", cluster, "cluster_metrics", "centers"),
 ]
 
 
