@@ -124,7 +124,7 @@ _RES = "res as materialized (" + " union all ".join(f"select label, 'ilr_{i}' as
 @register(S.query("select label, coordinate, round(avg(residual), 6) + 0.0 as mean, round(stddev_samp(residual), 6) as sd, round(skewness(residual), 5) + 0.0 as skewness, round(kurtosis(residual), 5) + 0.0 as kurtosis, round(abs(corr(fitted, residual)), 6) + 0.0 as abs_corr, abs(skewness(residual)) > 2 or abs(kurtosis(residual)) > 7 as flag from res group by 1, 2", WEIGHTED, MAIN, _RES))
 def j8_residuals(spark, d):
     points = weighted(spark, d)
-    out = rounded(E.residual_diag(points, E.state_effect(points, PARTS, ["label"]), PARTS), "mean", "sd", "abs_corr")
+    out = rounded(E.residual_diag(points, E.main_effect(points, PARTS), PARTS), "mean", "sd", "abs_corr")
     return rounded(out, "skewness", "kurtosis", digits=5)
 
 

@@ -28,6 +28,7 @@ JOBS = [
     ("j9_leave_one_out", effect, "prepared_points", "known"),
     ("j7_mann_whitney", effect, "mann_whitney", "known"),
     ("m4_metrics", cluster, "cluster_metrics", "centers"),
+    ("j8_residuals", effect, "prepared_points", "known"),
 ]
 
 
