@@ -102,8 +102,8 @@ def _percent_sql(table: str, keys: str) -> str:
 
 @register(S.query(f"select label, part, round(u, 6) as predicted_u, round(w, 6) as predicted_w, round(w - u, 6) + 0.0 as difference, round(lo, 6) + 0.0 as ci_low, round(hi, 6) + 0.0 as ci_high from {_percent_sql('main', 'label')} join (select label, part, quantile_cont(w - u, 0.025) lo, quantile_cont(w - u, 0.975) hi from {_percent_sql('boot', 'label')} group by 1, 2) using (label, part)", WEIGHTED, MAIN, BOOT))
 def j6_contrast(spark, d):
-    known = orders.known_points(spark, d)
-    main = E.state_effect(E.prepared_points(known, PARTS), PARTS, ["label"])
+    known = orders.written_known(spark, d)
+    main = E.main_effect(E.prepared_points(known, PARTS), PARTS)
     return rounded(E.effect_contrast(main, E.boot_effect(known, PARTS, REPS), PARTS), "predicted_u", "predicted_w", "difference", "ci_low", "ci_high")
 
 

@@ -29,6 +29,7 @@ JOBS = [
     ("j7_mann_whitney", effect, "mann_whitney", "known"),
     ("m4_metrics", cluster, "cluster_metrics", "centers"),
     ("j8_residuals", effect, "prepared_points", "known"),
+    ("j6_contrast", effect, "boot_effect", "known"),
 ]
 
 
