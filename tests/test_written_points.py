@@ -30,6 +30,7 @@ JOBS = [
     ("m4_metrics", cluster, "cluster_metrics", "centers"),
     ("j8_residuals", effect, "prepared_points", "known"),
     ("j6_contrast", effect, "boot_effect", "known"),
+    ("h16_pca", logratio, "fit_prep", "known"),
 ]
 
 
