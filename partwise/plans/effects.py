@@ -86,8 +86,8 @@ def j4_bootstrap(spark, d):
 
 @register(S.query(f"select label, coordinate, round(beta, 6) + 0.0 as beta, round(boot_se, 6) as boot_se, round(ci_low, 6) + 0.0 as ci_low, round(ci_high, 6) + 0.0 as ci_high, round(sign_frequency, 6) as sign_frequency, round(p_raw, 6) + 0.0 as p_raw, round(least(1.0, min(raw) over (partition by label order by p_raw, coordinate rows between current row and unbounded following)), 6) + 0.0 as p_fdr from (select *, p_raw * count(*) over (partition by label) / row_number() over (partition by label order by p_raw, coordinate) as raw from (select label, coordinate, stddev_samp(beta) boot_se, quantile_cont(beta, 0.025) ci_low, quantile_cont(beta, 0.975) ci_high, greatest(avg(cast(beta >= 0 as int)), avg(cast(beta <= 0 as int))) sign_frequency, least(1.0, 2 * least(avg(cast(beta >= 0 as int)), avg(cast(beta <= 0 as int)))) p_raw from {long_sql('boot', 'label', (('b', 'beta'),))} group by 1, 2) join {long_sql('main', 'label', (('b', 'beta'),))} using (label, coordinate))", WEIGHTED, MAIN, BOOT))
 def j5_effect_table(spark, d):
-    known = orders.known_points(spark, d)
-    table = E.effect_table(E.state_effect(E.prepared_points(known, PARTS), PARTS, ["label"]), E.boot_effect(known, PARTS, REPS), PARTS)
+    known = orders.written_known(spark, d)
+    table = E.effect_table(E.main_effect(E.prepared_points(known, PARTS), PARTS), E.boot_effect(known, PARTS, REPS), PARTS)
     return select6(table, ["label", "coordinate"], ["beta", "boot_se", "ci_low", "ci_high", "sign_frequency", "p_raw", "p_fdr"])
 
 

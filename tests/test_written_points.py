@@ -31,6 +31,7 @@ JOBS = [
     ("j8_residuals", effect, "prepared_points", "known"),
     ("j6_contrast", effect, "boot_effect", "known"),
     ("h16_pca", logratio, "fit_prep", "known"),
+    ("j5_effect_table", effect, "boot_effect", "known"),
 ]
 
 
