@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from partwise.operators import audit, ranks, selection
+from partwise.operators import audit, cluster, ranks, selection
 
 R = random.Random(5)
 #: A value fills a third of group a, so its rows come from many tasks; b has one row, null is a group too.
@@ -27,6 +27,25 @@ def test_ranks_of_ties_span_tasks(rows):
         assert told[i] == sum(y < v for y in own) + (sum(y == v for y in own) + 1) / 2
 
 
+def test_rows_that_a_second_evaluation_changes_keep_their_ranks(spark):
+    """A mean's last bit hangs on the order in which a shuffle delivers: ranks join back by value, so rows are evaluated once."""
+    df = spark.range(200).select("id", F.lit("x").alias("g"), F.java_method(F.lit("java.lang.Math"), F.lit("random")).cast("double").alias("v"))
+    told = sorted(audit.avg_rank(df, "v", ["g"]).collect(), key=lambda r: r["v"])
+    assert [r["rank"] for r in told] == [float(i) for i in range(1, 201)]
+    adjusted = audit.bh_fdr(df, "v", ["g"]).collect()
+    assert len(adjusted) == 200 and all(r["p_fdr"] is not None and r["p_fdr"] > r["v"] - 1e-12 for r in adjusted)
+
+
+def test_rank_correlations_of_centres_that_a_second_evaluation_changes(spark):
+    noise = 1 + F.java_method(F.lit("java.lang.Math"), F.lit("random")).cast("double") * 1e-12
+    plain = [(i, R.random(), R.random()) for i in range(200)]
+    centers = spark.createDataFrame([(*r, "x") for r in plain], "unit_id long, l_a double, l_b double, label string").withColumns({"l_a": F.col("l_a") * noise, "l_b": F.col("l_b") * noise})
+    place = lambda k: np.argsort(np.argsort([r[k] for r in plain]))
+    told = cluster.clr_spearman(centers, ["a", "b"]).collect()
+    assert [(r["part_j"], r["part_k"]) for r in told] == [("a", "b")]
+    assert told[0]["rho"] == pytest.approx(np.corrcoef(place(1), place(2))[0, 1], abs=1e-12)
+
+
 def test_running_totals_do_not_hang_on_the_number_of_ranges(rows, spark):
     counted = rows.groupBy("g", "v").agg(F.count("*").alias("n"))
     seen = []
