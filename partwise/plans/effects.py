@@ -10,8 +10,9 @@ from ..operators import effect as E
 from ..operators import logratio as lr
 from ..sources import orders
 from ..sources.orders import PARTS
+from ..sources.shared import materialise
 from . import sql as S
-from .prepare import SIX, centers, rounded, select6
+from .prepare import SIX, prepared, rounded, select6
 from .prepare import CENTERS as CENTERS_SQL
 from .prepare import PREP
 
@@ -196,12 +197,16 @@ REFS = CENTERS_SQL + ", refs as materialized (select * from centers where unit_s
 _D = "sqrt(" + " + ".join(f"(x.{c} - y.{c}) * (x.{c} - y.{c})" for c in Z) + ")"
 
 
+def points_and_refs(spark, d):
+    """Prepared points, and the centres of unweathered units as a table written once: both from one fit."""
+    points = prepared(spark, d)
+    return points, materialise(lr.unit_centers(points, PARTS, carry=("label", "unit_state")).where("unit_state = 'U'"), "refs")
+
+
 @register(S.query(f"select label, point_id, round(min(dd), 6) as distance from (select x.label, x.point_id, {_D} as dd from z x join refs y on x.label = y.label) group by 1, 2", PREP, REFS))
 def c3_nearest_reference(spark, d):
-    from .prepare import prepared
-
-    refs = centers(spark, d).where("unit_state = 'U'")
-    return rounded(E.nearest_reference(prepared(spark, d), refs, Z, ["label"]).select("label", "point_id", "distance"), "distance")
+    points, refs = points_and_refs(spark, d)
+    return rounded(E.nearest_reference(points, refs, Z, ["label"]).select("label", "point_id", "distance"), "distance")
 
 
 THRESHOLD = f"threshold as materialized (select label, quantile_cont(dd, 0.95) as threshold, count(*) as n_refs from (select x.label, x.unit_id, min({_D}) as dd from refs x join refs y on x.label = y.label and x.unit_id <> y.unit_id group by 1, 2) group by 1)"
@@ -209,7 +214,7 @@ THRESHOLD = f"threshold as materialized (select label, quantile_cont(dd, 0.95) a
 
 @register(S.query("select label, round(threshold, 6) as threshold, n_refs from threshold", PREP, REFS, THRESHOLD))
 def c4_domain_threshold(spark, d):
-    return rounded(E.domain_threshold(centers(spark, d).where("unit_state = 'U'"), Z, ["label"]), "threshold")
+    return rounded(E.domain_threshold(points_and_refs(spark, d)[1], Z, ["label"]), "threshold")
 
 
 @register(S.query(f"select label, round(avg(a.effect_norm - b.effect_norm), 6) + 0.0 as mean_difference, count(*) as n from boot a join (select rep, label, effect_norm from boot) b using (rep) where a.label < b.label group by a.label".replace("select label", "select a.label"), BOOT))
@@ -221,29 +226,26 @@ def c5_paired_metrics(spark, d):
 
 
 @register(S.query(f"select point_id, round(dd, 6) as distance, dd > threshold as outside from (select x.label, x.point_id, min({_D}) as dd from z x join refs y on x.label = y.label where x.state = 'W' group by 1, 2) join threshold using (label)", PREP, REFS, THRESHOLD))
-def k4_applicability(spark, d):
-    from .prepare import prepared
-
-    refs = centers(spark, d).where("unit_state = 'U'")
-    near = E.nearest_reference(prepared(spark, d).where("state = 'W'"), refs, Z, ["label"])
-    told = near.join(E.domain_threshold(refs, Z, ["label"]), "label")
+def k4_applicability(spark, d, known=None):
+    points, refs = known or points_and_refs(spark, d)
+    near = E.nearest_reference(points.where("state = 'W'"), refs, Z, ["label"])
+    told = near.join(F.broadcast(E.domain_threshold(refs, Z, ["label"])), "label")
     return rounded(told.select("point_id", "distance", (F.col("distance") > F.col("threshold")).alias("outside")), "distance")
 
 
 @register(None)
-def k5_robust_distance(spark, d):
+def k5_robust_distance(spark, d, known=None):
     """Points in state W against the unweathered units of their label: robust distance, its threshold, and whether it is beyond."""
-    from .prepare import prepared
-
-    refs = centers(spark, d).where("unit_state = 'U'")
-    told = robust.robust_flags(prepared(spark, d).where("state = 'W'"), refs, Z, "label")
+    points, refs = known or points_and_refs(spark, d)
+    told = robust.robust_flags(points.where("state = 'W'"), refs, Z, "label")
     return rounded(told.select("point_id", "robust_distance", "robust_threshold", "outside"), "robust_distance", "robust_threshold", digits=4)
 
 
 @register(None)
 def k11_domain(spark, d):
     """The whole rule of applicability: beyond the nearest-reference threshold of the label, or beyond the robust one."""
-    near, far = k4_applicability(spark, d).select("point_id", "distance", F.col("outside").alias("near_")), k5_robust_distance(spark, d)
+    known = points_and_refs(spark, d)
+    near, far = k4_applicability(spark, d, known).select("point_id", "distance", F.col("outside").alias("near_")), k5_robust_distance(spark, d, known)
     return near.join(far, "point_id").select("point_id", "distance", "robust_distance", (F.col("near_") | F.coalesce("outside", F.lit(False))).alias("outside"))
 
 
