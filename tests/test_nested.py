@@ -215,3 +215,29 @@ def test_training_medians_of_few_folds_gather_no_group(spark, monkeypatch):
     for k in (0, 1):
         a = [i + 1 for i in range(40) if i % 2 == k and i % 5]
         assert told[k]["g_a"] == np.median(a) and told[k]["n_a"] == len(a)
+
+
+def test_folds_start_from_the_first_ones_coefficients(spark, monkeypatch):
+    from types import SimpleNamespace
+
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(400, 2))
+    y = (rng.random(400) < 1 / (1 + np.exp(-2 * x[:, 0] - 1))).astype(int)
+    weights = {k: (np.arange(400) % 5 != k).astype(float) for k in range(5)}
+    passes = []
+
+    def summed(each, ids):
+        passes.append(len(ids))
+        return {k: each(k, x, y, weights[k], None) for k in ids.tolist()}
+
+    counts = np.array([[weights[k][y == c].sum() for c in (0, 1)] for k in range(5)])
+    w = SimpleNamespace(features=["a", "b"], fitted=lambda: np.arange(5), counts=counts, summed=summed)
+    tried = [{"features": ("a", "b"), "c": c, "balanced": b} for c in (0.1, 10.0) for b in (False, True)]
+    beta, unsettled = nested.fit_logistics(w, tried)
+    assert not unsettled and sum(n > 1 for n in passes) <= 4 < sum(n == 1 for n in passes)
+    for k in range(5):
+        for s, b in zip(tried, beta[k], strict=True):
+            v = weights[k] * ((counts[k].sum() / (2 * counts[k]))[y] if s["balanced"] else 1.0)
+            z = np.hstack([x, np.ones((400, 1))])
+            slope = z.T @ (v * (y - 1 / (1 + np.exp(-z @ b)))) - np.append(b[:2], 0) / s["c"]
+            assert np.abs(slope).max() < 1e-6

@@ -44,3 +44,36 @@ def test_points_are_written_once(spark, monkeypatch, name, module, operator, wri
     with pytest.raises(Seen) as told:
         registry.queries()[name](spark, DATA).collect()
     assert told.value.args[0] == [written]
+
+
+#: Query of the chain, what is replaced before it, the operator that is looked at, and what was written.
+CHAIN = [
+    ("l17_choice", (), "pipelines", "choose", "known"),
+    ("l13_final_fit", ("chain_of",), "pipelines", "train_final", "known"),
+    ("l14_boot_pipelines", ("chain_of",), "pipelines", "boot_pipelines", "known"),
+    ("n2_score", ("frozen",), "pipelines", "score_units", "unknown"),
+    ("n3_boot_score", ("frozen",), "pipelines", "score_units", "unknown"),
+    ("n6_sensitivity", ("frozen",), "pipelines", "score_units", "unknown"),
+    ("n4_applicability", ("frozen", "_voted"), "E", "nearest_reference", "voted"),
+    ("n5_reject", ("frozen", "_voted"), "E", "nearest_reference", "voted"),
+]
+
+
+@pytest.mark.parametrize(("name", "given", "module", "operator", "written"), CHAIN)
+def test_the_chain_reads_written_points(spark, monkeypatch, name, given, module, operator, written):
+    from types import SimpleNamespace
+
+    from partwise.plans import models
+
+    def seen(df, *args, **kwargs):
+        raise Seen(sorted({f.rsplit("/", 2)[-2].split("-")[0] for f in df.inputFiles()}))
+
+    fakes = {"chain_of": lambda *_: SimpleNamespace(configs={}, decisions=None, selected="tree"), "frozen": lambda *_: ({"selected": "tree"}, ""), "_voted": lambda s, d: s.read.parquet(f"{d}/orders.parquet").select("o_custkey")}
+    monkeypatch.setattr(models, "_KEPT", {})
+    monkeypatch.setattr(models.classify, "unit_features", lambda df, pipe: df)
+    for f in given:
+        monkeypatch.setattr(models, f, fakes[f])
+    monkeypatch.setattr(getattr(models, module), operator, seen)
+    with pytest.raises(Seen) as told:
+        registry.queries()[name](spark, DATA).collect()
+    assert told.value.args[0] == [written]
